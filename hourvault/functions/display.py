@@ -21,7 +21,8 @@ def format_size(size: Column) -> Column:
     value = size.cast("double")
 
     def text(power: int) -> Column:
-        scaled = value / F.lit(float(1024**power))
+        # Ties go to the even digit; the formatter alone would round them up.
+        scaled = F.bround(value / F.lit(float(1024**power)), 1)
         return F.concat(F.format_string("%.1f", scaled), F.lit(" " + _UNITS[power]))
 
     chain = F.when(size.isNull(), F.lit(None).cast("string"))

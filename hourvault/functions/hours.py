@@ -60,13 +60,14 @@ def hours_of_ranges(ranges: DataFrame, from_col: str = "from_utc", to_col: str =
 
 
 def hours_frame(spark: SparkSession, from_utc: datetime, to_utc: datetime) -> DataFrame:
-    """The hours of one range, spread over up to 1,000 tasks for listing."""
+    """The hours of one range, spread over the cluster's cores for listing."""
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     hour = timedelta(hours=1)
     first = (as_utc(from_utc) - epoch) // hour
     end = -((epoch - as_utc(to_utc)) // hour)
     count = max(end - first, 0)
     instant = F.timestamp_seconds(F.col("id") * 3600)
-    return spark.range(first, first + count, 1, max(1, min(count, 1000))).select(
+    tasks = max(1, min(count, 4 * spark.sparkContext.defaultParallelism))
+    return spark.range(first, first + count, 1, tasks).select(
         partition_of(instant).alias("blob_partition")
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from hourvault.functions.hours import hour_of, hours_of_ranges
 from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, SUMMARY_COLUMNS, check_limit, newest_first
 from hourvault.schema import FILTER_FIELDS
-from hourvault.session import BROADCAST_ROWS, broadcast_if_small
+from hourvault.session import BROADCAST_ROWS, broadcast_if_small, pin
 
 # The field that keys the join is the first of these a search sets, the most
 # selective first.
@@ -77,7 +77,8 @@ def run_saved_searches(
         F.col("to_utc").alias("s_to"),
         *[F.col(f).alias(f"s_{f}") for f in present],
     )
-    keyed = ranged.withColumn("_key", _search_key(present))
+    # Read three times below; also keeps the range arithmetic out of the join.
+    keyed = pin(ranged.withColumn("_key", _search_key(present)))
     used = sorted(r["field"] for r in keyed.select("_key.field").distinct().collect())
     by_hour = (
         hours_of_ranges(keyed, "s_from", "s_to")

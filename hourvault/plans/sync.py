@@ -21,7 +21,7 @@ from hourvault.operators.ingest import raise_on_malformed, to_events
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, LISTING_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import pin
 from hourvault.sources import archive
-from hourvault.sources.cache import HourBounds, manifest_current, read_manifest
+from hourvault.sources.cache import HourBounds, manifest_current, partition_dirs, read_manifest
 from hourvault.sources.storage import child_names, join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
@@ -30,9 +30,7 @@ MAX_WRITE_TASKS = 100_000
 
 def data_files(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
     """Stored event files with hour, run, group and size, listed by tasks."""
-    names = child_names(spark, join_path(root, "events", "blob_hour=*"))
-    if bounds is not None:
-        names = [n for n in names if bounds[0] <= n[len("blob_hour=") :] <= bounds[1]]
+    names = partition_dirs(spark, root, "events", "blob_hour", bounds)
     return archive.list_stored(spark, join_path(root, "events"), names)
 
 
@@ -112,7 +110,7 @@ def materialize(
     totals = missing.agg(
         F.count("*").alias("files"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
-        F.countDistinct("blob_hour").alias("hours"),
+        F.countDistinct(F.substring("blob_hour", 1, 10)).alias("days"),
         F.count_if(F.col("blob_partition") == "").alias("outside"),
     ).head()
     if totals["files"] == 0:
@@ -157,14 +155,18 @@ def materialize(
         F.coalesce("events_count", F.lit(0).cast("bigint")).alias("events_count"),
         F.lit(stamp).cast("timestamp").alias("materialized_at"),
         "blob_hour",
+        F.substring("blob_hour", 1, 10).alias("blob_day"),
     )
-    writers = max(1, min(totals["hours"], 1000))
+    # One file per day, more for a day with very many files.
+    parts = 1 + totals["files"] // 1_000_000
     (
         manifest.select(*MANIFEST_SCHEMA.names)
-        .repartition(writers, "blob_hour", F.pmod(F.xxhash64("blob_path"), F.lit(1 + totals["files"] // 1_000_000)))
+        .repartition(
+            max(1, min(totals["days"] * parts, 1000)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
+        )
         .write.mode("append")
         .option("compression", "zstd")
-        .partitionBy("blob_hour")
+        .partitionBy("blob_day")
         .parquet(join_path(root, "manifest"))
     )
     # The commit point: one row, one small file.

@@ -64,6 +64,7 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("events_count", T.LongType()),
         T.StructField("materialized_at", T.TimestampType()),
         T.StructField("blob_hour", T.StringType()),
+        T.StructField("blob_day", T.StringType()),
     ]
 )
 

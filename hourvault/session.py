@@ -19,6 +19,7 @@ def build_session(app_name: str = "hourvault", master: str | None = None, **conf
         builder = builder.master(master)
     settings = {
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
@@ -34,6 +35,11 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # Lets a per-search top-n up to the largest allowed limit drop rows before the shuffle.
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
+    # Directory listing of many hours: as many tasks as there are cores to run them.
+    spark.conf.set(
+        "spark.sql.sources.parallelPartitionDiscovery.parallelism",
+        str(max(32, 4 * spark.sparkContext.defaultParallelism)),
+    )
     return spark
 
 

@@ -287,7 +287,7 @@ def with_hour(files: DataFrame) -> DataFrame:
 def list_stored(spark: SparkSession, events_root: str, hour_dirs: list[str]) -> DataFrame:
     """Parquet files under the given `blob_hour=...` directories, with keys and size."""
     pattern = r"blob_hour=([^/]+)/run_id=([^/]+)/group_no=(\d+)/"
-    tasks = max(1, min(len(hour_dirs), 1000))
+    tasks = max(1, min(len(hour_dirs), 4 * spark.sparkContext.defaultParallelism))
     schema = "blob_path string, blob_partition string, size bigint, is_dir boolean"
     roots = spark.createDataFrame([(name, "", 0, True) for name in hour_dirs], schema).repartition(tasks)
     found = roots.mapInArrow(_list_under(events_root, recursive=True, suffix=".parquet"), _FOUND)

@@ -1,7 +1,7 @@
 """The event cache on disk: events, manifest and commits.
 
     <root>/events/blob_hour=<hour>/run_id=<run>/group_no=<n>/part-*.parquet
-    <root>/manifest/blob_hour=<hour>/part-*.parquet     one row per source file and run
+    <root>/manifest/blob_day=<day>/part-*.parquet       one row per source file and run
     <root>/commits/part-*.parquet                       one row per finished run
 
 A run exists for readers once its commit row does; that row is one small file,
@@ -25,31 +25,22 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def _hour_dirs(spark: SparkSession, root: str, table: str, bounds: HourBounds | None) -> list[str]:
-    base = join_path(root, table)
-    names = child_names(spark, join_path(base, "blob_hour=*"))
+def partition_dirs(
+    spark: SparkSession, root: str, table: str, column: str, bounds: tuple[str, str] | None
+) -> list[str]:
+    """Names of the partition directories of a table with values in bounds."""
+    names = child_names(spark, join_path(root, table, f"{column}=*"))
     if bounds is not None:
-        first, last = bounds
-        names = [n for n in names if first <= n[len("blob_hour=") :] <= last]
-    return [join_path(base, n) for n in names]
-
-
-def _read_hours(
-    spark: SparkSession,
-    root: str,
-    table: str,
-    schema: T.StructType,
-    bounds: HourBounds | None,
-    path_column: str | None = None,
+        names = [n for n in names if bounds[0] <= n.partition("=")[2] <= bounds[1]]
+    return names
+
+
+def _read_partitions(
+    spark: SparkSession, root: str, table: str, schema: T.StructType, names: list[str]
 ) -> DataFrame:
-    paths = _hour_dirs(spark, root, table, bounds)
-    if paths:
-        rows = spark.read.schema(schema).option("basePath", join_path(root, table)).parquet(*paths)
-        file_path = F.col("_metadata.file_path")
-    else:
-        rows = empty_frame(spark, schema)
-        file_path = F.lit(None).cast("string")
-    return rows.withColumn(path_column, file_path) if path_column else rows
+    base = join_path(root, table)
+    paths = [join_path(base, n) for n in names]
+    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
 
 
 def read_commits(spark: SparkSession, root: str) -> DataFrame:
@@ -68,7 +59,13 @@ def read_manifest(
     spark: SparkSession, root: str, bounds: HourBounds | None = None, runs: DataFrame | None = None
 ) -> DataFrame:
     """Manifest rows of finished runs."""
-    rows = _read_hours(spark, root, "manifest", MANIFEST_SCHEMA, bounds)
+    days = (bounds[0][:10], bounds[1][:10]) if bounds else None
+    names = partition_dirs(spark, root, "manifest", "blob_day", days)
+    if not names:
+        return empty_frame(spark, MANIFEST_SCHEMA)
+    rows = _read_partitions(spark, root, "manifest", MANIFEST_SCHEMA, names)
+    if bounds:
+        rows = rows.where(F.col("blob_hour").between(*bounds))
     runs = _finished_runs(spark, root) if runs is None else runs
     return rows.join(runs, "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
 
@@ -114,7 +111,12 @@ def read_stored(spark: SparkSession, root: str, bounds: HourBounds | None = None
     run. The second case is rare (data lost, or two syncs at once), so events
     are only joined when it occurs; otherwise nothing is shuffled.
     """
-    rows = _read_hours(spark, root, "events", EVENT_TABLE_SCHEMA, bounds, "parquet_path")
+    names = partition_dirs(spark, root, "events", "blob_hour", bounds)
+    if not names:
+        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
+    rows = _read_partitions(spark, root, "events", EVENT_TABLE_SCHEMA, names).withColumn(
+        "parquet_path", F.col("_metadata.file_path")
+    )
     runs = _finished_runs(spark, root)
     visible = rows.join(runs, "run_id", "left_semi")
     replaced = superseded(read_manifest(spark, root, bounds, runs))
