@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted shapes. A bare number never matches, so a JSON number
-# in a time field is refused without looking at its JSON type.
-_EXTENDED = (
-    r"^(\d{4}-\d{2}-\d{2})"
-    r"(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:[.,](\d+))?)?)?"
-    r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$"
-)
-_BASIC = (
-    r"^(\d{4})(\d{2})(\d{2})"
-    r"[T ](\d{2})(?:(\d{2})(?:(\d{2})(?:[.,](\d+))?)?)?"
-    r"(Z|[+-]\d{2}(?::?\d{2})?)?$"
+# Accepted shapes, extended or basic. A bare number never matches,
+# so a JSON number in a time field is refused without looking at its JSON type.
+_ISO = (
+    r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?"
+    r"|\d{8}[T ]\d{2}(\d{2}(\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)$"
 )
 # The shape almost every producer writes; taken as is.
 _COMMON = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
+# Rewrites that bring any accepted shape to the common one, in this order.
+_REWRITES = (
+    (r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3"),
+    (r"^(.{10})$", "$1T00:00:00"),
+    (r"^(.{10}[T ]\d{2})(\d{2})", "$1:$2"),
+    (r"^(.{10}[T ]\d{2}:\d{2})(\d{2})", "$1:$2"),
+    (r"^(.{10}[T ]\d{2})(Z|[+-].*)?$", "$1:00$2"),
+    (r"^(.{10}[T ]\d{2}:\d{2})(Z|[+-].*)?$", "$1:00$2"),
+    (r"^(.{19})[.,](\d{1,6})\d*", "$1.$2"),
+    (r"^(.{19}[.\d]*[+-]\d{2})$", "$1:00"),
+    (r"^(.{19}[.\d]*[+-]\d{2})(\d{2})$", "$1:$2"),
+    (r"^(.{19}(\.\d+)?)$", "$1Z"),
+)
 _HAS_OFFSET = r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"
 _BLANKS = " \t\r\n\x0b\x0c"
 
@@ -31,35 +38,6 @@ def has_offset(value: Column) -> Column:
     return strip(value).rlike(_HAS_OFFSET)
 
 
-def _or(value: Column, default: str) -> Column:
-    return F.when(value == "", F.lit(default)).otherwise(value)
-
-
-def _assemble(day: Column, text: Column, pattern: str, first: int) -> Column:
-    def part(i: int) -> Column:
-        return F.regexp_extract(text, pattern, first + i)
-
-    zone = part(4)
-    digits = F.regexp_replace(zone, ":", "")
-    offset = (
-        F.when(zone.isin("", "Z"), F.lit("Z"))
-        .when(F.length(digits) == 3, F.concat(digits, F.lit(":00")))
-        .otherwise(F.concat(F.substring(digits, 1, 3), F.lit(":"), F.substring(digits, 4, 2)))
-    )
-    return F.concat(
-        day,
-        F.lit("T"),
-        _or(part(0), "00"),
-        F.lit(":"),
-        _or(part(1), "00"),
-        F.lit(":"),
-        _or(part(2), "00"),
-        F.lit("."),
-        F.rpad(F.substring(part(3), 1, 6), 6, "0"),
-        offset,
-    )
-
-
 def iso_to_instant(value: Column) -> Column:
     """Instant of an ISO text; no offset means UTC; NULL when it is not ISO.
 
@@ -67,18 +45,13 @@ def iso_to_instant(value: Column) -> Column:
     Spark's own parser sees the text.
     """
     text = strip(value)
-    extended = _assemble(F.regexp_extract(text, _EXTENDED, 1), text, _EXTENDED, 2)
-    basic_day = F.concat_ws("-", *[F.regexp_extract(text, _BASIC, i) for i in (1, 2, 3)])
-    basic = _assemble(basic_day, text, _BASIC, 4)
-    canonical = (
-        F.when(text.rlike(_COMMON), text)
-        .when(text.rlike(_EXTENDED), extended)
-        .when(text.rlike(_BASIC), basic)
-    )
+    rewritten = text
+    for pattern, replacement in _REWRITES:
+        rewritten = F.regexp_replace(rewritten, pattern, replacement)
+    canonical = F.when(text.rlike(_COMMON), text).when(text.rlike(_ISO), rewritten)
     return F.try_to_timestamp(canonical).cast("timestamp")
 
 
 def local_iso_to_instant(value: Column, zone: Column) -> Column:
     """As above, but a text without offset is wall-clock time in `zone`."""
-    instant = iso_to_instant(value)
-    return F.when(has_offset(value), instant).otherwise(F.to_utc_timestamp(instant, zone))
+    return F.to_utc_timestamp(iso_to_instant(value), F.when(has_offset(value), "UTC").otherwise(zone))

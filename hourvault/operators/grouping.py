@@ -19,7 +19,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,17 +78,24 @@ def apply_summary(carry: int | None, summary: dict) -> tuple[int, int]:
     return int(summary["carries"][step]), int(summary["groups"][step])
 
 
-def number_block(sizes: np.ndarray, target: int, carry: int | None, started: int) -> np.ndarray:
-    """Group numbers of a block's files given its entry state."""
+def number_files(sizes: np.ndarray, target: int, carry: int | None, started: int) -> tuple[np.ndarray, int, int]:
+    """Group numbers of consecutive files, and the state after the last one."""
     totals = np.cumsum(sizes, dtype=np.int64)
     count = len(totals)
     following = _next_starts(totals, target)
     opens = np.zeros(count, dtype=np.int64)
     at = 0 if carry is None else int(np.searchsorted(totals, target - carry, side="right"))
+    latest = -1
     while at < count:
         opens[at] = 1
+        latest = at
         at = int(following[at])
-    return started - 1 + np.cumsum(opens)
+    numbers = started - 1 + np.cumsum(opens)
+    if latest < 0:
+        left = carry + int(totals[-1])
+    else:
+        left = int(totals[-1]) - (int(totals[latest - 1]) if latest else 0)
+    return numbers, left, int(numbers[-1]) + 1
 
 
 _SUMMARY = (
@@ -108,7 +114,18 @@ _SUMMARY_ARROW = pa.schema(
 )
 
 
+def _runs(batch: pa.RecordBatch, key: str) -> Iterator[tuple[str, int, int]]:
+    """Stretches (key, start, end) of equal keys in a sorted batch."""
+    keys = batch.column(key).dictionary_encode()
+    codes = keys.indices.to_numpy()
+    edges = np.flatnonzero(np.diff(codes)) + 1
+    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(codes)]):
+        yield keys.dictionary[int(codes[start])].as_py(), start, end
+
+
 def _summaries(target: int):
+    """One summary per stretch of a key in a partition, that is per (key, block)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: tuple[str, int] | None = None
         parts: list[np.ndarray] = []
@@ -120,17 +137,15 @@ def _summaries(target: int):
             )
 
         for batch in batches:
-            keys = batch.column("key").dictionary_encode()
-            codes = keys.indices.to_numpy()
+            if not batch.num_rows:
+                continue
             sizes = batch.column("size").to_numpy()
             block = batch.column("block_no")[0].as_py()
-            edges = np.flatnonzero(np.diff(codes)) + 1
-            for start, end in zip([0, *edges], [*edges, len(codes)]):
-                found = (keys.dictionary[int(codes[start])].as_py(), block)
-                if found != current:
+            for key, start, end in _runs(batch, "key"):
+                if (key, block) != current:
                     if parts:
                         yield close()
-                    current, parts = found, []
+                    current, parts = (key, block), []
                 parts.append(sizes[start:end])
         if parts:
             yield close()
@@ -138,6 +153,29 @@ def _summaries(target: int):
     return run
 
 
+def _numbered(target: int, size: str):
+    """Number files sorted by (key, block, order), from each block's entry state."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, carry, started = None, None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(size).cast(pa.int64()).to_numpy()
+            numbers = []
+            for stretch, start, end in _runs(batch, "_stretch"):
+                if stretch != current:
+                    current = stretch
+                    carry = batch.column("carry")[start].as_py()
+                    started = batch.column("started")[start].as_py()
+                found, carry, started = number_files(sizes[start:end], target, carry, started)
+                numbers.append(found)
+            kept = batch.drop_columns(["carry", "started", "block_no", "_stretch"])
+            yield kept.append_column("group_no", pa.array(np.concatenate(numbers), pa.int64()))
+
+    return run
+
+
 def _entry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the summaries of each hour in block order."""
     schema = pa.schema(
@@ -193,24 +231,16 @@ def assign_groups(
         .mapInArrow(_entry_states, "key string, block_no int, carry bigint, started bigint")
         .select(F.col("key").alias("_key"), F.col("block_no").alias("_block"), "carry", "started")
     )
-    located = ordered.join(
-        states,
-        (F.col(key).cast("string") == F.col("_key")) & (F.col("block_no") == F.col("_block")),
-    ).drop("_key", "_block")
-
-    def number(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        carry = part["carry"].iloc[0]
-        part["group_no"] = number_block(
-            part[size].to_numpy(dtype=np.int64),
-            target_size,
-            None if pd.isna(carry) else int(carry),
-            int(part["started"].iloc[0]),
-        )
-        return part.drop(columns=["carry", "started", "block_no"])
-
+    names = files.columns
+    text_key = F.col(key).cast("string")
+    located = (
+        ordered.join(states, (text_key == F.col("_key")) & (F.col("block_no") == F.col("_block")))
+        .select(*names, "block_no", "carry", "started", F.concat_ws("#", text_key, "block_no").alias("_stretch"))
+        .repartition(key, "block_no")
+        .sortWithinPartitions(key, "block_no", order)
+    )
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return located.groupBy(key, "block_no").applyInPandas(number, f"{out}, group_no bigint")
+    return located.mapInArrow(_numbered(target_size, size), f"{out}, group_no bigint")
 
 
 def group_totals(assigned: DataFrame, key: str = "blob_hour", size: str = "size") -> DataFrame:

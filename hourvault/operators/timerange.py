@@ -55,9 +55,10 @@ def resolve_ranges(searches: DataFrame) -> DataFrame:
     expr, tz = F.col("expr"), F.col("tz")
     now = F.col("now").cast("timestamp")
     text = F.lower(strip(expr))
-    for alias, canonical in _ALIASES.items():
-        text = F.when(text == alias, canonical).otherwise(text)
-    staged = searches.withColumn("_expr", text).withColumn("_wall", F.from_utc_timestamp(now, tz))
+    canonical = F.create_map(*[F.lit(t) for pair in _ALIASES.items() for t in pair])
+    staged = searches.withColumn("_expr", F.coalesce(canonical[text], text)).withColumn(
+        "_wall", F.from_utc_timestamp(now, tz)
+    )
 
     shortcut, wall = F.col("_expr"), F.col("_wall")
     is_last = shortcut.rlike(_LAST)

@@ -71,14 +71,14 @@ def run_saved_searches(
     """
     check_limit(limit, max_limit)
     present = [f for f in _KEY_ORDER if f in searches.columns]
-    ranged = searches.where(F.col("from_utc") < F.col("to_utc")).select(
+    ranged = searches.select(
         "search_id",
         F.col("from_utc").alias("s_from"),
         F.col("to_utc").alias("s_to"),
         *[F.col(f).alias(f"s_{f}") for f in present],
     )
     # Read three times below; also keeps the range arithmetic out of the join.
-    keyed = pin(ranged.withColumn("_key", _search_key(present)))
+    keyed = pin(ranged.withColumn("_key", _search_key(present))).where(F.col("s_from") < F.col("s_to"))
     used = sorted(r["field"] for r in keyed.select("_key.field").distinct().collect())
     by_hour = (
         hours_of_ranges(keyed, "s_from", "s_to")

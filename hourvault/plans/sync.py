@@ -26,6 +26,9 @@ from hourvault.sources.storage import child_names, join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
 MAX_WRITE_TASKS = 100_000
+# Tasks move their files into place themselves instead of leaving all renames to
+# the driver. The files become visible only through the commit row anyway.
+_PARALLEL_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def data_files(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
@@ -59,7 +62,7 @@ def _write_events(
         events.withColumn("run_id", F.lit(run_id))
         .select(*EVENT_TABLE_SCHEMA.names)
         .write.mode("append")
-        .option("compression", "zstd")
+        .options(compression="zstd", **_PARALLEL_COMMIT)
         .partitionBy("blob_hour", "run_id", "group_no")
         .parquet(join_path(root, "events"))
     )
@@ -165,7 +168,7 @@ def materialize(
             max(1, min(totals["days"] * parts, 1000)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
         )
         .write.mode("append")
-        .option("compression", "zstd")
+        .options(compression="zstd", **_PARALLEL_COMMIT)
         .partitionBy("blob_day")
         .parquet(join_path(root, "manifest"))
     )
