@@ -51,10 +51,15 @@ def split_lines(chunks: DataFrame) -> DataFrame:
     returns at the end are trimmed.
     """
     kept = [c for c in chunks.columns if c not in ("first_line", "content")]
+    text = F.col("content").cast("string")
+    # Splitting decodes the text and would repair invalid UTF-8 unseen. Such a
+    # chunk is split byte by byte instead, so only its broken lines are refused.
+    as_bytes = F.split(F.decode(F.col("content").cast("binary"), "ISO-8859-1"), "\n")
+    exact = F.transform(as_bytes, lambda x: F.encode(x, "ISO-8859-1").cast("string"))
     pieces = chunks.select(
         *kept,
         "first_line",
-        F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("_pos", "_line"),
+        F.posexplode(F.when(F.is_valid_utf8(text), F.split(text, "\n")).otherwise(exact)).alias("_pos", "_line"),
     )
     return pieces.where(strip(F.col("_line")) != "").select(
         *kept,
@@ -140,7 +145,9 @@ def to_events(chunks: DataFrame, empty_as_missing: bool = False) -> DataFrame:
         "blob_partition",
         F.col("file_name").alias("blob_name"),
         "source_line",
-        "raw_json",
+        F.when(F.col("bad_reason").isNull(), F.col("raw_json"))
+        .otherwise(F.make_valid_utf8("raw_json"))
+        .alias("raw_json"),
         "blob_path",
         "bad_reason",
         *extra,

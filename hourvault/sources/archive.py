@@ -107,7 +107,7 @@ def list_archive(hours: DataFrame, container: str, folder: str = "") -> DataFram
     )
 
 
-def _count_breaks(container: str, split_schema: pa.Schema):
+def _count_breaks(container: str, split_schema: pa.Schema, chunk_bytes: int):
     """Per byte range: its line breaks, and whether the byte before it is one."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,8 +120,8 @@ def _count_breaks(container: str, split_schema: pa.Schema):
                         row["start"] == 0 or source.read_at(1, row["start"] - 1) == b"\n"
                     )
                     row["breaks"] = sum(
-                        source.read_at(min(CHUNK_BYTES, row["end"] - at), at).count(b"\n")
-                        for at in range(row["start"], row["end"], CHUNK_BYTES)
+                        source.read_at(min(chunk_bytes, row["end"] - at), at).count(b"\n")
+                        for at in range(row["start"], row["end"], chunk_bytes)
                     )
             yield pa.RecordBatch.from_pylist(rows, schema=split_schema)
 
@@ -162,7 +162,7 @@ def byte_ranges(files: DataFrame, container: str, split_bytes: int = SPLIT_BYTES
         cut.select("blob_path", "start", "end")
         .repartition(tasks, "blob_path", "start")
         .mapInArrow(
-            _count_breaks(container, counted_schema),
+            _count_breaks(container, counted_schema, CHUNK_BYTES),
             "blob_path string, start bigint, end bigint, after_break boolean, breaks bigint",
         )
     )
@@ -178,7 +178,9 @@ def byte_ranges(files: DataFrame, container: str, split_bytes: int = SPLIT_BYTES
     return small.unionByName(cut.join(numbered, ["blob_path", "start"]))
 
 
-def _line_chunks(source, start: int, end: int, first_line: int) -> Iterator[tuple[int, bytes]]:
+def _line_chunks(
+    source, start: int, end: int, first_line: int, chunk_bytes: int
+) -> Iterator[tuple[int, bytes]]:
     """Whole-line chunks of the lines that begin in `[start, end)`."""
     size = source.size()
     at = start
@@ -186,14 +188,14 @@ def _line_chunks(source, start: int, end: int, first_line: int) -> Iterator[tupl
         # A line that begins before the range belongs to the range before it.
         at = start - 1
         while at < size:
-            block = source.read_at(min(CHUNK_BYTES, size - at), at)
+            block = source.read_at(min(chunk_bytes, size - at), at)
             cut = block.find(b"\n")
             if cut >= 0:
                 at += cut + 1
                 break
             at += len(block)
     while at < min(end, size):
-        block = source.read_at(min(CHUNK_BYTES, size - at), at)
+        block = source.read_at(min(chunk_bytes, size - at), at)
         if at + len(block) > end:
             cut = block.find(b"\n", max(end - at - 1, 0))
         elif at + len(block) == size:
@@ -205,7 +207,7 @@ def _line_chunks(source, start: int, end: int, first_line: int) -> Iterator[tupl
             pieces = [block]
             rest = at + len(block)
             while rest < size:
-                more = source.read_at(min(CHUNK_BYTES, size - rest), rest)
+                more = source.read_at(min(chunk_bytes, size - rest), rest)
                 stop = more.find(b"\n")
                 pieces.append(more if stop < 0 else more[: stop + 1])
                 rest += len(pieces[-1])
@@ -219,7 +221,9 @@ def _line_chunks(source, start: int, end: int, first_line: int) -> Iterator[tupl
         at += len(block)
 
 
-def read_ranges(ranges: DataFrame, container: str, keep: list[str]) -> DataFrame:
+def read_ranges(
+    ranges: DataFrame, container: str, keep: list[str], chunk_bytes: int = CHUNK_BYTES
+) -> DataFrame:
     """Text of the ranges as rows of whole lines (`first_line`, `content`).
 
     `keep` names columns passed through. Files are fetched a few at a time per
@@ -252,8 +256,8 @@ def read_ranges(ranges: DataFrame, container: str, keep: list[str]) -> DataFrame
                 pending = 0
                 for row in batch.to_pylist():
                     span = row["end"] - row["start"]
-                    if row["start"] == 0 and row["end"] == row["size"] and span <= CHUNK_BYTES:
-                        if pending + span > CHUNK_BYTES:
+                    if row["start"] == 0 and row["end"] == row["size"] and span <= chunk_bytes:
+                        if pending + span > chunk_bytes:
                             yield to_batch(list(pool.map(whole, small)))
                             small, pending = [], 0
                         small.append(row)
@@ -261,7 +265,7 @@ def read_ranges(ranges: DataFrame, container: str, keep: list[str]) -> DataFrame
                     else:
                         with open_source(row) as source:
                             for first_line, content in _line_chunks(
-                                source, row["start"], row["end"], row["first_line"]
+                                source, row["start"], row["end"], row["first_line"], chunk_bytes
                             ):
                                 yield to_batch([{**row, "first_line": first_line, "content": content}])
                 if small:
