@@ -25,6 +25,9 @@ from hourvault.sources.cache import HourBounds, manifest_current, partition_dirs
 from hourvault.sources.storage import child_names, join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
+# Work of one read-parse-write task.
+TASK_BYTES = 64 * 1024 * 1024
+TASK_FILES = 2_000
 MAX_WRITE_TASKS = 100_000
 # Tasks move their files into place themselves instead of leaving all renames to
 # the driver. The files become visible only through the commit row anyway.
@@ -124,7 +127,7 @@ def materialize(
     run_id = uuid.uuid4().hex
     assigned = pin(assign_groups(missing, target_bytes, count=totals["files"]))
     # Enough tasks for the bytes and, as small files cost latency, for the files.
-    work = 2 * totals["bytes"] // min(target_bytes, split_bytes) + totals["files"] // 1000
+    work = totals["bytes"] // TASK_BYTES + totals["files"] // TASK_FILES
     tasks = int(min(MAX_WRITE_TASKS, max(3 * spark.sparkContext.defaultParallelism, work)))
     _write_events(
         assigned.where(F.col("size") > 0), container, root, run_id, tasks, split_bytes, empty_as_missing
