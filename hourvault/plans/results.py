@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from hourvault.functions.hours import hour_bounds
 from hourvault.operators import lookup
-from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, check_limit, search
+from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, check_limit, instant_literal, search
 from hourvault.plans.sync import sync
 from hourvault.schema import EVENT_TABLE_SCHEMA, RESULT_SCHEMA
 from hourvault.session import pin
@@ -48,8 +48,8 @@ def replace_results(spark: SparkSession, root: str, results: DataFrame) -> None:
     lookup.unique_results(results).select(*RESULT_SCHEMA.names).write.option("compression", "zstd").parquet(
         join_path(data, f"version={version}")
     )
-    stamp = datetime.now(timezone.utc)
-    marker = spark.createDataFrame([(version, stamp)], _VERSION_SCHEMA).coalesce(1)
+    stamp = instant_literal(datetime.now(timezone.utc), T.TimestampType())
+    marker = spark.range(1).select(F.lit(version).alias("version"), stamp.alias("stored_at")).coalesce(1)
     marker.write.mode("append").parquet(join_path(root, "results", "versions"))
     # The replaced set is kept for readers that opened it; older ones go.
     for name in child_names(spark, join_path(data, "version=*")):

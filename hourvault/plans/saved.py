@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from hourvault.functions.hours import hour_of, hours_of_ranges
 from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, SUMMARY_COLUMNS, check_limit, newest_first
 from hourvault.schema import FILTER_FIELDS
-from hourvault.session import BROADCAST_ROWS, broadcast_if_small, pin
+from hourvault.session import broadcast_if_small, pin
 
 # The field that keys the join is the first of these a search sets, the most
 # selective first.
 _KEY_ORDER = ("event_id", "user_id", "organization_id", "event_name", "application", "category")
 _SALTS = 32
+# Rows of at most some 100 bytes: a search's range, filters, hour and key.
+SEARCH_ROWS = 500_000
 
 
 def _search_key(fields: list[str]) -> Column:
@@ -53,32 +55,72 @@ def top_per_search(matches: DataFrame, order: list[Column], max_limit: int, limi
     return ranked.where((F.col("rank") <= max_limit) & (F.col("rank") <= limit))
 
 
+def _reachable(by_hour: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
+    """Drop hours that cannot reach a search's newest `limit` rows.
+
+    `stats` has rows, first and last event time per (hour, key). Hours that lie
+    wholly in a search's range and hold `limit` rows between them set a floor:
+    nothing older can be among the newest. Only searches without a second
+    filter can rely on the counts; others just lose the hours without events.
+    """
+    known = by_hour.join(
+        stats.select(
+            F.col("e_hour").alias("s_hour"),
+            F.col("e_field").alias("s_field"),
+            F.col("e_value").alias("s_value"),
+            "rows",
+            "first",
+            "last",
+        ),
+        ["s_hour", "s_field", "s_value"],
+    )
+    whole = (F.col("first") >= F.col("s_from")) & (F.col("last") < F.col("s_to")) & F.col("s_single")
+    counted = F.sum(F.when(whole, F.col("rows")).otherwise(0)).over(
+        Window.partitionBy("search_id").orderBy(F.desc("first"))
+    )
+    enough = F.max(F.when(whole & (F.col("_sum") >= limit), F.col("first"))).over(
+        Window.partitionBy("search_id")
+    )
+    floored = known.withColumn("_sum", counted).withColumn("_floor", enough)
+    return (
+        floored.where(F.col("_floor").isNull() | (F.col("last") >= F.col("_floor")))
+        .withColumn("s_from", F.greatest("s_from", "_floor"))
+        .drop("rows", "first", "last", "_sum", "_floor", "s_single")
+    )
+
+
 def run_saved_searches(
     events: DataFrame,
     searches: DataFrame,
     *,
     limit: int = DEFAULT_LIMIT,
     max_limit: int = MAX_LIMIT,
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_rows: int = SEARCH_ROWS,
 ) -> DataFrame:
     """Newest events of every search: `search_id`, result columns, `rank`.
 
     `searches` has `search_id`, `from_utc`, `to_utc` and any of the filter
     fields (NULL means not set); rows without a range are ignored. Searches meet
-    events on (hour, most selective filter), never as all pairs of an hour. The
-    search side is broadcast if it has at most `broadcast_rows` rows; otherwise
-    the join is shuffled with the event side salted, so a crowded hour is spread.
+    events on (hour, most selective filter), never as all pairs of an hour, and
+    a first pass of counts per (hour, filter) rules out hours too old for the
+    limit. The search side is broadcast if it has at most `broadcast_rows` rows;
+    otherwise the join is shuffled with the event side salted, so a crowded hour
+    is spread.
     """
     check_limit(limit, max_limit)
     present = [f for f in _KEY_ORDER if f in searches.columns]
-    ranged = searches.select(
-        "search_id",
-        F.col("from_utc").alias("s_from"),
-        F.col("to_utc").alias("s_to"),
-        *[F.col(f).alias(f"s_{f}") for f in present],
-    )
-    # Read three times below; also keeps the range arithmetic out of the join.
-    keyed = pin(ranged.withColumn("_key", _search_key(present))).where(F.col("s_from") < F.col("s_to"))
+    filters_set = sum((F.col(f"s_{f}").isNotNull().cast("int") for f in present), F.lit(0))
+    # Read several times below; also keeps the range arithmetic out of the join.
+    keyed = pin(
+        searches.select(
+            "search_id",
+            F.col("from_utc").alias("s_from"),
+            F.col("to_utc").alias("s_to"),
+            *[F.col(f).alias(f"s_{f}") for f in present],
+        )
+        .withColumn("_key", _search_key(present))
+        .withColumn("s_single", filters_set <= 1)
+    ).where(F.col("s_from") < F.col("s_to"))
     used = sorted(r["field"] for r in keyed.select("_key.field").distinct().collect())
     by_hour = (
         hours_of_ranges(keyed, "s_from", "s_to")
@@ -87,27 +129,34 @@ def run_saved_searches(
         .select("*", F.col("_key.field").alias("s_field"), F.col("_key.value").alias("s_value"))
         .drop("_key")
     )
-    by_hour, is_small = broadcast_if_small(by_hour, broadcast_rows)
 
     extra = [c for c in ("parquet_path", "blob_path") if c in events.columns]
     hour = F.col("blob_hour") if "blob_hour" in events.columns else hour_of(F.col("timestamp"))
-    columns = dict.fromkeys([*SUMMARY_COLUMNS, *present, *extra])
-    asked = (
+    columns = list(dict.fromkeys([*SUMMARY_COLUMNS, *present, *extra]))
+    # Without any search every event has just the empty key.
+    offered = (
         events.where(F.col("event_id").isNotNull() & F.col("timestamp").isNotNull())
         .select(*columns, hour.alias("e_hour"))
+        .select("*", F.explode(_event_keys(used or [""])).alias("_key"))
+        .select(*columns, "e_hour", F.col("_key.field").alias("e_field"), F.col("_key.value").alias("e_value"))
     )
-    # Without a keyed search every event has just the empty key.
-    offered = asked.select("*", F.explode(_event_keys(used or [""])).alias("_key")).select(
-        *columns, "e_hour", F.col("_key.field").alias("e_field"), F.col("_key.value").alias("e_value")
-    )
-    on = (
+    same_key = (
         (F.col("e_hour") == F.col("s_hour"))
         & (F.col("e_field") == F.col("s_field"))
         & (F.col("e_value") == F.col("s_value"))
     )
+
+    asked, few = broadcast_if_small(pin(by_hour.select("s_hour", "s_field", "s_value").distinct()), broadcast_rows)
+    wanted = offered.join(asked, same_key, "left_semi") if few else offered
+    stats = wanted.groupBy("e_hour", "e_field", "e_value").agg(
+        F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    )
+    reachable, is_small = broadcast_if_small(pin(_reachable(by_hour, stats, limit)), broadcast_rows)
+
+    on = same_key
     if not is_small:
-        offered = offered.withColumn("e_salt", F.pmod(F.xxhash64("event_id"), F.lit(_SALTS)))
-        by_hour = by_hour.withColumn(
+        offered = offered.withColumn("e_salt", F.pmod(F.xxhash64("event_id", "source_line"), F.lit(_SALTS)))
+        reachable = reachable.withColumn(
             "s_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
         )
         on = on & (F.col("e_salt") == F.col("s_salt"))
@@ -115,7 +164,7 @@ def run_saved_searches(
     on = on & (instant >= F.col("s_from")) & (instant < F.col("s_to"))
     for name in present:
         on = on & (F.col(f"s_{name}").isNull() | (F.col(name) == F.col(f"s_{name}")))
-    matches = offered.join(by_hour, on).select("search_id", *SUMMARY_COLUMNS, *extra)
+    matches = offered.join(reachable, on).select("search_id", *SUMMARY_COLUMNS, *extra)
     return top_per_search(matches, newest_first(matches.columns), limit, limit)
 
 

@@ -13,16 +13,18 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourvault.functions.hours import hour_bounds, hours_frame
 from hourvault.operators import cached
 from hourvault.operators.grouping import assign_groups
-from hourvault.operators.ingest import raise_on_malformed, to_events
+from hourvault.operators.ingest import MalformedLineError, to_events
+from hourvault.operators.search import instant_literal
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, LISTING_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import pin
 from hourvault.sources import archive
 from hourvault.sources.cache import HourBounds, manifest_current, partition_dirs, read_manifest
-from hourvault.sources.storage import child_names, join_path, remove
+from hourvault.sources.storage import exists, join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
 # Work of one read-parse-write task.
@@ -71,20 +73,21 @@ def _write_events(
     )
 
 
-def _read_run(spark: SparkSession, root: str, run_id: str) -> DataFrame | None:
-    pattern = join_path(root, "events", "blob_hour=*", f"run_id={run_id}")
-    if not child_names(spark, pattern):
-        return None
-    return (
-        spark.read.schema(EVENT_TABLE_SCHEMA)
-        .option("basePath", join_path(root, "events"))
-        .parquet(pattern)
-    )
+def _run_dirs(spark: SparkSession, root: str, run_id: str, bounds: HourBounds) -> list[str]:
+    hours = partition_dirs(spark, root, "events", "blob_hour", bounds)
+    paths = [join_path(root, "events", hour, f"run_id={run_id}") for hour in hours]
+    return [path for path in paths if exists(spark, path)]
 
 
-def _drop_run(spark: SparkSession, root: str, run_id: str) -> None:
-    for hour in child_names(spark, join_path(root, "events", "blob_hour=*")):
-        remove(spark, join_path(root, "events", hour, f"run_id={run_id}"))
+def _files_read(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+    """Per file of a run that has lines: its events and its first refused line."""
+    if not dirs:
+        return spark.createDataFrame([], "blob_path string, events_count bigint, first_bad bigint")
+    rows = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", join_path(root, "events")).parquet(*dirs)
+    refused = F.col("bad_reason").isNotNull()
+    return rows.groupBy("blob_path").agg(
+        F.count_if(~refused).alias("events_count"), F.min(F.when(refused, F.col("source_line"))).alias("first_bad")
+    )
 
 
 def materialize(
@@ -117,6 +120,8 @@ def materialize(
         F.count("*").alias("files"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
         F.countDistinct(F.substring("blob_hour", 1, 10)).alias("days"),
+        F.min("blob_hour").alias("first"),
+        F.max("blob_hour").alias("last"),
         F.count_if(F.col("blob_partition") == "").alias("outside"),
     ).head()
     if totals["files"] == 0:
@@ -133,24 +138,16 @@ def materialize(
         assigned.where(F.col("size") > 0), container, root, run_id, tasks, split_bytes, empty_as_missing
     )
 
-    written = _read_run(spark, root, run_id)
-    if written is not None and mode == "failfast":
-        try:
-            raise_on_malformed(written)
-        except ValueError:
-            _drop_run(spark, root, run_id)
-            raise
-    stamp = now or datetime.now(timezone.utc)
-    rows = assigned
-    if written is not None:
-        counts = (
-            written.where(F.col("bad_reason").isNull())
-            .groupBy("blob_path")
-            .agg(F.count("*").alias("events_count"))
-        )
-        rows = assigned.join(counts, "blob_path", "left")
-    else:
-        rows = assigned.withColumn("events_count", F.lit(None).cast("bigint"))
+    dirs = _run_dirs(spark, root, run_id, (totals["first"], totals["last"]))
+    read = pin(_files_read(spark, root, dirs))
+    if mode == "failfast":
+        first = read.where(F.col("first_bad").isNotNull()).orderBy("blob_path").select("blob_path", "first_bad").head()
+        if first is not None:
+            for path in dirs:
+                remove(spark, path)
+            raise MalformedLineError(f"Failed to parse {first['blob_path']} at line {first['first_bad']}")
+    stamp = instant_literal(now or datetime.now(timezone.utc), T.TimestampType())
+    rows = assigned.join(read, "blob_path", "left")
     manifest = rows.select(
         "blob_path",
         "file_name",
@@ -159,7 +156,7 @@ def materialize(
         "group_no",
         "size",
         F.coalesce("events_count", F.lit(0).cast("bigint")).alias("events_count"),
-        F.lit(stamp).cast("timestamp").alias("materialized_at"),
+        stamp.alias("materialized_at"),
         "blob_hour",
         F.substring("blob_hour", 1, 10).alias("blob_day"),
     )
