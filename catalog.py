@@ -501,6 +501,7 @@ _LOG = """log AS (SELECT 'file-' || l_orderkey AS blob_path, 'file-' || l_orderk
   strftime(o_orderdate, '%Y/%m/%d/%H') AS blob_partition,
   'run-' || l_suppkey || '-' || l_linenumber AS run_id, CAST(l_partkey % 50 AS BIGINT) AS group_no,
   CAST(l_extendedprice AS BIGINT) AS size, CAST(l_quantity AS BIGINT) AS events_count,
+  CAST(l_quantity AS BIGINT) - 1 AS searchable_count, l_shipdate AS first_event, l_shipdate AS last_event,
   l_shipdate AS materialized_at, strftime(o_orderdate, '%Y-%m-%d-%H') AS blob_hour,
   strftime(o_orderdate, '%Y-%m-%d') AS blob_day
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -525,6 +526,9 @@ def _log(spark, sf_dir):
         (F.col("l_partkey") % 50).alias("group_no"),
         F.rint("l_extendedprice").cast("bigint").alias("size"),
         F.rint("l_quantity").cast("bigint").alias("events_count"),
+        (F.rint("l_quantity").cast("bigint") - 1).alias("searchable_count"),
+        F.col("l_shipdate").cast("timestamp").alias("first_event"),
+        F.col("l_shipdate").cast("timestamp").alias("last_event"),
         F.col("l_shipdate").cast("timestamp").alias("materialized_at"),
         F.date_format(day, "yyyy-MM-dd-HH").alias("blob_hour"),
         F.date_format(day, "yyyy-MM-dd").alias("blob_day"),
@@ -555,7 +559,7 @@ def _missing(spark, sf_dir):
 
 @query(
     f"""WITH {_LOG} SELECT blob_path, file_name, blob_partition, run_id, group_no, size, events_count,
-  materialized_at, blob_hour, blob_day FROM cur"""
+  searchable_count, first_event, last_event, materialized_at, blob_hour, blob_day FROM cur"""
 )
 def manifest_current(spark, sf_dir):
     return cache.manifest_current(_log(spark, sf_dir))
@@ -621,7 +625,8 @@ def synced_events(spark, sf_dir):
 
 @query(
     f"""WITH {FILED} SELECT blob_path, blob_name AS file_name, blob_partition, CAST(0 AS BIGINT) AS group_no,
-  CAST(sum(length(raw_json) + 1) AS BIGINT) AS size, count(*) AS events_count, blob_hour FROM filed GROUP BY ALL"""
+  CAST(sum(length(raw_json) + 1) AS BIGINT) AS size, count(*) AS events_count, count(*) AS searchable_count,
+  min("timestamp") AS first_event, max("timestamp") AS last_event, blob_hour FROM filed GROUP BY ALL"""
 )
 def synced_manifest(spark, sf_dir):
     current = cache.manifest_current(cache.read_manifest(spark, w.cache(spark, sf_dir)))
@@ -650,6 +655,13 @@ def cache_status(spark, sf_dir):
     return status.cache_status(spark, w.cache(spark, sf_dir)).select("blobs_count", "events_count")
 
 
+@query(f'WITH {FILED} SELECT event_id, blob_path, file_line AS source_line FROM filed ORDER BY "timestamp" DESC, event_id LIMIT 100')
+def search_newest(spark, sf_dir):
+    """No filter over all hours: the manifest rules out all but the last ones."""
+    found = results.search_and_store(spark, w.cache(spark, sf_dir), *w.time_span(spark, sf_dir))
+    return found.select("event_id", "blob_path", "source_line")
+
+
 _LAST_SQL = f"""WITH {FILED}, found AS (SELECT *, file_line AS source_line FROM filed
   WHERE {MONTH_SQL} AND category = 'account' ORDER BY "timestamp" DESC, event_id LIMIT 1000)"""
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -106,3 +106,38 @@ def with_locator(results: DataFrame) -> DataFrame:
     """Where each event is stored, as one struct column."""
     kept = [c for c in results.columns if c not in _LOCATOR]
     return results.select(*kept, F.struct(*[c for c in _LOCATOR if c in results.columns]).alias("locator"))
+
+
+def newest_hours(
+    manifest: DataFrame, from_utc: datetime, to_utc: datetime, limit: int
+) -> tuple[datetime, list[str]] | None:
+    """A time floor for a search without filters, and the hours that reach it.
+
+    From the manifest alone: hours whose searchable events all lie in the range
+    are added up from the newest on; once they hold `limit` events, nothing
+    older than their earliest event can be among the newest `limit`. None when
+    the range holds too few. One row per hour reaches the driver.
+    """
+    hours = (
+        manifest.where(F.col("searchable_count") > 0)
+        .groupBy("blob_hour")
+        .agg(
+            F.sum("searchable_count").alias("rows"),
+            F.min(F.unix_micros("first_event")).alias("first"),
+            F.max(F.unix_micros("last_event")).alias("last"),
+        )
+        .collect()
+    )
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    tick = timedelta(microseconds=1)
+    start, end = (as_utc(from_utc) - epoch) // tick, (as_utc(to_utc) - epoch) // tick
+    found, floor = 0, None
+    for hour in sorted(hours, key=lambda h: h["first"], reverse=True):
+        if hour["first"] >= start and hour["last"] < end:
+            found += hour["rows"]
+        if found >= limit:
+            floor = hour["first"]
+            break
+    if floor is None:
+        return None
+    return epoch + floor * tick, sorted(h["blob_hour"] for h in hours if h["last"] >= floor)

@@ -12,11 +12,18 @@ from pyspark.sql import types as T
 
 from hourvault.functions.hours import hour_bounds
 from hourvault.operators import lookup
-from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, check_limit, instant_literal, search
+from hourvault.operators.search import (
+    DEFAULT_LIMIT,
+    MAX_LIMIT,
+    check_limit,
+    instant_literal,
+    newest_hours,
+    search,
+)
 from hourvault.plans.sync import sync
 from hourvault.schema import EVENT_TABLE_SCHEMA, RESULT_SCHEMA
 from hourvault.session import pin
-from hourvault.sources.cache import empty_frame, read_events
+from hourvault.sources.cache import empty_frame, manifest_current, read_events, read_manifest
 from hourvault.sources.storage import child_names, exists, join_path, remove
 
 _VERSION_SCHEMA = T.StructType(
@@ -96,9 +103,58 @@ def search_cache(
     )
 
 
-def search_and_store(spark: SparkSession, root: str, *args, **options) -> DataFrame:
+def _newest(
+    spark: SparkSession, root: str, from_utc: datetime, to_utc: datetime, limit: int, lateness_hours: int
+) -> DataFrame | None:
+    """An unfiltered search over only the hours that can matter; None if that is not certain.
+
+    The manifest names a time floor and the hours that reach it. Events outside
+    those hours are older than the floor, so `limit` results from the floor on
+    are the newest ones whatever else the range holds.
+    """
+    bounds = hour_bounds(from_utc, to_utc, lateness_hours)
+    if bounds is None:
+        return None
+    reach = newest_hours(manifest_current(read_manifest(spark, root, bounds)), from_utc, to_utc, limit)
+    if reach is None:
+        return None
+    floor, hours = reach
+    found = pin(
+        search(
+            read_events(spark, root, bounds, hours),
+            from_utc,
+            to_utc,
+            limit=limit,
+            lateness_hours=lateness_hours,
+            max_limit=limit,
+        )
+    )
+    certain = found.where(F.col("timestamp") >= instant_literal(floor, T.TimestampType())).count() == limit
+    return found if certain else None
+
+
+def search_and_store(
+    spark: SparkSession,
+    root: str,
+    from_utc: datetime,
+    to_utc: datetime,
+    filters: Mapping[str, str | None] | None = None,
+    limit: int = DEFAULT_LIMIT,
+    *,
+    lateness_hours: int = 0,
+    max_limit: int = MAX_LIMIT,
+) -> DataFrame:
     """Search, replace the stored result set (also by an empty one), return the results."""
-    found = pin(search_cache(spark, root, *args, **options))
+    check_limit(limit, max_limit)
+    found = None
+    if all(value is None for value in (filters or {}).values()):
+        found = _newest(spark, root, from_utc, to_utc, limit, lateness_hours)
+    if found is None:
+        found = pin(
+            search_cache(
+                spark, root, from_utc, to_utc, filters, limit, lateness_hours=lateness_hours, max_limit=max_limit
+            )
+        )
     replace_results(spark, root, found)
     return found
 
@@ -136,10 +192,10 @@ def lookup_last(spark: SparkSession, root: str, event_ids: list[str] | None = No
     wanted = read_results(spark, root)
     if event_ids is not None:
         wanted = wanted.where(F.col("event_id").isin(event_ids))
-    span = wanted.agg(F.min("blob_hour").alias("first"), F.max("blob_hour").alias("last")).head()
-    if span["first"] is None:
+    hours = sorted(r["blob_hour"] for r in wanted.select("blob_hour").distinct().collect())
+    if not hours:
         return lookup.lookup_results(empty_events(spark), wanted)
-    return lookup.lookup_results(read_events(spark, root, (span["first"], span["last"])), wanted)
+    return lookup.lookup_results(read_events(spark, root, (hours[0], hours[-1]), hours), wanted)
 
 
 def empty_events(spark: SparkSession) -> DataFrame:

@@ -80,13 +80,23 @@ def _run_dirs(spark: SparkSession, root: str, run_id: str, bounds: HourBounds) -
 
 
 def _files_read(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
-    """Per file of a run that has lines: its events and its first refused line."""
+    """Per file of a run that has lines: what its manifest row says, and its first refused line."""
     if not dirs:
-        return spark.createDataFrame([], "blob_path string, events_count bigint, first_bad bigint")
+        return spark.createDataFrame(
+            [],
+            "blob_path string, events_count bigint, searchable_count bigint, "
+            "first_event timestamp, last_event timestamp, first_bad bigint",
+        )
     rows = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", join_path(root, "events")).parquet(*dirs)
     refused = F.col("bad_reason").isNotNull()
+    # Refused lines have neither ID nor time.
+    time = F.when(F.col("event_id").isNotNull(), F.col("timestamp"))
     return rows.groupBy("blob_path").agg(
-        F.count_if(~refused).alias("events_count"), F.min(F.when(refused, F.col("source_line"))).alias("first_bad")
+        F.count_if(~refused).alias("events_count"),
+        F.count(time).alias("searchable_count"),
+        F.min(time).alias("first_event"),
+        F.max(time).alias("last_event"),
+        F.min(F.when(refused, F.col("source_line"))).alias("first_bad"),
     )
 
 
@@ -156,6 +166,9 @@ def materialize(
         "group_no",
         "size",
         F.coalesce("events_count", F.lit(0).cast("bigint")).alias("events_count"),
+        F.coalesce("searchable_count", F.lit(0).cast("bigint")).alias("searchable_count"),
+        "first_event",
+        "last_event",
         stamp.alias("materialized_at"),
         "blob_hour",
         F.substring("blob_hour", 1, 10).alias("blob_day"),

@@ -62,6 +62,10 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("group_no", T.LongType()),
         T.StructField("size", T.LongType()),
         T.StructField("events_count", T.LongType()),
+        # Events a search can return (with ID and time), and the span of their times.
+        T.StructField("searchable_count", T.LongType()),
+        T.StructField("first_event", T.TimestampType()),
+        T.StructField("last_event", T.TimestampType()),
         T.StructField("materialized_at", T.TimestampType()),
         T.StructField("blob_hour", T.StringType()),
         T.StructField("blob_day", T.StringType()),

@@ -10,6 +10,8 @@ written last. Readers open only the directories of the hours they ask for.
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,12 +28,19 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
 
 
 def partition_dirs(
-    spark: SparkSession, root: str, table: str, column: str, bounds: tuple[str, str] | None
+    spark: SparkSession,
+    root: str,
+    table: str,
+    column: str,
+    bounds: tuple[str, str] | None,
+    only: Collection[str] | None = None,
 ) -> list[str]:
-    """Names of the partition directories of a table with values in bounds."""
+    """Names of the partition directories of a table with values in bounds, or in a set."""
     names = child_names(spark, join_path(root, table, f"{column}=*"))
     if bounds is not None:
         names = [n for n in names if bounds[0] <= n.partition("=")[2] <= bounds[1]]
+    if only is not None:
+        names = [n for n in names if n.partition("=")[2] in only]
     return names
 
 
@@ -104,14 +113,18 @@ def superseded(manifest: DataFrame) -> DataFrame:
     )
 
 
-def read_stored(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
+def read_stored(
+    spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
+) -> DataFrame:
     """Visible rows of the event table, refused lines included.
 
+    `bounds` is a first and last hour; `only` further limits to a set of hours.
+
     Visible: the run is committed and the file was not read again by a newer
     run. The second case is rare (data lost, or two syncs at once), so events
     are only joined when it occurs; otherwise nothing is shuffled.
     """
-    names = partition_dirs(spark, root, "events", "blob_hour", bounds)
+    names = partition_dirs(spark, root, "events", "blob_hour", bounds, only)
     if not names:
         return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
     rows = _read_partitions(spark, root, "events", EVENT_TABLE_SCHEMA, names).withColumn(
@@ -119,7 +132,10 @@ def read_stored(spark: SparkSession, root: str, bounds: HourBounds | None = None
     )
     runs = _finished_runs(spark, root)
     visible = rows.join(runs, "run_id", "left_semi")
-    replaced = superseded(read_manifest(spark, root, bounds, runs))
+    entries = read_manifest(spark, root, bounds, runs)
+    if only is not None:
+        entries = entries.where(F.col("blob_hour").isin(list(only)))
+    replaced = superseded(entries)
     found = replaced.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
         return visible
@@ -128,9 +144,11 @@ def read_stored(spark: SparkSession, root: str, bounds: HourBounds | None = None
     return visible.join(replaced, ["run_id", "blob_path"], "left_anti")
 
 
-def read_events(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
-    """Visible events of the hours in `bounds` (all hours when None)."""
-    return read_stored(spark, root, bounds).where(F.col("bad_reason").isNull()).drop("bad_reason")
+def read_events(
+    spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
+) -> DataFrame:
+    """Visible events of the hours in `bounds` and `only` (all hours when None)."""
+    return read_stored(spark, root, bounds, only).where(F.col("bad_reason").isNull()).drop("bad_reason")
 
 
 def read_quarantine(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -277,3 +278,43 @@ def test_stream_equals_batch_and_is_idempotent(spark, container, root, tmp_path)
     sync_stream(spark, container, root, str(tmp_path / "ck2"), folder="audit").awaitTermination()
     assert len(stored(spark, root)) == 4
     assert run(spark, container, root) == (3, 0, 3)
+
+
+def test_newest_search_uses_few_hours_and_stays_exact(spark, container, root, monkeypatch):
+    """Random late, early, NULL-time events; with lost data the full search takes over."""
+    rng = random.Random(4)
+    events = []
+    for hour in range(12):
+        for name in "ab":
+            content = []
+            for number in range(rng.randint(0, 6)):
+                at = SPAN[0] + timedelta(hours=hour, minutes=rng.choice([-90, -20, 5, 10, 30, 59, 130]), seconds=number)
+                event_id = None if rng.random() < 0.2 else f"{hour:02d}{name}{number}"
+                stamp = None if rng.random() < 0.1 else at.isoformat() + "Z"
+                content.append(line(event_id, stamp))
+                if event_id and stamp:
+                    events.append((at, hour, event_id))
+            put(container, (SPAN[0] + timedelta(hours=hour)).strftime("%Y/%m/%d/%H"), f"{name}.ndjson", "\n".join(content))
+    whole = (SPAN[0], SPAN[0] + timedelta(hours=12))
+    run(spark, container, root, whole)
+    opened = []
+    read = results.read_events
+    monkeypatch.setattr(results, "read_events", lambda *a: opened.append(a[3] if len(a) > 3 else None) or read(*a))
+
+    def expected(span, limit, gone=()):
+        inside = [
+            e for e in events
+            if span[0] <= e[0] < span[1] and span[0] <= SPAN[0] + timedelta(hours=e[1] + 0.999) and SPAN[0] + timedelta(hours=e[1]) < span[1]
+            and e[1] not in gone
+        ]
+        return [e[2] for e in sorted(inside, key=lambda e: (-e[0].timestamp(), e[2]))][:limit]
+
+    for span, limit in [(whole, 5), (whole, 1), (whole, 500), ((SPAN[0] + timedelta(hours=3), SPAN[0] + timedelta(hours=8, minutes=15)), 6)]:
+        opened.clear()
+        found = results.search_and_store(spark, root, *span, limit=limit)
+        assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(span, limit)
+        if limit <= 6:
+            assert len(opened) == 1 and len(opened[0]) < 9
+    remove(spark, join_path(root, "events", "blob_hour=2026-09-10-19"))
+    found = results.search_and_store(spark, root, *whole, limit=5)
+    assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(whole, 5, {11})
