@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _GROUP = ["blob_hour", "run_id", "group_no"]
@@ -50,16 +50,25 @@ def status_row(current: DataFrame, data_files: DataFrame) -> DataFrame:
 
     Manifest rows whose data is gone do not count. Stored files count once,
     however many source files share them, and only if a current row uses them.
+    Both sides are reduced to one row per group before they meet.
     """
-    present = present_files(current, data_files)
-    used = data_files.join(present.select(*_GROUP).distinct(), _GROUP, "left_semi")
-    files = present.agg(
-        F.count("*").alias("blobs_count"),
-        F.coalesce(F.sum("events_count"), F.lit(0)).cast("bigint").alias("events_count"),
-        F.max("materialized_at").alias("last_materialized_at"),
+    stored = data_files.groupBy(*_GROUP).agg(F.sum("size").alias("bytes"))
+    empty = F.col("events_count") == 0
+    wanted = current.groupBy(*_GROUP).agg(
+        F.count("*").alias("files"),
+        F.count_if(empty).alias("empty_files"),
+        F.sum("events_count").alias("events"),
+        F.max("materialized_at").alias("newest"),
+        F.max(F.when(empty, F.col("materialized_at"))).alias("newest_empty"),
     )
-    size = used.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("parquet_size_bytes"))
-    # Both sides are one row by construction.
-    return files.join(F.broadcast(size), F.lit(True)).select(
-        "blobs_count", "events_count", "parquet_size_bytes", "last_materialized_at"
+    found = F.col("bytes").isNotNull()
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    return wanted.join(stored, _GROUP, "left").agg(
+        total(F.when(found, F.col("files")).otherwise(F.col("empty_files"))).alias("blobs_count"),
+        total(F.when(found, F.col("events"))).alias("events_count"),
+        total(F.col("bytes")).alias("parquet_size_bytes"),
+        F.max(F.when(found, F.col("newest")).otherwise(F.col("newest_empty"))).alias("last_materialized_at"),
     )

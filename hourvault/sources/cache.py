@@ -96,18 +96,17 @@ def manifest_entry(spark: SparkSession, root: str, blob_path: str, bounds: HourB
 
 
 def superseded(manifest: DataFrame) -> DataFrame:
-    """(run_id, blob_path) pairs replaced by a newer run of the same file."""
-    newest = (
-        manifest.groupBy("blob_path")
-        .agg(
-            F.max(F.struct("materialized_at", "run_id")).alias("newest"),
-            F.count("*").alias("copies"),
-        )
-        .where(F.col("copies") > 1)
-        .select("blob_path", F.col("newest.run_id").alias("_newest"))
+    """(run_id, blob_path) pairs replaced by a newer run of the same file.
+
+    Files read once, nearly all of them, are ruled out by a plain count.
+    """
+    repeated = manifest.groupBy("blob_path").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
+    copies = manifest.select("blob_path", "run_id", "materialized_at").join(repeated, "blob_path", "left_semi")
+    newest = copies.groupBy("blob_path").agg(
+        F.max(F.struct("materialized_at", "run_id"))["run_id"].alias("_newest")
     )
     return (
-        manifest.join(newest, "blob_path")
+        copies.join(newest, "blob_path")
         .where(F.col("run_id") != F.col("_newest"))
         .select("run_id", "blob_path")
     )

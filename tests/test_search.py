@@ -5,6 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
+from hourvault.functions.hours import hour_bounds
 from hourvault.operators import lookup
 from hourvault.operators.search import MAX_LIMIT, check_limit, search, with_locator
 from hourvault.plans.saved import run_saved_searches
@@ -131,9 +132,11 @@ def test_prefix_search(spark):
 def brute_saved(events, searches, limit):
     result = []
     for s in searches:
+        bounds = hour_bounds(s["from_utc"], s["to_utc"])
         hits = [
             e for e in events
             if e["timestamp"] is not None and s["from_utc"] <= e["timestamp"] < s["to_utc"]
+            and bounds[0] <= e["blob_hour"] <= bounds[1]
             and all(s.get(f) is None or e[f] == s[f] for f in ("event_id", "user_id", "event_name"))
         ]
         hits.sort(key=lambda e: (-e["timestamp"].timestamp(), e["event_id"], e["source_line"]))
@@ -152,6 +155,8 @@ def test_saved_searches_match_brute_force(spark, broadcast_rows):
         events.append({
             "event_id": f"e{number}", "timestamp": at if number % 50 else None, "source_line": number,
             "user_id": "hot" if hot else f"u{rng.randint(0, 5)}", "event_name": f"n{rng.randint(0, 3)}",
+            # Some files are hours away from their events' times.
+            "blob_hour": (at + timedelta(hours=rng.choice([0, 0, 0, 1, 3, -2]))).strftime("%Y-%m-%d-%H"),
         })
     searches = []
     for number in range(60):
