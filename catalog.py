@@ -230,8 +230,8 @@ def ingest_timestamp_variants(spark, sf_dir):
 
 @query(
     f"""WITH {FILED}
-SELECT event_id, file_line + sum(CASE WHEN id % 5 = 0 THEN 2 ELSE 0 END) OVER (
-    PARTITION BY blob_partition, blob_name ORDER BY id) AS source_line, raw_json FROM filed"""
+SELECT event_id, CAST(file_line + sum(CASE WHEN id % 5 = 0 THEN 2 ELSE 0 END) OVER (
+    PARTITION BY blob_partition, blob_name ORDER BY id) AS BIGINT) AS source_line, raw_json FROM filed"""
 )
 def ingest_blank_lines(spark, sf_dir):
     """Two blank lines before every fifth event, carriage returns after every third."""
@@ -239,7 +239,7 @@ def ingest_blank_lines(spark, sf_dir):
     spaced = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("\n \t\n"), "line")).otherwise(F.col("line"))
     ended = F.when(F.col("event_id") % 3 == 0, F.concat(spaced, F.lit("\r"))).otherwise(spaced)
     events = ingest.to_events(w.files_of(lines.withColumn("line", ended)))
-    return events.select("event_id", F.col("source_line").cast("decimal(38,0)").cast("bigint").alias("source_line"), "raw_json")
+    return events.select("event_id", "source_line", "raw_json")
 
 
 _BROKEN = """CASE id % 10 WHEN 0 THEN 'not a JSON object' WHEN 3 THEN 'invalid timestamp'
@@ -650,6 +650,30 @@ def resync_counts(spark, sf_dir):
     return sync.sync(spark, container, root, first, end, folder=w.FOLDER)
 
 
+@query(
+    f"""WITH {FILED}, one AS (SELECT blob_path FROM filed WHERE event_id = '7')
+SELECT blob_path, blob_name AS file_name, count(*) AS events_count, min("timestamp") AS first_event
+FROM filed WHERE blob_path IN (SELECT blob_path FROM one) GROUP BY ALL"""
+)
+def manifest_entry(spark, sf_dir):
+    """Point read: the manifest row of the file that holds event 7."""
+    root = w.cache(spark, sf_dir)
+    path = cache.read_events(spark, root).where("event_id = '7'").head()["blob_path"]
+    return cache.manifest_entry(spark, root, path).select("blob_path", "file_name", "events_count", "first_event")
+
+
+@query(
+    f"WITH {FILED} SELECT event_id, blob_partition, blob_name, file_line AS source_line, raw_json "
+    "FROM filed WHERE event_id = '7'"
+)
+def lookup_event(spark, sf_dir):
+    """Search one ID, then read its stored event at the location found."""
+    root = w.cache(spark, sf_dir)
+    at = results.search_cache(spark, root, *w.time_span(spark, sf_dir), {"event_id": "7"}).head()
+    events = cache.read_events(spark, root, (at["blob_hour"], at["blob_hour"]))
+    return lookup.lookup_event(events, at["event_id"], at["blob_path"], at["source_line"], at["blob_partition"])
+
+
 @query(f"WITH {FILED} SELECT count(DISTINCT blob_path) AS blobs_count, count(*) AS events_count FROM filed")
 def cache_status(spark, sf_dir):
     return status.cache_status(spark, w.cache(spark, sf_dir)).select("blobs_count", "events_count")

@@ -27,6 +27,7 @@ from hourvault.sources.cache import HourBounds, manifest_current, partition_dirs
 from hourvault.sources.storage import exists, join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
+ROW_GROUP_BYTES = 128 * 1024 * 1024
 # Work of one read-parse-write task.
 TASK_BYTES = 64 * 1024 * 1024
 TASK_FILES = 2_000
@@ -49,7 +50,14 @@ def current_files(spark: SparkSession, root: str, bounds: HourBounds | None = No
 
 
 def _write_events(
-    files: DataFrame, container: str, root: str, run_id: str, tasks: int, split_bytes: int, empty_as_missing: bool
+    files: DataFrame,
+    container: str,
+    root: str,
+    run_id: str,
+    tasks: int,
+    split_bytes: int,
+    row_group_bytes: int,
+    empty_as_missing: bool,
 ) -> None:
     """Parse and write, one task per group.
 
@@ -67,7 +75,7 @@ def _write_events(
         events.withColumn("run_id", F.lit(run_id))
         .select(*EVENT_TABLE_SCHEMA.names)
         .write.mode("append")
-        .options(compression="zstd", **_PARALLEL_COMMIT)
+        .options(compression="zstd", **{"parquet.block.size": str(row_group_bytes)}, **_PARALLEL_COMMIT)
         .partitionBy("blob_hour", "run_id", "group_no")
         .parquet(join_path(root, "events"))
     )
@@ -108,23 +116,28 @@ def materialize(
     *,
     mode: str = "failfast",
     target_bytes: int = TARGET_BYTES,
-    split_bytes: int | None = None,
+    split_bytes: int = archive.SPLIT_BYTES,
+    row_group_bytes: int = ROW_GROUP_BYTES,
     empty_as_missing: bool = False,
+    bounds: HourBounds | None = None,
     now: datetime | None = None,
 ) -> str | None:
     """Ingest the given files as one run; its id, or None if there are none.
 
-    `missing` must be stable (pinned): it is read more than once.
+    `missing` must be stable (pinned): it is read more than once. All of it must
+    lie in the hours of `bounds`, if given.
     `mode="failfast"` fails on the first malformed line and publishes nothing;
     `mode="quarantine"` publishes the good lines and keeps the others aside.
     """
     if mode not in ("failfast", "quarantine"):
         raise ValueError(f"Unknown mode: {mode!r}")
-    if target_bytes < 1:
-        raise ValueError("target_bytes must be at least 1")
-    split_bytes = archive.SPLIT_BYTES if split_bytes is None else split_bytes
-    if split_bytes < 1:
-        raise ValueError("split_bytes must be at least 1")
+    for name, value in (
+        ("target_bytes", target_bytes),
+        ("split_bytes", split_bytes),
+        ("row_group_bytes", row_group_bytes),
+    ):
+        if value < 1:
+            raise ValueError(f"{name} must be at least 1")
     missing = archive.with_hour(missing)
     totals = missing.agg(
         F.count("*").alias("files"),
@@ -132,12 +145,12 @@ def materialize(
         F.countDistinct(F.substring("blob_hour", 1, 10)).alias("days"),
         F.min("blob_hour").alias("first"),
         F.max("blob_hour").alias("last"),
-        F.count_if(F.col("blob_partition") == "").alias("outside"),
+        F.count_if(~F.col("blob_hour").between(*(bounds or ("0", "9999")))).alias("outside"),
     ).head()
     if totals["files"] == 0:
         return None
     if totals["outside"]:
-        raise ValueError(f"{totals['outside']} files lie outside the hour layout")
+        raise ValueError(f"{totals['outside']} files lie outside the requested hours")
 
     run_id = uuid.uuid4().hex
     assigned = pin(assign_groups(missing, target_bytes, count=totals["files"]))
@@ -145,7 +158,14 @@ def materialize(
     work = totals["bytes"] // TASK_BYTES + totals["files"] // TASK_FILES
     tasks = int(min(MAX_WRITE_TASKS, max(3 * spark.sparkContext.defaultParallelism, work)))
     _write_events(
-        assigned.where(F.col("size") > 0), container, root, run_id, tasks, split_bytes, empty_as_missing
+        assigned.where(F.col("size") > 0),
+        container,
+        root,
+        run_id,
+        tasks,
+        split_bytes,
+        row_group_bytes,
+        empty_as_missing,
     )
 
     dirs = _run_dirs(spark, root, run_id, (totals["first"], totals["last"]))
@@ -202,7 +222,7 @@ def sync_listing(
     """Sync a known listing; counts per hour."""
     listing = pin(listing.select(*LISTING_SCHEMA.names))
     missing = pin(cached.missing_files(listing, current_files(spark, root, bounds)))
-    materialize(spark, container, root, missing, **options)
+    materialize(spark, container, root, missing, bounds=bounds, **options)
     return cached.sync_counts(listing, missing)
 
 

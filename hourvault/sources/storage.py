@@ -17,6 +17,8 @@ def open_storage(uri: str) -> tuple[pafs.FileSystem, str]:
     if scheme in ("", "file"):
         path = uri[len("file:") :] if scheme else uri
         return pafs.LocalFileSystem(), "/" + path.strip("/")
+    if scheme in ("s3a", "s3n"):  # Spark's names for it
+        uri = "s3" + uri[3:]
     filesystem, path = pafs.FileSystem.from_uri(uri)
     return filesystem, path.rstrip("/")
 

@@ -84,6 +84,9 @@ def test_empty_and_blank_files_count_as_cached(spark, container, root):
     put(container, H8, "a.ndjson", lines("a"))
     assert run(spark, container, root) == (3, 2, 1)
     assert run(spark, container, root) == (3, 0, 3)
+    path = "audit/year=2026/month=09/day=10/hour=08/"
+    assert cache.manifest_entry(spark, root, path + "empty.ndjson").head().events_count == 0
+    assert cache.manifest_entry(spark, root, path + "unknown.ndjson").count() == 0
     counts = {r.file_name: r.events_count for r in cache.read_manifest(spark, root).collect()}
     assert counts == {"empty.ndjson": 0, "blank.ndjson": 0, "a.ndjson": 1}
 
@@ -201,12 +204,15 @@ def test_reset(spark, container, root):
 
 def test_file_outside_the_layout_is_refused(spark, container, root):
     put(container, H8, "a.ndjson", lines("a"))
-    listing = archive.list_archive(hours_frame(spark, *SPAN), container, "audit").withColumn("blob_partition", F.lit(""))
+    listing = archive.list_archive(hours_frame(spark, *SPAN), container, "audit")
     with pytest.raises(ValueError, match="outside"):
-        sync_listing(spark, container, root, listing, None)
+        sync_listing(spark, container, root, listing.withColumn("blob_partition", F.lit("")), None)
+    with pytest.raises(ValueError, match="outside"):
+        sync_listing(spark, container, root, listing, ("2026-09-10-09", "2026-09-10-09"))
+    assert stored(spark, root) == []
 
 
-@pytest.mark.parametrize("options", [{"mode": "other"}, {"target_bytes": 0}, {"split_bytes": 0}])
+@pytest.mark.parametrize("options", [{"mode": "other"}, {"target_bytes": 0}, {"split_bytes": 0}, {"row_group_bytes": 0}])
 def test_arguments(spark, container, root, options):
     put(container, H8, "a.ndjson", lines("a"))
     with pytest.raises(ValueError):
