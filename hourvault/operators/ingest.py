@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourvault.functions.isotime import iso_to_instant, strip
+from hourvault.functions.once import with_columns_once
 
 # A line is parsed as the first element of a two-element array whose second
 # element carries this mark. Only a line that is exactly one JSON value leaves
@@ -91,12 +92,10 @@ def parse_lines(lines: DataFrame, empty_as_missing: bool = False) -> DataFrame:
     is_object = (
         (F.size("_parsed") == 2) & doc.isNotNull() & (F.col("_parsed")[1]["\u241eend"] == _MARK)
     )
-    read = parsed.select(
-        *lines.columns,
-        F.when(F.coalesce(is_object, F.lit(False)), doc).alias("_doc"),
-    )
-    instant = iso_to_instant(F.col("_doc.timestamp"))
-    timed = read.withColumn("_instant", instant).withColumn(
+    read = parsed.select(*lines.columns, F.when(F.coalesce(is_object, F.lit(False)), doc).alias("_read"))
+    timed = with_columns_once(
+        read, {"_doc": F.col("_read"), "_instant": iso_to_instant(F.col("_read.timestamp"))}
+    ).withColumn(
         "bad_reason",
         F.when(F.col("_doc").isNull(), BAD_JSON).when(
             F.col("_doc.timestamp").isNotNull() & F.col("_instant").isNull(), BAD_TIME

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourvault.functions.isotime import local_iso_to_instant, strip
+from hourvault.functions.once import with_columns_once
 
 # Shortcut grammar, aliases and the names of the refusals.
 _LAST = r"^last\s+(\d+)\s+(minutes?|hours?|days?)$"
@@ -56,8 +57,8 @@ def resolve_ranges(searches: DataFrame) -> DataFrame:
     now = F.col("now").cast("timestamp")
     text = F.lower(strip(expr))
     canonical = F.create_map(*[F.lit(t) for pair in _ALIASES.items() for t in pair])
-    staged = searches.withColumn("_expr", F.coalesce(canonical[text], text)).withColumn(
-        "_wall", F.from_utc_timestamp(now, tz)
+    staged = with_columns_once(
+        searches, {"_expr": F.coalesce(canonical[text], text), "_wall": F.from_utc_timestamp(now, tz)}
     )
 
     shortcut, wall = F.col("_expr"), F.col("_wall")
@@ -94,8 +95,12 @@ def resolve_ranges(searches: DataFrame) -> DataFrame:
     explicit_to = F.when(given_to.isNull(), now).otherwise(local_iso_to_instant(given_to, tz))
 
     by_shortcut = _set(expr)
-    ranged = staged.withColumn("from_utc", F.when(by_shortcut, shortcut_from).otherwise(explicit_from)).withColumn(
-        "to_utc", F.when(by_shortcut, shortcut_to).otherwise(explicit_to)
+    ranged = with_columns_once(
+        staged,
+        {
+            "from_utc": F.when(by_shortcut, shortcut_from).otherwise(explicit_from),
+            "to_utc": F.when(by_shortcut, shortcut_to).otherwise(explicit_to),
+        },
     )
     known = shortcut.isin("today", "yesterday", "current hour") | is_last
     zero = is_last & digits.rlike("^0+$")

@@ -130,7 +130,7 @@ def encoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files_of(lines: DataFrame, folder: str = FOLDER) -> DataFrame:
     """Lines (`event_id`, `line`, hour and file) to whole files, in ID order."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"])
     return (
         lines.groupBy("blob_partition", F.col("blob_name").alias("file_name"))
         .agg(_text(F.array_join(ordered, "\n"), "\n").alias("content"))
