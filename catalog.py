@@ -551,10 +551,13 @@ def _listing(spark, sf_dir):
     )
 
 
-def _missing(spark, sf_dir):
+def _present(spark, sf_dir):
     log = _log(spark, sf_dir)
-    present = cached.present_files(cache.manifest_current(log), _stored(log))
-    return cached.missing_files(_listing(spark, sf_dir), present)
+    return cached.present_files(cache.manifest_current(log), _stored(log))
+
+
+def _counts(spark, sf_dir):
+    return cached.sync_counts(cached.mark_missing(_listing(spark, sf_dir), _present(spark, sf_dir)))
 
 
 @query(
@@ -572,7 +575,7 @@ def superseded_copies(spark, sf_dir):
 
 @query(f"WITH {_LOG} SELECT blob_path, blob_partition FROM gone")
 def missing_files(spark, sf_dir):
-    return _missing(spark, sf_dir)
+    return cached.missing_files(_listing(spark, sf_dir), _present(spark, sf_dir))
 
 
 _COUNTS = """counts AS (SELECT blob_partition, count(*) AS discovered,
@@ -583,7 +586,7 @@ _COUNTS = """counts AS (SELECT blob_partition, count(*) AS discovered,
 
 @query(f"WITH {_LOG}, {_COUNTS} SELECT * FROM counts")
 def sync_counts(spark, sf_dir):
-    return cached.sync_counts(_listing(spark, sf_dir), _missing(spark, sf_dir))
+    return _counts(spark, sf_dir)
 
 
 @query(
@@ -591,7 +594,7 @@ def sync_counts(spark, sf_dir):
   CAST(sum(materialized) AS BIGINT) AS materialized, CAST(sum(skipped) AS BIGINT) AS skipped FROM counts"""
 )
 def sync_totals(spark, sf_dir):
-    return cached.sync_totals(cached.sync_counts(_listing(spark, sf_dir), _missing(spark, sf_dir)))
+    return cached.sync_totals(_counts(spark, sf_dir))
 
 
 @query(

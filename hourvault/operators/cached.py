@@ -24,14 +24,20 @@ def missing_files(listing: DataFrame, present: DataFrame) -> DataFrame:
     return listing.join(present.select("blob_path"), "blob_path", "left_anti")
 
 
-def sync_counts(listing: DataFrame, missing: DataFrame) -> DataFrame:
+def mark_missing(listing: DataFrame, present: DataFrame) -> DataFrame:
+    """The whole listing with `is_missing`."""
+    known = present.select("blob_path", F.lit(False).alias("is_missing"))
+    return listing.join(known, "blob_path", "left").withColumn(
+        "is_missing", F.coalesce("is_missing", F.lit(True))
+    )
+
+
+def sync_counts(marked: DataFrame) -> DataFrame:
     """Files discovered, materialized and skipped per hour."""
-    found = listing.groupBy("blob_partition").agg(F.count("*").alias("discovered"))
-    done = missing.groupBy("blob_partition").agg(F.count("*").alias("materialized"))
-    return (
-        found.join(done, "blob_partition", "left")
-        .withColumn("materialized", F.coalesce("materialized", F.lit(0).cast("bigint")))
-        .withColumn("skipped", F.col("discovered") - F.col("materialized"))
+    return marked.groupBy("blob_partition").agg(
+        F.count("*").alias("discovered"),
+        F.count_if(F.col("is_missing")).alias("materialized"),
+        F.count_if(~F.col("is_missing")).alias("skipped"),
     )
 
 

@@ -220,10 +220,11 @@ def sync_listing(
     spark: SparkSession, container: str, root: str, listing: DataFrame, bounds: HourBounds | None, **options
 ) -> DataFrame:
     """Sync a known listing; counts per hour."""
-    listing = pin(listing.select(*LISTING_SCHEMA.names))
-    missing = pin(cached.missing_files(listing, current_files(spark, root, bounds)))
+    present = current_files(spark, root, bounds)
+    marked = pin(cached.mark_missing(listing.select(*LISTING_SCHEMA.names), present))
+    missing = marked.where(F.col("is_missing")).drop("is_missing")
     materialize(spark, container, root, missing, bounds=bounds, **options)
-    return cached.sync_counts(listing, missing)
+    return cached.sync_counts(marked)
 
 
 def sync(
@@ -243,8 +244,7 @@ def sync(
     """
     bounds = hour_bounds(from_utc, to_utc, lateness_hours)
     if bounds is None:
-        listing = spark.createDataFrame([], LISTING_SCHEMA)
-        return cached.sync_counts(listing, listing)
+        return cached.sync_counts(spark.createDataFrame([], LISTING_SCHEMA).withColumn("is_missing", F.lit(True)))
     hours = hours_frame(spark, from_utc, to_utc + timedelta(hours=lateness_hours))
     listing = archive.list_archive(hours, container, folder)
     return sync_listing(spark, container, root, listing, bounds, **options)

@@ -13,7 +13,7 @@ from hourvault.session import build_session, scratch_path  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[8]", **{"spark.sql.shuffle.partitions": "8"})
+    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
