@@ -37,6 +37,7 @@ def _current_version(spark: SparkSession, root: str) -> str | None:
         return None
     newest = (
         spark.read.schema(_VERSION_SCHEMA)
+        .option("recursiveFileLookup", "true")
         .parquet(path)
         .agg(F.max(F.struct("stored_at", "version")).alias("newest"))
         .head()["newest"]
@@ -57,7 +58,7 @@ def replace_results(spark: SparkSession, root: str, results: DataFrame) -> None:
     )
     stamp = instant_literal(datetime.now(timezone.utc), T.TimestampType())
     marker = spark.range(1).select(F.lit(version).alias("version"), stamp.alias("stored_at")).coalesce(1)
-    marker.write.mode("append").parquet(join_path(root, "results", "versions"))
+    marker.write.parquet(join_path(root, "results", "versions", version))
     # The replaced set is kept for readers that opened it; older ones go.
     for name in child_names(spark, join_path(data, "version=*")):
         if name not in (f"version={version}", f"version={previous}"):

@@ -23,8 +23,8 @@ from hourvault.operators.search import instant_literal
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, LISTING_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import pin
 from hourvault.sources import archive
-from hourvault.sources.cache import HourBounds, manifest_current, partition_dirs, read_manifest
-from hourvault.sources.storage import exists, join_path, remove
+from hourvault.sources.cache import HourBounds, hour_dirs, manifest_current, read_manifest
+from hourvault.sources.storage import join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
 ROW_GROUP_BYTES = 128 * 1024 * 1024
@@ -38,9 +38,8 @@ _PARALLEL_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
 
 
 def data_files(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
-    """Stored event files with hour, run, group and size, listed by tasks."""
-    names = partition_dirs(spark, root, "events", "blob_hour", bounds)
-    return archive.list_stored(spark, join_path(root, "events"), names)
+    """Stored event files of committed runs with hour, run, group and size, listed by tasks."""
+    return archive.list_stored(join_path(root, "events"), hour_dirs(read_manifest(spark, root, bounds)))
 
 
 def current_files(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
@@ -72,30 +71,21 @@ def _write_events(
     keep = ["blob_path", "blob_partition", "file_name", "blob_hour", "group_no"]
     events = to_events(archive.read_ranges(placed, container, keep), empty_as_missing)
     (
-        events.withColumn("run_id", F.lit(run_id))
-        .select(*EVENT_TABLE_SCHEMA.names)
+        events.select(*[name for name in EVENT_TABLE_SCHEMA.names if name != "run_id"])
         .write.mode("append")
         .options(compression="zstd", **{"parquet.block.size": str(row_group_bytes)}, **_PARALLEL_COMMIT)
-        .partitionBy("blob_hour", "run_id", "group_no")
-        .parquet(join_path(root, "events"))
+        .partitionBy("blob_hour", "group_no")
+        .parquet(_run_dir(root, run_id))
     )
 
 
-def _run_dirs(spark: SparkSession, root: str, run_id: str, bounds: HourBounds) -> list[str]:
-    hours = partition_dirs(spark, root, "events", "blob_hour", bounds)
-    paths = [join_path(root, "events", hour, f"run_id={run_id}") for hour in hours]
-    return [path for path in paths if exists(spark, path)]
+def _run_dir(root: str, run_id: str) -> str:
+    return join_path(root, "events", f"run_id={run_id}")
 
 
-def _files_read(spark: SparkSession, root: str, dirs: list[str]) -> DataFrame:
+def _files_read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """Per file of a run that has lines: what its manifest row says, and its first refused line."""
-    if not dirs:
-        return spark.createDataFrame(
-            [],
-            "blob_path string, events_count bigint, searchable_count bigint, "
-            "first_event timestamp, last_event timestamp, first_bad bigint",
-        )
-    rows = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", join_path(root, "events")).parquet(*dirs)
+    rows = spark.read.schema(EVENT_TABLE_SCHEMA).parquet(_run_dir(root, run_id))
     refused = F.col("bad_reason").isNotNull()
     # Refused lines have neither ID nor time.
     time = F.when(F.col("event_id").isNotNull(), F.col("timestamp"))
@@ -143,8 +133,6 @@ def materialize(
         F.count("*").alias("files"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
         F.countDistinct(F.substring("blob_hour", 1, 10)).alias("days"),
-        F.min("blob_hour").alias("first"),
-        F.max("blob_hour").alias("last"),
         F.count_if(~F.col("blob_hour").between(*(bounds or ("0", "9999")))).alias("outside"),
     ).head()
     if totals["files"] == 0:
@@ -168,13 +156,11 @@ def materialize(
         empty_as_missing,
     )
 
-    dirs = _run_dirs(spark, root, run_id, (totals["first"], totals["last"]))
-    read = pin(_files_read(spark, root, dirs))
+    read = pin(_files_read(spark, root, run_id))
     if mode == "failfast":
         first = read.where(F.col("first_bad").isNotNull()).orderBy("blob_path").select("blob_path", "first_bad").head()
         if first is not None:
-            for path in dirs:
-                remove(spark, path)
+            remove(spark, _run_dir(root, run_id))
             raise MalformedLineError(f"Failed to parse {first['blob_path']} at line {first['first_bad']}")
     stamp = instant_literal(now or datetime.now(timezone.utc), T.TimestampType())
     rows = assigned.join(read, "blob_path", "left")
@@ -200,9 +186,10 @@ def materialize(
         .repartition(
             max(1, min(totals["days"] * parts, 1000)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
         )
-        .write.mode("append")
-        .options(compression="zstd", **_PARALLEL_COMMIT)
-        .partitionBy("blob_day")
+        .write.mode("overwrite")
+        # Only this run's own partitions, through a staging folder of its own.
+        .options(compression="zstd", partitionOverwriteMode="dynamic")
+        .partitionBy("blob_day", "run_id")
         .parquet(join_path(root, "manifest"))
     )
     # The commit point: one row, one small file.
@@ -212,7 +199,7 @@ def materialize(
         F.sum("events_count").alias("events_count"),
         F.max("materialized_at").alias("materialized_at"),
     ).select(*COMMIT_SCHEMA.names)
-    commit.coalesce(1).write.mode("append").parquet(join_path(root, "commits"))
+    commit.coalesce(1).write.parquet(join_path(root, "commits", run_id))
     return run_id
 
 

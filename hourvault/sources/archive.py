@@ -14,7 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourvault.functions.hours import partition_to_hour
@@ -288,17 +288,20 @@ def with_hour(files: DataFrame) -> DataFrame:
     return files.withColumn("blob_hour", partition_to_hour(F.col("blob_partition")))
 
 
-def list_stored(spark: SparkSession, events_root: str, hour_dirs: list[str]) -> DataFrame:
-    """Parquet files under the given `blob_hour=...` directories, with keys and size."""
-    pattern = r"blob_hour=([^/]+)/run_id=([^/]+)/group_no=(\d+)/"
-    tasks = max(1, min(len(hour_dirs), 4 * spark.sparkContext.defaultParallelism))
-    schema = "blob_path string, blob_partition string, size bigint, is_dir boolean"
-    roots = spark.createDataFrame([(name, "", 0, True) for name in hour_dirs], schema).repartition(tasks)
+def list_stored(events_root: str, dirs: DataFrame) -> DataFrame:
+    """Parquet files under directories (`run_id`, `blob_hour`), with keys and size."""
+    tasks = 4 * dirs.sparkSession.sparkContext.defaultParallelism
+    roots = dirs.select(
+        F.concat(F.lit("run_id="), "run_id", F.lit("/blob_hour="), "blob_hour").alias("blob_path"),
+        F.lit("").alias("blob_partition"),
+        F.lit(0).cast("bigint").alias("size"),
+        F.lit(True).alias("is_dir"),
+    ).repartition(tasks, "blob_path")
     found = roots.mapInArrow(_list_under(events_root, recursive=True, suffix=".parquet"), _FOUND)
-    path = F.col("blob_path")
+    path, pattern = F.col("blob_path"), r"run_id=([^/]+)/blob_hour=([^/]+)/group_no=(\d+)/"
     return found.where(~F.col("is_dir")).select(
-        F.regexp_extract(path, pattern, 1).alias("blob_hour"),
-        F.regexp_extract(path, pattern, 2).alias("run_id"),
+        F.regexp_extract(path, pattern, 2).alias("blob_hour"),
+        F.regexp_extract(path, pattern, 1).alias("run_id"),
         F.regexp_extract(path, pattern, 3).cast("bigint").alias("group_no"),
         path.alias("file_path"),
         "size",

@@ -1,17 +1,20 @@
 """The event cache on disk: events, manifest and commits.
 
-    <root>/events/blob_hour=<hour>/run_id=<run>/group_no=<n>/part-*.parquet
-    <root>/manifest/blob_day=<day>/part-*.parquet       one row per source file and run
-    <root>/commits/part-*.parquet                       one row per finished run
+    <root>/events/run_id=<run>/blob_hour=<hour>/group_no=<n>/part-*.parquet
+    <root>/manifest/blob_day=<day>/run_id=<run>/part-*.parquet   one row per source file
+    <root>/commits/<run>/part-*.parquet                          one row per finished run
 
 A run exists for readers once its commit row does; that row is one small file,
-written last. Readers open only the directories of the hours they ask for.
+written last. Runs never write into each other's directories, temporary ones
+included, so syncs may overlap. Readers take from the manifest which runs hold
+the hours they want and open just those directories.
 """
 
 from __future__ import annotations
 
 from collections.abc import Collection
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,36 +30,11 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def partition_dirs(
-    spark: SparkSession,
-    root: str,
-    table: str,
-    column: str,
-    bounds: tuple[str, str] | None,
-    only: Collection[str] | None = None,
-) -> list[str]:
-    """Names of the partition directories of a table with values in bounds, or in a set."""
-    names = child_names(spark, join_path(root, table, f"{column}=*"))
-    if bounds is not None:
-        names = [n for n in names if bounds[0] <= n.partition("=")[2] <= bounds[1]]
-    if only is not None:
-        names = [n for n in names if n.partition("=")[2] in only]
-    return names
-
-
-def _read_partitions(
-    spark: SparkSession, root: str, table: str, schema: T.StructType, names: list[str]
-) -> DataFrame:
-    base = join_path(root, table)
-    paths = [join_path(base, n) for n in names]
-    return spark.read.schema(schema).option("basePath", base).parquet(*paths)
-
-
 def read_commits(spark: SparkSession, root: str) -> DataFrame:
     path = join_path(root, "commits")
     if not exists(spark, path):
         return empty_frame(spark, COMMIT_SCHEMA)
-    return spark.read.schema(COMMIT_SCHEMA).parquet(path)
+    return spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
 def _finished_runs(spark: SparkSession, root: str) -> DataFrame:
@@ -64,19 +42,19 @@ def _finished_runs(spark: SparkSession, root: str) -> DataFrame:
     return runs
 
 
-def read_manifest(
-    spark: SparkSession, root: str, bounds: HourBounds | None = None, runs: DataFrame | None = None
-) -> DataFrame:
+def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
     """Manifest rows of finished runs."""
-    days = (bounds[0][:10], bounds[1][:10]) if bounds else None
-    names = partition_dirs(spark, root, "manifest", "blob_day", days)
-    if not names:
+    base = join_path(root, "manifest")
+    days = child_names(spark, join_path(base, "blob_day=*"))
+    if bounds is not None:
+        days = [d for d in days if bounds[0][:10] <= d.partition("=")[2] <= bounds[1][:10]]
+    if not days:
         return empty_frame(spark, MANIFEST_SCHEMA)
-    rows = _read_partitions(spark, root, "manifest", MANIFEST_SCHEMA, names)
-    if bounds:
+    paths = [join_path(base, day) for day in days]
+    rows = spark.read.schema(MANIFEST_SCHEMA).option("basePath", base).parquet(*paths)
+    if bounds is not None:
         rows = rows.where(F.col("blob_hour").between(*bounds))
-    runs = _finished_runs(spark, root) if runs is None else runs
-    return rows.join(runs, "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
+    return rows.join(_finished_runs(spark, root), "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
 
 
 def manifest_current(manifest: DataFrame) -> DataFrame:
@@ -112,35 +90,49 @@ def superseded(manifest: DataFrame) -> DataFrame:
     )
 
 
+def hour_dirs(manifest: DataFrame) -> DataFrame:
+    """Directories (`run_id`, `blob_hour`) that may hold events of manifest rows."""
+    return manifest.where(F.col("size") > 0).select("run_id", "blob_hour").distinct()
+
+
 def read_stored(
     spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
 ) -> DataFrame:
     """Visible rows of the event table, refused lines included.
 
     `bounds` is a first and last hour; `only` further limits to a set of hours.
-
     Visible: the run is committed and the file was not read again by a newer
     run. The second case is rare (data lost, or two syncs at once), so events
     are only joined when it occurs; otherwise nothing is shuffled.
     """
-    names = partition_dirs(spark, root, "events", "blob_hour", bounds, only)
-    if not names:
-        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
-    rows = _read_partitions(spark, root, "events", EVENT_TABLE_SCHEMA, names).withColumn(
-        "parquet_path", F.col("_metadata.file_path")
-    )
-    runs = _finished_runs(spark, root)
-    visible = rows.join(runs, "run_id", "left_semi")
-    entries = read_manifest(spark, root, bounds, runs)
+    entries = read_manifest(spark, root, bounds)
     if only is not None:
         entries = entries.where(F.col("blob_hour").isin(list(only)))
+    base = join_path(root, "events")
+    # Counted in hours and runs, like the directory listing Spark itself does.
+    paths = [
+        join_path(base, f"run_id={d['run_id']}", f"blob_hour={d['blob_hour']}")
+        for d in hour_dirs(entries).collect()
+    ]
+    reader = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", base)
+    try:
+        rows = reader.parquet(*paths) if paths else None
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # Lost data, or files of blank lines only: read what is there.
+        paths = [path for path in paths if exists(spark, path)]
+        rows = reader.parquet(*paths) if paths else None
+    if rows is None:
+        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
+    rows = rows.withColumn("parquet_path", F.col("_metadata.file_path"))
     replaced = superseded(entries)
     found = replaced.limit(BROADCAST_ROWS + 1).count()
     if found == 0:
-        return visible
+        return rows
     if found <= BROADCAST_ROWS:
         replaced = F.broadcast(replaced)
-    return visible.join(replaced, ["run_id", "blob_path"], "left_anti")
+    return rows.join(replaced, ["run_id", "blob_path"], "left_anti")
 
 
 def read_events(

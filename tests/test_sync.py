@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 
 import pytest
@@ -16,7 +17,7 @@ from hourvault.plans.sync import data_files, materialize, reset, sync, sync_list
 from hourvault.schema import EVENT_SCHEMA, EVENT_TABLE_SCHEMA
 from hourvault.session import pin, scratch_path
 from hourvault.sources import archive, cache
-from hourvault.sources.storage import exists, join_path, remove
+from hourvault.sources.storage import child_names, exists, join_path, remove
 from hourvault.streaming.incremental import sync_stream
 
 H8, H9 = "2026/09/10/08", "2026/09/10/09"
@@ -36,6 +37,11 @@ def groups(spark, root):
     return sorted((r.blob_hour, r.group_no) for r in data_files(spark, root).collect())
 
 
+def lose(spark, root, hour):
+    for run_dir in child_names(spark, join_path(root, "events", "run_id=*")):
+        remove(spark, join_path(root, "events", run_dir, f"blob_hour={hour}"))
+
+
 def lines(*event_ids):
     return "\n".join(line(e) for e in event_ids) + "\n"
 
@@ -152,9 +158,9 @@ def test_unfinished_run_is_invisible_and_repeated(spark, container, root):
         spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", join_path(root, "events")).parquet(join_path(root, "events"))
         .withColumn("run_id", F.lit("dead")).withColumn("event_id", F.lit("ghost"))
     )
-    pin(leftover).write.mode("append").partitionBy("blob_hour", "run_id", "group_no").parquet(join_path(root, "events"))
+    pin(leftover).write.mode("append").partitionBy("run_id", "blob_hour", "group_no").parquet(join_path(root, "events"))
     rows = pin(cache.read_manifest(spark, root).withColumn("run_id", F.lit("dead")).withColumn("blob_path", F.lit("audit/ghost")))
-    rows.write.mode("append").partitionBy("blob_day").parquet(join_path(root, "manifest"))
+    rows.write.mode("append").partitionBy("blob_day", "run_id").parquet(join_path(root, "manifest"))
     assert [r[3] for r in stored(spark, root)] == ["a"]
     assert cache.read_manifest(spark, root).count() == 1
     assert cache_status(spark, root).head()[:2] == (1, 1)
@@ -176,7 +182,7 @@ def test_lost_data_is_materialized_again(spark, container, root):
     put(container, H8, "a.ndjson", lines("a"))
     put(container, H9, "b.ndjson", lines("b"))
     run(spark, container, root)
-    remove(spark, join_path(root, "events", "blob_hour=2026-09-10-08"))
+    lose(spark, root, "2026-09-10-08")
     assert cache_status(spark, root).head()[:2] == (1, 1)
     assert run(spark, container, root) == (2, 1, 1)
     assert [r[3] for r in stored(spark, root)] == ["a", "b"]
@@ -321,6 +327,18 @@ def test_newest_search_uses_few_hours_and_stays_exact(spark, container, root, mo
         assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(span, limit)
         if limit <= 6:
             assert len(opened) == 1 and len(opened[0]) < 9
-    remove(spark, join_path(root, "events", "blob_hour=2026-09-10-19"))
+    lose(spark, root, "2026-09-10-19")
     found = results.search_and_store(spark, root, *whole, limit=5)
     assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(whole, 5, {11})
+
+
+def test_overlapping_syncs_lose_nothing(spark, container, root):
+    """Several syncs at once into one cache."""
+    for number in range(12):
+        put(container, H8 if number % 2 else H9, f"f{number:02d}.ndjson", lines(*[f"{number}-{i}" for i in range(20)]))
+    spans = [SPAN, SPAN, (SPAN[0], SPAN[0] + timedelta(hours=1)), (SPAN[0] + timedelta(hours=1), SPAN[1])]
+    with ThreadPoolExecutor(len(spans)) as pool:
+        list(pool.map(lambda span: run(spark, container, root, span), spans))
+    assert len(stored(spark, root)) == len({r[1:] for r in stored(spark, root)}) == 240
+    assert run(spark, container, root) == (12, 0, 12)
+    assert cache_status(spark, root).head()[:2] == (12, 240)
