@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourvault.llm import token_store
+from hourvault.llm import packing, token_store
 from hourvault.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,3 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query()
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_table(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query()
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
