@@ -1,10 +1,65 @@
-"""From raw documents to packed training sequences, one written stage after another."""
+"""From raw documents to packed training sequences, one written stage after another.
+
+Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept,
+and its result is written as Parquet and read again as the next one's docs.
+Stages but the last return the columns of `documents`; the last returns pieces.
+
+- language: documents whose language the network cannot tell (`und`, or a score
+  below 0.3) go.
+- toxicity: documents that score 0.3 or more go. Labels come from `labels`.
+- near_duplicates: of documents joined by links of 85 % common 4-word n-grams,
+  the one with the smallest id stays.
+- decontamination: documents with a 10-word window of a `benchmark` item go.
+- packing: what is left is cut and packed into sequences of 1024 tokens.
+
+An empty `documents` table passes through all stages and gives no pieces. Rows
+without an id are kept by the near-duplicate stage, as it says.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from hourvault.llm import decontaminate, jaccard, language, packing, stored, toxicity
+from hourvault.session import configure
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.with_language(docs, language.fit(docs))
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.without_toxic(docs, toxicity.fit(docs, labels))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("language", known_language),
+    ("toxicity", not_toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", sequences),
+]
+
+#: The learned stages have no SQL; tests hold each stage's decisions against its operator and brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each written to the shared folder before the next."""
+    docs = configure(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored.written(stage(spark, docs, sf_dir), name)
+    return docs

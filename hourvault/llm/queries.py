@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourvault.llm import decontaminate, jaccard, language, packing, sharding, token_store, toxicity, voronoi
+from hourvault.llm import cotraining, decontaminate, extract, jaccard, language, packing, sharding, token_store, toxicity, voronoi
 from hourvault.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,3 +144,15 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return toxicity.score(documents, toxicity.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return extract.extract(pages, extract.fit(pages))
+
+
+@query()
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return cotraining.score(documents, cotraining.fit(documents, table(spark, sf_dir, "labels")))
