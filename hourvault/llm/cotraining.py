@@ -39,7 +39,7 @@ TAKEN = 0.05
 SURE = 0.9
 #: Share of the labelled texts kept for calibration.
 CALIBRATION = 0.3
-RIDGE = 1.0
+RIDGE = 10.0
 _SOURCES, _LANGUAGES = 64, 16
 _SPACE = byte_set((9, 13), (32, 32))
 

@@ -184,7 +184,7 @@ def _predict(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarr
         plain[i] = any(ch.isalpha() for ch in column[i].as_py())
     probability = model.probabilities(windows) * weight[:, None]
     mean = np.stack([np.bincount(row, probability[:, c], minlength=n) for c in range(len(model.languages))], axis=1)
-    mean /= np.maximum(total, 1)[:, None]
+    mean = mean / np.maximum(total, 1)[:, None]
     best = mean.argmax(1)
     return [model.languages[c] if ok else UNKNOWN for c, ok in zip(best.tolist(), plain.tolist(), strict=True)], np.clip(
         np.where(plain, mean[np.arange(n), best], 0.0), 0, 1

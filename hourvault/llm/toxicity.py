@@ -9,9 +9,10 @@ that the estimate cannot reward overfitting.
 
 Learned from, on the folds that may be learned from only: up to SAMPLE texts
 labelled toxic, up to SAMPLE texts drawn by hash whatever their labels, and the
-share of toxic among all labelled rows as p. Features are the FEATURES with the
-most lift among the toxic texts, counted by Spark over the samples. Every word
-of every text is then looked up among them.
+share of toxic among all labelled rows as p. Features are the FEATURES that tell
+most, counted by Spark over the samples: p times how much more frequent a feature
+is among the toxic texts is the share of toxic among all texts that have it.
+Every word of every text is then looked up among them.
 
 Defined cases: null and empty texts have the score of a text without features;
 several labels of one id count as toxic if any does; without toxic examples all
@@ -34,11 +35,14 @@ from hourvault.llm.sample import drawn_ids, held_out, may_learn
 THRESHOLD = 0.3
 SAMPLE = 4000
 FEATURES = 8192
-#: Toxic texts that must have a feature, and how much more frequent it must be among them.
-LEAST_TEXTS = 2
-LEAST_LIFT = 2.0
+#: A feature must be in so many toxic texts, or in this share of them if that is more; and of
+#: the texts that have it, by the class prior, so large a share must be toxic (less, with few examples).
+LEAST_TEXTS, LEAST_SHARE = 3, 0.01
+LEAST_TOXIC, FEW = 0.6, 50
+#: Penalty on squared weights, divided by the number of toxic texts.
+PENALTY = 0.15
 BEGINNINGS = (3, 4, 5, 6, 7)
-STEPS = 500
+STEPS = 300
 _LETTERS = byte_set((97, 122), (128, 255))
 _FILTER_BITS = 20
 
@@ -114,10 +118,11 @@ def train(
             g = prior * gradient(positive, (sp - 1) / len(sp)) + rest
         else:
             g = -rest
-        g[:-1] += 1e-4 * weights
+        g[:-1] += PENALTY / positive[2] * weights
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
-        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        rate = 0.1 * min(1.0, 2 * (1 - step / (steps + 1)))
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         weights, bias = weights - move[:-1], bias - move[-1]
     return weights, float(bias)
 
@@ -169,8 +174,9 @@ def fit(
     counts = _count_features(rows)
     n_toxic, n_other = (max(1, int((chosen["toxic"] == x).sum())) for x in (1, 0))
     lift = ((F.col("toxic") + 0.5) / n_toxic) / ((F.col("other") + 0.5) / n_other)
+    certain = LEAST_TOXIC * n_toxic / (n_toxic + FEW)
     best = (
-        counts.where((F.col("toxic") >= LEAST_TEXTS) & (lift >= LEAST_LIFT))
+        counts.where((F.col("toxic") >= max(LEAST_TEXTS, LEAST_SHARE * n_toxic)) & (prior * lift >= certain))
         .orderBy(F.desc(F.col("toxic") * F.log(lift)), "hash")
         .limit(FEATURES)
         .select("hash")
@@ -179,6 +185,8 @@ def fit(
     hashes = np.sort(best["hash"].to_numpy(np.int64).view(U64))
     model = Model(hashes, np.zeros(len(hashes)), 0.0)
     if not len(hashes):
+        if rows.where("toxic = 1").isEmpty():
+            return None
         return Model(hashes, np.zeros(0), float(np.log(prior / (1 - prior))))
     empty = Model(hashes, np.zeros(len(hashes)), 0.0)
 
