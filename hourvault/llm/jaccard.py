@@ -15,8 +15,9 @@ counted fragment by fragment, and the partial counts are summed per pair
   Neither drops a pair that is similar.
 
 Links are needed only to tell the components. First each key's documents meet
-the key's smallest one; the links found give components; then, in keys whose
-documents are still in several components, those of different components meet.
+the one of them that shares the most keys; the links found give components; then,
+in keys whose documents are still in several components, those of different
+components meet.
 Pairs within a component never do, so a large group of near copies costs in
 proportion to its size, and every link between components is found.
 
@@ -407,9 +408,17 @@ def similarity_classes(
     if classes.where("two").limit(1).count():
         raise ValueError("two sets have one class hash: use another seed")
     buckets = stored.written(shared_keys(summary), "buckets")
-    # Round 1: each key's classes meet its smallest one.
-    least = buckets.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("k", "a")
-    stars = buckets.join(least, "k").where("node != a").select("a", F.col("node").alias("b")).distinct()
+    # Round 1: each key's classes meet its centre, the class that shares the most keys. What
+    # copies have been made from shares all of its keys, each copy only those it left as they were.
+    shares = buckets.groupBy("node").agg(F.count("*").alias("shares"))
+    ranked = buckets.join(shares, "node")
+    centres = ranked.groupBy("k").agg(F.max_by("node", "shares").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    stars = (
+        buckets.join(centres, "k")
+        .where("node != centre")
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+        .distinct()
+    )
     tested = stored.written(_candidates(stars, classes, similarity), "stars")
     links = _links(df, key, text, classes, tested, similarity)
     labels = stored.written(components(links), "labels")
@@ -425,8 +434,10 @@ def similarity_classes(
     sizes = [F.when(F.col("a") < F.col("b"), F.col(f"{x}_n")).otherwise(F.col(f"{y}_n")).alias(f"{x}_n") for x, y in ("ab", "ba")]
     more = stored.written(crossing.select(*pair, *sizes).distinct().join(tested, ["a", "b"], "left_anti"), "crossing")
     if more.limit(1).count():
-        links = links.unionByName(_links(df, key, text, classes, more, similarity))
-        labels = stored.written(components(links), "labels")
+        further = _links(df, key, text, classes, more, similarity)
+        if further.limit(1).count():
+            links = links.unionByName(further)
+            labels = stored.written(components(links), "labels")
     # A component's id is the smallest key of its classes.
     named = classes.select("node", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = named.join(labels.select("label").distinct(), "label", "left_semi")
