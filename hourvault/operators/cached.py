@@ -8,15 +8,30 @@ from pyspark.sql import functions as F
 _GROUP = ["blob_hour", "run_id", "group_no"]
 
 
+def _stored_groups(data_files: DataFrame) -> DataFrame:
+    """Files and bytes of each group that are still there."""
+    return data_files.groupBy(*_GROUP).agg(F.count("*").alias("_files"), F.sum("size").alias("_bytes"))
+
+
+def _empty() -> Column:
+    """Files of which nothing is stored: no events and no refused lines."""
+    return (F.col("events_count") == 0) & (F.col("refused_count") == 0)
+
+
+def _whole() -> Column:
+    """All stored files of the row's group are still there, with all their bytes."""
+    return F.coalesce((F.col("_files") == F.col("group_files")) & (F.col("_bytes") == F.col("group_bytes")), F.lit(False))
+
+
 def present_files(current: DataFrame, data_files: DataFrame) -> DataFrame:
-    """Current manifest rows whose event data still exists.
+    """Current manifest rows whose stored data is complete.
 
-    Files without events need no data. `data_files` has one row per stored file
-    with its `blob_hour`, `run_id`, `group_no`.
+    Files without lines need no data. `data_files` has one row per stored file
+    with its `blob_hour`, `run_id`, `group_no` and `size`; a group of which one
+    file is gone or cut off is missing as a whole.
     """
-    groups = data_files.select(*_GROUP).distinct()
-    marked = current.join(groups.withColumn("_found", F.lit(True)), _GROUP, "left")
-    return marked.where((F.col("events_count") == 0) | F.col("_found")).drop("_found")
+    marked = current.join(_stored_groups(data_files), _GROUP, "left")
+    return marked.where(_empty() | _whole()).select(*current.columns)
 
 
 def missing_files(listing: DataFrame, present: DataFrame) -> DataFrame:
@@ -54,27 +69,26 @@ def sync_totals(counts: DataFrame) -> DataFrame:
 def status_row(current: DataFrame, data_files: DataFrame) -> DataFrame:
     """Cached files, events, bytes and the last run, in one row.
 
-    Manifest rows whose data is gone do not count. Stored files count once,
-    however many source files share them, and only if a current row uses them.
-    Both sides are reduced to one row per group before they meet.
+    Manifest rows whose data is not complete do not count. Stored files count
+    once, however many source files share them, and only if a current row uses
+    them. Both sides are reduced to one row per group before they meet.
     """
-    stored = data_files.groupBy(*_GROUP).agg(F.sum("size").alias("bytes"))
-    empty = F.col("events_count") == 0
-    wanted = current.groupBy(*_GROUP).agg(
+    empty = _empty()
+    wanted = current.groupBy(*_GROUP, "group_files", "group_bytes").agg(
         F.count("*").alias("files"),
         F.count_if(empty).alias("empty_files"),
         F.sum("events_count").alias("events"),
         F.max("materialized_at").alias("newest"),
         F.max(F.when(empty, F.col("materialized_at"))).alias("newest_empty"),
     )
-    found = F.col("bytes").isNotNull()
+    found = _whole()
 
     def total(value: Column) -> Column:
         return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
 
-    return wanted.join(stored, _GROUP, "left").agg(
+    return wanted.join(_stored_groups(data_files), _GROUP, "left").agg(
         total(F.when(found, F.col("files")).otherwise(F.col("empty_files"))).alias("blobs_count"),
         total(F.when(found, F.col("events"))).alias("events_count"),
-        total(F.col("bytes")).alias("parquet_size_bytes"),
+        total(F.when(found, F.col("_bytes"))).alias("parquet_size_bytes"),
         F.max(F.when(found, F.col("newest")).otherwise(F.col("newest_empty"))).alias("last_materialized_at"),
     )

@@ -31,7 +31,8 @@ ROW_GROUP_BYTES = 128 * 1024 * 1024
 # Work of one read-parse-write task.
 TASK_BYTES = 64 * 1024 * 1024
 TASK_FILES = 2_000
-MAX_WRITE_TASKS = 100_000
+# Source bytes one run takes on before the next one begins.
+UNIT_BYTES = 1 << 40
 # Tasks move their files into place themselves instead of leaving all renames to
 # the driver. The files become visible only through the commit row anyway.
 _PARALLEL_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
@@ -90,7 +91,9 @@ def _files_read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     # Refused lines have neither ID nor time.
     time = F.when(F.col("event_id").isNotNull(), F.col("timestamp"))
     return rows.groupBy("blob_path").agg(
+        F.first("blob_hour").alias("blob_hour"),
         F.count_if(~refused).alias("events_count"),
+        F.count_if(refused).alias("refused_count"),
         F.count(time).alias("searchable_count"),
         F.min(time).alias("first_event"),
         F.max(time).alias("last_event"),
@@ -116,8 +119,9 @@ def materialize(
 
     `missing` must be stable (pinned): it is read more than once. All of it must
     lie in the hours of `bounds`, if given.
-    `mode="failfast"` fails on the first malformed line and publishes nothing;
-    `mode="quarantine"` publishes the good lines and keeps the others aside.
+    `mode="failfast"` publishes the hours without a malformed line, then fails
+    on the first such line; `mode="quarantine"` publishes all good lines and
+    keeps the others aside.
     """
     if mode not in ("failfast", "quarantine"):
         raise ValueError(f"Unknown mode: {mode!r}")
@@ -144,7 +148,7 @@ def materialize(
     assigned = pin(assign_groups(missing, target_bytes, count=totals["files"]))
     # Enough tasks for the bytes and, as small files cost latency, for the files.
     work = totals["bytes"] // TASK_BYTES + totals["files"] // TASK_FILES
-    tasks = int(min(MAX_WRITE_TASKS, max(3 * spark.sparkContext.defaultParallelism, work)))
+    tasks = int(max(3 * spark.sparkContext.defaultParallelism, work))
     _write_events(
         assigned.where(F.col("size") > 0),
         container,
@@ -157,13 +161,24 @@ def materialize(
     )
 
     read = pin(_files_read(spark, root, run_id))
+    first, bad_hours = None, []
     if mode == "failfast":
-        first = read.where(F.col("first_bad").isNotNull()).orderBy("blob_path").select("blob_path", "first_bad").head()
-        if first is not None:
+        bad = read.where(F.col("first_bad").isNotNull())
+        first = bad.orderBy("blob_path").select("blob_path", "first_bad").head()
+    if first is not None:
+        # The hours with a malformed line are not published; the others are.
+        bad_hours = [r["blob_hour"] for r in bad.select("blob_hour").distinct().collect()]
+        for hour in bad_hours:
+            remove(spark, join_path(_run_dir(root, run_id), f"blob_hour={hour}"))
+        assigned = assigned.where(~F.col("blob_hour").isin(bad_hours))
+        if assigned.isEmpty():
             remove(spark, _run_dir(root, run_id))
-            raise MalformedLineError(f"Failed to parse {first['blob_path']} at line {first['first_bad']}")
+            raise _malformed(first)
     stamp = instant_literal(now or datetime.now(timezone.utc), T.TimestampType())
-    rows = assigned.join(read, "blob_path", "left")
+    stored = archive.list_stored(
+        join_path(root, "events"), read.select(F.lit(run_id).alias("run_id"), "blob_hour").distinct()
+    ).groupBy("blob_hour", "group_no").agg(F.count("*").alias("group_files"), F.sum("size").alias("group_bytes"))
+    rows = assigned.join(read.drop("blob_hour"), "blob_path", "left").join(stored, ["blob_hour", "group_no"], "left")
     manifest = rows.select(
         "blob_path",
         "file_name",
@@ -175,6 +190,9 @@ def materialize(
         F.coalesce("searchable_count", F.lit(0).cast("bigint")).alias("searchable_count"),
         "first_event",
         "last_event",
+        F.coalesce("refused_count", F.lit(0).cast("bigint")).alias("refused_count"),
+        F.coalesce("group_files", F.lit(0).cast("bigint")).alias("group_files"),
+        F.coalesce("group_bytes", F.lit(0).cast("bigint")).alias("group_bytes"),
         stamp.alias("materialized_at"),
         "blob_hour",
         F.substring("blob_hour", 1, 10).alias("blob_day"),
@@ -184,7 +202,7 @@ def materialize(
     (
         manifest.select(*MANIFEST_SCHEMA.names)
         .repartition(
-            max(1, min(totals["days"] * parts, 1000)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
+            int(max(1, totals["days"] * parts)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
         )
         .write.mode("overwrite")
         # Only this run's own partitions, through a staging folder of its own.
@@ -200,20 +218,61 @@ def materialize(
         F.max("materialized_at").alias("materialized_at"),
     ).select(*COMMIT_SCHEMA.names)
     commit.coalesce(1).write.parquet(join_path(root, "commits", run_id))
+    if first is not None:
+        raise _malformed(first)
     return run_id
 
 
+def _malformed(first) -> MalformedLineError:
+    return MalformedLineError(f"Failed to parse {first['blob_path']} at line {first['first_bad']}")
+
+
 def sync_listing(
-    spark: SparkSession, container: str, root: str, listing: DataFrame, bounds: HourBounds | None, **options
+    spark: SparkSession,
+    container: str,
+    root: str,
+    listing: DataFrame,
+    bounds: HourBounds | None,
+    *,
+    unit_bytes: int = UNIT_BYTES,
+    **options,
 ) -> DataFrame:
-    """Sync a known listing; counts per hour."""
+    """Sync a known listing; counts per hour.
+
+    A long range is synced in units of whole days, each a run of its own, so
+    that it goes on where it stopped. A malformed line keeps only its hour from
+    being stored: the units go on, and the first such line is raised at the end.
+    """
     present = current_files(spark, root, bounds)
     marked = pin(cached.mark_missing(listing.select(*LISTING_SCHEMA.names), present))
     missing = marked.where(F.col("is_missing")).drop("is_missing")
-    materialize(spark, container, root, missing, bounds=bounds, **options)
+    failed = None
+    for first, last in _units(missing, unit_bytes):
+        days = F.substring("blob_partition", 1, 10).between(first, last)
+        try:
+            materialize(spark, container, root, missing.where(days), bounds=bounds, **options)
+        except MalformedLineError as error:
+            failed = failed or error
+    if failed is not None:
+        raise failed
     return cached.sync_counts(marked)
 
 
+def _units(missing: DataFrame, unit_bytes: int) -> list[tuple[str, str]]:
+    """First and last day of each run; days are added while they fit. One row a day reaches the driver."""
+    day = F.substring("blob_partition", 1, 10).alias("day")
+    units: list[tuple[str, str]] = []
+    held = 0
+    for row in missing.groupBy(day).agg(F.sum("size").alias("bytes")).orderBy("day").collect():
+        if units and held + row["bytes"] <= unit_bytes:
+            units[-1] = (units[-1][0], row["day"])
+            held += row["bytes"]
+        else:
+            units.append((row["day"], row["day"]))
+            held = row["bytes"]
+    return units
+
+
 def sync(
     spark: SparkSession,
     container: str,

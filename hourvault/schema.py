@@ -66,6 +66,10 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("searchable_count", T.LongType()),
         T.StructField("first_event", T.TimestampType()),
         T.StructField("last_event", T.TimestampType()),
+        T.StructField("refused_count", T.LongType()),
+        # Stored files and bytes of the whole group: a group that lost some is missing.
+        T.StructField("group_files", T.LongType()),
+        T.StructField("group_bytes", T.LongType()),
         T.StructField("materialized_at", T.TimestampType()),
         T.StructField("blob_hour", T.StringType()),
         T.StructField("blob_day", T.StringType()),

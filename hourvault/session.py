@@ -5,12 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Rows up to which a small side may be broadcast. At a few hundred bytes a row
-# this stays well below 100 MB on every executor.
+# Rows and bytes up to which a small side may be broadcast.
 BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def build_session(app_name: str = "hourvault", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,12 +47,16 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the session names it.
 
-    Only a session without one (a local test) gets a temporary folder.
+    Only a local session without one (a test) gets a temporary folder; on a
+    cluster that would be a folder of one machine, so it is refused.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
         current = spark.conf.get("spark.checkpoint.dir", None)
         if current is None:
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors reach")
             current = tempfile.mkdtemp(prefix="hourvault-")
         spark.sparkContext.setCheckpointDir(current)
         current = spark.sparkContext.getCheckpointDir()
@@ -68,8 +73,23 @@ def pin(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only after counting the side; (frame, was it hinted)."""
-    if df.limit(max_rows + 1).count() <= max_rows:
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: its texts and binaries, and 16 for each column."""
+    total = F.lit(16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+    return total
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> tuple[DataFrame, bool]:
+    """Broadcast hint only after rows and bytes of the side are known; (frame, was it hinted).
+
+    Pass a frame that is cheap to read twice: a pinned one or a small table.
+    """
+    size = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(_row_bytes(df)).alias("bytes")).head()
+    if size["rows"] <= max_rows and (size["bytes"] or 0) <= max_bytes:
         return F.broadcast(df), True
     return df, False

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourvault.functions.hours import partition_to_hour
-from hourvault.sources.storage import join_path, open_storage
+from hourvault.sources.storage import join_path, open_storage, qualified
 
 SUFFIX = ".ndjson"
 SPLIT_BYTES = 64 * 1024 * 1024
@@ -53,23 +54,26 @@ def _list_under(container: str, recursive: bool, suffix: str = SUFFIX):
         for batch in batches:
             for row in batch.to_pylist():
                 if not row["is_dir"]:
-                    found = [row]
-                else:
-                    selector = pafs.FileSelector(
-                        join_path(root, row["blob_path"]), allow_not_found=True, recursive=recursive
-                    )
-                    found = [
-                        {
-                            "blob_path": info.path[len(root) :].lstrip("/"),
-                            "blob_partition": row["blob_partition"],
-                            "size": info.size,
-                            "is_dir": info.type == pafs.FileType.Directory,
-                        }
-                        for info in filesystem.get_file_info(selector)
-                        if info.type == pafs.FileType.Directory or info.path.endswith(suffix)
+                    yield pa.RecordBatch.from_pylist([row], schema=schema)
+                    continue
+                selector = pafs.FileSelector(
+                    join_path(root, row["blob_path"]), allow_not_found=True, recursive=recursive
+                )
+                # The file system's own listing is walked once; rows leave 10,000 at a time.
+                infos = iter(filesystem.get_file_info(selector))
+                while page := list(islice(infos, 10_000)):
+                    kept = [
+                        info for info in page if info.type == pafs.FileType.Directory or info.path.endswith(suffix)
                     ]
-                for start in range(0, len(found), 10_000):
-                    yield pa.RecordBatch.from_pylist(found[start : start + 10_000], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([info.path[len(root) :].lstrip("/") for info in kept], pa.string()),
+                            pa.array([row["blob_partition"]] * len(kept), pa.string()),
+                            pa.array([info.size for info in kept], pa.int64()),
+                            pa.array([info.type == pafs.FileType.Directory for info in kept], pa.bool_()),
+                        ],
+                        schema=schema,
+                    )
 
     schema = pa.schema(
         [
@@ -88,6 +92,7 @@ def list_archive(hours: DataFrame, container: str, folder: str = "") -> DataFram
     One task per hour lists its direct children; sub-folders are then dealt out
     to other tasks, so one crowded hour does not list alone.
     """
+    container = qualified(hours.sparkSession, container)
     tasks = 4 * hours.sparkSession.sparkContext.defaultParallelism
     roots = hours.select(
         hour_prefix(F.col("blob_partition"), folder).alias("blob_path"),
@@ -135,6 +140,7 @@ def byte_ranges(files: DataFrame, container: str, split_bytes: int = SPLIT_BYTES
     breaks counted per range first; the counts are summed over the (few) ranges
     of a file, never over its lines.
     """
+    container = qualified(files.sparkSession, container)
     small = (
         files.where(F.col("size") <= split_bytes)
         .withColumn("start", F.lit(0).cast("bigint"))
@@ -229,6 +235,7 @@ def read_ranges(
     `keep` names columns passed through. Files are fetched a few at a time per
     task, as small files cost latency rather than bandwidth.
     """
+    container = qualified(ranges.sparkSession, container)
     fields = [f for f in ranges.schema.fields if f.name in keep]
     out_spark = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     arrow_types = {"string": pa.string(), "bigint": pa.int64()}
@@ -290,6 +297,7 @@ def with_hour(files: DataFrame) -> DataFrame:
 
 def list_stored(events_root: str, dirs: DataFrame) -> DataFrame:
     """Parquet files under directories (`run_id`, `blob_hour`), with keys and size."""
+    events_root = qualified(dirs.sparkSession, events_root)
     tasks = 4 * dirs.sparkSession.sparkContext.defaultParallelism
     roots = dirs.select(
         F.concat(F.lit("run_id="), "run_id", F.lit("/blob_hour="), "blob_hour").alias("blob_path"),

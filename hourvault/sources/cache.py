@@ -20,12 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, MANIFEST_SCHEMA
-from hourvault.session import BROADCAST_ROWS, broadcast_if_small
+from hourvault.session import broadcast_if_small, pin
 from hourvault.sources.storage import child_names, exists, join_path
 
 HourBounds = tuple[str, str]
 
 
+class LostDataError(RuntimeError):
+    """The manifest names stored events that are no longer there."""
+
+
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
@@ -37,13 +41,14 @@ def read_commits(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
 
 
-def _finished_runs(spark: SparkSession, root: str) -> DataFrame:
-    runs, _ = broadcast_if_small(read_commits(spark, root).select("run_id"))
-    return runs
-
-
 def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
-    """Manifest rows of finished runs."""
+    """Manifest rows of finished runs.
+
+    Commits are listed before the manifest. A run writes its manifest before its
+    commit, so a run that is seen as finished is seen whole; one that commits
+    between the two listings is not seen at all.
+    """
+    finished, _ = broadcast_if_small(read_commits(spark, root).select("run_id"))
     base = join_path(root, "manifest")
     days = child_names(spark, join_path(base, "blob_day=*"))
     if bounds is not None:
@@ -54,18 +59,25 @@ def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = No
     rows = spark.read.schema(MANIFEST_SCHEMA).option("basePath", base).parquet(*paths)
     if bounds is not None:
         rows = rows.where(F.col("blob_hour").between(*bounds))
-    return rows.join(_finished_runs(spark, root), "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
+    return rows.join(finished, "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
 
 
 def manifest_current(manifest: DataFrame) -> DataFrame:
     """Newest row per source file.
 
-    An aggregate rather than a window: rows of a file that was rewritten very
-    often are reduced before the shuffle.
+    Files with one row, nearly all of them, are settled by a plain count; only
+    the rows of the others are compared whole.
     """
+    repeated = _repeated(manifest)
+    single = manifest.join(repeated, "blob_path", "left_anti")
     others = [c for c in manifest.columns if c not in ("blob_path", "materialized_at", "run_id")]
     newest = F.max(F.struct("materialized_at", "run_id", *others)).alias("newest")
-    return manifest.groupBy("blob_path").agg(newest).select("blob_path", "newest.*").select(*manifest.columns)
+    several = manifest.join(repeated, "blob_path", "left_semi").groupBy("blob_path").agg(newest)
+    return single.unionByName(several.select("blob_path", "newest.*")).select(*manifest.columns)
+
+
+def _repeated(manifest: DataFrame) -> DataFrame:
+    return manifest.groupBy("blob_path").agg(F.count("*").alias("copies")).where(F.col("copies") > 1).select("blob_path")
 
 
 def manifest_entry(spark: SparkSession, root: str, blob_path: str, bounds: HourBounds | None = None) -> DataFrame:
@@ -78,8 +90,7 @@ def superseded(manifest: DataFrame) -> DataFrame:
 
     Files read once, nearly all of them, are ruled out by a plain count.
     """
-    repeated = manifest.groupBy("blob_path").agg(F.count("*").alias("copies")).where(F.col("copies") > 1)
-    copies = manifest.select("blob_path", "run_id", "materialized_at").join(repeated, "blob_path", "left_semi")
+    copies = manifest.select("blob_path", "run_id", "materialized_at").join(_repeated(manifest), "blob_path", "left_semi")
     newest = copies.groupBy("blob_path").agg(
         F.max(F.struct("materialized_at", "run_id"))["run_id"].alias("_newest")
     )
@@ -91,8 +102,9 @@ def superseded(manifest: DataFrame) -> DataFrame:
 
 
 def hour_dirs(manifest: DataFrame) -> DataFrame:
-    """Directories (`run_id`, `blob_hour`) that may hold events of manifest rows."""
-    return manifest.where(F.col("size") > 0).select("run_id", "blob_hour").distinct()
+    """Directories (`run_id`, `blob_hour`) that hold lines of manifest rows."""
+    stored = F.col("events_count") + F.col("refused_count") > 0
+    return manifest.where(stored).select("run_id", "blob_hour").distinct()
 
 
 def read_stored(
@@ -103,35 +115,31 @@ def read_stored(
     `bounds` is a first and last hour; `only` further limits to a set of hours.
     Visible: the run is committed and the file was not read again by a newer
     run. The second case is rare (data lost, or two syncs at once), so events
-    are only joined when it occurs; otherwise nothing is shuffled.
+    are only joined when it occurs; otherwise nothing is shuffled. Raises
+    LostDataError if a directory is gone that current manifest rows need; a
+    sync of its hours reads them again.
     """
     entries = read_manifest(spark, root, bounds)
     if only is not None:
         entries = entries.where(F.col("blob_hour").isin(list(only)))
     base = join_path(root, "events")
     # Counted in hours and runs, like the directory listing Spark itself does.
-    paths = [
-        join_path(base, f"run_id={d['run_id']}", f"blob_hour={d['blob_hour']}")
-        for d in hour_dirs(entries).collect()
-    ]
-    reader = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", base)
+    # Only directories that current rows need: those of older copies may be gone.
+    dirs = hour_dirs(manifest_current(entries)).collect()
+    paths = [join_path(base, f"run_id={d['run_id']}", f"blob_hour={d['blob_hour']}") for d in dirs]
+    if not paths:
+        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
     try:
-        rows = reader.parquet(*paths) if paths else None
+        rows = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", base).parquet(*paths)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        # Lost data, or files of blank lines only: read what is there.
-        paths = [path for path in paths if exists(spark, path)]
-        rows = reader.parquet(*paths) if paths else None
-    if rows is None:
-        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
+        raise LostDataError(f"Stored events are gone; sync their hours again: {error}") from error
     rows = rows.withColumn("parquet_path", F.col("_metadata.file_path"))
-    replaced = superseded(entries)
-    found = replaced.limit(BROADCAST_ROWS + 1).count()
-    if found == 0:
+    replaced = pin(superseded(entries))
+    if replaced.isEmpty():
         return rows
-    if found <= BROADCAST_ROWS:
-        replaced = F.broadcast(replaced)
+    replaced, _ = broadcast_if_small(replaced)
     return rows.join(replaced, ["run_id", "blob_path"], "left_anti")
 
 

@@ -33,6 +33,15 @@ def _hadoop(spark: SparkSession, path: str):
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as the driver's Hadoop layer resolves it.
+
+    In a task a path without a scheme would be the task's local disk.
+    """
+    filesystem, jvm_path = _hadoop(spark, path)
+    return filesystem.makeQualified(jvm_path).toString()
+
+
 def child_names(spark: SparkSession, pattern: str) -> list[str]:
     """Names matching a glob; for directories counted in hours or runs."""
     filesystem, path = _hadoop(spark, pattern)
