@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hourvault.functions.hours import partition_to_hour
 from hourvault.operators.search import check_limit
-from hourvault.session import broadcast_if_small
+from hourvault.session import broadcast_if_small, pin
 
 DETAIL_COLUMNS = ("event_id", "blob_partition", "blob_name", "source_line", "raw_json")
 _KEY = ["blob_path", "source_line", "event_id"]
@@ -29,12 +29,9 @@ def lookup_event(events: DataFrame, event_id: str, blob_path: str, source_line:
 def lookup_results(events: DataFrame, results: DataFrame) -> DataFrame:
     """Stored events behind any number of results, in one join.
 
-    The result side is broadcast once its row count is known to be small; its
-    hour is part of the key, so event partitions without a result are skipped.
+    The result side is broadcast once its rows and bytes are known to be small.
     """
-    keys = results.select(
-        *_KEY, partition_to_hour(F.col("blob_partition")).alias("blob_hour")
-    ).distinct()
+    keys = pin(results.select(*_KEY, partition_to_hour(F.col("blob_partition")).alias("blob_hour")).distinct())
     keys, _ = broadcast_if_small(keys)
     on = [*_KEY, "blob_hour"] if "blob_hour" in events.columns else _KEY
     if on == _KEY:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 from datetime import datetime, timezone
+from urllib.parse import unquote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,37 +22,48 @@ from hourvault.operators.search import (
     newest_hours,
     search,
 )
+from hourvault.operators.timerange import resolve_range
 from hourvault.plans.sync import sync
 from hourvault.schema import EVENT_TABLE_SCHEMA, RESULT_SCHEMA
 from hourvault.session import pin
 from hourvault.sources.cache import empty_frame, manifest_current, read_events, read_manifest
-from hourvault.sources.storage import child_names, exists, join_path, remove
+from hourvault.sources.storage import exists, join_path, qualified, remove
 
 _VERSION_SCHEMA = T.StructType(
     [T.StructField("version", T.StringType()), T.StructField("stored_at", T.TimestampType())]
 )
 
 
-def _current_version(spark: SparkSession, root: str) -> str | None:
+def _versions(spark: SparkSession, root: str) -> list[str]:
+    """Complete result sets, the newest first; cleaning keeps them few."""
     path = join_path(root, "results", "versions")
     if not exists(spark, path):
-        return None
-    newest = (
-        spark.read.schema(_VERSION_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .parquet(path)
-        .agg(F.max(F.struct("stored_at", "version")).alias("newest"))
-        .head()["newest"]
-    )
-    return newest["version"] if newest else None
+        return []
+    markers = spark.read.schema(_VERSION_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    return [r["version"] for r in markers.orderBy(F.desc("stored_at"), F.desc("version")).collect()]
+
+
+def _current_version(spark: SparkSession, root: str) -> str | None:
+    return next(iter(_versions(spark, root)), None)
+
+
+def _remove_old_results(spark: SparkSession, root: str) -> None:
+    """Remove the sets replaced by a set that was itself replaced, then their markers.
+
+    The last but one is kept for readers that opened it. A set without a marker
+    belongs to a search that is not finished, and is left alone.
+    """
+    for version in _versions(spark, root)[2:]:
+        remove(spark, join_path(root, "results", "data", f"version={version}"))
+        remove(spark, join_path(root, "results", "versions", version))
 
 
 def replace_results(spark: SparkSession, root: str, results: DataFrame) -> None:
     """Store a result set in place of the last one; one row per event ID.
 
-    The old set stays readable until the new one is complete.
+    The old set stays readable until the new one is complete. Of searches that
+    end at once, the one that is complete last counts.
     """
-    previous = _current_version(spark, root)
     version = uuid.uuid4().hex
     data = join_path(root, "results", "data")
     lookup.unique_results(results).select(*RESULT_SCHEMA.names).write.option("compression", "zstd").parquet(
@@ -59,10 +72,7 @@ def replace_results(spark: SparkSession, root: str, results: DataFrame) -> None:
     stamp = instant_literal(datetime.now(timezone.utc), T.TimestampType())
     marker = spark.range(1).select(F.lit(version).alias("version"), stamp.alias("stored_at")).coalesce(1)
     marker.write.parquet(join_path(root, "results", "versions", version))
-    # The replaced set is kept for readers that opened it; older ones go.
-    for name in child_names(spark, join_path(data, "version=*")):
-        if name not in (f"version={version}", f"version={previous}"):
-            remove(spark, join_path(data, name))
+    _remove_old_results(spark, root)
 
 
 def clear_results(spark: SparkSession, root: str) -> None:
@@ -88,11 +98,19 @@ def search_cache(
     lateness_hours: int = 0,
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
-    """Search the cached hours of a range."""
+    """Search the cached hours of a range.
+
+    Without filters, the manifest names the few hours that can hold the newest
+    events, and only those are read.
+    """
     check_limit(limit, max_limit)
     bounds = hour_bounds(from_utc, to_utc, lateness_hours)
     if bounds is None:
         return empty_frame(spark, RESULT_SCHEMA)
+    if all(value is None for value in (filters or {}).values()):
+        found = _newest(spark, root, from_utc, to_utc, limit, lateness_hours)
+        if found is not None:
+            return found
     return search(
         read_events(spark, root, bounds),
         from_utc,
@@ -147,15 +165,11 @@ def search_and_store(
 ) -> DataFrame:
     """Search, replace the stored result set (also by an empty one), return the results."""
     check_limit(limit, max_limit)
-    found = None
-    if all(value is None for value in (filters or {}).values()):
-        found = _newest(spark, root, from_utc, to_utc, limit, lateness_hours)
-    if found is None:
-        found = pin(
-            search_cache(
-                spark, root, from_utc, to_utc, filters, limit, lateness_hours=lateness_hours, max_limit=max_limit
-            )
+    found = pin(
+        search_cache(
+            spark, root, from_utc, to_utc, filters, limit, lateness_hours=lateness_hours, max_limit=max_limit
         )
+    )
     replace_results(spark, root, found)
     return found
 
@@ -187,18 +201,65 @@ def search_archive(
 def lookup_last(spark: SparkSession, root: str, event_ids: list[str] | None = None) -> DataFrame:
     """Stored events behind the last results (all, or the given IDs).
 
-    IDs that are not in the result set cost no scan; only hours of the wanted
-    results are opened.
+    IDs that are not in the result set cost no scan. Each result names the file
+    that holds its event, and only these files (no more than results) are
+    opened; if one of them is gone, the hours of the results are read instead.
     """
     wanted = read_results(spark, root)
     if event_ids is not None:
         wanted = wanted.where(F.col("event_id").isin(event_ids))
+    paths = [r["parquet_path"] for r in wanted.select("parquet_path").distinct().collect()]
+    if paths and None not in paths:
+        events = _stored_files(spark, root, paths)
+        if events is not None:
+            return lookup.lookup_results(events, wanted)
     hours = sorted(r["blob_hour"] for r in wanted.select("blob_hour").distinct().collect())
     if not hours:
         return lookup.lookup_results(empty_events(spark), wanted)
     return lookup.lookup_results(read_events(spark, root, (hours[0], hours[-1]), hours), wanted)
 
 
+def _stored_files(spark: SparkSession, root: str, paths: list[str]) -> DataFrame | None:
+    """Events of some stored files; None if one is no longer there."""
+    reader = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", qualified(spark, join_path(root, "events")))
+    try:
+        # The paths are as Spark reports them, with escapes.
+        rows = reader.parquet(*[unquote(path) for path in paths])
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return rows.where(F.col("bad_reason").isNull()).drop("bad_reason")
+
+
+def search_expression(
+    spark: SparkSession,
+    container: str | None,
+    root: str,
+    *,
+    expr: str | None = None,
+    from_text: str | None = None,
+    to_text: str | None = None,
+    tz: str = "UTC",
+    now: datetime | None = None,
+    filters: Mapping[str, str | None] | None = None,
+    limit: int = DEFAULT_LIMIT,
+    **options,
+) -> DataFrame:
+    """A search by a time expression (`last 2 hours`, `yesterday`, ISO texts) in any zone, in one call.
+
+    With a container, missing hours are synced first; without one, the cache is
+    searched as it is. The results are stored either way. Options are those of
+    `search_archive` or `search_and_store`.
+    """
+    span = resolve_range(
+        spark, now or datetime.now(timezone.utc), expr=expr, from_text=from_text, to_text=to_text, tz=tz
+    )
+    if container is None:
+        return search_and_store(spark, root, *span, filters, limit, **options)
+    return search_archive(spark, container, root, *span, filters, limit, **options)
+
+
 def empty_events(spark: SparkSession) -> DataFrame:
     return empty_frame(spark, EVENT_TABLE_SCHEMA).drop("bad_reason")
 
