@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted shapes, extended or basic. A bare number never matches,
-# so a JSON number in a time field is refused without looking at its JSON type.
+# Accepted shapes, extended or basic. A date of eight digits alone is
+# also how a JSON number reads: who parses JSON must look at its type first.
 _ISO = (
     r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?"
-    r"|\d{8}[T ]\d{2}(\d{2}(\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)$"
+    r"|\d{8}([T ]\d{2}(\d{2}(\d{2}([.,]\d+)?)?)?(Z|[+-]\d{2}(:?\d{2})?)?)?)$"
 )
+BARE_DATE = r"^\d{8}$"
+# A date by ISO week, its day (Monday if absent), and what follows.
+_WEEK = r"^(\d{4})-?W(\d{2})(?:-?([1-7]))?([T ].*)?$"
 # The shape almost every producer writes; taken as is.
 _COMMON = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"
 # Rewrites that bring any accepted shape to the common one, in this order.
@@ -38,6 +41,21 @@ def has_offset(value: Column) -> Column:
     return strip(value).rlike(_HAS_OFFSET)
 
 
+def _week_date(text: Column) -> Column:
+    """A week date as a calendar date with the same rest; NULL for a week its year lacks."""
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(text, _WEEK, i)
+
+    # January 4 is always in the first week.
+    first = F.to_date(F.date_trunc("WEEK", F.make_date(part(1).try_cast("int"), F.lit(1), F.lit(4))))
+    week = part(2).try_cast("int")
+    day = F.date_add(F.date_add(first, (week - 1) * 7), F.coalesce(part(3).try_cast("int"), F.lit(1)) - 1)
+    extended = F.substring(text, 5, 1) == "-"
+    date = F.when(extended, F.date_format(day, "yyyy-MM-dd")).otherwise(F.date_format(day, "yyyyMMdd"))
+    return F.when(F.weekofyear(day) == week, F.concat(date, part(4)))
+
+
 def iso_to_instant(value: Column) -> Column:
     """Instant of an ISO text; no offset means UTC; NULL when it is not ISO.
 
@@ -45,6 +63,7 @@ def iso_to_instant(value: Column) -> Column:
     Spark's own parser sees the text.
     """
     text = strip(value)
+    text = F.when(text.rlike(_WEEK), _week_date(text)).otherwise(text)
     rewritten = text
     for pattern, replacement in _REWRITES:
         rewritten = F.regexp_replace(rewritten, pattern, replacement)

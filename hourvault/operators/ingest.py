@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hourvault.functions.isotime import iso_to_instant, strip
+from hourvault.functions.isotime import BARE_DATE, iso_to_instant, strip
 from hourvault.functions.once import with_columns_once
 
 # A line is parsed as the first element of a two-element array whose second
@@ -93,8 +93,12 @@ def parse_lines(lines: DataFrame, empty_as_missing: bool = False) -> DataFrame:
         (F.size("_parsed") == 2) & doc.isNotNull() & (F.col("_parsed")[1]["\u241eend"] == _MARK)
     )
     read = parsed.select(*lines.columns, F.when(F.coalesce(is_object, F.lit(False)), doc).alias("_read"))
+    # Eight digits may be a date in quotes or a number; only these few lines are looked at again.
+    time = F.col("_read.timestamp")
+    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col("raw_json")), "$.timestamp", "variant"))
+    is_text = F.when(strip(time).rlike(BARE_DATE), F.coalesce(kind == "STRING", F.lit(False))).otherwise(True)
     timed = with_columns_once(
-        read, {"_doc": F.col("_read"), "_instant": iso_to_instant(F.col("_read.timestamp"))}
+        read, {"_doc": F.col("_read"), "_instant": F.when(is_text, iso_to_instant(time))}
     ).withColumn(
         "bad_reason",
         F.when(F.col("_doc").isNull(), BAD_JSON).when(

@@ -26,10 +26,10 @@ _ALIASES = {
 _YEAR_ONE = 62_135_596_800  # seconds from year 1 to 1970
 CONFLICT = "a shortcut cannot be combined with from or to"
 TO_WITHOUT_FROM = "to requires from"
-UNSUPPORTED = "unsupported time shortcut"
-ZERO_AMOUNT = "time amount must be greater than zero"
-BAD_DATETIME = "invalid datetime"
-NOT_BEFORE = "start time must be earlier than end time"
+UNSUPPORTED = "unknown time shortcut"
+ZERO_AMOUNT = "the amount must be at least 1"
+BAD_DATETIME = "not an ISO date or time"
+NOT_BEFORE = "the range is empty or runs backwards"
 
 SEARCH_SCHEMA = T.StructType(
     [
@@ -142,8 +142,8 @@ def resolve_range(
     )
     if row["error"] is not None:
         raise InvalidTimeRangeError(row["error"])
-    return _from_micros(row["from_us"]), _from_micros(row["to_us"])
+    return from_micros(row["from_us"]), from_micros(row["to_us"])
 
 
-def _from_micros(value: int) -> datetime:
+def from_micros(value: int) -> datetime:
     return datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=value)

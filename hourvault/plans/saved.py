@@ -2,41 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourvault.functions.hours import hour_of, hours_of_ranges
+from hourvault.functions.hours import hour_bounds, hour_of, hours_of_ranges
 from hourvault.operators.search import DEFAULT_LIMIT, MAX_LIMIT, SUMMARY_COLUMNS, check_limit, newest_first
+from hourvault.operators.timerange import from_micros
 from hourvault.schema import FILTER_FIELDS
 from hourvault.session import broadcast_if_small, pin
+from hourvault.sources.cache import read_events
 
-# The field that keys the join is the first of these a search sets, the most
-# selective first.
-_KEY_ORDER = ("event_id", "user_id", "organization_id", "event_name", "application", "category")
 _SALTS = 32
-# Rows of at most some 100 bytes: a search's range, filters, hour and key.
-SEARCH_ROWS = 500_000
-
-
-def _search_key(fields: list[str]) -> Column:
-    """(field, value) of the most selective filter; ("", "") when there is none."""
-    key = F.struct(F.lit("").alias("field"), F.lit("").alias("value"))
-    for name in reversed(fields):
-        value = F.col(f"s_{name}")
-        key = F.when(
-            value.isNotNull(), F.struct(F.lit(name).alias("field"), value.alias("value"))
-        ).otherwise(key)
-    return key
-
-
-def _event_keys(fields: list[str]) -> Column:
-    """The keys under which a search could ask for an event."""
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("field"), (F.col(name) if name else F.lit("")).alias("value"))
-            for name in fields
-        ]
-    )
+_PAIR = ["e_hour", "e_mask", "e_values"]
+
+
+def _asked(fields: list[str]) -> tuple[Column, Column]:
+    """Which filters a search sets, as a number with a bit for each, and their values in that order."""
+    mask = sum((F.when(F.col(f).isNotNull(), 1 << i).otherwise(0) for i, f in enumerate(fields)), F.lit(0))
+    return mask, F.array_compact(F.array(*[F.col(f) for f in fields])) if fields else F.array().cast("array<string>")
+
+
+def _offered(fields: list[str], masks: list[int]) -> Column:
+    """The (mask, values) under which searches could ask for an event; none where a value is NULL."""
+    keys = []
+    for mask in masks:
+        used = [F.col(f) for i, f in enumerate(fields) if mask >> i & 1]
+        values = F.array(*used) if used else F.array().cast("array<string>")
+        known = F.lit(True)
+        for value in used:
+            known = known & value.isNotNull()
+        keys.append(F.when(known, F.struct(F.lit(mask).alias("mask"), values.alias("values"))))
+    return F.array_compact(F.array(*keys))
 
 
 def top_per_search(matches: DataFrame, order: list[Column], max_limit: int, limit: Column | int) -> DataFrame:
@@ -58,23 +54,12 @@ def top_per_search(matches: DataFrame, order: list[Column], max_limit: int, limi
 def _reachable(by_hour: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
     """Drop hours that cannot reach a search's newest `limit` rows.
 
-    `stats` has rows, first and last event time per (hour, key). Hours that lie
-    wholly in a search's range and hold `limit` rows between them set a floor:
-    nothing older can be among the newest. Only searches without a second
-    filter can rely on the counts; others just lose the hours without events.
+    `stats` has rows, first and last event time per (hour, filters). Hours that
+    lie wholly in a search's range and hold `limit` rows between them set a
+    floor: nothing older can be among the newest.
     """
-    known = by_hour.join(
-        stats.select(
-            F.col("e_hour").alias("s_hour"),
-            F.col("e_field").alias("s_field"),
-            F.col("e_value").alias("s_value"),
-            "rows",
-            "first",
-            "last",
-        ),
-        ["s_hour", "s_field", "s_value"],
-    )
-    whole = (F.col("first") >= F.col("s_from")) & (F.col("last") < F.col("s_to")) & F.col("s_single")
+    known = by_hour.join(stats, _PAIR)
+    whole = (F.col("first") >= F.col("s_from")) & (F.col("last") < F.col("s_to"))
     counted = F.sum(F.when(whole, F.col("rows")).otherwise(0)).over(
         Window.partitionBy("search_id").orderBy(F.desc("first"))
     )
@@ -85,87 +70,111 @@ def _reachable(by_hour: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
     return (
         floored.where(F.col("_floor").isNull() | (F.col("last") >= F.col("_floor")))
         .withColumn("s_from", F.greatest("s_from", "_floor"))
-        .drop("rows", "first", "last", "_sum", "_floor", "s_single")
+        .drop("rows", "first", "_sum", "_floor")
+    )
+
+
+def _numbered(events: DataFrame, ends: DataFrame, order: list[Column]) -> DataFrame:
+    """Events of each (hour, filters) numbered from the newest, and before each search end the number of later events.
+
+    `ends` has the pair and `timestamp`; the result has `_no` and `_is_end`. Rows
+    are ordered minute by minute, and the rows of later minutes are added from
+    sums, so a crowded hour is not one task.
+    """
+    marks = ends.withColumn("_is_end", F.lit(True))
+    rows = events.withColumn("_is_end", F.lit(False)).unionByName(marks, allowMissingColumns=True)
+    rows = rows.withColumn("_minute", F.date_trunc("MINUTE", "timestamp"))
+    is_event = F.when(F.col("_is_end"), 0).otherwise(1)
+    minutes = rows.groupBy(*_PAIR, "_minute").agg(F.sum(is_event).alias("_rows"))
+    later = Window.partitionBy(*_PAIR).orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = minutes.select(*_PAIR, "_minute", F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_later"))
+    # An event at the very end of a search is not in it: it counts as later.
+    within = Window.partitionBy(*_PAIR, "_minute").orderBy(F.desc("timestamp"), "_is_end", *order).rowsBetween(
+        Window.unboundedPreceding, 0
+    )
+    return (
+        rows.withColumn("_n", F.sum(is_event).over(within))
+        .join(offsets, [*_PAIR, "_minute"])
+        .withColumn("_no", F.col("_n") + F.col("_later"))
+        .drop("_n", "_later", "_minute")
     )
 
 
 def run_saved_searches(
-    events: DataFrame,
-    searches: DataFrame,
-    *,
-    limit: int = DEFAULT_LIMIT,
-    max_limit: int = MAX_LIMIT,
-    broadcast_rows: int = SEARCH_ROWS,
+    events: DataFrame, searches: DataFrame, *, limit: int = DEFAULT_LIMIT, max_limit: int = MAX_LIMIT
 ) -> DataFrame:
     """Newest events of every search: `search_id`, result columns, `rank`.
 
     `searches` has `search_id`, `from_utc`, `to_utc` and any of the filter
-    fields (NULL means not set); rows without a range are ignored. Searches meet
-    events on (hour, most selective filter), never as all pairs of an hour, and
-    a first pass of counts per (hour, filter) rules out hours too old for the
-    limit. The search side is broadcast if it has at most `broadcast_rows` rows;
-    otherwise the join is shuffled with the event side salted, so a crowded hour
-    is spread.
+    fields (NULL means not set); rows without a range are ignored.
+
+    Searches meet events on (hour, all filters). Counts per (hour, filters) rule
+    out hours too old for the limit. In the hours left, events are numbered from
+    the newest, and a search meets only the `limit` numbers from its end on (two
+    blocks of `limit` numbers hold them). So a search meets a few times `limit`
+    events, with or without filters, however crowded its hours are.
     """
     check_limit(limit, max_limit)
-    present = [f for f in _KEY_ORDER if f in searches.columns]
-    filters_set = sum((F.col(f"s_{f}").isNotNull().cast("int") for f in present), F.lit(0))
-    # Read several times below; also keeps the range arithmetic out of the join.
+    present = [f for f in FILTER_FIELDS if f in searches.columns]
+    mask, values = _asked(present)
     keyed = pin(
-        searches.select(
+        searches.where(F.col("from_utc") < F.col("to_utc")).select(
             "search_id",
             F.col("from_utc").alias("s_from"),
             F.col("to_utc").alias("s_to"),
-            *[F.col(f).alias(f"s_{f}") for f in present],
+            mask.alias("e_mask"),
+            values.alias("e_values"),
         )
-        .withColumn("_key", _search_key(present))
-        .withColumn("s_single", filters_set <= 1)
-    ).where(F.col("s_from") < F.col("s_to"))
-    used = sorted(r["field"] for r in keyed.select("_key.field").distinct().collect())
-    by_hour = (
-        hours_of_ranges(keyed, "s_from", "s_to")
-        .drop("blob_partition")
-        .withColumnRenamed("blob_hour", "s_hour")
-        .select("*", F.col("_key.field").alias("s_field"), F.col("_key.value").alias("s_value"))
-        .drop("_key")
     )
+    # At most 64 kinds of searches.
+    masks = sorted(r["e_mask"] for r in keyed.select("e_mask").distinct().collect())
+    by_hour = hours_of_ranges(keyed, "s_from", "s_to").drop("blob_partition").withColumnRenamed("blob_hour", "e_hour")
 
     extra = [c for c in ("parquet_path", "blob_path") if c in events.columns]
     hour = F.col("blob_hour") if "blob_hour" in events.columns else hour_of(F.col("timestamp"))
-    columns = list(dict.fromkeys([*SUMMARY_COLUMNS, *present, *extra]))
-    # Without any search every event has just the empty key.
+    columns = list(dict.fromkeys([*SUMMARY_COLUMNS, *extra]))
+    used = list(dict.fromkeys([*columns, *present]))
     offered = (
         events.where(F.col("event_id").isNotNull() & F.col("timestamp").isNotNull())
-        .select(*columns, hour.alias("e_hour"))
-        .select("*", F.explode(_event_keys(used or [""])).alias("_key"))
-        .select(*columns, "e_hour", F.col("_key.field").alias("e_field"), F.col("_key.value").alias("e_value"))
-    )
-    same_key = (
-        (F.col("e_hour") == F.col("s_hour"))
-        & (F.col("e_field") == F.col("s_field"))
-        & (F.col("e_value") == F.col("s_value"))
+        .select(*used, hour.alias("e_hour"))
+        .select(*columns, "e_hour", F.explode(_offered(present, masks or [0])).alias("_key"))
+        .select(*columns, "e_hour", F.col("_key.mask").alias("e_mask"), F.col("_key.values").alias("e_values"))
     )
-
-    asked, few = broadcast_if_small(pin(by_hour.select("s_hour", "s_field", "s_value").distinct()), broadcast_rows)
-    wanted = offered.join(asked, same_key, "left_semi") if few else offered
-    stats = wanted.groupBy("e_hour", "e_field", "e_value").agg(
-        F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last")
+    pairs, _ = broadcast_if_small(pin(by_hour.select(*_PAIR).distinct()))
+    stats = (
+        offered.join(pairs, _PAIR, "left_semi")
+        .groupBy(*_PAIR)
+        .agg(F.count("*").alias("rows"), F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
     )
-    reachable, is_small = broadcast_if_small(pin(_reachable(by_hour, stats, limit)), broadcast_rows)
-
-    on = same_key
-    if not is_small:
-        offered = offered.withColumn("e_salt", F.pmod(F.xxhash64("event_id", "source_line"), F.lit(_SALTS)))
-        reachable = reachable.withColumn(
-            "s_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SALTS - 1).cast("bigint")))
-        )
-        on = on & (F.col("e_salt") == F.col("s_salt"))
+    reachable = pin(_reachable(by_hour, stats, limit))
+    # Only searches that end before an hour's last event need a number to begin at.
+    cut = F.col("s_to") <= F.col("last")
+    ends = reachable.where(cut).select(*_PAIR, F.col("s_to").alias("timestamp")).distinct()
+    left, _ = broadcast_if_small(pin(reachable.select(*_PAIR).distinct()))
+    order = newest_first(columns)[1:]
+    numbered = pin(_numbered(offered.join(left, _PAIR, "left_semi"), ends, order))
+    begins = numbered.where("_is_end").select(*_PAIR, F.col("timestamp").alias("s_to"), F.col("_no").alias("_begin"))
+    placed = reachable.join(begins, [*_PAIR, "s_to"], "left").withColumn("_begin", F.coalesce("_begin", F.lit(0)))
+    block = F.floor(F.col("_begin") / limit)
+    wanted = placed.withColumn("_block", F.explode(F.array(block, block + 1))).drop("_begin", "last")
+    found = numbered.where(~F.col("_is_end")).withColumn("_block", F.floor((F.col("_no") - 1) / limit))
     instant = F.col("timestamp")
-    on = on & (instant >= F.col("s_from")) & (instant < F.col("s_to"))
-    for name in present:
-        on = on & (F.col(f"s_{name}").isNull() | (F.col(name) == F.col(f"s_{name}")))
-    matches = offered.join(reachable, on).select("search_id", *SUMMARY_COLUMNS, *extra)
+    matches = (
+        found.join(wanted, [*_PAIR, "_block"])
+        .where((instant >= F.col("s_from")) & (instant < F.col("s_to")))
+        .select("search_id", *SUMMARY_COLUMNS, *extra)
+    )
     return top_per_search(matches, newest_first(matches.columns), limit, limit)
 
 
-assert set(_KEY_ORDER) == set(FILTER_FIELDS)
+def run_saved_on_cache(
+    spark: SparkSession, root: str, searches: DataFrame, *, lateness_hours: int = 0, **options
+) -> DataFrame:
+    """Saved searches over the synced cache; only the hours between the first start and the last end are opened."""
+    ends = (F.min(F.unix_micros("from_utc")).alias("a"), F.max(F.unix_micros("to_utc")).alias("b"))
+    span = searches.where("from_utc < to_utc").agg(*ends).head()
+    if span["a"] is None:
+        bounds = ("0", "0")
+    else:
+        bounds = hour_bounds(from_micros(span["a"]), from_micros(span["b"]), lateness_hours)
+    return run_saved_searches(read_events(spark, root, bounds), searches, **options)
