@@ -16,9 +16,10 @@ from hourvault.operators.grouping import assign_groups, group_totals
 from hourvault.operators.search import search, with_locator
 from hourvault.operators.timerange import resolve_ranges
 from hourvault.plans import results, status, sync
-from hourvault.plans.saved import run_saved_searches
+from hourvault.plans.saved import run_saved_on_cache
 from hourvault.session import configure, scratch_path
 from hourvault.sources import archive, cache
+from hourvault.sources.storage import join_path, remove
 from hourvault.streaming.incremental import sync_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,8 +105,18 @@ et AS (SELECT *, id AS source_line, blob_partition || '/' || blob_name AS blob_p
 NEWEST = 'ORDER BY "timestamp" DESC, event_id, blob_partition, blob_name, source_line, blob_path'
 
 
+# The event table as it is synced from the archive.
+CACHED = FILED + ", et AS (SELECT *, file_line AS source_line FROM filed)"
+
+
 def _search_sql(where: str, limit: int = 100) -> str:
-    return f"WITH {TABLE} SELECT {SUMMARY} FROM et WHERE {where} {NEWEST} LIMIT {limit}"
+    return f"WITH {CACHED} SELECT {SUMMARY} FROM et WHERE {where} {NEWEST} LIMIT {limit}"
+
+
+def _search(spark: SparkSession, sf_dir: str, *args, **options) -> DataFrame:
+    """A search over the synced cache, with the columns of SUMMARY."""
+    found = results.search_cache(spark, w.cache(spark, sf_dir), *args, **options)
+    return found.drop("parquet_path")
 
 
 def _range_sql(start: str, end: str) -> str:
@@ -118,7 +129,7 @@ MONTH_SQL = _range_sql("2024-01-01", "2024-02-01")
 
 def _filtered(name: str, value: str, limit: int = 100) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return search(w.event_table(spark, sf_dir), *MONTH, {name: value}, limit)
+        return _search(spark, sf_dir, *MONTH, {name: value}, limit)
 
     run.__name__ = f"search_{name}"
     query(_search_sql(f"{MONTH_SQL} AND {name} = '{value}'", limit))(run)
@@ -129,7 +140,7 @@ def _filtered(name: str, value: str, limit: int = 100) -> None:
 
 @query(_search_sql(_range_sql("2024-01-10 06:00:00", "2024-01-20 18:30:00")))
 def search_time_range(spark, sf_dir):
-    return search(w.event_table(spark, sf_dir), datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18, 30))
+    return _search(spark, sf_dir, datetime(2024, 1, 10, 6), datetime(2024, 1, 20, 18, 30))
 
 
 _filtered("event_id", "7")
@@ -147,35 +158,56 @@ _filtered("category", "account", 1_000)
 )
 def search_combined_and(spark, sf_dir):
     filters = {"application": "app-2", "organization_id": "org-6", "category": "activity", "user_id": None}
-    return search(w.event_table(spark, sf_dir), *MONTH, filters, 10_000)
+    return _search(spark, sf_dir, *MONTH, filters, 10_000)
 
 
 @query(
-    f"""WITH {TABLE}, span AS (SELECT min("timestamp") AS lo, max("timestamp") AS hi FROM et)
-SELECT {SUMMARY} FROM et, span WHERE "timestamp" >= lo AND "timestamp" < hi {NEWEST} LIMIT 10000"""
+    f"""WITH {CACHED}, span AS (SELECT min("timestamp") AS lo, max("timestamp") AS last FROM et),
+cut AS (SELECT lo, (SELECT max("timestamp") FROM et WHERE "timestamp" <= lo + (last - lo) / 20) AS hi FROM span)
+SELECT {SUMMARY} FROM et, cut WHERE "timestamp" >= lo AND "timestamp" < hi {NEWEST} LIMIT 10000"""
 )
 def search_boundary_half_open(spark, sf_dir):
-    span = w.table(spark, sf_dir, "events").agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).head()
-    return search(w.event_table(spark, sf_dir), span["lo"], span["hi"], limit=10_000)
+    """Both ends are times of events, and all of the range is within the limit: the first is in, the last is not."""
+    events = w.table(spark, sf_dir, "events")
+    span = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("last")).head()
+    hi = events.where(F.col("ts") <= F.lit(span["lo"] + (span["last"] - span["lo"]) / 20)).agg(F.max("ts")).head()[0]
+    return _search(spark, sf_dir, span["lo"], hi, limit=10_000)
+
 
+_MATCHED = "SELECT '{0}' AS kind, event_id, \"timestamp\" FROM (SELECT * FROM et WHERE {1} " + NEWEST + " LIMIT 100)"
 
-@query(_search_sql("application = ''"))
+
+@query(
+    f"WITH {CACHED} {_MATCHED.format('empty', MONTH_SQL + chr(32) + 'AND application = ' + repr(''))} UNION ALL "
+    + _MATCHED.format("set", MONTH_SQL + " AND application = 'app-1'")
+)
 def search_empty_string_filter(spark, sf_dir):
-    return search(w.event_table(spark, sf_dir), *MONTH, {"application": ""})
+    """The empty text is a value that no event has; beside it, the same search with a value that some have."""
+    kinds = [
+        _search(spark, sf_dir, *MONTH, {"application": value}).select(F.lit(kind).alias("kind"), "event_id", "timestamp")
+        for kind, value in (("empty", ""), ("set", "app-1"))
+    ]
+    return kinds[0].unionByName(kinds[1])
 
 
-@query(_search_sql(_range_sql("2031-05-01", "2031-05-02")))
+@query(
+    f"WITH {CACHED} {_MATCHED.format('later', _range_sql('2031-05-01', '2031-05-02'))} UNION ALL "
+    + _MATCHED.format("within", _range_sql("2024-01-05", "2024-01-06"))
+)
 def search_empty_range(spark, sf_dir):
-    return search(w.event_table(spark, sf_dir), datetime(2031, 5, 1), datetime(2031, 5, 2))
+    """A day after all events, and one with events."""
+    days = (("later", datetime(2031, 5, 1), datetime(2031, 5, 2)), ("within", datetime(2024, 1, 5), datetime(2024, 1, 6)))
+    found = [_search(spark, sf_dir, a, b).select(F.lit(kind).alias("kind"), "event_id", "timestamp") for kind, a, b in days]
+    return found[0].unionByName(found[1])
 
 
 @query(
-    f"""WITH {TABLE}, found AS (SELECT * FROM et WHERE {MONTH_SQL} {NEWEST} LIMIT 500)
+    f"""WITH {CACHED}, found AS (SELECT * FROM et WHERE {MONTH_SQL} {NEWEST} LIMIT 500)
 SELECT event_id, "timestamp", source_line AS at_line, blob_partition AS at_partition,
   blob_name AS at_name, blob_path AS at_path FROM found"""
 )
 def search_with_locator(spark, sf_dir):
-    found = with_locator(search(w.event_table(spark, sf_dir), *MONTH, limit=500))
+    found = with_locator(_search(spark, sf_dir, *MONTH, limit=500))
     return found.select(
         "event_id",
         "timestamp",
@@ -318,7 +350,7 @@ _CLOCK = """clock AS (SELECT o_orderkey AS search_id,
   o_orderdate + to_seconds(CAST(o_orderkey * 7919 % 86400 AS BIGINT)) AS now FROM orders)"""
 _SHORTCUTS = (
     "last 15 minutes", "last 1 minute", "Last Hour", " last 6 hours ", "last day", "last 45 days",
-    "today", "current date", "yesterday", "current hour", "last 0 hours", "last minute", "last potato",
+    "today", "current date", "yesterday", "current hour", "last 0 hours", "last minute", "last fortnight",
 )
 # Zones without clock changes in the years of the test data, where SQL engines agree.
 _ZONES = ("UTC", "Asia/Kolkata", "Asia/Kathmandu", "Africa/Lagos")
@@ -346,9 +378,9 @@ r AS (SELECT *,
     WHEN 'yesterday' THEN now - (wall - date_trunc('day', wall)) - INTERVAL 1 DAY
     WHEN 'current hour' THEN now - (wall - date_trunc('hour', wall)) END AS a,
   CASE e WHEN 'yesterday' THEN now - (wall - date_trunc('day', wall)) ELSE now END AS b,
-  CASE WHEN e IN ('last minute', 'last potato') THEN 'unsupported time shortcut'
-    WHEN e = 'last 0 hours' THEN 'time amount must be greater than zero' END AS refused FROM l),
-c AS (SELECT *, CASE WHEN refused IS NULL AND a >= b THEN 'start time must be earlier than end time' ELSE refused END AS error FROM r)
+  CASE WHEN e IN ('last minute', 'last fortnight') THEN 'unknown time shortcut'
+    WHEN e = 'last 0 hours' THEN 'the amount must be at least 1' END AS refused FROM l),
+c AS (SELECT *, CASE WHEN refused IS NULL AND a >= b THEN 'the range is empty or runs backwards' ELSE refused END AS error FROM r)
 SELECT search_id, CASE WHEN error IS NULL THEN a END AS from_utc, CASE WHEN error IS NULL THEN b END AS to_utc, error FROM c"""
 )
 def resolve_shortcuts(spark, sf_dir):
@@ -374,8 +406,8 @@ r AS (SELECT *,
     WHEN k = 7 THEN timezone('UTC', timezone(tz, now)) + INTERVAL 3 DAY END AS a,
   CASE WHEN k = 0 THEN timezone('UTC', timezone(tz, t)) WHEN k = 1 THEN t WHEN k = 2 THEN t
     WHEN k = 3 THEN t WHEN k IN (4, 5) THEN now WHEN k = 7 THEN now END AS b,
-  CASE k WHEN 6 THEN 'to requires from' WHEN 7 THEN 'start time must be earlier than end time'
-    WHEN 8 THEN 'invalid datetime' END AS error FROM s)
+  CASE k WHEN 6 THEN 'to requires from' WHEN 7 THEN 'the range is empty or runs backwards'
+    WHEN 8 THEN 'not an ISO date or time' END AS error FROM s)
 SELECT search_id, CASE WHEN error IS NULL THEN a END AS from_utc, CASE WHEN error IS NULL THEN b END AS to_utc, error FROM r"""
 )
 def resolve_explicit(spark, sf_dir):
@@ -422,11 +454,18 @@ def hours_of_searches(spark, sf_dir):
     return hours_of_ranges(ranges).select("search_id", "blob_partition", "blob_hour")
 
 
+def _customer_clock() -> Column:
+    key = F.col("c_custkey")
+    return F.lit("2024-01-02 12:34:56").cast("timestamp") + F.make_dt_interval(
+        days=(key % 28).cast("int"), hours=(key % 24).cast("int")
+    )
+
+
 _SAVED = ("last 6 hours", "last 90 minutes", "yesterday", "today", "last 2 days", "current hour")
 
 
 @query(
-    f"""WITH {TABLE},
+    f"""WITH {CACHED},
 q AS (SELECT c_custkey AS search_id, ({_sql_list(_SAVED)})[c_custkey % 6 + 1] AS e,
   TIMESTAMP '2024-01-02 12:34:56' + to_days(CAST(c_custkey % 28 AS INTEGER)) + to_hours(CAST(c_custkey % 24 AS BIGINT)) AS now,
   CASE WHEN c_custkey % 3 = 0 THEN 'user-' || (c_nationkey * 6 + c_custkey % 6) END AS q_user,
@@ -444,24 +483,49 @@ SELECT search_id, event_id, "timestamp", rank FROM m WHERE rank <= 5"""
 )
 def saved_searches(spark, sf_dir):
     key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    now = (
-        F.lit("2024-01-02 12:34:56").cast("timestamp")
-        + F.make_dt_interval(days=(key % 28).cast("int"), hours=(key % 24).cast("int"))
-    )
     searches = w.table(spark, sf_dir, "customer").select(
         key.alias("search_id"),
         _pick(_SAVED, key).alias("expr"),
         F.lit(None).cast("string").alias("from_text"),
         F.lit(None).cast("string").alias("to_text"),
         F.lit("UTC").alias("tz"),
-        now.alias("now"),
+        _customer_clock().alias("now"),
         F.when(key % 3 == 0, F.concat(F.lit("user-"), (nation * 6 + key % 6).cast("string"))).alias("user_id"),
         F.when(key % 3 == 1, F.upper(_pick(("click", "view", "purchase", "signup", "error"), nation))).alias("event_name"),
     )
-    found = run_saved_searches(w.event_table(spark, sf_dir), resolve_ranges(searches), limit=5)
+    return _saved(spark, sf_dir, searches)
+
+
+def _saved(spark, sf_dir, searches):
+    found = run_saved_on_cache(spark, w.cache(spark, sf_dir), resolve_ranges(searches), limit=5)
     return found.select("search_id", "event_id", "timestamp", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query(
+    f"""WITH {CACHED},
+q AS (SELECT c_custkey AS search_id,
+  TIMESTAMP '2024-01-02 12:34:56' + to_days(CAST(c_custkey % 28 AS INTEGER)) + to_hours(CAST(c_custkey % 24 AS BIGINT)) AS now
+  FROM customer),
+r AS (SELECT search_id, now - to_minutes(CAST(search_id % 500 + 1 AS BIGINT)) AS a, now AS b FROM q),
+m AS (SELECT search_id, event_id, "timestamp", row_number() OVER (PARTITION BY search_id
+    ORDER BY "timestamp" DESC, event_id, blob_partition, blob_name, source_line, blob_path) AS rank
+  FROM r JOIN et ON "timestamp" >= a AND "timestamp" < b)
+SELECT search_id, event_id, "timestamp", rank FROM m WHERE rank <= 5"""
+)
+def saved_unfiltered(spark, sf_dir):
+    """Searches without any filter: all ask for all events of their hours."""
+    key = F.col("c_custkey")
+    searches = w.table(spark, sf_dir, "customer").select(
+        key.alias("search_id"),
+        F.concat(F.lit("last "), (key % 500 + 1).cast("string"), F.lit(" minutes")).alias("expr"),
+        F.lit(None).cast("string").alias("from_text"),
+        F.lit(None).cast("string").alias("to_text"),
+        F.lit("UTC").alias("tz"),
+        _customer_clock().alias("now"),
+    )
+    return _saved(spark, sf_dir, searches)
+
+
 # -------------------------------------------------------- grouping and manifest
 
 _GREEDY = """
@@ -479,7 +543,8 @@ g(source, doc_id, n, n_chars, used, group_no) AS (
 
 def _grouped(spark, sf_dir):
     files = w.table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    return assign_groups(files, 20_000, key="source", order="doc_id", size="n_chars")
+    # Blocks far shorter than a source, so that groups cross them.
+    return assign_groups(files, 20_000, key="source", order="doc_id", size="n_chars", block_rows=7)
 
 
 @query(_GREEDY + "SELECT source, doc_id, n_chars, group_no FROM g")
@@ -502,12 +567,14 @@ _LOG = """log AS (SELECT 'file-' || l_orderkey AS blob_path, 'file-' || l_orderk
   'run-' || l_suppkey || '-' || l_linenumber AS run_id, CAST(l_partkey % 50 AS BIGINT) AS group_no,
   CAST(l_extendedprice AS BIGINT) AS size, CAST(l_quantity AS BIGINT) AS events_count,
   CAST(l_quantity AS BIGINT) - 1 AS searchable_count, l_shipdate AS first_event, l_shipdate AS last_event,
-  l_shipdate AS materialized_at, strftime(o_orderdate, '%Y-%m-%d-%H') AS blob_hour,
+  CAST(0 AS BIGINT) AS refused_count, CAST(1 + (l_partkey % 50) % 7 // 6 AS BIGINT) AS group_files,
+  CAST((l_partkey % 50) * 1000 + 1 AS BIGINT) AS group_bytes, l_shipdate AS materialized_at, strftime(o_orderdate, '%Y-%m-%d-%H') AS blob_hour,
   strftime(o_orderdate, '%Y-%m-%d') AS blob_day
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY blob_path ORDER BY materialized_at DESC, run_id DESC,
   file_name DESC, blob_partition DESC, group_no DESC, size DESC, events_count DESC, blob_hour DESC) AS n FROM log) WHERE n = 1),
-data AS (SELECT DISTINCT blob_hour, run_id, group_no FROM log WHERE group_no % 5 <> 0),
+-- A group without its data is missing, and so is one that has lost one of two files.
+data AS (SELECT DISTINCT blob_hour, run_id, group_no FROM log WHERE group_no % 5 <> 0 AND group_files = 1),
 have AS (SELECT cur.* FROM cur WHERE EXISTS (SELECT 1 FROM data WHERE data.blob_hour = cur.blob_hour
   AND data.run_id = cur.run_id AND data.group_no = cur.group_no) OR events_count = 0),
 listing AS (SELECT 'file-' || o_orderkey AS blob_path, strftime(o_orderdate, '%Y/%m/%d/%H') AS blob_partition FROM orders),
@@ -529,6 +596,9 @@ def _log(spark, sf_dir):
         (F.rint("l_quantity").cast("bigint") - 1).alias("searchable_count"),
         F.col("l_shipdate").cast("timestamp").alias("first_event"),
         F.col("l_shipdate").cast("timestamp").alias("last_event"),
+        F.lit(0).cast("bigint").alias("refused_count"),
+        F.expr("1 + (l_partkey % 50) % 7 div 6").cast("bigint").alias("group_files"),
+        (F.col("l_partkey") % 50 * 1000 + 1).alias("group_bytes"),
         F.col("l_shipdate").cast("timestamp").alias("materialized_at"),
         F.date_format(day, "yyyy-MM-dd-HH").alias("blob_hour"),
         F.date_format(day, "yyyy-MM-dd").alias("blob_day"),
@@ -536,7 +606,7 @@ def _log(spark, sf_dir):
 
 
 def _stored(log: DataFrame) -> DataFrame:
-    """Groups whose data survives, with a size each."""
+    """One stored file of each group whose data survives, with its size."""
     return (
         log.where(F.col("group_no") % 5 != 0)
         .select("blob_hour", "run_id", "group_no", (F.col("group_no") * 1000 + 1).alias("size"))
@@ -562,7 +632,7 @@ def _counts(spark, sf_dir):
 
 @query(
     f"""WITH {_LOG} SELECT blob_path, file_name, blob_partition, run_id, group_no, size, events_count,
-  searchable_count, first_event, last_event, materialized_at, blob_hour, blob_day FROM cur"""
+  searchable_count, first_event, last_event, refused_count, group_files, group_bytes, materialized_at, blob_hour, blob_day FROM cur"""
 )
 def manifest_current(spark, sf_dir):
     return cache.manifest_current(_log(spark, sf_dir))
@@ -629,11 +699,12 @@ def synced_events(spark, sf_dir):
 @query(
     f"""WITH {FILED} SELECT blob_path, blob_name AS file_name, blob_partition, CAST(0 AS BIGINT) AS group_no,
   CAST(sum(length(raw_json) + 1) AS BIGINT) AS size, count(*) AS events_count, count(*) AS searchable_count,
-  min("timestamp") AS first_event, max("timestamp") AS last_event, blob_hour FROM filed GROUP BY ALL"""
+  min("timestamp") AS first_event, max("timestamp") AS last_event, CAST(0 AS BIGINT) AS refused_count,
+  CAST(1 AS BIGINT) AS group_files, blob_hour FROM filed GROUP BY ALL"""
 )
 def synced_manifest(spark, sf_dir):
     current = cache.manifest_current(cache.read_manifest(spark, w.cache(spark, sf_dir)))
-    return current.drop("run_id", "materialized_at", "blob_day")
+    return current.drop("run_id", "materialized_at", "blob_day", "group_bytes")
 
 
 @query(
@@ -677,15 +748,34 @@ def lookup_event(spark, sf_dir):
     return lookup.lookup_event(events, at["event_id"], at["blob_path"], at["source_line"], at["blob_partition"])
 
 
-@query(f"WITH {FILED} SELECT count(DISTINCT blob_path) AS blobs_count, count(*) AS events_count FROM filed")
+@query(
+    f"""WITH {FILED} SELECT count(DISTINCT blob_path) AS blobs_count, count(*) AS events_count,
+  true AS has_bytes, true AS ran FROM filed"""
+)
 def cache_status(spark, sf_dir):
-    return status.cache_status(spark, w.cache(spark, sf_dir)).select("blobs_count", "events_count")
+    """Bytes and time of the last run are those of the cache's own files and manifest."""
+    root = w.cache(spark, sf_dir)
+    stored = sync.data_files(spark, root).agg(F.sum("size").alias("b"))
+    last = cache.read_manifest(spark, root).agg(F.max("materialized_at").alias("t"))
+    found = status.cache_status(spark, root).join(stored, F.col("b") == F.col("parquet_size_bytes"), "left")
+    return found.join(last, F.col("t") == F.col("last_materialized_at"), "left").select(
+        "blobs_count", "events_count", F.col("b").isNotNull().alias("has_bytes"), F.col("t").isNotNull().alias("ran")
+    )
+
+
+@query(f"WITH {FILED} SELECT blob_hour, 1 AS files, count(*) AS events FROM filed GROUP BY blob_hour")
+def events_per_stored_file(spark, sf_dir):
+    """Each hour's files are one group, and a group is one stored file."""
+    events = cache.read_events(spark, w.cache(spark, sf_dir))
+    return events.groupBy("blob_hour").agg(
+        F.count_distinct("parquet_path").cast("int").alias("files"), F.count("*").alias("events")
+    )
 
 
 @query(f'WITH {FILED} SELECT event_id, blob_path, file_line AS source_line FROM filed ORDER BY "timestamp" DESC, event_id LIMIT 100')
 def search_newest(spark, sf_dir):
     """No filter over all hours: the manifest rules out all but the last ones."""
-    found = results.search_and_store(spark, w.cache(spark, sf_dir), *w.time_span(spark, sf_dir))
+    found = results.search_cache(spark, w.cache(spark, sf_dir), *w.time_span(spark, sf_dir))
     return found.select("event_id", "blob_path", "source_line")
 
 
@@ -694,8 +784,8 @@ _LAST_SQL = f"""WITH {FILED}, found AS (SELECT *, file_line AS source_line FROM
 
 
 def _search_archive(spark, sf_dir):
-    """Sync what is missing, search, store: the whole way of one search."""
-    root = w.cache(spark, sf_dir)
+    """Sync what is missing, search, store: the whole way of one search, in a cache of its own."""
+    root = scratch_path(spark, "cache")
     first, end = w.time_span(spark, sf_dir)
     found = results.search_archive(
         spark, w.archive(spark, sf_dir), root, first, end, {"category": "account"}, 1000, folder=w.FOLDER
@@ -720,15 +810,147 @@ def prefix_search(spark, sf_dir):
     return results.find_last_ids(spark, root, "9")
 
 
-@query(f"WITH {FILED} SELECT event_id, blob_path, file_line AS source_line, raw_json FROM filed")
-def streamed_events(spark, sf_dir):
-    """The same archive through the incremental stream."""
+_EXPRESSION_SQL = f"""WITH {CACHED} SELECT {SUMMARY} FROM et WHERE organization_id = 'org-3'
+  AND {_range_sql("2024-01-17 18:30:00", "2024-01-18 18:30:00")} {NEWEST} LIMIT 50"""
+
+
+@query(_EXPRESSION_SQL)
+def search_expression(spark, sf_dir):
+    """`yesterday` in a zone five and a half hours ahead, in one call."""
+    found = results.search_expression(
+        spark, w.archive(spark, sf_dir), scratch_path(spark, "cache"), expr="Yesterday", tz="Asia/Kolkata",
+        now=datetime(2024, 1, 18, 20, 15), filters={"organization_id": "org-3"}, limit=50, folder=w.FOLDER,
+    )
+    return found.drop("parquet_path")
+
+
+@query(f"WITH {FILED} SELECT 0 AS results, 100 AS earlier, count(*) AS events FROM filed")
+def cleared_results(spark, sf_dir):
+    """Clearing drops the stored results and nothing else."""
+    root = scratch_path(spark, "cache")
+    span = w.time_span(spark, sf_dir)
+    sync.sync(spark, w.archive(spark, sf_dir), root, *span, folder=w.FOLDER)
+    earlier = results.search_and_store(spark, root, *span).count()
+    results.clear_results(spark, root)
+    left = results.read_results(spark, root).agg(F.count("*").cast("int").alias("results"))
+    events = cache.read_events(spark, root).agg(F.count("*").alias("events"))
+    return left.join(events).withColumn("earlier", F.lit(earlier))
+
+
+_DAY_SQL = _range_sql("2024-01-10", "2024-01-11")
+
+
+@query(f"WITH {FILED} SELECT event_id, blob_path, file_line AS source_line, 0 AS after_reset FROM filed WHERE {_DAY_SQL}")
+def reset_and_sync(spark, sf_dir):
+    """A reset cache holds nothing; a sync then stores the same events again."""
+    root, day = scratch_path(spark, "cache"), (datetime(2024, 1, 10), datetime(2024, 1, 11))
+    container = w.archive(spark, sf_dir)
+    sync.sync(spark, container, root, *day, folder=w.FOLDER)
+    sync.reset(spark, root)
+    left = cache.read_events(spark, root).count()
+    sync.sync(spark, container, root, *day, folder=w.FOLDER)
+    return cache.read_events(spark, root).select("event_id", "blob_path", "source_line", F.lit(left).alias("after_reset"))
+
+
+_SYNCED = f"WITH {FILED} SELECT event_id, blob_path, file_line AS source_line, raw_json FROM filed"
+_SYNCED_COLUMNS = ("event_id", "blob_path", "source_line", "raw_json")
+
+
+@query(_SYNCED + f" WHERE {_DAY_SQL}")
+def resync_after_loss(spark, sf_dir):
+    """One of the stored files of a split group is lost; the next sync brings all events back."""
+    root, day = scratch_path(spark, "cache"), (datetime(2024, 1, 10), datetime(2024, 1, 11))
+    options = {"folder": w.FOLDER, "split_bytes": 2_000}
+    sync.sync(spark, w.archive(spark, sf_dir), root, *day, **options)
+    stored = sync.data_files(spark, root)
+    split = stored.groupBy("blob_hour").agg(F.count("*").alias("n"), F.max("file_path").alias("file_path"))
+    lost = split.orderBy(F.desc("n"), "blob_hour").head()["file_path"]
+    remove(spark, join_path(root, "events", lost))
+    sync.sync(spark, w.archive(spark, sf_dir), root, *day, **options)
+    return cache.read_events(spark, root).select(*_SYNCED_COLUMNS)
+
+
+def _extended_archive(spark, sf_dir, extra: list[tuple[str, str]]) -> str:
+    """An archive of its own: all files, and some more (path, content)."""
+    container = scratch_path(spark, "archive")
+    w.write_files(w.chunks(spark, sf_dir).select("blob_path", "content"), container)
+    w.write_files(spark.createDataFrame(extra, "blob_path string, content string"), container)
+    return container
+
+
+_HOUR_7 = "(SELECT blob_hour FROM filed WHERE event_id = '7')"
+
+
+@query(_SYNCED + f" WHERE blob_hour <> {_HOUR_7}")
+def sync_beside_malformed_hour(spark, sf_dir):
+    """One hour has a file with a malformed line: it is refused, the other hours are stored."""
+    path = w.chunks(spark, sf_dir).where(F.contains("content", F.lit('"event_id":"7"')) | F.contains("content", F.lit('"event_id":7,')))
+    hour = path.select("blob_path").head()["blob_path"].rpartition("/")[0]
+    container = _extended_archive(spark, sf_dir, [(f"{hour}/broken.ndjson", '{"event_id":\n')])
+    root = scratch_path(spark, "cache")
+    try:
+        sync.sync(spark, container, root, *w.time_span(spark, sf_dir), folder=w.FOLDER)
+    except ingest.MalformedLineError:
+        return cache.read_events(spark, root).select(*_SYNCED_COLUMNS)
+    raise AssertionError("the malformed line was not noticed")
+
+
+def _streamed(spark, sf_dir) -> str:
+    """The cache of a stream over an archive with files that are easily lost or mistaken."""
+    first = w.time_span(spark, sf_dir)[0].strftime("year=%Y/month=%m/day=%d/hour=%H")
+    extra = [
+        (f"audit/{first}/empty.ndjson", ""),
+        (f"audit/{first}/_blank.ndjson", "\n \n"),
+        (f"audit/{first}/part/.dot.ndjson", "\n"),
+        # Not in the archive's layout: an old copy, a note, another suffix.
+        (f"audit/old/{first}/copy.ndjson", '{"event_id":"copy","timestamp":"2024-01-10T00:00:00Z"}\n'),
+        ("audit/readme.ndjson", "not an event"),
+        (f"audit/{first}/notes.txt", "not an event"),
+    ]
     root = scratch_path(spark, "cache")
     stream = sync_stream(
-        spark, w.archive(spark, sf_dir), root, scratch_path(spark, "stream"), folder=w.FOLDER
+        spark, _extended_archive(spark, sf_dir, extra), root, scratch_path(spark, "stream"), folder=w.FOLDER
     )
     stream.awaitTermination()
-    return cache.read_events(spark, root).select("event_id", "blob_path", "source_line", "raw_json")
+    return root
+
+
+@query(_SYNCED)
+def streamed_events(spark, sf_dir):
+    return cache.read_events(spark, _streamed(spark, sf_dir)).select(*_SYNCED_COLUMNS)
+
+
+@query(
+    f"""WITH {FILED}, first AS (SELECT 'audit/' || strftime(min("timestamp"), 'year=%Y/month=%m/day=%d/hour=%H') AS h FROM filed)
+SELECT blob_path, blob_name AS file_name, CAST(sum(length(raw_json) + 1) AS BIGINT) AS size, count(*) AS events_count FROM filed GROUP BY ALL
+UNION ALL SELECT h || '/empty.ndjson', 'empty.ndjson', 0, 0 FROM first UNION ALL SELECT h || '/_blank.ndjson', '_blank.ndjson', 3, 0 FROM first
+UNION ALL SELECT h || '/part/.dot.ndjson', '.dot.ndjson', 1, 0 FROM first"""
+)
+def streamed_manifest(spark, sf_dir):
+    current = cache.manifest_current(cache.read_manifest(spark, _streamed(spark, sf_dir)))
+    return current.select("blob_path", "file_name", "size", "events_count")
+
+
+@query(
+    """SELECT CAST(event_id AS VARCHAR) AS event_id, CASE event_id % 3 WHEN 2 THEN date_trunc('week', ts)
+  ELSE date_trunc('day', ts) END::TIMESTAMP AS "timestamp" FROM events"""
+)
+def ingest_date_shapes(spark, sf_dir):
+    """Times given as a basic date, as a week date with its day, and as a week."""
+    day = F.to_date("ts")
+    week = F.concat(
+        F.year(F.date_add(F.to_date(F.date_trunc("WEEK", "ts")), 3)).cast("string"), F.lit("-W"),
+        F.lpad(F.weekofyear(day).cast("string"), 2, "0"),
+    )
+    shape = F.col("event_id") % 3
+    stamp = F.when(shape == 0, F.date_format(day, "yyyyMMdd")).when(
+        shape == 1, F.concat(week, F.lit("-"), (F.weekday(day) + 1).cast("string"))
+    ).otherwise(week)
+    lines = w.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("source_line"),
+        F.concat(F.lit('{"event_id":"'), F.col("event_id").cast("string"), F.lit('","timestamp":"'), stamp, F.lit('"}')).alias("raw_json"),
+    )
+    return ingest.parse_lines(lines).select("event_id", "timestamp")
 
 
 @query(f"WITH {FILED} SELECT event_id, blob_partition, blob_name, file_line AS source_line, raw_json FROM filed")

@@ -76,7 +76,7 @@ def test_lines_that_are_not_one_object_are_refused(spark, text):
     assert row.event_id is None
 
 
-@pytest.mark.parametrize("value", ['"invalid"', "123", "20260909", '"20260909"', "true", '{"a":1}', '"2026-02-30T00:00:00Z"'])
+@pytest.mark.parametrize("value", ['"invalid"', "123", "20260909", '"2026-W54-1"', '"2026-W37-8"', "true", '{"a":1}', '"2026-02-30T00:00:00Z"'])
 def test_timestamps_that_are_not_iso_text_are_refused(spark, value):
     (row,) = parse(spark, '{"event_id":"a","timestamp":' + value + "}")
     assert row.bad_reason == ingest.BAD_TIME
@@ -94,6 +94,7 @@ def test_missing_timestamp_keeps_the_row(spark):
         "2026-09-09T08:30:00Z", "2026-09-09T08:30:00", "2026-09-09T11:30:00+03:00", "2026-09-09 11:30:00+0300",
         "2026-09-09T05:30:00-03", " 2026-09-09T08:30:00Z ", "2026-09-09T08:30Z", "20260909T083000Z", "20260909T0830",
         "2026-09-09T08:30:00.000000999Z", "2026-09-09T08:30:00,0", "20260909T113000+0300",
+        "2026-W37-3T08:30:00Z", "2026W373T0830",
     ],
 )
 def test_equal_instants(spark, text):
@@ -101,6 +102,12 @@ def test_equal_instants(spark, text):
     assert row.timestamp == datetime(2026, 9, 9, 8, 30)
 
 
+@pytest.mark.parametrize("text", ["20260907", "2026-W37", "2026W37", "2026-W37-1", "2026-09-07"])
+def test_dates(spark, text):
+    (row,) = parse(spark, '{"timestamp":"' + text + '"}')
+    assert row.timestamp == datetime(2026, 9, 7)
+
+
 def test_time_does_not_depend_on_the_session_zone(spark):
     frame = spark.createDataFrame([('{"timestamp":"2026-09-09T08:30:00"}',)], "raw_json string")
     spark.conf.set("spark.sql.session.timeZone", "America/New_York")

@@ -9,6 +9,7 @@ from conftest import line, put
 from pyspark.sql import functions as F
 
 from hourvault.functions.hours import hours_frame
+from hourvault.operators import lookup
 from hourvault.operators.cached import sync_totals
 from hourvault.operators.ingest import MalformedLineError
 from hourvault.plans import results
@@ -17,6 +18,7 @@ from hourvault.plans.sync import data_files, materialize, reset, sync, sync_list
 from hourvault.schema import EVENT_SCHEMA, EVENT_TABLE_SCHEMA
 from hourvault.session import pin, scratch_path
 from hourvault.sources import archive, cache
+from hourvault.sources.cache import LostDataError
 from hourvault.sources.storage import child_names, exists, join_path, remove
 from hourvault.streaming.incremental import sync_stream
 
@@ -327,9 +329,96 @@ def test_newest_search_uses_few_hours_and_stays_exact(spark, container, root, mo
         assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(span, limit)
         if limit <= 6:
             assert len(opened) == 1 and len(opened[0]) < 9
+    # Lost data is an error, until a sync has read its hours again.
     lose(spark, root, "2026-09-10-19")
+    with pytest.raises(LostDataError):
+        results.search_and_store(spark, root, *whole, limit=5)
+    run(spark, container, root, whole)
     found = results.search_and_store(spark, root, *whole, limit=5)
-    assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(whole, 5, {11})
+    assert [r.event_id for r in found.orderBy(F.desc("timestamp"), "event_id").collect()] == expected(whole, 5)
+
+
+def test_commit_between_the_listings_is_not_half_seen(spark, container, root, monkeypatch):
+    """A run that commits after commits were listed is not seen at all, whatever of its manifest is."""
+    put(container, H8, "a.ndjson", lines("a"))
+    run(spark, container, root)
+    put(container, H8, "b.ndjson", lines("b"))
+    put(container, "2026/09/11/08", "c.ndjson", line("c", "2026-09-11T08:30:00Z") + "\n")
+    names = cache.child_names
+
+    def late(*args):
+        monkeypatch.setattr(cache, "child_names", names)
+        run(spark, container, root, (SPAN[0], SPAN[0] + timedelta(days=2)))
+        return names(*args)
+
+    monkeypatch.setattr(cache, "child_names", late)
+    assert [r.blob_path.rpartition("/")[2] for r in cache.read_manifest(spark, root).collect()] == ["a.ndjson"]
+    assert cache.read_manifest(spark, root).count() == 3
+
+
+def test_two_searches_at_once_keep_each_others_results(spark, container, root, monkeypatch):
+    put(container, H8, "a.ndjson", lines("a", "b"))
+    run(spark, container, root)
+    for _ in range(4):
+        results.search_and_store(spark, root, *SPAN)
+    unique = lookup.unique_results
+    inner = []
+
+    def other(found):
+        # Another search begins and ends while this one writes.
+        monkeypatch.setattr(lookup, "unique_results", unique)
+        inner.append(results.search_and_store(spark, root, *SPAN, {"event_id": "a"}))
+        return unique(found)
+
+    monkeypatch.setattr(lookup, "unique_results", other)
+    results.search_and_store(spark, root, *SPAN, {"event_id": "b"})
+    assert [r.event_id for r in results.read_results(spark, root).collect()] == ["b"]
+    kept = child_names(spark, f"{root}/results/data/version=*")
+    assert len(kept) == 2 and len(child_names(spark, f"{root}/results/versions/*")) == 2
+
+
+def test_lookup_opens_only_the_files_of_the_results(spark, container, root, capsys):
+    for hour in (H8, H9):
+        put(container, hour, "a.ndjson", "\n".join(line(f"{hour[-2:]}{i}", f"2026-09-10T{hour[-2:]}:30:0{i}Z") for i in range(5)))
+    run(spark, container, root)
+    results.search_and_store(spark, root, *SPAN, {"event_id": "083"})
+    found = results.lookup_last(spark, root)
+    assert [r.event_id for r in found.collect()] == ["083"]
+    assert len(found.inputFiles()) <= 2 and all("blob_hour=2026-09-10-09" not in f for f in found.inputFiles())
+
+
+def test_a_malformed_line_keeps_only_its_hour_out(spark, container, root):
+    put(container, H8, "a.ndjson", lines("a"))
+    put(container, H9, "b.ndjson", lines("b") + "{")
+    with pytest.raises(MalformedLineError, match="b.ndjson at line 2"):
+        run(spark, container, root)
+    assert [r[3] for r in stored(spark, root)] == ["a"]
+    put(container, H9, "b.ndjson", lines("b"))
+    assert run(spark, container, root) == (2, 1, 1)
+
+
+def test_long_ranges_are_synced_in_units(spark, container, root):
+    for day in (10, 11, 12):
+        put(container, f"2026/09/{day}/08", "a.ndjson", line(f"e{day}", f"2026-09-{day}T08:30:00Z") + "\n")
+    run(spark, container, root, (SPAN[0], SPAN[0] + timedelta(days=3)), unit_bytes=1)
+    assert cache.read_commits(spark, root).count() == 3 and len(stored(spark, root)) == 3
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from hourvault.session import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(session)
+
+
+def test_paths_are_qualified_by_the_driver(spark):
+    from hourvault.sources.storage import qualified
+
+    assert qualified(spark, "/some/where").startswith("file:") and qualified(spark, "file:/a") == "file:/a"
 
 
 def test_overlapping_syncs_lose_nothing(spark, container, root):
