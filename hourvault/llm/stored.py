@@ -7,16 +7,32 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from hourvault.session import scratch_path
+from hourvault.sources.storage import remove
+
+#: Tables this process has written and not cleaned yet.
+_TABLES: list[str] = []
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a frame once to the shared folder and read it back: its lineage ends there."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _TABLES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Remove the tables `written` so far; their number.
+
+    Results are read from them lazily: call it once all results are stored.
+    """
+    n = len(_TABLES)
+    while _TABLES:
+        remove(spark, _TABLES.pop())
+    return n
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

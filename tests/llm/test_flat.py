@@ -65,3 +65,15 @@ def test_ids_of_random_texts():
     ids, bounds = encoder.encode(*flat.flat_bytes(pa.array(texts)))
     for i, text in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_written_tables_can_be_cleaned(spark):
+    from hourvault.llm import stored
+
+    stored.clean(spark)
+    table = stored.written(spark.range(5).toDF("n"), "numbers")
+    path = stored._TABLES[0]
+    assert table.count() == 5 and stored.clean(spark) == 1
+    from hourvault.sources.storage import exists
+
+    assert not exists(spark, path) and stored.clean(spark) == 0
