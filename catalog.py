@@ -438,6 +438,41 @@ def resolve_explicit(spark, sf_dir):
     return resolve_ranges(asked).select("search_id", "from_utc", "to_utc", "error")
 
 
+_DST_ZONES = ("Europe/Athens", "America/New_York")
+
+
+@query(
+    f"""WITH
+-- Offsets of two zones in 2024, written by hand: zone, from, to (UTC), hours.
+off(zone, a, b, h) AS (VALUES
+  ('Europe/Athens', TIMESTAMP '2023-12-01', TIMESTAMP '2024-03-31 01:00:00', 2),
+  ('Europe/Athens', TIMESTAMP '2024-03-31 01:00:00', TIMESTAMP '2024-10-27 01:00:00', 3),
+  ('Europe/Athens', TIMESTAMP '2024-10-27 01:00:00', TIMESTAMP '2025-02-01', 2),
+  ('America/New_York', TIMESTAMP '2023-12-01', TIMESTAMP '2024-03-10 07:00:00', -5),
+  ('America/New_York', TIMESTAMP '2024-03-10 07:00:00', TIMESTAMP '2024-11-03 06:00:00', -4),
+  ('America/New_York', TIMESTAMP '2024-11-03 06:00:00', TIMESTAMP '2025-02-01', -5)),
+s AS (SELECT event_id AS search_id, ts + to_days(CAST(event_id % 330 AS INTEGER)) AS now,
+  ({_sql_list(_DST_ZONES)})[event_id % 2 + 1] AS zone, event_id // 2 % 2 = 0 AS yesterday FROM events),
+l AS (SELECT s.*, date_trunc('day', now + to_hours(h)) AS midnight FROM s JOIN off ON off.zone = s.zone AND now >= a AND now < b),
+w AS (SELECT *, CASE WHEN yesterday THEN midnight - INTERVAL 1 DAY ELSE midnight END AS start FROM l)
+SELECT search_id, start - to_hours(f.h) AS from_utc, CASE WHEN yesterday THEN midnight - to_hours(t.h) ELSE now END AS to_utc
+FROM w JOIN off f ON f.zone = w.zone AND start - to_hours(f.h) >= f.a AND start - to_hours(f.h) < f.b
+JOIN off t ON t.zone = w.zone AND midnight - to_hours(t.h) >= t.a AND midnight - to_hours(t.h) < t.b"""
+)
+def resolve_dst(spark, sf_dir):
+    """`today` and `yesterday` over a year, in zones that change their clocks."""
+    key = F.col("event_id")
+    searches = w.table(spark, sf_dir, "events").select(
+        key.alias("search_id"),
+        (F.col("ts").cast("timestamp") + F.make_dt_interval(days=(key % 330).cast("int"))).alias("now"),
+        F.when(F.floor(key / 2) % 2 == 0, "yesterday").otherwise("today").alias("expr"),
+        F.lit(None).cast("string").alias("from_text"),
+        F.lit(None).cast("string").alias("to_text"),
+        _pick(_DST_ZONES, key).alias("tz"),
+    )
+    return resolve_ranges(searches).select("search_id", "from_utc", "to_utc")
+
+
 @query(
     f"""WITH {_CLOCK},
 r AS (SELECT search_id, now - to_minutes(CAST(search_id % 3000 AS BIGINT)) AS a, now AS b FROM clock),
