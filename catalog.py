@@ -16,10 +16,11 @@ from hourvault.operators.grouping import assign_groups, group_totals
 from hourvault.operators.search import search, with_locator
 from hourvault.operators.timerange import resolve_ranges
 from hourvault.plans import results, status, sync
+from hourvault.plans.maintenance import merge_runs
 from hourvault.plans.saved import run_saved_on_cache
 from hourvault.session import configure, scratch_path
 from hourvault.sources import archive, cache
-from hourvault.sources.storage import join_path, remove
+from hourvault.sources.storage import child_names, join_path, remove
 from hourvault.streaming.incremental import sync_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -742,6 +743,25 @@ def synced_manifest(spark, sf_dir):
     return current.drop("run_id", "materialized_at", "blob_day", "group_bytes")
 
 
+@query(
+    f"""WITH {FILED} SELECT blob_path, blob_name AS file_name, blob_partition, CAST(sum(length(raw_json) + 1) AS BIGINT) AS size,
+  count(*) AS events_count, blob_hour, 2 AS single_runs FROM filed WHERE "timestamp" < TIMESTAMP '2024-01-06' GROUP BY ALL"""
+)
+def merged_manifest(spark, sf_dir):
+    """Five runs of a day each, merged after the third and after the fourth: two are still stored singly."""
+    root, container = scratch_path(spark, "cache"), w.archive(spark, sf_dir)
+    first, _ = w.time_span(spark, sf_dir)
+    for part in range(1, 6):
+        sync.sync(spark, container, root, first, datetime(2024, 1, 1 + part), folder=w.FOLDER)
+        if part in (3, 4):
+            merge_runs(spark, root)
+    single = len(child_names(spark, join_path(root, "commits", "*")))
+    current = cache.manifest_current(cache.read_manifest(spark, root))
+    return current.select(
+        "blob_path", "file_name", "blob_partition", "size", "events_count", "blob_hour", F.lit(single).alias("single_runs")
+    )
+
+
 @query(
     f"""WITH {FILED}, half AS (SELECT min("timestamp") + (max("timestamp") - min("timestamp")) / 2 AS mid FROM filed)
 SELECT blob_partition, count(DISTINCT blob_name) AS discovered,

@@ -299,5 +299,5 @@ def sync(
 def reset(spark: SparkSession, root: str) -> None:
     """Drop the cache and all its metadata; the archive is not touched."""
     # Commits first: without them no reader sees a half-removed table.
-    for table in ("commits", "manifest", "events", "results"):
+    for table in ("merges", "commits", "merged", "manifest", "events", "results"):
         remove(spark, join_path(root, table))

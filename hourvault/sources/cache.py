@@ -3,6 +3,8 @@
     <root>/events/run_id=<run>/blob_hour=<hour>/group_no=<n>/part-*.parquet
     <root>/manifest/blob_day=<day>/run_id=<run>/part-*.parquet   one row per source file
     <root>/commits/<run>/part-*.parquet                          one row per finished run
+    <root>/merged/<merge>/{rows,commits}/...                     manifest and commits of many runs
+    <root>/merges/<merge>                                        empty file: that merge is complete
 
 A run exists for readers once its commit row does; that row is one small file,
 written last. Runs never write into each other's directories, temporary ones
@@ -34,21 +36,56 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
-def read_commits(spark: SparkSession, root: str) -> DataFrame:
+def merge_names(spark: SparkSession, root: str) -> list[str]:
+    """Complete merges, the newest last; names begin with their time."""
+    return child_names(spark, join_path(root, "merges", "*"))
+
+
+def merged_commits(spark: SparkSession, root: str, merge: str | None) -> DataFrame:
+    """Commit rows of the runs that a merge covers."""
+    if merge is None:
+        return empty_frame(spark, COMMIT_SCHEMA)
+    return spark.read.schema(COMMIT_SCHEMA).parquet(join_path(root, "merged", merge, "commits"))
+
+
+def _later_commits(spark: SparkSession, root: str, merge: str | None) -> DataFrame:
+    """Commit rows of the runs that the merge does not cover."""
     path = join_path(root, "commits")
     if not exists(spark, path):
         return empty_frame(spark, COMMIT_SCHEMA)
-    return spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    commits = spark.read.schema(COMMIT_SCHEMA).option("recursiveFileLookup", "true").parquet(path)
+    if merge is None:
+        return commits
+    return commits.join(merged_commits(spark, root, merge).select("run_id"), "run_id", "left_anti").select(*COMMIT_SCHEMA.names)
+
+
+def read_commits(spark: SparkSession, root: str) -> DataFrame:
+    """One row per finished run."""
+    merge = next(iter(merge_names(spark, root)[-1:]), None)
+    return merged_commits(spark, root, merge).unionByName(_later_commits(spark, root, merge))
 
 
 def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
     """Manifest rows of finished runs.
 
-    Commits are listed before the manifest. A run writes its manifest before its
-    commit, so a run that is seen as finished is seen whole; one that commits
-    between the two listings is not seen at all.
+    Merges are listed before commits, and commits before the manifest. A run
+    writes its manifest before its commit, so a run that is seen as finished is
+    seen whole; one that commits between the listings is not seen at all.
     """
-    finished, _ = broadcast_if_small(read_commits(spark, root).select("run_id"))
+    merge = next(iter(merge_names(spark, root)[-1:]), None)
+    finished, _ = broadcast_if_small(_later_commits(spark, root, merge).select("run_id"))
+    later = _later_manifest(spark, root, finished, bounds)
+    if merge is None:
+        return later
+    merged = spark.read.schema(MANIFEST_SCHEMA).parquet(join_path(root, "merged", merge, "rows"))
+    if bounds is not None:
+        days = F.col("blob_day").between(bounds[0][:10], bounds[1][:10])
+        merged = merged.where(days & F.col("blob_hour").between(*bounds))
+    return merged.select(*MANIFEST_SCHEMA.names).unionByName(later)
+
+
+def _later_manifest(spark: SparkSession, root: str, finished: DataFrame, bounds: HourBounds | None) -> DataFrame:
+    """Manifest rows of single runs."""
     base = join_path(root, "manifest")
     days = child_names(spark, join_path(base, "blob_day=*"))
     if bounds is not None:

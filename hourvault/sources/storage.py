@@ -54,6 +54,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(jvm_path)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """Make an empty file."""
+    filesystem, jvm_path = _hadoop(spark, path)
+    filesystem.create(jvm_path).close()
+
+
 def remove(spark: SparkSession, path: str) -> bool:
     filesystem, jvm_path = _hadoop(spark, path)
     return filesystem.delete(jvm_path, True)
