@@ -7,8 +7,8 @@ Stages but the last return the columns of `documents`; the last returns pieces.
 - language: documents whose language the network cannot tell (`und`, or a score
   below 0.3) go.
 - toxicity: documents that score 0.3 or more go. Labels come from `labels`.
-- near_duplicates: of documents joined by links of 85 % common 4-word n-grams,
-  the one with the smallest id stays.
+- near_duplicates: of documents joined by links of 80 % common 5-word n-grams,
+  the one with the smallest id stays. (op8_ngram_join keeps its own 85 % of 4 words.)
 - decontamination: documents with a 10-word window of a `benchmark` item go.
 - packing: what is left is cut and packed into sequences of 1024 tokens.
 
@@ -24,6 +24,9 @@ from hourvault.llm import decontaminate, jaccard, language, packing, stored, tox
 from hourvault.session import configure
 
 
+NEAR = jaccard.Similarity(5, 80, 100)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.with_language(docs, language.fit(docs))
 
@@ -34,7 +37,7 @@ def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, similarity=NEAR)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

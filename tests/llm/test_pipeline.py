@@ -34,6 +34,17 @@ def test_each_stage_does_what_its_operator_says(spark):
     assert sorted({r.doc_id for r in pieces}) == kept[-1]
 
 
+def test_near_copies_between_the_thresholds_of_the_operator_and_the_stage_go(spark):
+    # 51 words, one inner word changed: 42 of 52 common 5-word n-grams, 44 of 52 common 4-word ones (0.808, 0.846).
+    text = [f"w{i}" for i in range(51)]
+    longer = [f"v{i}" for i in range(120)]  # 116 of 141 and 117 of 142 after 25 words more: 0.823 and 0.824
+    far = [f"u{i}" for i in range(120)]  # 116 of 146 after 30 words more: 0.795
+    texts = [text, [*text[:25], "x", *text[26:]], longer, [*longer, *(f"y{i}" for i in range(25))], far, [*far, *(f"z{i}" for i in range(30))]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in jaccard.similarity_classes(df)[0].collect() if r.doc_id == r.component_id} == set(range(6))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()) == [0, 2, 4, 5]
+
+
 def test_empty_documents_pass_through(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
