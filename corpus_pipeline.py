@@ -12,8 +12,9 @@ Stages but the last return the columns of `documents`; the last returns pieces.
 - decontamination: documents with a 10-word window of a `benchmark` item go.
 - packing: what is left is cut and packed into sequences of 1024 tokens.
 
-An empty `documents` table passes through all stages and gives no pieces. Rows
-without an id are kept by the near-duplicate stage, as it says.
+An empty `documents` table passes through all stages and gives no pieces. The
+near-duplicate stage goes by text, row for row, also where rows share an id; of
+linked rows without an id one stays, besides the one with the smallest id.
 """
 
 from __future__ import annotations

@@ -3,7 +3,8 @@
 A document is the set of its distinct n-grams, as 64-bit hashes. Hash order is
 the global n-gram order; ranges of it are its fragments. Every overlap is
 counted fragment by fragment, and the partial counts are summed per pair
-(`overlaps`). Which pairs are counted is decided by fragments too:
+(`overlaps`); pairs that a quarter of the fragments rules out are not counted in
+the others. Which pairs are counted is decided by fragments too:
 
 - Two similar sets of sizes up to a size class's limit differ in at most d
   n-grams. Cut into more than d fragments, they agree wholly in at least one of
@@ -40,7 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hourvault.llm import stored
@@ -54,8 +55,8 @@ CLASS_RATIO = 1.25
 KEY_ROWS = 64
 #: Keys that a task sorts at once.
 SORT_ROWS = 2_000_000
-#: Fragments of the order in which overlaps are counted.
-FRAGMENTS = 8
+#: Fragments of the order in which overlaps are counted, and those of them that are counted first.
+FRAGMENTS, FIRST_FRAGMENTS = 8, 2
 _LABELS = "node long, label long"
 
 
@@ -172,12 +173,14 @@ def fragment_keys(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
-def summarise(df: DataFrame, key: str, text: str, similarity: Similarity) -> DataFrame:
-    """Per row: doc_id, n_shingles, class hashes f1 and f2, parity sketch, fragment keys.
+def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: str | None = None) -> DataFrame:
+    """Per row: doc_id, row (its number, or again its key), n_shingles, class hashes f1 and f2, parity sketch, fragment keys.
 
     Of equal sets in one task, only the first gives keys.
     """
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = df.select(
+        F.col(key).cast("long").alias("doc_id"), F.col(row or key).cast("long").alias("row"), F.col(text).cast("string").alias("text")
+    )
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -195,13 +198,13 @@ def summarise(df: DataFrame, key: str, text: str, similarity: Similarity) -> Dat
             sketch = sets.sketches()
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(sets.size, pa.int64()), pa.array(f1.view(np.int64)),
+                    batch.column("doc_id"), batch.column("row"), pa.array(sets.size, pa.int64()), pa.array(f1.view(np.int64)),
                     pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)), lists,
                 ],
-                ["doc_id", "n_shingles", "f1", "f2", *_SKETCH, "keys"],
+                ["doc_id", "row", "n_shingles", "f1", "f2", *_SKETCH, "keys"],
             )
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>"
+    schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>"
     return rows.mapInArrow(of_batch, schema)
 
 
@@ -307,25 +310,26 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(s).alias(f"{name}_{s}") for s in _SKETCH))
 
 
-def overlaps(df: DataFrame, key: str, text: str, classes: DataFrame, pairs: DataFrame, similarity: Similarity) -> DataFrame:
-    """(a, b, overlap) of pairs of classes: partial counts in each fragment of the global order, summed.
+def overlaps(df: DataFrame, row: str, text: str, classes: DataFrame, pairs: DataFrame, similarity: Similarity, first: int = FRAGMENTS) -> DataFrame:
+    """(a, b, overlap, a_part, b_part) of pairs of classes: counts in each of the first fragments of the global order, summed.
 
-    Only the texts of one document of each class in a pair are read again.
+    The parts are the n-grams each has in these fragments. Only the texts of one document of each class in a pair are read again.
     """
     wanted = stored.written(
-        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_doc"), "node"), "wanted"
+        pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_row"), "node"), "wanted"
     )
-    rows = df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = wanted.select(F.col("first_doc").alias("d")).distinct()
-    rows = rows.join(docs, rows["doc_id"].eqNullSafe(docs["d"]), "left_semi")
+    rows = df.select(F.col(row).cast("long").alias("row"), F.col(text).cast("string").alias("text"))
+    docs = wanted.select(F.col("first_row").alias("d")).distinct()
+    rows = rows.join(docs, rows["row"].eqNullSafe(docs["d"]), "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             sets = Sets(batch.column("text"), similarity.n, similarity.seed)
             piece = sets.row() * FRAGMENTS + ((sets.hash >> U64(32)) * U64(FRAGMENTS) >> U64(32)).astype(np.int64)
+            nodes, grams, counted = sets.sums(0x1F1F).view(np.int64), sets.hash.view(np.int64), piece % FRAGMENTS < first
+            piece, grams = piece[counted], grams[counted]
             begin = np.flatnonzero(np.diff(piece, prepend=-1))
-            nodes = sets.sums(0x1F1F).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(piece)), pa.int32()), pa.array(sets.hash.view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(piece)), pa.int32()), pa.array(grams))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes[piece[begin] // FRAGMENTS]), pa.array(piece[begin] % FRAGMENTS, pa.int32()), lists], ["node", "fragment", "grams"]
             )
@@ -339,26 +343,27 @@ def overlaps(df: DataFrame, key: str, text: str, classes: DataFrame, pairs: Data
     )
     left = fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("a_grams"))
     right = fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-    partial = F.size(F.array_intersect("a_grams", "b_grams"))
+    total = lambda grams: F.sum(F.greatest(F.size(grams), F.lit(0)))
     return (
-        pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(FRAGMENTS - 1))).alias("fragment"))
-        .join(left, ["a", "fragment"])
-        .join(right, ["b", "fragment"])
+        pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(first - 1))).alias("fragment"))
+        .join(left, ["a", "fragment"], "left")
+        .join(right, ["b", "fragment"], "left")
         .groupBy("a", "b")
-        .agg(F.sum(partial).alias("overlap"))
+        .agg(total(F.array_intersect("a_grams", "b_grams")).alias("overlap"), total("a_grams").alias("a_part"), total("b_grams").alias("b_part"))
     )
 
 
-def _links(df, key, text, classes, pairs, similarity) -> DataFrame:
-    """The pairs that are similar, of written candidates with sizes."""
-    counted = overlaps(df, key, text, classes, pairs.select("a", "b"), similarity)
-    union = F.col("a_n") + F.col("b_n") - F.col("overlap")
-    return stored.written(
-        pairs.join(counted, ["a", "b"])
-        .where(F.col("overlap") * similarity.denominator >= union * similarity.numerator)
-        .select("a", "b", "overlap"),
-        "links",
-    )
+def _links(df, row, text, classes, pairs, similarity) -> DataFrame:
+    """The pairs that are similar, of written candidates with sizes.
+
+    Pairs that could not be similar if all else were common are dropped after the first fragments.
+    """
+    most = F.col("overlap") + F.least(F.col("a_n") - F.col("a_part"), F.col("b_n") - F.col("b_part"))
+    similar = lambda common: common * similarity.denominator >= (F.col("a_n") + F.col("b_n") - common) * similarity.numerator
+    counted = overlaps(df, row, text, classes, pairs.select("a", "b"), similarity, FIRST_FRAGMENTS)
+    pairs = stored.written(pairs.join(counted, ["a", "b"]).where(similar(most)).select(*pairs.columns), "possible")
+    counted = overlaps(df, row, text, classes, pairs.select("a", "b"), similarity)
+    return stored.written(pairs.join(counted, ["a", "b"]).where(similar(F.col("overlap"))).select("a", "b", "overlap"), "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -395,12 +400,18 @@ def similarity_classes(
 
     Links are those that tell the components: every class is joined to the rest of its component.
     """
-    summary = stored.written(summarise(df, key, text, similarity), "sets")
+    rows, links = _classified(df, key, text, similarity)
+    return rows.select("doc_id", "n_shingles", "component_id"), links
+
+
+def _classified(df: DataFrame, key: str, text: str, similarity: Similarity, row: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows of `similarity_classes` with `row`, class (f1) and component (label; null without n-grams); and the links."""
+    summary = stored.written(summarise(df, key, text, similarity, row), "sets")
     classes = stored.written(
         summary.where("n_shingles > 0")
         .groupBy(F.col("f1").alias("node"))
         .agg(
-            F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_doc"),
+            F.min("n_shingles").alias("n"), F.min("doc_id").alias("first_doc"), F.min("row").alias("first_row"),
             (F.min("f2") != F.max("f2")).alias("two"), *(F.min(s).alias(s) for s in _SKETCH),
         ),
         "classes",
@@ -420,12 +431,12 @@ def similarity_classes(
         .distinct()
     )
     tested = stored.written(_candidates(stars, classes, similarity), "stars")
-    links = _links(df, key, text, classes, tested, similarity)
+    links = _links(df, row or key, text, classes, tested, similarity)
     labels = stored.written(components(links), "labels")
     # Round 2: classes of one key that are in different components.
     known = buckets.join(labels, "node", "left").select("k", "node", F.coalesce("label", "node").alias("label"))
     open_keys = known.groupBy("k").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("k")
-    members = known.join(open_keys, "k", "left_semi").join(classes.drop("first_doc", "two"), "node")
+    members = known.join(open_keys, "k", "left_semi").join(classes.drop("first_doc", "first_row", "two"), "node")
     members = stored.written(members, "members")
     a, b = (members.select("k", F.col("label").alias(f"{x}_l"), F.col("node").alias(x), F.col("n").alias(f"{x}_n"),
                            *(F.col(s).alias(f"{x}_{s}") for s in _SKETCH)) for x in "ab")
@@ -434,7 +445,7 @@ def similarity_classes(
     sizes = [F.when(F.col("a") < F.col("b"), F.col(f"{x}_n")).otherwise(F.col(f"{y}_n")).alias(f"{x}_n") for x, y in ("ab", "ba")]
     more = stored.written(crossing.select(*pair, *sizes).distinct().join(tested, ["a", "b"], "left_anti"), "crossing")
     if more.limit(1).count():
-        further = _links(df, key, text, classes, more, similarity)
+        further = _links(df, row or key, text, classes, more, similarity)
         if further.limit(1).count():
             links = links.unionByName(further)
             labels = stored.written(components(links), "labels")
@@ -442,10 +453,13 @@ def similarity_classes(
     named = classes.select("node", "first_doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     joined = named.join(labels.select("label").distinct(), "label", "left_semi")
     smallest = joined.groupBy("label").agg(F.min("first_doc").alias("smallest"))
-    ids = named.join(smallest, "label", "left").select(F.col("node").alias("f1"), F.coalesce("smallest", "first_doc").alias("c"))
-    filled = summary.where("n_shingles > 0").select("doc_id", "n_shingles", "f1").join(ids, "f1")
-    empty = summary.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return filled.select("doc_id", "n_shingles", F.col("c").alias("component_id")).unionByName(empty), links
+    ids = named.join(smallest, "label", "left").select(
+        F.col("node").alias("f1"), "label", F.coalesce("smallest", "first_doc").alias("component_id")
+    )
+    own = ["doc_id", "row", "n_shingles", "f1"]
+    filled = summary.where("n_shingles > 0").select(*own).join(ids, "f1")
+    empty = summary.where("n_shingles = 0").select(*own, F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return filled.unionByName(empty), links
 
 
 def _candidates(pairs: DataFrame, classes: DataFrame, similarity: Similarity) -> DataFrame:
@@ -454,12 +468,15 @@ def _candidates(pairs: DataFrame, classes: DataFrame, similarity: Similarity) ->
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: Similarity = Similarity()) -> DataFrame:
-    """The rows of a frame, one for each component: that of its smallest key.
+    """The rows of a frame, one for each component: of its smallest key, and there of the smallest class.
 
-    Rows of one key are one document, of which one row stays; rows without a key stay.
+    Rows of one key are rows of their own, as in `similarity_classes`. Of the rows
+    of a component that have no key, one stays as well. Rows without words stay.
     """
-    rows, _ = similarity_classes(df, key, text, similarity)
-    kept = rows.where("doc_id = component_id").select(F.col("doc_id").alias("hv_kept")).distinct()
-    found = df.join(kept, F.col(key).cast("long") == F.col("hv_kept"), "left_semi")
-    first = found.withColumn("hv_no", F.row_number().over(Window.partitionBy(key).orderBy(key))).where("hv_no = 1").drop("hv_no")
-    return first.unionByName(df.where(F.col(key).isNull()))
+    numbered = stored.written(df.withColumn("hv_row", F.monotonically_increasing_id()), "numbered")
+    rows, _ = _classified(numbered, key, text, similarity, "hv_row")
+    best = rows.where("n_shingles > 0").groupBy("label", F.col("doc_id").isNull().alias("keyless")).agg(
+        F.min(F.struct("doc_id", "f1", "row")).alias("best")
+    )
+    kept = best.select(F.col("best.row").alias("hv_row")).unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("hv_row")))
+    return numbered.join(kept, "hv_row", "left_semi").drop("hv_row")

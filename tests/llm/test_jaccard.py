@@ -142,6 +142,16 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.hv_x) for r in got.collect()) == [(0, "d"), (2, "b"), (7, "c"), (8, "e")]
 
 
+def test_different_texts_of_one_key_stay_and_copies_without_a_key_go(spark):
+    texts = [" ".join(f"{t}{i}" for i in range(60)) for t in "abcdef"]
+    near = texts[1] + " more"
+    rows = [(1, texts[0]), (4, texts[0]), (4, texts[1]), (4, near), (4, texts[2]), (None, texts[3]), (None, texts[3]), (None, texts[3] + " x"), (None, texts[4])]
+    rows += [(4, None), (4, None), (7, texts[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id or 0, (r.text or " ")[0]) for r in jaccard.one_of_each(df).collect()))
+    assert got == [(0, "d"), (0, "e"), (1, "a"), (4, " "), (4, " "), (4, "b"), (4, "c"), (7, "f")]
+
+
 def test_colliding_class_hashes_are_refused(spark, monkeypatch):
     sums = jaccard.Sets.sums
     monkeypatch.setattr(jaccard.Sets, "sums", lambda self, salt: sums(self, salt) & np.uint64(1) if salt == 0x1F1F else sums(self, salt))
