@@ -17,8 +17,10 @@ blocks are joined in page order by one space. Nothing else is dropped.
 
 Defined cases: null and empty pages, and pages without words, have the empty
 text; unclosed tags, and pages cut off anywhere, are read as far as they go; an
-element to be skipped that is never closed ends at the next article or main
-element. Rows are independent: repeated ones give repeated results. Without
+element to be skipped that is never closed ends with the element around it, or,
+if that is the body or page, at its first block of text or container. An article
+or main element ends a skip, but not one of comments, related pages or an aside.
+A class counts as a whole word or in the forms of _PREFIXES. Rows are independent: repeated ones give repeated results. Without
 labelled pages, the fixed costs hold.
 """
 
@@ -50,7 +52,7 @@ _TEXT = _INLINE | frozenset(
     "blockquote br caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hr img li ol p picture pre source table tbody td tfoot th thead tr ul".split()
 )
 _SKIPPED = frozenset(
-    "script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select textarea input dialog menu head title".split()
+    "script style noscript template iframe svg math canvas object embed audio video nav footer aside form button select textarea input dialog menu title".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED_NAMES = frozenset(
@@ -59,6 +61,22 @@ _SKIPPED_NAMES = frozenset(
     "overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments commentlist "
     "disqus reply replies respond discussion widget skip".split()
 )
+#: Names that also count as the first part of a class, as in "sidebar-left", and as its end after one of _PLACES.
+_PREFIXES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "footer masthead cookie cookies newsletter comment comments related".split()
+)
+_PLACES = frozenset("site main primary secondary top bottom global mobile post page".split())
+#: First and last parts of classes that only tell of a state.
+_STATE, _STATES = frozenset("has no with without".split()), frozenset("open closed none off on enabled disabled".split())
+#: Elements and names that an article inside does not end.
+_ASIDES = frozenset("aside comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split())
+_HEAD = frozenset("base link meta".split())
+_ENDS_P = frozenset(
+    "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
+    "section table ul".split()
+)
+_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
@@ -69,70 +87,138 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 
 
-def _skips(name: str, rest: str, in_article: bool) -> bool:
-    """Does an element that opens so never hold content?"""
+def _named(value: str) -> str:
+    """The name by which a class or id says that its element is no content; empty if none does."""
+    for token in value.split():
+        if token in _SKIPPED_NAMES:
+            return token
+        parts = re.split("[-_]+", token)
+        if len(parts) < 2 or parts[0] in _STATE or parts[-1] in _STATES:
+            continue
+        if parts[0] in _PREFIXES:
+            return parts[0]
+        if len(parts) == 2 and parts[0] in _PLACES and parts[1] in _PREFIXES:
+            return parts[1]
+    return ""
+
+
+def _skips(name: str, rest: str, in_article: bool) -> str:
+    """The element, attribute or class name for which an element that opens so never holds content; empty if it may."""
     if name in _SKIPPED or (name == "header" and not in_article):
-        return True
+        return name
     if not rest or name in ("html", "body", "article", "main"):
-        return False
+        return ""
     for kind, *values in _ATTRIBUTE.findall(rest):
         value, kind = "".join(values).lower(), kind.lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
-            return True
+            return "hidden"
         if kind == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "hidden"
         if kind == "role" and value in _SKIPPED_ROLES:
-            return True
-        if kind in ("class", "id") and not _SKIPPED_NAMES.isdisjoint(_NAME.findall(value)):
-            return True
-    return False
+            return kind
+        if kind in ("class", "id") and (found := _named(value)):
+            return found
+    return ""
+
+
+def _ends(tags: list[str]) -> list[tuple[int, bool, bool]]:
+    """Of each tag that opens an element: the tag where it ends, if that is its own end tag, and if it ends with the page or its body.
+
+    An element without an end tag ends with the one around it.
+    """
+    out = [(len(tags), False, True)] * len(tags)
+    open_: list[tuple[str, int]] = []
+    held: Counter = Counter()
+
+    def end(i: int, own: bool, last: bool) -> None:
+        name, at = open_.pop()
+        held[name] -= 1
+        out[at] = (i, own, last)
+
+    for i, tag in enumerate(tags):
+        if tag.startswith("</"):
+            name = tag[2:]
+            if not held[name]:
+                continue
+            if name in _INLINE or name == "p":  # these end no block
+                at = len(open_) - 1
+                while open_[at][0] in _INLINE and open_[at][0] != name:
+                    at -= 1
+                if open_[at][0] != name:
+                    continue
+            while open_[-1][0] != name:
+                end(i, False, name in ("body", "html"))
+            end(i, True, False)
+        else:
+            name = tag[1:]
+            if name in _VOID:
+                continue
+            while open_ and (open_[-1][0] in _IMPLIED.get(name, ()) or (open_[-1][0] == "p" and name in _ENDS_P)):
+                end(i, False, False)
+            open_.append((name, i))
+            held[name] += 1
+    return out
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
     """("text", words) and ("<name" or "</name", "") in order, without what is never content; ("|", "") stands for that."""
+    found = list(_TOKEN.finditer(page))
+    tags = [(n, f) for n, f in enumerate(found) if f["raw"] is None and f["name"] and not (not f["close"] and f["rest"].endswith("/"))]
+    names = [("</" if f["close"] else "<") + f["name"].lower() for _, f in tags]
+    at_tag = {n: k for k, (n, _) in enumerate(tags)}
+    ends = {tags[k][0]: (tags[e][0] if e < len(tags) else len(found), own, last) for k, (e, own, last) in enumerate(_ends(names))}
     out: list[tuple[str, str]] = []
-    at, skip, depth, in_article = 0, "", 0, 0
-
-    def text(a: int, b: int) -> None:
-        if a < b and not skip:
-            out.append(("text", page[a:b]))
-
-    for found in _TOKEN.finditer(page):
-        begin = found.start()
-        name = found["name"]
-        if found["raw"] is not None or name is None:
-            text(at, begin)
-            at = found.end()
-            if found["raw"] is not None and not skip:
+    at, in_article, in_head = 0, 0, False
+    until, own, article_ends, block_ends, level = -1, False, False, False, 0
+
+    for n, f in enumerate(found):
+        skipping = n <= until or until == len(found)
+        begin, words = f.start(), page[at : f.start()]
+        if begin > at and not skipping and not (in_head and not words.strip()):
+            out.append(("text", words))
+            in_head = False
+        at = f.end()
+        name = (f["name"] or "").lower()
+        if f["raw"] is not None or not name:
+            if f["raw"] is not None and not skipping and not in_head:
                 out.append(("|", ""))
             continue
-        text(at, begin)
-        at = found.end()
-        name = name.lower()
-        if skip:
-            if name in ("article", "main") and not found["close"] and skip not in ("article", "main"):
-                skip = ""
-            else:
-                if name == skip:
-                    depth += -1 if found["close"] else 1
-                    if depth == 0:
-                        skip = ""
+        if skipping:
+            if not f["close"] and ((article_ends and name in ("article", "main")) or (block_ends and not level and name in _ENDS_P - {"ul", "ol", "menu", "nav"})):
+                until = -1
+            elif n < until or own:
+                if block_ends and n in at_tag and name not in _VOID:
+                    level = max(0, level + (-1 if f["close"] else 1))
+                if n == until:
+                    until = -1
+                continue
+            else:  # the end of the element around it
+                until = -1
+        if in_head:
+            if name in _HEAD and not f["close"]:
+                continue
+            in_head = False
+            if name == "head":
+                continue
+        if not f["close"]:
+            if name == "head":
+                out.append(("|", ""))
+                in_head = True
                 continue
-        if not found["close"]:
-            rest = found["rest"]
-            if _skips(name, rest, in_article > 0):
+            if why := _skips(name, f["rest"], in_article > 0):
                 out.append(("|", ""))
-                if name not in _VOID and not rest.endswith("/"):
-                    skip, depth = name, 1
+                if name not in _VOID and n in at_tag:
+                    until, own, last = ends[n]
+                    article_ends, block_ends, level = why not in _ASIDES or (why == "aside" and not own), last and (why == "aside" or why not in _ASIDES), 0
                 continue
         if name == "article":
-            in_article += -1 if found["close"] else 1
-        out.append((("</" if found["close"] else "<") + name, ""))
-    text(at, len(page))
+            in_article += -1 if f["close"] else 1
+        out.append((("</" if f["close"] else "<") + name, ""))
+    if at < len(page) and until != len(found):
+        out.append(("text", page[at:]))
     return out
 
 

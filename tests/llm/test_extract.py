@@ -35,6 +35,26 @@ def test_pages(page, text):
     assert extract.main_text(page, COSTS) == text
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<div class="layout has-sidebar"><p>one two</p></div>', "one two"),
+        ('<div id="page" class="no-sidebar"><p>one two</p></div>', "one two"),
+        ('<div class="post comments-open"><p>one two</p></div>', "one two"),
+        ('<section class="social-history"><p>one two</p></section>', "one two"),
+        ('<p title="hidden gems" data-id="menu">one two</p>', "one two"),
+        ('<p>one two</p><div class="sidebar-left"><p>no no no no no</p></div>', "one two"),
+        ("<nav><ul><li><a>menu</a></li></ul><div><p>one two three</p></div>", "one two three"),
+        ("<div><form><input></div><div><p>one two three</p></div>", "one two three"),
+        ('<div class="comments"><article class="comment"><p>I like it</p></article></div>', ""),
+        ("<aside><article><p>a teaser</p></article></aside><div><p>one two three</p></div>", "one two three"),
+    ],
+)
+def test_pages_without_a_marked_article(body, text):
+    assert extract.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>", {}) == text
+    assert extract.main_text(f"<html><head><title>t</title><meta name='x'><body>{body}</body></html>", {}) == text
+
+
 def test_best_stretch_is_contiguous():
     words = lambda n: ("text", "w " * n)
     wall = ("<x", "")
