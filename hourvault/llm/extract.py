@@ -6,7 +6,8 @@ region. What a tag costs is learned from labelled pages: those that mark their
 article as such. A tag that is seen outside of articles costs the logarithm of
 how much more it is seen there than inside, times TAG_SCALE; a tag of running
 text costs little. The region is then widened to whole blocks: up to the next
-tag on either side that costs more than those of running text.
+tag on either side that costs more than those of running text, and then to the
+whole article, or the innermost container, around it.
 
 Elements that are never content (scripts, styles, navigation, forms, and those
 whose class, id or role names them as menu, advert, notice, comments, ...) count
@@ -227,7 +228,11 @@ def _fixed_cost(tag: str) -> float:
 
 
 def best_region(sequence: list[tuple[str, str]], costs: dict[str, float]) -> tuple[int, int]:
-    """First and last + 1 of the stretch with the highest sum, widened to whole blocks."""
+    """First and last + 1 of the stretch with the highest sum, widened to whole blocks and to the element around it.
+
+    That is each article or main element with words of the stretch; without one,
+    the innermost container that opens before the stretch and closes after it.
+    """
     best, low, high, total, begin = 0.0, 0, 0, 0.0, 0
     price = []
     for i, (kind, words) in enumerate(sequence):
@@ -248,6 +253,16 @@ def best_region(sequence: list[tuple[str, str]], costs: dict[str, float]) -> tup
             low -= 1
         while high < len(sequence) and price[high] <= 2 * TEXT_COST:
             high += 1
+        at = [i for i, (kind, _) in enumerate(sequence) if kind not in ("text", "|")]
+        spans = [(at[k], at[e] + 1 if e < len(at) else len(sequence), own) for k, (e, own, _) in enumerate(_ends([sequence[i][0] for i in at]))]
+        inside = lambda a, b: any(kind == "text" and words.strip() for kind, words in sequence[max(a, low) : min(b, high)])
+        around = [(a, b) for a, b, _ in spans if sequence[a][0] in ("<article", "<main") and inside(a, b)]
+        if not around:
+            around = [
+                (a, b) for a, b, own in spans
+                if own and a <= low and high <= b and sequence[a][0][1:] not in _TEXT and sequence[a][0] not in ("<body", "<html")
+            ][-1:]
+        low, high = min([low, *(a for a, _ in around)]), max([high, *(b for _, b in around)])
     return low, high
 
 

@@ -55,6 +55,22 @@ def test_pages_without_a_marked_article(body, text):
     assert extract.main_text(f"<html><head><title>t</title><meta name='x'><body>{body}</body></html>", {}) == text
 
 
+@pytest.mark.parametrize("costs", [{}, {"<section": 30.0, "</section": 30.0, "<div": 30.0, "</div": 30.0, "<header": 30.0, "</header": 30.0}])
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><header><h1>News</h1></header>{}<div>End</div></article>",
+        "<article><section>News</section>{}<section>End</section></article>",
+        "<article><div>News</div><section>{}</section><section><div>End</div></section></article>",
+        "<div id='content'><div>News</div>{}<section>End</section></div>",
+    ],
+)
+def test_short_first_and_last_blocks(page, costs):
+    body = "<p>" + "w " * 40 + "</p>"
+    page = SHELL.format("<div><p>x</p></div>" + page.format(body) + "<div><p>y</p></div>")
+    assert extract.main_text(page, COSTS | costs) == "News " + "w " * 40 + "End"
+
+
 def test_best_stretch_is_contiguous():
     words = lambda n: ("text", "w " * n)
     wall = ("<x", "")
