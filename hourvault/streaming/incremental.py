@@ -31,6 +31,7 @@ from hourvault.sources.storage import child_names, join_path, open_storage, qual
 
 _LISTING = "blob_path string, blob_partition string, file_name string, size bigint"
 _HOUR = 3600
+_DAY = 24 * _HOUR
 
 
 class _Day(InputPartition):
@@ -46,6 +47,7 @@ class _HourReader(DataSourceStreamReader):
         self.container, self.folder = options["container"], options["folder"]
         self.first, self.again = int(options["first"]), int(options["again"])
         self.until = int(options["until"]) if options.get("until") else None
+        self.fixed = options.get("fixed") == "true"
         self.born = int(time.time())
 
     def initialOffset(self) -> dict:
@@ -58,8 +60,11 @@ class _HourReader(DataSourceStreamReader):
         return {"hour": max(self.first, min(end, self.until) if self.until else end), "seen": now}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        # Files may have come to any hour while the stream was down.
-        at = self.first if start["seen"] < self.born else max(self.first, start["hour"] - self.again * _HOUR)
+        # Files may have come to any hour while the stream was down, and do so, if rarely, while it runs.
+        if start["seen"] < self.born or start["seen"] // _DAY != end["seen"] // _DAY:
+            at = self.first if self.fixed else min(self.first, self._earliest())
+        else:
+            at = max(self.first, start["hour"] - self.again * _HOUR)
         days = []
         while at < end["hour"]:
             stop = min(at - at % (24 * _HOUR) + 24 * _HOUR, end["hour"])
@@ -67,6 +72,23 @@ class _HourReader(DataSourceStreamReader):
             at = stop
         return days
 
+    def _earliest(self) -> int:
+        """The hour, or the start of the day, month or year, of the archive's first folder now."""
+        filesystem, root = open_storage(self.container)
+        path, found = join_path(root, self.folder) if self.folder else root, []
+        for level in ("year", "month", "day", "hour"):
+            infos = filesystem.get_file_info(pafs.FileSelector(path, allow_not_found=True))
+            names = [i.base_name for i in infos if i.type == pafs.FileType.Directory]
+            values = sorted(n.partition("=")[2] for n in names if n.startswith(f"{level}=") and n.partition("=")[2].isdigit())
+            if not values:
+                break
+            found.append(values[0])
+            path = join_path(path, f"{level}={values[0]}")
+        if not found:
+            return self.first
+        year, month, day, hour = [*map(int, found), *(1, 1, 1, 0)[len(found) :]]
+        return int(datetime(year, month, day, hour, tzinfo=timezone.utc).timestamp())
+
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_storage(self.container)
         at = datetime.fromtimestamp(partition.first, timezone.utc)
@@ -132,12 +154,15 @@ def new_files(
     """Stream of archive files as listing rows, from an hour on (default: the archive's first).
 
     The first micro-batch after a start lists all of these hours; each later one
-    its own, and the `again_hours` before them, for files that arrive late.
+    its own, and the `again_hours` before them, for files that arrive late. The
+    first one of each UTC day lists all hours again, without `from_utc` also those
+    before the hour that was first at the start.
     """
     spark.dataSource.register(ArchiveHours)
     container, folder = qualified(spark, container), folder.strip("/")
     first = int(as_utc(from_utc or _first_hour(spark, container, folder)).timestamp())
     options = {"container": container, "folder": folder, "first": str(first - first % _HOUR), "again": str(again_hours)}
+    options["fixed"] = "true" if from_utc else "false"
     if to_utc is not None:
         hours = -((datetime(1970, 1, 1, tzinfo=timezone.utc) - as_utc(to_utc)) // timedelta(hours=1))
         options["until"] = str(hours * _HOUR)
