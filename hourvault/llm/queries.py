@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourvault.llm import cotraining, decontaminate, extract, jaccard, language, packing, sharding, token_store, toxicity, voronoi
+from hourvault.llm import cotraining, decontaminate, extract, infill, jaccard, language, packing, sharding, token_store, toxicity, voronoi
 from hourvault.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +156,28 @@ def op7_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return cotraining.score(documents, cotraining.fit(documents, table(spark, sf_dir, "labels")))
+
+
+#: Cuts by rank over code points; a text is put together again from its own output.
+_OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (
+  SELECT doc_id, t, n, CAST('0x' || h[1:8] AS BIGINT) % (n + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (n + 1) AS y,
+    CAST('0x' || h[17:24] AS BIGINT) % 100 AS u, CAST('0x' || h[25:32] AS BIGINT) % 100 AS v FROM d),
+c AS (
+  SELECT *, least(x, y) AS a, greatest(x, y) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>')
+    OR contains(t, '<M>') OR u >= 90 THEN 'plain' WHEN v < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+o AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a)
+    || '<M>' || substring(t, a + 1, b - a) ELSE '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>'
+    || substring(t, a + 1, b - a) END AS o FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(o) AS output_sha256, sha256(t) AS restored_sha256 FROM o
+"""
+
+
+@query(_OP11_SQL)
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
