@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourvault.llm import cotraining, decontaminate, extract, infill, jaccard, language, packing, sharding, token_store, toxicity, voronoi
+from hourvault.llm import cotraining, decontaminate, extract, infill, jaccard, language, packing, sharding, spelling, token_store, toxicity, voronoi
 from hourvault.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,3 +181,8 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
 @query(_OP11_SQL)
 def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill.digests(infill.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
