@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hourvault.llm import cotraining, decontaminate, extract, infill, jaccard, language, packing, sharding, spelling, token_store, toxicity, voronoi
+from hourvault.llm import (
+    cotraining, decontaminate, extract, infill, jaccard, language, packing, personal, sharding, spelling, token_store, toxicity, voronoi,
+)
 from hourvault.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,3 +188,8 @@ def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(personal.find_personal(table(spark, sf_dir, "documents")))
