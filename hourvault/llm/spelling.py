@@ -12,19 +12,20 @@ found among the distinct words, through an index of variable-length grams:
   of a trie cut off where grams get rare: which gram begins at a place depends
   on the gram's own signs alone, so an edit changes no gram but those around it.
   Frequent beginnings get long grams, and most lists of words by gram stay short.
-- *Affected grams.* An edit changes the grams that span one place; how many at
-  most is counted for each word. Put all grams in one order, the rare first: of
-  two near words, the first gram that both keep is then, in each, among its first
-  so many and one more. Only these lists are read; the longer ones are skipped.
-- *Merging.* A gram that is kept has the same place from the start (an edit after
-  it) or from the end of the word. Lists are by gram and place; the words of a
-  list meet, and each pair is verified by its true edit distance.
-
-Lists with more than `LIST_WORDS` words are not merged so: their words meet by
-the words that one deletion leaves, which all near pairs have in common. Words
-that share one of those differ by an inserted sign each, so there are no more of
-them than the alphabet and their length allow, however the words look. Nothing is
-left out either way; near words in a long list are found by the second way.
+- *Affected grams.* An edit changes only the grams that span its place; how many at
+  most is bounded for each word, and a word has more grams than that. Put all
+  grams in one order, the rare first: for each place of an edit, the first gram
+  that it leaves is the same one in both words. Only the lists of these first
+  grams are read; the longer ones, of frequent grams, are skipped.
+- *Merging.* A gram that is left has the same place from the start (an edit after
+  it) or from the end of the word (an edit before it). Lists are by gram and
+  place; the words of a list meet, and each pair is verified by its edit distance.
+
+Lists with more than `LIST_WORDS` words are split further: by the word without the
+sign at the place of the edit for which it is in the list (or the whole word, for a
+sign put in), which a near pair has in common too. Words that share all of that
+differ by an inserted sign each, so there are no more of them than the alphabet and
+their length allow, however the words look. Nothing is left out either way.
 
 Defined cases: a null text has no words, a null key hashes as the empty text.
 Repeated rows count each on its own, and those of one key lose the same signs.
@@ -51,6 +52,8 @@ DICTIONARY_GRAMS = 1 << 20
 LEAST_FREQUENCY = 64
 #: Words of a list whose pairs are looked at one by one.
 LIST_WORDS = 256
+#: Bytes of words that a task cuts into grams at once.
+BATCH_BYTES = 1 << 19
 #: Distinct words a task keeps counts of before it passes them on.
 TASK_WORDS = 200_000
 
@@ -165,6 +168,15 @@ def word_counts(df: DataFrame, key: str, text: str, rule: Spelling) -> DataFrame
 # --------------------------------------------------------------------- grams
 
 
+def _once(word: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each (word, list) once."""
+    order = np.lexsort((lists, word))
+    word, lists = word[order], lists[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (word[1:] != word[:-1]) | (lists[1:] != lists[:-1])
+    return word[new], lists[new].view(np.int64)
+
+
 class Grams:
     """Code points of a batch of words, each followed by the end sign 0, and hashes of all their grams."""
 
@@ -211,19 +223,53 @@ class Grams:
         np.add.at(change, at + size, -1)
         return np.maximum.reduceat(np.cumsum(change[:-1]), self.first[:-1])
 
-    def postings(self, dictionary: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(word, list) of the lists each word is to be met in; a list is a gram at a place from the start or the end."""
+    def edits(self, dictionary: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, between, list) of all edits of the words; `between` where a sign is put in before that place.
+
+        The list is the rarest gram that the edit leaves, at its place from the start or the end of the word.
+        """
         at, size, hashed, often = self.decompose(dictionary, frequency)
-        most = self.affected(at, size) + 1
         order = np.lexsort((at, hashed, often, self.word[at]))
-        word = self.word[at[order]]
-        begin = np.searchsorted(word, np.arange(len(self.length)))
-        order = order[np.arange(len(order)) - begin[word] < most[word]]
-        at, hashed = at[order], hashed[order]
-        word, place = self.word[at], self.place[at]
-        start = mix(hashed ^ mix(2 * place))
-        end = mix(hashed ^ mix(2 * (self.length[word] - place) + 1))
-        return np.concatenate([word, word]), np.concatenate([start, end]).view(np.int64)
+        at, size, hashed = at[order], size[order], hashed[order]
+        begin = np.searchsorted(self.word[at], np.arange(len(self.length)))
+        inside = np.flatnonzero(self.room > 1)
+        places = np.concatenate([inside, np.arange(len(self.signs))])
+        between = np.arange(len(places)) >= len(inside)
+        lists = np.zeros(len(places), U64)
+        todo, tried = np.arange(len(places)), 0
+        # An edit leaves one of the first `affected` and one more grams.
+        while len(todo):
+            place = places[todo]
+            gram = begin[self.word[place]] + tried
+            start, word = at[gram], self.word[place]
+            before = start + size[gram] <= place
+            left = before | (start > place) | (between[todo] & (start == place))
+            from_start = mix(2 * self.place[start])
+            from_end = mix(2 * (self.length[word] - self.place[start]) + 1)
+            found = mix(hashed[gram] ^ np.where(before, from_start, from_end))
+            lists[todo[left]] = found[left]
+            todo = todo[~left]
+            tried += 1
+        return places, between, lists
+
+    def postings(self, dictionary: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, list) of the lists each word is in, once each."""
+        places, _, lists = self.edits(dictionary, frequency)
+        return _once(self.word[places], lists)
+
+    def rests(self, own: np.ndarray, dictionary: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word, finer list) for the edits that put each word in its `own` list: that list, and what the edit leaves of the word."""
+        places, between, lists = self.edits(dictionary, frequency)
+        kept = lists == own[self.word[places]]
+        places, between, lists = places[kept], between[kept], lists[kept]
+        powers = np.cumprod(np.full(int(self.length.max()) + 1, _BASE), dtype=U64)
+        values = np.where(self.room > 1, mix(self.signs) * powers[self.place], U64(0))
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(values, dtype=U64)])
+        word = self.word[places]
+        first, end = sums[self.first[word]], sums[self.first[word + 1]]
+        without = (sums[places] - first) + (end - sums[places + 1]) * _INVERSE
+        finer = mix(mix(np.where(between, end - first, without)) ^ lists)
+        return _once(word, finer)
 
 
 def build_dictionary(words: DataFrame, rule: Spelling, frequency: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -249,37 +295,29 @@ def build_dictionary(words: DataFrame, rule: Spelling, frequency: int | None = N
 # --------------------------------------------------------------------- pairs
 
 
-def _lists(words: DataFrame, rule: Spelling, frequency: int | None) -> DataFrame:
-    """list, word, n: each word in the lists it is to be met in."""
-    held = words.sparkSession.sparkContext.broadcast(build_dictionary(words, rule, frequency))
+def _lists(words: DataFrame, rule: Spelling, dictionary) -> DataFrame:
+    """list, word, n: each word in the lists it is to be met in; `dictionary` is a broadcast of the frequent grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "word"):
-            word, place = Grams(batch.column("word").to_pylist(), rule).postings(*held.value)
+        for batch in small_batches(batches, "word", BATCH_BYTES):
+            word, place = Grams(batch.column("word").to_pylist(), rule).postings(*dictionary.value)
             rows = batch.take(pa.array(word))
             yield pa.RecordBatch.from_arrays([pa.array(place), *rows.columns], ["list", "word", "n"])
 
     return words.select("word", "n").mapInArrow(run, "list long, word string, n long")
 
 
-def _deletions(words: DataFrame) -> DataFrame:
-    """list, word, n: each word under the hashes of itself and of what each deletion leaves of it."""
+def _split(lists: DataFrame, rule: Spelling, dictionary) -> DataFrame:
+    """list, word, n: words of long lists in finer ones, by what their edits leave of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "word", 1 << 18):
-            texts = batch.column("word").to_pylist()
-            lists = []
-            for text in texts:
-                signs = mix(np.frombuffer(text.encode("utf-32-le"), np.uint32))
-                powers = np.cumprod(np.full(len(signs), _BASE), dtype=U64)
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(signs * powers, dtype=U64)])
-                without = sums[:-1] + (sums[-1] - sums[1:]) * _INVERSE
-                lists.append(np.unique(np.append(without, sums[-1])))
-            of = np.repeat(np.arange(len(texts)), [len(x) for x in lists])
-            rows = batch.take(pa.array(of))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).view(np.int64)), *rows.columns], ["list", "word", "n"])
+        for batch in small_batches(batches, "word", BATCH_BYTES):
+            own = batch.column("list").to_numpy().view(U64)
+            word, finer = Grams(batch.column("word").to_pylist(), rule).rests(own, *dictionary.value)
+            rows = batch.select(["word", "n"]).take(pa.array(word))
+            yield pa.RecordBatch.from_arrays([pa.array(finer), *rows.columns], ["list", "word", "n"])
 
-    return words.select("word", "n").mapInArrow(run, "list long, word string, n long")
+    return lists.mapInArrow(run, "list long, word string, n long")
 
 
 def _verified(lists: DataFrame) -> DataFrame:
@@ -294,12 +332,13 @@ def near_words(
     words: DataFrame, rule: Spelling = Spelling(), list_words: int = LIST_WORDS, frequency: int | None = None
 ) -> DataFrame:
     """Pairs a < b of words (`word`, `n`; distinct) at edit distance 1, with their counts: a, a_n, b, b_n."""
-    lists = stored.written(_lists(words, rule, frequency), "gram_lists")
+    dictionary = words.sparkSession.sparkContext.broadcast(build_dictionary(words, rule, frequency))
+    lists = stored.written(_lists(words, rule, dictionary), "gram_lists")
     sizes = lists.groupBy("list").agg(F.count("*").alias("size"))
     long = sizes.where(F.col("size") > list_words).select("list")
     short = sizes.where(F.col("size").between(2, list_words)).select("list")
-    crowded = lists.join(long, "list", "left_semi").select("word", "n").distinct()
-    pairs = _verified(lists.join(short, "list", "left_semi")).unionByName(_verified(_deletions(crowded)))
+    finer = _split(lists.join(long, "list", "left_semi"), rule, dictionary)
+    pairs = _verified(lists.join(short, "list", "left_semi")).unionByName(_verified(finer))
     return pairs.distinct()
 
 
