@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +13,15 @@ from hourvault.functions import display
 from hourvault.functions.hours import hours_frame, hours_of_ranges
 from hourvault.operators import cached, ingest, lookup
 from hourvault.operators.grouping import assign_groups, group_totals
+from hourvault.operators.predicates import (
+    all_of, any_of, field_is, field_like, field_matches, field_missing, json_is, json_like, json_number, json_present, none_of,
+)
 from hourvault.operators.search import search, with_locator
 from hourvault.operators.timerange import resolve_ranges
 from hourvault.plans import results, status, sync
-from hourvault.plans.maintenance import merge_runs
+from hourvault.plans.maintenance import compact_hours, merge_runs, reclaim
 from hourvault.plans.saved import run_saved_on_cache
-from hourvault.session import configure, scratch_path
+from hourvault.session import configure, pin, scratch_path
 from hourvault.sources import archive, cache
 from hourvault.sources.storage import child_names, join_path, remove
 from hourvault.streaming.incremental import sync_stream
@@ -234,6 +237,76 @@ def search_late_files(spark, sf_dir):
     return found.select("event_id", "timestamp", F.col("blob_hour").alias("file_hour"))
 
 
+def _where(name: str, condition: str, predicate, limit: int = 10_000) -> None:
+    """A search of the whole month for a condition beyond equality; `predicate` makes it when the query runs."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _search(spark, sf_dir, *MONTH, limit=limit, where=predicate())
+
+    run.__name__ = name
+    query(_search_sql(f"{MONTH_SQL} AND ({condition})", limit))(run)
+
+
+_K = "CAST(json_extract_string(raw_json, '$.payload.k') AS DOUBLE)"
+_where(
+    "search_like",
+    "user_id LIKE 'user-1_' OR (event_name LIKE '%CH%SE' AND user_id LIKE 'user-2%') OR organization_id ILIKE 'ORG-_' AND user_id LIKE '%77'",
+    lambda: any_of(
+        field_like("user_id", "user-1_"),
+        all_of(field_like("event_name", "%CH%SE"), field_like("user_id", "user-2%")),
+        all_of(field_like("organization_id", "ORG-_", ignore_case=True), field_like("user_id", "%77")),
+    ),
+)
+_where(
+    "search_regex",
+    "regexp_matches(user_id, '^user-[13]\\d?$') AND regexp_matches(event_name, '(?i)^(pur|sign)')",
+    lambda: all_of(field_matches("user_id", r"^user-[13]\d?$"), field_matches("event_name", "(?i)^(pur|sign)")),
+)
+_where(
+    "search_any_of",
+    "user_id IN ('user-3', 'user-5', 'user-9') OR (category = 'account' AND application = 'app-2') OR event_id = '7'",
+    lambda: any_of(
+        field_is("user_id", "user-3", "user-5", "user-9"),
+        all_of(field_is("category", "account"), field_is("application", "app-2")),
+        field_is("event_id", "7"),
+    ),
+)
+_where(
+    "search_none_of",
+    "NOT (category = 'activity' OR application IN ('app-0', 'app-1') OR user_id IS NULL)",
+    lambda: none_of(field_is("category", "activity"), field_is("application", "app-0", "app-1"), field_missing("user_id")),
+)
+_where(
+    "search_json_path",
+    f"{_K} > 40 AND {_K} <= 60 AND json_extract_string(raw_json, '$.actor.user_id') LIKE 'user-%'",
+    lambda: all_of(
+        json_number("$.payload.k", ">", 40), json_number("$.payload.k", "<=", 60), json_like("$.actor.user_id", "user-%")
+    ),
+)
+_where(
+    "search_mixed",
+    f"""user_id LIKE 'user-1%' AND (category = 'account' OR {_K} < 10) AND NOT (event_name = 'SIGNUP')
+  AND (json_extract_string(raw_json, '$.application') IN ('app-1', 'app-2') OR json_extract_string(raw_json, '$.attributes.user_id') IS NOT NULL)""",
+    lambda: all_of(
+        field_like("user_id", "user-1%"),
+        any_of(field_is("category", "account"), json_number("$.payload.k", "<", 10)),
+        none_of(field_is("event_name", "SIGNUP")),
+        any_of(json_is("$.application", "app-1", "app-2"), json_present("$.attributes.user_id")),
+    ),
+)
+
+
+@query(
+    f"""WITH {CACHED}, sought AS (SELECT CAST(id AS VARCHAR) AS wanted FROM ev, (SELECT max(id) AS last FROM ev)
+  WHERE id IN (last, last // 2, last // 3)) SELECT {SUMMARY} FROM et WHERE event_id IN (SELECT wanted FROM sought)"""
+)
+def search_id_all_hours(spark, sf_dir):
+    """Three single events, each sought by its ID in all hours of the cache."""
+    last = w.table(spark, sf_dir, "events").agg(F.max("event_id")).head()[0]
+    found = [_search(spark, sf_dir, *MONTH, {"event_id": str(i)}) for i in (last, last // 2, last // 3)]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 # -------------------------------------------------------------------- ingest
 
 _INDEXED = """event_id, application, user_id, organization_id, event_name, category,
@@ -735,8 +808,8 @@ def synced_events(spark, sf_dir):
 @query(
     f"""WITH {FILED} SELECT blob_path, blob_name AS file_name, blob_partition, CAST(0 AS BIGINT) AS group_no,
   CAST(sum(length(raw_json) + 1) AS BIGINT) AS size, count(*) AS events_count, count(*) AS searchable_count,
-  min("timestamp") AS first_event, max("timestamp") AS last_event, CAST(0 AS BIGINT) AS refused_count,
-  CAST(1 AS BIGINT) AS group_files, blob_hour FROM filed GROUP BY ALL"""
+  min("timestamp") AS first_event, max("timestamp") AS last_event, min(event_id) AS first_id, max(event_id) AS last_id,
+  CAST(0 AS BIGINT) AS refused_count, CAST(1 AS BIGINT) AS group_files, false AS removed, blob_hour FROM filed GROUP BY ALL"""
 )
 def synced_manifest(spark, sf_dir):
     current = cache.manifest_current(cache.read_manifest(spark, w.cache(spark, sf_dir)))
@@ -929,7 +1002,8 @@ def _extended_archive(spark, sf_dir, extra: list[tuple[str, str]]) -> str:
     """An archive of its own: all files, and some more (path, content)."""
     container = scratch_path(spark, "archive")
     w.write_files(w.chunks(spark, sf_dir).select("blob_path", "content"), container)
-    w.write_files(spark.createDataFrame(extra, "blob_path string, content string"), container)
+    if extra:
+        w.write_files(spark.createDataFrame(extra, "blob_path string, content string"), container)
     return container
 
 
@@ -950,6 +1024,83 @@ def sync_beside_malformed_hour(spark, sf_dir):
     raise AssertionError("the malformed line was not noticed")
 
 
+# Two files an hour, each event in the file of its ID's last bit.
+_SMALL_FILES = FILED.replace("'events-' || (event_id // 50000) || '-' || ((event_id // 4) % 2) || '.ndjson'", "'part-' || (event_id % 2) || '.ndjson'")
+
+
+def _small_syncs(spark, sf_dir) -> tuple[str, str]:
+    """An archive synced in two runs, of one file name each; container and cache."""
+    lines = w.encoded(spark, sf_dir).withColumn(
+        "blob_name", F.concat(F.lit("part-"), (F.col("event_id") % 2).cast("string"), F.lit(".ndjson"))
+    )
+    container, root = scratch_path(spark, "archive"), scratch_path(spark, "cache")
+    w.write_files(w.files_of(lines).select("blob_path", "content"), container)
+    listing = pin(archive.list_archive(hours_frame(spark, *w.time_span(spark, sf_dir)), container, w.FOLDER))
+    for part in range(2):
+        sync.sync_listing(spark, container, root, listing.where(F.col("file_name") == f"part-{part}.ndjson"), None)
+    return container, root
+
+
+def _directories(spark, root) -> DataFrame:
+    """The most directories that a reader opens for an hour, and all that are there."""
+    needed = cache.hour_dirs(cache.manifest_current(cache.read_manifest(spark, root)))
+    most = needed.groupBy("blob_hour").agg(F.count("*").alias("n")).agg(F.max("n").cast("int").alias("an_hour"))
+    stored = sum(
+        len(child_names(spark, join_path(root, "events", run, "blob_hour=*"))) for run in child_names(spark, join_path(root, "events", "run_id=*"))
+    )
+    return most.crossJoin(needed.agg((F.lit(stored) - F.count("*")).cast("int").alias("left_over")))
+
+
+@query(
+    f"""WITH {_SMALL_FILES} SELECT event_id, blob_path, file_line AS source_line, raw_json, 1 AS an_hour,
+  (SELECT CAST(count(DISTINCT blob_path) AS INTEGER) FROM filed) AS left_over FROM filed"""
+)
+def compacted_events(spark, sf_dir):
+    """After two syncs, an hour's events lie in up to two directories; re-compaction leaves one to open."""
+    _, root = _small_syncs(spark, sf_dir)
+    # Hours of one directory too, so that the old directories are as many as the files.
+    compact_hours(spark, root, most_directories=0)
+    return cache.read_events(spark, root).select(*_SYNCED_COLUMNS).crossJoin(_directories(spark, root))
+
+
+@query(
+    f"""WITH {_SMALL_FILES} SELECT event_id, blob_path, file_line AS source_line, raw_json, 1 AS an_hour, 0 AS left_over,
+  (SELECT count(DISTINCT blob_path) FROM filed) AS replaced, (SELECT count(DISTINCT blob_path) FROM filed WHERE blob_name = 'part-1.ndjson') AS uncommitted FROM filed"""
+)
+def reclaimed_events(spark, sf_dir):
+    """One of two syncs never commits; the next sync reads its files again, hours are compacted, and what is left over goes."""
+    container, root = _small_syncs(spark, sf_dir)
+    rows = cache.read_manifest(spark, root).where(F.col("file_name") == "part-1.ndjson")
+    lost = rows.select("run_id").distinct().collect()
+    for row in lost:
+        remove(spark, join_path(root, "commits", row["run_id"]))
+    sync.sync(spark, container, root, *w.time_span(spark, sf_dir), folder=w.FOLDER)
+    compact_hours(spark, root, most_directories=0)
+    later = datetime.now(timezone.utc) + timedelta(days=3)
+    gone = reclaim(spark, root, now=later).groupBy("reason").count().collect()
+    counts = {r["reason"]: r["count"] for r in gone}
+    found = cache.read_events(spark, root).select(*_SYNCED_COLUMNS).crossJoin(_directories(spark, root))
+    return found.select("*", *[F.lit(counts.get(k, 0)).cast("bigint").alias(k) for k in ("replaced", "uncommitted")])
+
+
+@query(
+    f"""WITH {FILED} SELECT 'removed' AS state, event_id, blob_path, file_line AS source_line FROM filed WHERE NOT ends_with(blob_name, '-1.ndjson')
+UNION ALL SELECT 'returned', event_id, blob_path, file_line FROM filed"""
+)
+def deleted_files(spark, sf_dir):
+    """Files vanish from the archive and so do their events; they come back with the files."""
+    container, root, span = _extended_archive(spark, sf_dir, []), scratch_path(spark, "cache"), w.time_span(spark, sf_dir)
+    sync.sync(spark, container, root, *span, folder=w.FOLDER)
+    gone = w.chunks(spark, sf_dir).where(F.col("file_name").endswith("-1.ndjson")).select("blob_path", "content")
+    w.remove_files(gone, container)
+    sync.reconcile_deleted(spark, container, root, *span, folder=w.FOLDER, most_share=0.9)
+    columns = ("event_id", "blob_path", "source_line")
+    without = pin(cache.read_events(spark, root).select(F.lit("removed").alias("state"), *columns))
+    w.write_files(gone, container)
+    sync.sync(spark, container, root, *span, folder=w.FOLDER)
+    return without.unionByName(cache.read_events(spark, root).select(F.lit("returned").alias("state"), *columns))
+
+
 def _streamed(spark, sf_dir) -> str:
     """The cache of a stream over an archive with files that are easily lost or mistaken."""
     first = w.time_span(spark, sf_dir)[0].strftime("year=%Y/month=%m/day=%d/hour=%H")

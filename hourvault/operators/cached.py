@@ -23,6 +23,13 @@ def _whole() -> Column:
     return F.coalesce((F.col("_files") == F.col("group_files")) & (F.col("_bytes") == F.col("group_bytes")), F.lit(False))
 
 
+def live(current: DataFrame) -> DataFrame:
+    """Current rows of files that are not recorded as gone from the archive."""
+    if "removed" not in current.columns:
+        return current
+    return current.where(~F.coalesce("removed", F.lit(False)))
+
+
 def present_files(current: DataFrame, data_files: DataFrame) -> DataFrame:
     """Current manifest rows whose stored data is complete.
 
@@ -30,7 +37,7 @@ def present_files(current: DataFrame, data_files: DataFrame) -> DataFrame:
     with its `blob_hour`, `run_id`, `group_no` and `size`; a group of which one
     file is gone or cut off is missing as a whole.
     """
-    marked = current.join(_stored_groups(data_files), _GROUP, "left")
+    marked = live(current).join(_stored_groups(data_files), _GROUP, "left")
     return marked.where(_empty() | _whole()).select(*current.columns)
 
 
@@ -74,7 +81,7 @@ def status_row(current: DataFrame, data_files: DataFrame) -> DataFrame:
     them. Both sides are reduced to one row per group before they meet.
     """
     empty = _empty()
-    wanted = current.groupBy(*_GROUP, "group_files", "group_bytes").agg(
+    wanted = live(current).groupBy(*_GROUP, "group_files", "group_bytes").agg(
         F.count("*").alias("files"),
         F.count_if(empty).alias("empty_files"),
         F.sum("events_count").alias("events"),

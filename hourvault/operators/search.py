@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourvault.functions.hours import as_utc, hour_bounds
+from hourvault.operators.predicates import Predicate
 from hourvault.schema import FILTER_FIELDS
 
 # Limit policy.
@@ -79,10 +80,11 @@ def search(
     filters: Mapping[str, str | None] | None = None,
     limit: int = DEFAULT_LIMIT,
     *,
+    where: Predicate | None = None,
     lateness_hours: int = 0,
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
-    """Newest events in `[from_utc, to_utc)` matching all filters.
+    """Newest events in `[from_utc, to_utc)` matching all filters and `where`, a condition of any kind.
 
     Prunes by the hour of the source file, then filters on event time: an event
     outside its file's hour is found only if that hour is in range too.
@@ -93,6 +95,8 @@ def search(
     if "blob_hour" in events.columns:
         bounds = hour_bounds(from_utc, to_utc, lateness_hours)
         conditions.append(in_hours(bounds) if bounds else F.lit(False))
+    if where is not None:
+        conditions += where.conditions()
     extra = [c for c in ("parquet_path", "blob_path", "blob_hour") if c in events.columns]
     return (
         events.where(reduce(Column.__and__, conditions))
@@ -122,22 +126,29 @@ def newest_hours(
         manifest.where(F.col("searchable_count") > 0)
         .groupBy("blob_hour")
         .agg(
-            F.sum("searchable_count").alias("rows"),
+            F.sum("searchable_count").alias("searchable"),
             F.min(F.unix_micros("first_event")).alias("first"),
             F.max(F.unix_micros("last_event")).alias("last"),
         )
         .collect()
     )
+    return hours_reaching(hours, from_utc, to_utc, limit)
+
+
+def hours_reaching(
+    hours: list, from_utc: datetime, to_utc: datetime, limit: int
+) -> tuple[datetime, list[str]] | None:
+    """The same from rows with `blob_hour`, `searchable` (their number), `first` and `last` (microseconds)."""
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     tick = timedelta(microseconds=1)
     start, end = (as_utc(from_utc) - epoch) // tick, (as_utc(to_utc) - epoch) // tick
     found, floor = 0, None
     for hour in sorted(hours, key=lambda h: h["first"], reverse=True):
         if hour["first"] >= start and hour["last"] < end:
-            found += hour["rows"]
+            found += hour["searchable"]
         if found >= limit:
             floor = hour["first"]
             break
     if floor is None:
         return None
-    return epoch + floor * tick, sorted(h["blob_hour"] for h in hours if h["last"] >= floor)
+    return epoch + floor * tick, sorted({h["blob_hour"] for h in hours if h["last"] >= floor})

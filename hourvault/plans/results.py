@@ -19,14 +19,15 @@ from hourvault.operators.search import (
     MAX_LIMIT,
     check_limit,
     instant_literal,
-    newest_hours,
+    hours_reaching,
     search,
 )
+from hourvault.operators.predicates import Predicate
 from hourvault.operators.timerange import resolve_range
 from hourvault.plans.sync import sync
 from hourvault.schema import EVENT_TABLE_SCHEMA, RESULT_SCHEMA
 from hourvault.session import pin
-from hourvault.sources.cache import empty_frame, manifest_current, read_events, read_manifest
+from hourvault.sources.cache import Snapshot, empty_frame, good_rows, read_events
 from hourvault.sources.storage import exists, join_path, qualified, remove
 
 _VERSION_SCHEMA = T.StructType(
@@ -95,59 +96,44 @@ def search_cache(
     filters: Mapping[str, str | None] | None = None,
     limit: int = DEFAULT_LIMIT,
     *,
+    where: Predicate | None = None,
     lateness_hours: int = 0,
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
     """Search the cached hours of a range.
 
-    Without filters, the manifest names the few hours that can hold the newest
-    events, and only those are read.
+    The manifest is read once. Without filters, it names the few hours that can
+    hold the newest events, and only those are read; with an event ID, it rules
+    out directories by their range of IDs, and the Bloom filters of the stored
+    files then rule out row groups.
     """
     check_limit(limit, max_limit)
     bounds = hour_bounds(from_utc, to_utc, lateness_hours)
     if bounds is None:
         return empty_frame(spark, RESULT_SCHEMA)
-    if all(value is None for value in (filters or {}).values()):
-        found = _newest(spark, root, from_utc, to_utc, limit, lateness_hours)
+    filters = {name: value for name, value in (filters or {}).items() if value is not None}
+    seen = Snapshot(spark, root, bounds)
+    options = {"lateness_hours": lateness_hours, "max_limit": max_limit}
+    if not filters and where is None:
+        found = _newest(seen, from_utc, to_utc, limit, options)
         if found is not None:
             return found
-    return search(
-        read_events(spark, root, bounds),
-        from_utc,
-        to_utc,
-        filters,
-        limit,
-        lateness_hours=lateness_hours,
-        max_limit=max_limit,
-    )
+    events = good_rows(seen.read(event_id=filters.get("event_id")))
+    return search(events, from_utc, to_utc, filters, limit, where=where, **options)
 
 
-def _newest(
-    spark: SparkSession, root: str, from_utc: datetime, to_utc: datetime, limit: int, lateness_hours: int
-) -> DataFrame | None:
+def _newest(seen: Snapshot, from_utc: datetime, to_utc: datetime, limit: int, options: dict) -> DataFrame | None:
     """An unfiltered search over only the hours that can matter; None if that is not certain.
 
     The manifest names a time floor and the hours that reach it. Events outside
     those hours are older than the floor, so `limit` results from the floor on
     are the newest ones whatever else the range holds.
     """
-    bounds = hour_bounds(from_utc, to_utc, lateness_hours)
-    if bounds is None:
-        return None
-    reach = newest_hours(manifest_current(read_manifest(spark, root, bounds)), from_utc, to_utc, limit)
+    reach = hours_reaching([h for h in seen.hours if h["searchable"]], from_utc, to_utc, limit)
     if reach is None:
         return None
     floor, hours = reach
-    found = pin(
-        search(
-            read_events(spark, root, bounds, hours),
-            from_utc,
-            to_utc,
-            limit=limit,
-            lateness_hours=lateness_hours,
-            max_limit=limit,
-        )
-    )
+    found = pin(search(good_rows(seen.read(hours)), from_utc, to_utc, limit=limit, **options))
     certain = found.where(F.col("timestamp") >= instant_literal(floor, T.TimestampType())).count() == limit
     return found if certain else None
 
@@ -160,6 +146,7 @@ def search_and_store(
     filters: Mapping[str, str | None] | None = None,
     limit: int = DEFAULT_LIMIT,
     *,
+    where: Predicate | None = None,
     lateness_hours: int = 0,
     max_limit: int = MAX_LIMIT,
 ) -> DataFrame:
@@ -167,7 +154,8 @@ def search_and_store(
     check_limit(limit, max_limit)
     found = pin(
         search_cache(
-            spark, root, from_utc, to_utc, filters, limit, lateness_hours=lateness_hours, max_limit=max_limit
+            spark, root, from_utc, to_utc, filters, limit,
+            where=where, lateness_hours=lateness_hours, max_limit=max_limit,
         )
     )
     replace_results(spark, root, found)
@@ -184,6 +172,7 @@ def search_archive(
     limit: int = DEFAULT_LIMIT,
     *,
     folder: str = "",
+    where: Predicate | None = None,
     max_limit: int = MAX_LIMIT,
     lateness_hours: int = 0,
     **sync_options,
@@ -194,7 +183,8 @@ def search_archive(
         spark, container, root, from_utc, to_utc, folder=folder, lateness_hours=lateness_hours, **sync_options
     )
     return search_and_store(
-        spark, root, from_utc, to_utc, filters, limit, lateness_hours=lateness_hours, max_limit=max_limit
+        spark, root, from_utc, to_utc, filters, limit,
+        where=where, lateness_hours=lateness_hours, max_limit=max_limit,
     )
 
 

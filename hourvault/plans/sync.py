@@ -36,6 +36,14 @@ UNIT_BYTES = 1 << 40
 # Tasks move their files into place themselves instead of leaving all renames to
 # the driver. The files become visible only through the commit row anyway.
 _PARALLEL_COMMIT = {"mapreduce.fileoutputcommitter.algorithm.version": "2"}
+# A Bloom filter of the event IDs of each row group, as large as its IDs need: the writer
+# fills candidates from 512 bytes to 2 MB, each half the next, and drops those that get too full.
+_ID_FILTERS = {
+    "parquet.bloom.filter.enabled#event_id": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+    "parquet.bloom.filter.candidates.number#event_id": "13",
+    "parquet.bloom.filter.max.bytes": str(2 * 1024 * 1024),
+}
 
 
 def data_files(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:
@@ -71,22 +79,27 @@ def _write_events(
     )
     keep = ["blob_path", "blob_partition", "file_name", "blob_hour", "group_no"]
     events = to_events(archive.read_ranges(placed, container, keep), empty_as_missing)
+    write_events(events, root, run_id, row_group_bytes)
+
+
+def write_events(events: DataFrame, root: str, run_id: str, row_group_bytes: int) -> None:
+    """Write rows of the event table, refused lines included, below the directory of a run."""
     (
         events.select(*[name for name in EVENT_TABLE_SCHEMA.names if name != "run_id"])
         .write.mode("append")
-        .options(compression="zstd", **{"parquet.block.size": str(row_group_bytes)}, **_PARALLEL_COMMIT)
+        .options(compression="zstd", **{"parquet.block.size": str(row_group_bytes)}, **_PARALLEL_COMMIT, **_ID_FILTERS)
         .partitionBy("blob_hour", "group_no")
-        .parquet(_run_dir(root, run_id))
+        .parquet(run_dir(root, run_id))
     )
 
 
-def _run_dir(root: str, run_id: str) -> str:
+def run_dir(root: str, run_id: str) -> str:
     return join_path(root, "events", f"run_id={run_id}")
 
 
-def _files_read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
+def files_read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     """Per file of a run that has lines: what its manifest row says, and its first refused line."""
-    rows = spark.read.schema(EVENT_TABLE_SCHEMA).parquet(_run_dir(root, run_id))
+    rows = spark.read.schema(EVENT_TABLE_SCHEMA).parquet(run_dir(root, run_id))
     refused = F.col("bad_reason").isNotNull()
     # Refused lines have neither ID nor time.
     time = F.when(F.col("event_id").isNotNull(), F.col("timestamp"))
@@ -97,6 +110,8 @@ def _files_read(spark: SparkSession, root: str, run_id: str) -> DataFrame:
         F.count(time).alias("searchable_count"),
         F.min(time).alias("first_event"),
         F.max(time).alias("last_event"),
+        F.min("event_id").alias("first_id"),
+        F.max("event_id").alias("last_id"),
         F.min(F.when(refused, F.col("source_line"))).alias("first_bad"),
     )
 
@@ -160,7 +175,7 @@ def materialize(
         empty_as_missing,
     )
 
-    read = pin(_files_read(spark, root, run_id))
+    read = pin(files_read(spark, root, run_id))
     first, bad_hours = None, []
     if mode == "failfast":
         bad = read.where(F.col("first_bad").isNotNull())
@@ -169,41 +184,45 @@ def materialize(
         # The hours with a malformed line are not published; the others are.
         bad_hours = [r["blob_hour"] for r in bad.select("blob_hour").distinct().collect()]
         for hour in bad_hours:
-            remove(spark, join_path(_run_dir(root, run_id), f"blob_hour={hour}"))
+            remove(spark, join_path(run_dir(root, run_id), f"blob_hour={hour}"))
         assigned = assigned.where(~F.col("blob_hour").isin(bad_hours))
         if assigned.isEmpty():
-            remove(spark, _run_dir(root, run_id))
+            remove(spark, run_dir(root, run_id))
             raise _malformed(first)
     stamp = instant_literal(now or datetime.now(timezone.utc), T.TimestampType())
-    stored = archive.list_stored(
-        join_path(root, "events"), read.select(F.lit(run_id).alias("run_id"), "blob_hour").distinct()
-    ).groupBy("blob_hour", "group_no").agg(F.count("*").alias("group_files"), F.sum("size").alias("group_bytes"))
-    rows = assigned.join(read.drop("blob_hour"), "blob_path", "left").join(stored, ["blob_hour", "group_no"], "left")
-    manifest = rows.select(
-        "blob_path",
-        "file_name",
-        "blob_partition",
-        F.lit(run_id).alias("run_id"),
-        "group_no",
-        "size",
-        F.coalesce("events_count", F.lit(0).cast("bigint")).alias("events_count"),
-        F.coalesce("searchable_count", F.lit(0).cast("bigint")).alias("searchable_count"),
-        "first_event",
-        "last_event",
-        F.coalesce("refused_count", F.lit(0).cast("bigint")).alias("refused_count"),
-        F.coalesce("group_files", F.lit(0).cast("bigint")).alias("group_files"),
-        F.coalesce("group_bytes", F.lit(0).cast("bigint")).alias("group_bytes"),
-        stamp.alias("materialized_at"),
-        "blob_hour",
-        F.substring("blob_hour", 1, 10).alias("blob_day"),
+    hours = read.select("blob_hour").distinct()
+    rows = assigned.join(read.drop("blob_hour"), "blob_path", "left").join(
+        stored_groups(spark, root, run_id, hours), ["blob_hour", "group_no"], "left"
+    )
+    counts = ("events_count", "searchable_count", "refused_count", "group_files", "group_bytes")
+    manifest = rows.withColumns(
+        {
+            **{name: F.coalesce(name, F.lit(0).cast("bigint")) for name in counts},
+            "run_id": F.lit(run_id),
+            "materialized_at": stamp,
+            "removed": F.lit(False),
+        }
     )
+    publish(spark, root, run_id, manifest, totals["days"], totals["files"])
+    if first is not None:
+        raise _malformed(first)
+    return run_id
+
+
+def stored_groups(spark: SparkSession, root: str, run_id: str, hours: DataFrame) -> DataFrame:
+    """Files and bytes of each group that a run has written for some hours."""
+    found = archive.list_stored(join_path(root, "events"), hours.select(F.lit(run_id).alias("run_id"), "blob_hour"))
+    return found.groupBy("blob_hour", "group_no").agg(F.count("*").alias("group_files"), F.sum("size").alias("group_bytes"))
+
+
+def publish(spark: SparkSession, root: str, run_id: str, manifest: DataFrame, days: int, files: int) -> None:
+    """Write the manifest rows of a run, then its commit: from then on readers see it."""
+    manifest = manifest.withColumn("blob_day", F.substring("blob_hour", 1, 10))
     # One file per day, more for a day with very many files.
-    parts = 1 + totals["files"] // 1_000_000
+    parts = 1 + files // 1_000_000
     (
         manifest.select(*MANIFEST_SCHEMA.names)
-        .repartition(
-            int(max(1, totals["days"] * parts)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts))
-        )
+        .repartition(int(max(1, days * parts)), "blob_day", F.pmod(F.xxhash64("blob_path"), F.lit(parts)))
         .write.mode("overwrite")
         # Only this run's own partitions, through a staging folder of its own.
         .options(compression="zstd", partitionOverwriteMode="dynamic")
@@ -218,9 +237,6 @@ def materialize(
         F.max("materialized_at").alias("materialized_at"),
     ).select(*COMMIT_SCHEMA.names)
     commit.coalesce(1).write.parquet(join_path(root, "commits", run_id))
-    if first is not None:
-        raise _malformed(first)
-    return run_id
 
 
 def _malformed(first) -> MalformedLineError:
@@ -296,6 +312,61 @@ def sync(
     return sync_listing(spark, container, root, listing, bounds, **options)
 
 
+def reconcile_deleted(
+    spark: SparkSession,
+    container: str,
+    root: str,
+    from_utc: datetime,
+    to_utc: datetime,
+    *,
+    folder: str = "",
+    lateness_hours: int = 0,
+    most_share: float = 0.5,
+    now: datetime | None = None,
+) -> DataFrame:
+    """Take files that are gone from the archive out of the cache; their number per hour.
+
+    One run whose manifest rows say that a file is removed: readers no longer show
+    its events, and the hour's other files stay as they are. A file that comes
+    back is missing like any other, and the next sync reads it again. Data is
+    removed by `maintenance.reclaim`. An archive that cannot be reached looks like
+    an empty one, so more than `most_share` of the cached files are not taken out
+    at once: that raises ValueError.
+    """
+    bounds = hour_bounds(from_utc, to_utc, lateness_hours)
+    columns = ["blob_path", "file_name", "blob_partition", "blob_hour"]
+    if bounds is None:
+        known = read_manifest(spark, root).limit(0).select(*columns)
+        gone = known
+    else:
+        hours = hours_frame(spark, from_utc, to_utc + timedelta(hours=lateness_hours))
+        prefix = folder.strip("/") + "/" if folder.strip("/") else ""
+        known = cached.live(manifest_current(read_manifest(spark, root, bounds))).select(*columns)
+        known = pin(known.where(F.col("blob_path").startswith(prefix)) if prefix else known)
+        gone = pin(known.join(archive.list_archive(hours, container, folder).select("blob_path"), "blob_path", "left_anti"))
+    files = gone.count()
+    if files and files > most_share * known.count():
+        raise ValueError(f"{files} of {known.count()} cached files are not in the archive; see most_share")
+    if files:
+        run_id = uuid.uuid4().hex
+        zero, none = F.lit(0).cast("bigint"), F.lit(None)
+        stamp = instant_literal(now or datetime.now(timezone.utc), T.TimestampType())
+        counts = ("group_no", "size", "events_count", "searchable_count", "refused_count", "group_files", "group_bytes")
+        manifest = gone.withColumns(
+            {
+                **{name: zero for name in counts},
+                **{name: none.cast("timestamp") for name in ("first_event", "last_event")},
+                **{name: none.cast("string") for name in ("first_id", "last_id")},
+                "run_id": F.lit(run_id),
+                "materialized_at": stamp,
+                "removed": F.lit(True),
+            }
+        )
+        days = gone.select(F.substring("blob_hour", 1, 10)).distinct().count()
+        publish(spark, root, run_id, manifest, days, files)
+    return gone.groupBy("blob_partition").agg(F.count("*").alias("removed"))
+
+
 def reset(spark: SparkSession, root: str) -> None:
     """Drop the cache and all its metadata; the archive is not touched."""
     # Commits first: without them no reader sees a half-removed table.

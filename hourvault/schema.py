@@ -66,11 +66,16 @@ MANIFEST_SCHEMA = T.StructType(
         T.StructField("searchable_count", T.LongType()),
         T.StructField("first_event", T.TimestampType()),
         T.StructField("last_event", T.TimestampType()),
+        # The least and the greatest event ID; NULL in rows written before they were kept.
+        T.StructField("first_id", T.StringType()),
+        T.StructField("last_id", T.StringType()),
         T.StructField("refused_count", T.LongType()),
         # Stored files and bytes of the whole group: a group that lost some is missing.
         T.StructField("group_files", T.LongType()),
         T.StructField("group_bytes", T.LongType()),
         T.StructField("materialized_at", T.TimestampType()),
+        # True where the file is gone from the archive and its events are no longer shown.
+        T.StructField("removed", T.BooleanType()),
         T.StructField("blob_hour", T.StringType()),
         T.StructField("blob_day", T.StringType()),
     ]

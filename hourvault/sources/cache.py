@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import broadcast_if_small, pin
-from hourvault.sources.storage import child_names, exists, join_path
+from hourvault.sources.storage import child_names, exists, join_path, parent_names
 
 HourBounds = tuple[str, str]
 
@@ -48,6 +48,15 @@ def merged_commits(spark: SparkSession, root: str, merge: str | None) -> DataFra
     return spark.read.schema(COMMIT_SCHEMA).parquet(join_path(root, "merged", merge, "commits"))
 
 
+def later_runs(spark: SparkSession, root: str, merge: str | None) -> list[str]:
+    """Finished runs that the merge does not cover: those with a commit file. No job without a merge."""
+    runs = parent_names(spark, join_path(root, "commits", "*", "part-*"))
+    if merge is None or not runs:
+        return runs
+    covered = merged_commits(spark, root, merge).where(F.col("run_id").isin(runs)).select("run_id").collect()
+    return sorted(set(runs) - {r["run_id"] for r in covered})
+
+
 def _later_commits(spark: SparkSession, root: str, merge: str | None) -> DataFrame:
     """Commit rows of the runs that the merge does not cover."""
     path = join_path(root, "commits")
@@ -73,8 +82,7 @@ def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = No
     seen whole; one that commits between the listings is not seen at all.
     """
     merge = next(iter(merge_names(spark, root)[-1:]), None)
-    finished, _ = broadcast_if_small(_later_commits(spark, root, merge).select("run_id"))
-    later = _later_manifest(spark, root, finished, bounds)
+    later = _later_manifest(spark, root, later_runs(spark, root, merge), bounds)
     if merge is None:
         return later
     merged = spark.read.schema(MANIFEST_SCHEMA).parquet(join_path(root, "merged", merge, "rows"))
@@ -84,19 +92,19 @@ def read_manifest(spark: SparkSession, root: str, bounds: HourBounds | None = No
     return merged.select(*MANIFEST_SCHEMA.names).unionByName(later)
 
 
-def _later_manifest(spark: SparkSession, root: str, finished: DataFrame, bounds: HourBounds | None) -> DataFrame:
-    """Manifest rows of single runs."""
+def _later_manifest(spark: SparkSession, root: str, finished: list[str], bounds: HourBounds | None) -> DataFrame:
+    """Manifest rows of single runs; merges keep these few."""
     base = join_path(root, "manifest")
     days = child_names(spark, join_path(base, "blob_day=*"))
     if bounds is not None:
         days = [d for d in days if bounds[0][:10] <= d.partition("=")[2] <= bounds[1][:10]]
-    if not days:
+    if not days or not finished:
         return empty_frame(spark, MANIFEST_SCHEMA)
     paths = [join_path(base, day) for day in days]
     rows = spark.read.schema(MANIFEST_SCHEMA).option("basePath", base).parquet(*paths)
     if bounds is not None:
         rows = rows.where(F.col("blob_hour").between(*bounds))
-    return rows.join(finished, "run_id", "left_semi").select(*MANIFEST_SCHEMA.names)
+    return rows.where(F.col("run_id").isin(finished)).select(*MANIFEST_SCHEMA.names)
 
 
 def manifest_current(manifest: DataFrame) -> DataFrame:
@@ -144,47 +152,97 @@ def hour_dirs(manifest: DataFrame) -> DataFrame:
     return manifest.where(stored).select("run_id", "blob_hour").distinct()
 
 
+class Snapshot:
+    """What the manifest says about some hours at one moment: read once, for all steps of a search.
+
+    The driver holds one row per hour and run, like the directory listing Spark
+    itself does. Only the newest copy of each file counts, and only directories
+    that such copies need: those of older copies may be gone.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, bounds: HourBounds | None = None):
+        self.spark, self.root = spark, root
+        self.entries = read_manifest(spark, root, bounds)
+        self.hours = stored_hours(self.entries).collect()
+
+    def read(self, only: Collection[str] | None = None, event_id: str | None = None) -> DataFrame:
+        """Visible rows of the event table, refused lines included.
+
+        `only` limits to a set of hours; `event_id` leaves out directories whose
+        range of IDs does not reach it. Visible: the run is committed and the file
+        was not read again by a newer run. Events are only joined when a directory
+        holds older copies too; otherwise nothing is shuffled. Raises LostDataError
+        if a directory is gone that current manifest rows need; a sync of its
+        hours reads them again.
+        """
+        base = join_path(self.root, "events")
+        wanted = [h for h in self.hours if h["stored"] and (only is None or h["blob_hour"] in only)]
+        if event_id is not None:
+            wanted = [h for h in wanted if not h["ids_known"] or (h["first_id"] or "") <= event_id <= (h["last_id"] or "")]
+        paths = [join_path(base, f"run_id={h['run_id']}", f"blob_hour={h['blob_hour']}") for h in wanted]
+        if not paths:
+            return empty_frame(self.spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
+        try:
+            rows = self.spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", base).parquet(*paths)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            raise LostDataError(f"Stored events are gone; sync their hours again: {error}") from error
+        rows = rows.withColumn("parquet_path", F.col("_metadata.file_path"))
+        if not any(h["older_copies"] for h in self.hours):
+            return rows
+        runs = sorted({h["run_id"] for h in wanted})
+        replaced = pin(superseded(self.entries).where(F.col("run_id").isin(runs)))
+        if replaced.isEmpty():
+            return rows
+        replaced, _ = broadcast_if_small(replaced)
+        return rows.join(replaced, ["run_id", "blob_path"], "left_anti")
+
+
+def stored_hours(manifest: DataFrame) -> DataFrame:
+    """What the newest copies of files come to, by run and hour.
+
+    `stored` where there is data, `older_copies` of its files, `searchable` events
+    with `first` and `last` time in microseconds, and the range of their IDs, which
+    `ids_known` says to be complete. One aggregate by file, one over its result.
+    """
+    stored = F.col("events_count") + F.col("refused_count") > 0
+    known = stored & (F.col("first_id").isNotNull() | (F.col("searchable_count") == 0)) | ~stored
+    searchable = F.col("searchable_count") > 0
+    copy = F.struct(
+        "materialized_at", "run_id", "blob_hour", stored.alias("stored"), known.alias("known"), "searchable_count",
+        F.when(searchable, F.unix_micros("first_event")).alias("first"), F.when(searchable, F.unix_micros("last_event")).alias("last"),
+        "first_id", "last_id",
+    )
+    newest = manifest.groupBy("blob_path").agg(F.max(copy).alias("now"), F.count("*").alias("copies"))
+    return newest.groupBy("now.run_id", "now.blob_hour").agg(
+        F.bool_or("now.stored").alias("stored"),
+        F.sum(F.col("copies") - 1).alias("older_copies"),
+        F.sum("now.searchable_count").alias("searchable"),
+        F.min("now.first").alias("first"),
+        F.max("now.last").alias("last"),
+        F.bool_and("now.known").alias("ids_known"),
+        F.min("now.first_id").alias("first_id"),
+        F.max("now.last_id").alias("last_id"),
+    )
+
+
 def read_stored(
     spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
 ) -> DataFrame:
-    """Visible rows of the event table, refused lines included.
-
-    `bounds` is a first and last hour; `only` further limits to a set of hours.
-    Visible: the run is committed and the file was not read again by a newer
-    run. The second case is rare (data lost, or two syncs at once), so events
-    are only joined when it occurs; otherwise nothing is shuffled. Raises
-    LostDataError if a directory is gone that current manifest rows need; a
-    sync of its hours reads them again.
-    """
-    entries = read_manifest(spark, root, bounds)
-    if only is not None:
-        entries = entries.where(F.col("blob_hour").isin(list(only)))
-    base = join_path(root, "events")
-    # Counted in hours and runs, like the directory listing Spark itself does.
-    # Only directories that current rows need: those of older copies may be gone.
-    dirs = hour_dirs(manifest_current(entries)).collect()
-    paths = [join_path(base, f"run_id={d['run_id']}", f"blob_hour={d['blob_hour']}") for d in dirs]
-    if not paths:
-        return empty_frame(spark, EVENT_TABLE_SCHEMA).withColumn("parquet_path", F.lit(None).cast("string"))
-    try:
-        rows = spark.read.schema(EVENT_TABLE_SCHEMA).option("basePath", base).parquet(*paths)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise LostDataError(f"Stored events are gone; sync their hours again: {error}") from error
-    rows = rows.withColumn("parquet_path", F.col("_metadata.file_path"))
-    replaced = pin(superseded(entries))
-    if replaced.isEmpty():
-        return rows
-    replaced, _ = broadcast_if_small(replaced)
-    return rows.join(replaced, ["run_id", "blob_path"], "left_anti")
+    """Visible rows of the event table in the hours of `bounds` (a first and last hour) and `only`, refused lines included."""
+    return Snapshot(spark, root, bounds).read(only)
 
 
 def read_events(
     spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
 ) -> DataFrame:
     """Visible events of the hours in `bounds` and `only` (all hours when None)."""
-    return read_stored(spark, root, bounds, only).where(F.col("bad_reason").isNull()).drop("bad_reason")
+    return good_rows(read_stored(spark, root, bounds, only))
+
+
+def good_rows(stored: DataFrame) -> DataFrame:
+    return stored.where(F.col("bad_reason").isNull()).drop("bad_reason")
 
 
 def read_quarantine(spark: SparkSession, root: str, bounds: HourBounds | None = None) -> DataFrame:

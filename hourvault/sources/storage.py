@@ -49,6 +49,13 @@ def child_names(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(status.getPath().getName() for status in found) if found else []
 
 
+def parent_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the directories that hold what matches a glob; for directories counted in hours or runs."""
+    filesystem, path = _hadoop(spark, pattern)
+    found = filesystem.globStatus(path)
+    return sorted({status.getPath().getParent().getName() for status in found}) if found else []
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     filesystem, jvm_path = _hadoop(spark, path)
     return filesystem.exists(jvm_path)

@@ -165,6 +165,20 @@ def write_files(files: DataFrame, container: str) -> int:
     return written.agg(F.sum("n")).head()[0] or 0
 
 
+def remove_files(files: DataFrame, container: str) -> int:
+    """Remove the files at `blob_path` from the container; number of files."""
+
+    def delete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = open_storage(container)
+        for batch in batches:
+            for path in batch.column("blob_path").to_pylist():
+                filesystem.delete_file(join_path(root, path))
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    removed = files.select("blob_path").mapInArrow(delete, "n bigint")
+    return removed.agg(F.sum("n")).head()[0] or 0
+
+
 _ARCHIVES: dict[tuple[str, str], str] = {}
 
 
