@@ -46,7 +46,9 @@ class Predicate:
         """The condition as a search uses it, the part for the scan first."""
         if self.implied is None or self.exact:
             return [self.whole]
-        return [self.implied, self.whole]
+        # Inside `coalesce`, or the optimizer would take what both have in common out of
+        # their ORs again, and with it all that could be handed to the scan.
+        return [self.implied, F.coalesce(self.whole, F.lit(False))]
 
 
 def _field(name: str) -> Column:

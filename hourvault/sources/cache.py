@@ -108,17 +108,10 @@ def _later_manifest(spark: SparkSession, root: str, finished: list[str], bounds:
 
 
 def manifest_current(manifest: DataFrame) -> DataFrame:
-    """Newest row per source file.
-
-    Files with one row, nearly all of them, are settled by a plain count; only
-    the rows of the others are compared whole.
-    """
-    repeated = _repeated(manifest)
-    single = manifest.join(repeated, "blob_path", "left_anti")
+    """Newest row per source file: one aggregate, so one shuffle of the rows."""
     others = [c for c in manifest.columns if c not in ("blob_path", "materialized_at", "run_id")]
     newest = F.max(F.struct("materialized_at", "run_id", *others)).alias("newest")
-    several = manifest.join(repeated, "blob_path", "left_semi").groupBy("blob_path").agg(newest)
-    return single.unionByName(several.select("blob_path", "newest.*")).select(*manifest.columns)
+    return manifest.groupBy("blob_path").agg(newest).select("blob_path", "newest.*").select(*manifest.columns)
 
 
 def _repeated(manifest: DataFrame) -> DataFrame:

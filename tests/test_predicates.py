@@ -99,7 +99,7 @@ def test_leaves_and_random_trees(spark):
 
 
 def pushed(frame):
-    text = frame._jdf.queryExecution().executedPlan().verboseStringWithOperatorId()
+    text = frame.sparkSession._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "formatted")
     filters = re.search(r"PushedFilters: \[(.*)\]", text)[1]
     columns = re.search(r"ReadSchema: struct<(.*)>", text)[1]
     return filters, columns
