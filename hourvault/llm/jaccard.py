@@ -12,7 +12,7 @@ the others. Which pairs are counted is decided by fragments too:
   content, and similar documents share one (documents with so few non-empty
   fragments that this fails also give keys for the empty ones).
 - A pair is dropped if its sizes cannot reach the threshold, or if the parities
-  of its sets in 512 hash classes differ in more places than its n-grams may.
+  of its sets in 2,048 hash classes differ in more places than its n-grams may.
   Neither drops a pair that is similar.
 
 Links are needed only to tell the components. First each key's documents meet
@@ -48,7 +48,9 @@ from hourvault.llm import stored
 from hourvault.llm.flat import U64, Words, byte_set, flat_bytes, mix, small_batches
 
 SPACE = byte_set((9, 13), (32, 32))
-SKETCH_WORDS = 8
+#: Parity bits of a set, in words: so many that pairs which differ in a few n-grams too many are told apart.
+SKETCH_WORDS = 32
+SKETCH_ROWS = 1024
 #: Ratio of the largest to the smallest size in a class.
 CLASS_RATIO = 1.25
 #: Rows of a key that one task sends to the key's own partition.
@@ -121,11 +123,15 @@ class Sets:
         return mix((running[self.first[1:]] - running[self.first[:-1]]) ^ self.size.astype(U64))
 
     def sketches(self) -> np.ndarray:
-        """Parity of the set's n-grams in each of 512 hash classes, as 8 words a set."""
-        bits = 64 * SKETCH_WORDS
+        """Parity of the set's n-grams in each of 64 * SKETCH_WORDS hash classes, as words a set; some sets at a time."""
+        bits, n = 64 * SKETCH_WORDS, len(self.first) - 1
         at = self.row() * bits + (mix(self.hash ^ U64(0x51ED)) & U64(bits - 1)).astype(np.int64)
-        odd = (np.bincount(at, minlength=bits * (len(self.first) - 1)) & 1).astype(np.uint8)
-        return np.packbits(odd, bitorder="little").view("<i8").reshape(-1, SKETCH_WORDS)
+        out = np.zeros((n, SKETCH_WORDS), np.int64)
+        for low in range(0, n, SKETCH_ROWS):
+            high = min(n, low + SKETCH_ROWS)
+            counts = np.bincount(at[self.first[low] : self.first[high]] - low * bits, minlength=bits * (high - low))
+            out[low:high] = np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8").reshape(-1, SKETCH_WORDS)
+        return out
 
 
 def fragment_keys(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -310,10 +316,14 @@ def _side(classes: DataFrame, name: str) -> DataFrame:
     return classes.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *(F.col(s).alias(f"{name}_{s}") for s in _SKETCH))
 
 
-def overlaps(df: DataFrame, row: str, text: str, classes: DataFrame, pairs: DataFrame, similarity: Similarity, first: int = FRAGMENTS) -> DataFrame:
+def overlaps(
+    df: DataFrame, row: str, text: str, classes: DataFrame, pairs: DataFrame, similarity: Similarity, first: int = FRAGMENTS, short: bool = False
+) -> DataFrame:
     """(a, b, overlap, a_part, b_part) of pairs of classes: counts in each of the first fragments of the global order, summed.
 
     The parts are the n-grams each has in these fragments. Only the texts of one document of each class in a pair are read again.
+    With `short`, n-grams are compared by 16 bits of their hashes, a quarter of the bytes that travel with
+    each pair, and `overlap` is what it can be at most: n-grams of a set that fall together count as common.
     """
     wanted = stored.written(
         pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "first_row"), "node"), "wanted"
@@ -326,30 +336,40 @@ def overlaps(df: DataFrame, row: str, text: str, classes: DataFrame, pairs: Data
         for batch in small_batches(batches, "text"):
             sets = Sets(batch.column("text"), similarity.n, similarity.seed)
             piece = sets.row() * FRAGMENTS + ((sets.hash >> U64(32)) * U64(FRAGMENTS) >> U64(32)).astype(np.int64)
-            nodes, grams, counted = sets.sums(0x1F1F).view(np.int64), sets.hash.view(np.int64), piece % FRAGMENTS < first
-            piece, grams = piece[counted], grams[counted]
+            nodes, counted = sets.sums(0x1F1F).view(np.int64), piece % FRAGMENTS < first
+            piece, grams = piece[counted], sets.hash[counted]
+            part = np.diff(np.append(np.flatnonzero(np.diff(piece, prepend=-1)), len(piece)))
+            if short:
+                both = np.unique((piece << 16) | (grams & U64(0xFFFF)).astype(np.int64))
+                piece, grams = both >> 16, (both & 0xFFFF).astype(np.uint16)
             begin = np.flatnonzero(np.diff(piece, prepend=-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(piece)), pa.int32()), pa.array(grams))
+            values = pa.array(grams.view(np.int16 if short else np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(piece)), pa.int32()), values)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(nodes[piece[begin] // FRAGMENTS]), pa.array(piece[begin] % FRAGMENTS, pa.int32()), lists], ["node", "fragment", "grams"]
+                [pa.array(nodes[piece[begin] // FRAGMENTS]), pa.array(piece[begin] % FRAGMENTS, pa.int32()), pa.array(part, pa.int64()), lists],
+                ["node", "fragment", "part", "grams"],
             )
 
     fragments = stored.written(
-        rows.mapInArrow(cut, "node long, fragment int, grams array<long>")
+        rows.mapInArrow(cut, f"node long, fragment int, part long, grams array<{'short' if short else 'long'}>")
         .join(wanted.select("node"), "node", "left_semi")
         .groupBy("node", "fragment")
-        .agg(F.first("grams").alias("grams")),
+        .agg(F.first("part").alias("part"), F.first("grams").alias("grams")),
         "fragments",
     )
-    left = fragments.select(F.col("node").alias("a"), "fragment", F.col("grams").alias("a_grams"))
-    right = fragments.select(F.col("node").alias("b"), "fragment", F.col("grams").alias("b_grams"))
-    total = lambda grams: F.sum(F.greatest(F.size(grams), F.lit(0)))
+    left, right = (
+        fragments.select(F.col("node").alias(x), "fragment", F.col("part").alias(f"{x}_part"), F.col("grams").alias(f"{x}_grams")) for x in "ab"
+    )
+    # Of n-grams that fall together, one is in the list; at most the others are common too.
+    fallen = F.least(*(F.col(f"{x}_part") - F.size(f"{x}_grams") for x in "ab"))
+    common = F.coalesce(F.size(F.array_intersect("a_grams", "b_grams")) + fallen, F.lit(0))
+    part = lambda x: F.sum(F.coalesce(f"{x}_part", F.lit(0))).alias(f"{x}_part")
     return (
         pairs.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(first - 1))).alias("fragment"))
         .join(left, ["a", "fragment"], "left")
         .join(right, ["b", "fragment"], "left")
         .groupBy("a", "b")
-        .agg(total(F.array_intersect("a_grams", "b_grams")).alias("overlap"), total("a_grams").alias("a_part"), total("b_grams").alias("b_part"))
+        .agg(F.sum(common).alias("overlap"), part("a"), part("b"))
     )
 
 
@@ -360,7 +380,7 @@ def _links(df, row, text, classes, pairs, similarity) -> DataFrame:
     """
     most = F.col("overlap") + F.least(F.col("a_n") - F.col("a_part"), F.col("b_n") - F.col("b_part"))
     similar = lambda common: common * similarity.denominator >= (F.col("a_n") + F.col("b_n") - common) * similarity.numerator
-    counted = overlaps(df, row, text, classes, pairs.select("a", "b"), similarity, FIRST_FRAGMENTS)
+    counted = overlaps(df, row, text, classes, pairs.select("a", "b"), similarity, FIRST_FRAGMENTS, short=True)
     pairs = stored.written(pairs.join(counted, ["a", "b"]).where(similar(most)).select(*pairs.columns), "possible")
     counted = overlaps(df, row, text, classes, pairs.select("a", "b"), similarity)
     return stored.written(pairs.join(counted, ["a", "b"]).where(similar(F.col("overlap"))).select("a", "b", "overlap"), "links")

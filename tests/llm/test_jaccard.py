@@ -158,3 +158,36 @@ def test_colliding_class_hashes_are_refused(spark, monkeypatch):
     rows = [(i, f"text number {i} of some words") for i in range(12)]
     with pytest.raises(ValueError, match="seed"):
         result(spark, rows)
+
+
+def test_short_counts_are_never_too_low(spark):
+    """What two sets can have in common at most is at least what they have, also where many n-grams fall together."""
+    import random
+
+    from hourvault.llm import jaccard, stored
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(3000)]
+    base = rng.choices(words, k=6000)
+    texts = []
+    for i in range(8):
+        own = list(base)
+        for at in rng.sample(range(len(own)), 40 * i):
+            own[at] = rng.choice(words)
+        texts.append((i, " ".join(own[: 6000 - 500 * (i % 3)])))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    similarity = jaccard.Similarity()
+    rows = jaccard.summarise(df, "doc_id", "text", similarity).select("row", "f1").collect()
+    classes = spark.createDataFrame([(r["f1"], r["row"]) for r in rows], "node long, first_row long")
+    nodes = {r["f1"]: r["row"] for r in rows}
+    pairs = stored.written(spark.createDataFrame([(a, b) for a in nodes for b in nodes if a < b], "a long, b long"), "pairs")
+    grams = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in texts}
+    exact = {(r["a"], r["b"]): r for r in jaccard.overlaps(df, "doc_id", "text", classes, pairs, similarity).collect()}
+    short = {(r["a"], r["b"]): r for r in jaccard.overlaps(df, "doc_id", "text", classes, pairs, similarity, short=True).collect()}
+    assert len(exact) == 28 == len(short)
+    for (a, b), row in exact.items():
+        x, y = grams[nodes[a]], grams[nodes[b]]
+        assert tuple(row)[2:] == (len(x & y), len(x), len(y))
+        most = short[a, b]
+        assert (most["a_part"], most["b_part"]) == (len(x), len(y))
+        assert len(x & y) <= most["overlap"] <= min(len(x), len(y)) + 1200
