@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourvault.llm.flat import U64, Words, byte_set, flat_bytes, small_batches, span_hashes, spans
-from hourvault.llm.sample import draw, drawn_ids, held_out, may_learn
+from hourvault.llm.sample import draw, drawn_ids, held_out, may_learn, one_text_each
 
 SAMPLE = 3000
 ROUNDS = 5
@@ -222,7 +222,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "qua
             arrays = [pa.FixedSizeListArray.from_arrays(pa.array(x.astype(np.float32).ravel()), x.shape[1]).cast(pa.list_(pa.float32())) for x in both]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *arrays], ["id", "y", "a", "b"])
 
-    rows = _rows(df, key).join(F.broadcast(ids), "id").select("id", "y", *_COLUMNS)
+    rows = one_text_each(_rows(df, key), ids).select("id", "y", *_COLUMNS)  # no more rows than ids
     found = rows.mapInArrow(views, f"id {id_type}, y double, a array<float>, b array<float>").toPandas().sort_values("id", kind="stable")
     has = found["y"].notna().to_numpy()
     if len(set(found["y"][has])) < 2:

@@ -493,10 +493,13 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     Rows of one key are rows of their own, as in `similarity_classes`. Of the rows
     of a component that have no key, one stays as well. Rows without words stay.
     """
-    numbered = stored.written(df.withColumn("hv_row", F.monotonically_increasing_id()), "numbered")
-    rows, _ = _classified(numbered, key, text, similarity, "hv_row")
+    row = "hv_row"
+    while row.lower() in {c.lower() for c in df.columns}:  # a name that no column has
+        row += "_"
+    numbered = stored.written(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    rows, _ = _classified(numbered, key, text, similarity, row)
     best = rows.where("n_shingles > 0").groupBy("label", F.col("doc_id").isNull().alias("keyless")).agg(
         F.min(F.struct("doc_id", "f1", "row")).alias("best")
     )
-    kept = best.select(F.col("best.row").alias("hv_row")).unionByName(rows.where("n_shingles = 0").select(F.col("row").alias("hv_row")))
-    return numbered.join(kept, "hv_row", "left_semi").drop("hv_row")
+    kept = best.select(F.col("best.row").alias(row)).unionByName(rows.where("n_shingles = 0").select(F.col("row").alias(row)))
+    return numbered.join(kept, row, "left_semi").drop(row)

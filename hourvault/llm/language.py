@@ -6,12 +6,14 @@ With bytes as one-hot vectors, a filter is a table of a weight for each byte
 value at each of its places, and a response is a sum of looked-up rows, so no
 product with the one-hot vectors is ever formed. The network is trained in numpy
 on windows of a bounded, hash-drawn sample of labelled texts: SAMPLE_TEXTS a
-language, WINDOWS_A_TEXT windows each. All windows of every text are scored, and
+language (fewer where they would be more than MOST_TEXTS in all; LEAST_TEXTS in
+any case), WINDOWS_A_TEXT windows each; equal windows of a language count once. All windows of every text are scored, and
 a text's language is the one with the highest mean probability over its windows,
 weighted by their letters.
 
 Defined cases: a text that is null or has no letter is `und` with score 0;
-without any labelled text all are. Rows without an id are scored, never learned
+without any labelled text all are, and `with_language`, which could then tell
+nothing, keeps the texts that have a letter. Rows without an id are scored, never learned
 from. Only the text is an input; ASCII capitals count as small letters.
 """
 
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourvault.llm.flat import LOWER, byte_set, flat_bytes, small_batches
-from hourvault.llm.sample import draw, held_out, may_learn
+from hourvault.llm.sample import held_out, may_learn, text_hash
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -34,8 +36,10 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 SAMPLE_TEXTS = 800
 WINDOWS_A_TEXT = 3
-#: Languages learned at most: the most frequent ones.
-LANGUAGES = 256
+#: Texts of all languages together, and of one at least: every label is learned, with fewer texts each if there are many.
+MOST_TEXTS, LEAST_TEXTS = 60_000, 20
+#: Text scored at a time.
+BATCH_BYTES = 1 << 20
 STEPS = 400
 BATCH = 64
 _LETTER = byte_set((65, 90), (97, 122), (128, 255))
@@ -135,29 +139,38 @@ def cut_windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
     """Windows of the drawn texts, at places chosen by the text's hash, and their languages."""
-    learn = df.where(may_learn(key) & F.col(lang).isNotNull())
-    counts = learn.groupBy(F.col(lang).cast("string").alias("l")).count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col(lang).cast("string") == row["l"], min(1.0, SAMPLE_TEXTS / row["count"])).otherwise(share)
-    rows = learn.where(draw(key, share, 6)).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
+    own = F.col(lang).cast("string")
+    rows = df.where(may_learn(key) & own.isNotNull()).select(
+        F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"), own.alias("lang")
+    )
+    # One row a language: no more than the network has outputs.
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return np.zeros((0, WINDOW), np.uint8), []
+    texts = max(LEAST_TEXTS, min(SAMPLE_TEXTS, MOST_TEXTS // len(counts)))
+    shares = df.sparkSession.createDataFrame([(r["lang"], min(1.0, texts / r["n"])) for r in counts], "lang string, share double")
+    # Drawn by id and text, so that texts of one id are drawn apart.
+    drawn = rows.withColumn("seed", F.xxhash64("id", text_hash("text"), F.lit(6))).join(F.broadcast(shares), "lang")
+    drawn = drawn.where(F.pmod("seed", F.lit(1 << 30)) / float(1 << 30) < F.col("share")).select("seed", "text", "lang")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             windows, row = cut_windows(batch.column("text"))
+            seeds = batch.column("seed").to_numpy().view(np.uint64).tolist()
             letters = _LETTER[windows].sum(1)
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             chosen = []
             for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                some = np.random.default_rng((b - a) * 31 + i).permutation(np.arange(a, b))
+                some = np.random.default_rng(seeds[i]).permutation(np.arange(a, b))
                 chosen += [w for w in some.tolist() if letters[w] > 8][:WINDOWS_A_TEXT]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([windows[w].tobytes() for w in chosen], pa.binary()), batch.column("lang").take(pa.array(row[chosen], pa.int64()))],
                 ["window", "lang"],
             )
 
-    # At most about LANGUAGES * SAMPLE_TEXTS * WINDOWS_A_TEXT windows of 256 bytes.
-    found = rows.mapInArrow(pick, "window binary, lang string").toPandas().sort_values(["lang", "window"])
+    # Rows of one id and text give the same windows. The limit only holds if the draw brings twice what it should.
+    found = drawn.mapInArrow(pick, "window binary, lang string").distinct().orderBy(F.xxhash64("window"), "window", "lang")
+    found = found.limit(2 * texts * len(counts) * WINDOWS_A_TEXT).toPandas().sort_values(["lang", "window"])
     raw = b"".join(bytes(w) for w in found["window"])
     return np.frombuffer(raw, np.uint8).reshape(-1, WINDOW), found["lang"].tolist()
 
@@ -171,24 +184,29 @@ def fit(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lan
     return train(windows, np.searchsorted(languages, names), languages)
 
 
-def _predict(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray]:
+def _with_letters(column: pa.Array, windows: np.ndarray, row: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Which texts of a batch have a letter; letters outside ASCII are only known as such by their characters."""
+    found = np.bincount(row, (_LETTER[windows] & (windows < 128)).sum(1), minlength=len(column)) > 0
+    for i in np.flatnonzero(~found & (total > 0)).tolist():
+        found[i] = any(ch.isalpha() for ch in column[i].as_py())
+    return found
+
+
+def _predict(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Of each text its language, the score, and whether it has a letter."""
     n = len(column)
-    if model is None:
-        return [UNKNOWN] * n, np.zeros(n)
     windows, row = cut_windows(column)
     weight = _LETTER[windows].sum(1).astype(np.float64)
     total = np.bincount(row, weight, minlength=n)
-    # Letters outside ASCII are only known as such by their characters.
-    plain = np.bincount(row, (_LETTER[windows] & (windows < 128)).sum(1), minlength=n) > 0
-    for i in np.flatnonzero(~plain & (total > 0)).tolist():
-        plain[i] = any(ch.isalpha() for ch in column[i].as_py())
+    plain = _with_letters(column, windows, row, total)
+    if model is None:
+        return [UNKNOWN] * n, np.zeros(n), plain
     probability = model.probabilities(windows) * weight[:, None]
     mean = np.stack([np.bincount(row, probability[:, c], minlength=n) for c in range(len(model.languages))], axis=1)
     mean = mean / np.maximum(total, 1)[:, None]
     best = mean.argmax(1)
-    return [model.languages[c] if ok else UNKNOWN for c, ok in zip(best.tolist(), plain.tolist(), strict=True)], np.clip(
-        np.where(plain, mean[np.arange(n), best], 0.0), 0, 1
-    )
+    names = [model.languages[c] if ok else UNKNOWN for c, ok in zip(best.tolist(), plain.tolist(), strict=True)]
+    return names, np.clip(np.where(plain, mean[np.arange(n), best], 0.0), 0, 1), plain
 
 
 def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -198,8 +216,8 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            names, score = _predict(batch.column("text"), shared.value)
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            names, score, _ = _predict(batch.column("text"), shared.value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(score, pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
@@ -209,12 +227,17 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
 
 def with_language(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.3) -> DataFrame:
-    """The rows of a frame, all columns as they are, whose language is told with at least this score."""
+    """The rows of a frame, all columns as they are, whose language is told with at least this score.
+
+    Without a model (no labelled text had letters) the rows whose text has a letter.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
-            names, score = _predict(batch.column(text), shared.value)
-            yield batch.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, score.tolist(), strict=True)], pa.bool_()))
+        for batch in small_batches(batches, text, BATCH_BYTES):
+            names, score, letters = _predict(batch.column(text), shared.value)
+            if shared.value is not None:
+                letters = np.array([n != UNKNOWN for n in names], bool) & (score >= least)
+            yield batch.filter(pa.array(letters))
 
     return df.mapInArrow(keep, df.schema)

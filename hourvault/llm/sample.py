@@ -25,6 +25,25 @@ def draw(key: str | Column, share: Column | float, seed: int) -> Column:
 
 
 def drawn_ids(ids: DataFrame, key: str, most: int, seed: int) -> DataFrame:
-    """About `most` of a frame's ids (never more than twice as many), as a frame of one column `key`."""
+    """About `most` of a frame's ids, each once (never more than twice as many), as a frame of one column `key`.
+
+    An id that many rows share counts once; where rows share ids, fewer are drawn.
+    """
     n = ids.count()
-    return ids.where(draw(key, min(1.0, most / max(1, n)), seed)).select(key).limit(2 * most)
+    return ids.where(draw(key, min(1.0, most / max(1, n)), seed)).select(key).distinct().limit(2 * most)
+
+
+def text_hash(text: str | Column) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def one_text_each(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Of each id of `ids` (a bounded frame that the caller has counted), one row of `rows` (`id`, `text`, more columns).
+
+    It is a row whose text has the smallest hash, so a result has no more rows than
+    `ids`, however many rows and texts one id has; hashes meet before texts travel.
+    """
+    hashed = rows.withColumn("hv_text_hash", text_hash("text")).join(F.broadcast(ids.select("id").distinct()), "id")
+    least = hashed.groupBy("id").agg(F.min("hv_text_hash").alias("hv_text_hash"))
+    return hashed.join(F.broadcast(least), ["id", "hv_text_hash"]).drop("hv_text_hash").dropDuplicates(["id"]).join(F.broadcast(ids), "id")

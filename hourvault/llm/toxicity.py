@@ -15,7 +15,8 @@ is among the toxic texts is the share of toxic among all texts that have it.
 Every word of every text is then looked up among them.
 
 Defined cases: null and empty texts have the score of a text without features;
-several labels of one id count as toxic if any does; without toxic examples all
+several labels of one id count as toxic if any does; of several texts of one id, one is
+learned from, so that no more rows than 4 * SAMPLE reach the driver; without toxic examples all
 scores are 0. Rows without an id are scored, never learned from.
 """
 
@@ -29,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourvault.llm import stored
 from hourvault.llm.flat import U64, Words, byte_set, flat_bytes, mix, small_batches, span_hashes
-from hourvault.llm.sample import drawn_ids, held_out, may_learn
+from hourvault.llm.sample import drawn_ids, held_out, may_learn, one_text_each
 
 THRESHOLD = 0.3
 SAMPLE = 4000
@@ -43,6 +45,8 @@ LEAST_TOXIC, FEW = 0.6, 50
 PENALTY = 0.15
 BEGINNINGS = (3, 4, 5, 6, 7)
 STEPS = 300
+#: Text scored at a time.
+BATCH_BYTES = 1 << 20
 _LETTERS = byte_set((97, 122), (128, 255))
 _FILTER_BITS = 20
 
@@ -131,7 +135,7 @@ def _count_features(sample: DataFrame) -> DataFrame:
     """Texts of either kind that have each feature: hash, toxic, other."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             toxic = batch.column("toxic").to_numpy(zero_copy_only=False)
             parts = list(word_features(batch.column("text")))
             doc, hashes = np.concatenate([d for d, _ in parts]), np.concatenate([h for _, h in parts])
@@ -170,7 +174,8 @@ def fit(
         return None
     id_type = df.schema[key].dataType.simpleString()
     ids = spark.createDataFrame(chosen, f"id {id_type}, toxic double").distinct()
-    rows = df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")).join(F.broadcast(ids), "id").select("toxic", "text")
+    rows = one_text_each(df.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), ids).select("toxic", "text")
+    rows = stored.written(rows, "toxicity-sample")
     counts = _count_features(rows)
     n_toxic, n_other = (max(1, int((chosen["toxic"] == x).sum())) for x in (1, 0))
     lift = ((F.col("toxic") + 0.5) / n_toxic) / ((F.col("other") + 0.5) / n_other)
@@ -191,7 +196,7 @@ def fit(
     empty = Model(hashes, np.zeros(len(hashes)), 0.0)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             row, feature = empty.present(batch.column("text"))
             first = np.searchsorted(row, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(feature.astype(np.int32)))
@@ -217,7 +222,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             found = shared.value.scores(batch.column("text")) if shared.value else np.zeros(batch.num_rows)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(found), pa.array((found >= threshold).astype(np.int32))],
@@ -232,7 +237,7 @@ def without_toxic(df: DataFrame, model: Model | None, text: str = "text", thresh
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, BATCH_BYTES):
             found = shared.value.scores(batch.column(text)) if shared.value else np.zeros(batch.num_rows)
             yield batch.filter(pa.array(found < threshold))
 

@@ -142,6 +142,14 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or 0, r.hv_x) for r in got.collect()) == [(0, "d"), (2, "b"), (7, "c"), (8, "e")]
 
 
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, 7, 8), (2, text, 9, 9), (3, None, 5, 5)], "doc_id long, text string, hv_row int, HV_ROW_ int")
+    got = jaccard.one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, text, 7, 8), (3, None, 5, 5)]
+
+
 def test_different_texts_of_one_key_stay_and_copies_without_a_key_go(spark):
     texts = [" ".join(f"{t}{i}" for i in range(60)) for t in "abcdef"]
     near = texts[1] + " more"

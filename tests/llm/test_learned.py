@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from hourvault.llm import cotraining, language, toxicity
-from hourvault.llm.sample import drawn_ids, held_out
+from hourvault.llm.sample import drawn_ids, held_out, one_text_each, text_hash
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, "en", None, None, 1), (None, "words here", None, "s", 5, 2), (2, "", "", "", 0, 3), (2, "", "", "", 0, 3), (3, "?! 12 --", "en", "s", 8, 4)]
@@ -62,7 +62,7 @@ def test_windows_hold_every_byte():
         assert windows[row == i].tobytes().rstrip(b"\0") == (text or "").encode()
 
 
-def test_gradient_is_that_of_the_loss():
+def test_training_tells_two_kinds_apart():
     random = np.random.default_rng(0)
     windows = random.integers(97, 100, (40, language.WINDOW)).astype(np.uint8)
     windows[20:] += 10
@@ -71,6 +71,33 @@ def test_gradient_is_that_of_the_loss():
     assert (model.probabilities(windows).argmax(1) == labels).mean() == 1
 
 
+def test_first_step_goes_against_the_numerical_gradient():
+    random = np.random.default_rng(4)
+    windows = random.integers(97, 123, (3, language.WINDOW)).astype(np.uint8)  # one a label: every draw takes it
+    labels = np.arange(3)
+    start, after = (language.train(windows, labels, ["x", "y", "z"], steps=n) for n in (0, 1))
+
+    def loss():
+        return -np.log(start.probabilities(windows)[labels, labels].astype(np.float64)).mean()
+
+    told = 0
+    for old, new in zip([*start.filters.values(), start.weights, start.bias], [*after.filters.values(), after.weights, after.bias], strict=True):
+        moved = (new - old).ravel()
+        flat = old.reshape(-1)
+        for i in random.permutation(np.flatnonzero(moved))[:60].tolist():
+            before = flat[i]
+            ends = []
+            for step in (1e-3, -1e-3):
+                flat[i] = before + np.float32(step)
+                ends.append(loss())
+            flat[i] = before
+            slope = (ends[0] - ends[1]) / 2e-3
+            if abs(slope) > 5e-3:
+                told += 1
+                assert np.sign(moved[i]) == -np.sign(slope)
+    assert told > 60
+
+
 def test_unknown_languages_and_odd_rows(spark, documents):
     model = language.fit(documents)
     got = language.identify(spark.createDataFrame(ODD, SCHEMA), model).collect()
@@ -88,6 +115,56 @@ def test_language_of_no_rows(spark):
     assert [r.lang_pred for r in language.identify(spark.createDataFrame(ODD, SCHEMA), None).collect()] == ["und"] * 5
 
 
+def test_every_labelled_language_is_learned_and_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_TEXTS", 300)
+    monkeypatch.setattr(language, "LEAST_TEXTS", 2)
+    rows = [(i, f"text number {i} tells little about its label", f"l{i % 290}") for i in range(2000)]
+    windows, names = language._sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert len(set(names)) > 256 and len(windows) == len(names) <= 2 * 2 * 290 * language.WINDOWS_A_TEXT
+
+
+def test_texts_with_letters_stay_without_a_model(spark):
+    kept = language.with_language(spark.createDataFrame(ODD, SCHEMA), None).collect()
+    assert [r.text for r in kept] == ["words here"]
+
+
+HOT = 3  # an id that may be learned from
+
+
+def with_a_hot_id(spark, rows, hot, same_text):
+    """`rows` documents of their own ids and twice as many of one id."""
+    own = spark.range(1000, 1000 + rows).selectExpr("id AS doc_id", "concat('some words of text ', id) AS text")
+    text = "'a text that repeats'" if same_text else "concat('hot words of text ', id)"
+    many = spark.range(2 * rows).selectExpr(f"{hot}L AS doc_id", f"{text} AS text")
+    return own.unionByName(many).selectExpr("*", "'en' AS lang", "'s' AS source", "10L AS n_chars").repartition(8)
+
+
+@pytest.mark.parametrize("same_text", [True, False])
+def test_one_id_with_most_rows_keeps_samples_bounded(spark, monkeypatch, same_text):
+    df = with_a_hot_id(spark, 6000, HOT, same_text)
+    assert not df.where("doc_id = 3").select(held_out("doc_id").alias("h")).head().h
+    windows, _ = language._sample(df, "doc_id", "text", "lang")
+    assert 100 < len(windows) <= 2 * language.SAMPLE_TEXTS * language.WINDOWS_A_TEXT
+    known = spark.range(1000, 3000).selectExpr("id AS doc_id", "CAST(id % 2 AS int) AS toxic", "CAST(id % 2 AS int) AS quality")
+    known = known.unionByName(spark.createDataFrame([(HOT, 1, 1)], known.schema))
+    seen = {}
+    trained, taught = toxicity.train, cotraining.co_train
+    monkeypatch.setattr(toxicity, "train", lambda p, u, *rest: seen.update(toxic=p[2], other=u[2]) or trained(p, u, *rest))
+    monkeypatch.setattr(cotraining, "co_train", lambda x, y, u: seen.update(labelled=len(y), free=len(u[0])) or taught(x, y, u))
+    monkeypatch.setattr(toxicity, "LEAST_TOXIC", 0.0)
+    toxicity.fit(df, known, sample=300)
+    cotraining.fit(df, known, sample=300)
+    assert set(seen) == {"toxic", "other", "labelled", "free"} and all(20 < n <= 600 for n in seen.values()), seen
+
+
+def test_of_one_id_the_text_of_the_smallest_hash_is_learned_from(spark):
+    rows = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (1, "b", 1), (2, None, 2), (2, None, 2), (5, "c", 3)], "id long, text string, n int")
+    ids = spark.createDataFrame([(1, 0.0), (2, 1.0), (2, 0.0), (9, 1.0)], "id long, y double")
+    got = sorted((r.id, r.text, r.y) for r in one_text_each(rows, ids).collect())
+    first = rows.where("id = 1").orderBy(text_hash("text")).head().text
+    assert got == [(1, first, 0.0), (2, None, 0.0), (2, None, 1.0)]
+
+
 # ------------------------------------------------------------------ toxicity
 
 
@@ -108,6 +185,32 @@ def test_risk_steps_back_when_it_falls_below_zero():
     assert score(bias + weights[0]) > 0.8 and score(bias) < 0.05 and weights[1] == 0
 
 
+@pytest.mark.parametrize("toxic_rows", [3, 12])
+def test_first_step_goes_against_the_numerical_slope_of_the_risk(toxic_rows):
+    random = np.random.default_rng(toxic_rows)
+    positive = (np.repeat(np.arange(toxic_rows), 2), random.integers(0, 4, 2 * toxic_rows), toxic_rows)
+    unlabelled = (np.repeat(np.arange(40), 2), random.integers(2, 6, 80), 40)
+    prior = 0.2 if toxic_rows == 3 else 0.8
+
+    def parts(weights, bias):
+        fp, fu = (bias + np.bincount(r, weights[f], minlength=n) for r, f, n in (positive, unlabelled))
+        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+        return prior * np.logaddexp(0, -fp).mean(), negative
+
+    start = np.append(np.zeros(6), np.log(prior / (1 - prior)))
+
+    assert parts(start[:-1], start[-1])[1] > 0  # no step back yet
+
+    def aim(x):
+        return sum(parts(x[:-1], x[-1]))
+
+    weights, bias = toxicity.train(positive, unlabelled, 6, prior, steps=1)
+    moved = np.append(weights, bias) - start
+    slope = np.array([(aim(start + e) - aim(start - e)) / 2e-5 for e in np.eye(7) * 1e-5])
+    clear = np.abs(slope) > 1e-6
+    assert clear.sum() >= 5 and (np.sign(moved[clear]) == -np.sign(slope[clear])).all()
+
+
 def test_toxicity_of_odd_rows(spark, documents, labels):
     model = toxicity.fit(documents, labels)
     got = toxicity.score(spark.createDataFrame(ODD, SCHEMA), model).collect()
