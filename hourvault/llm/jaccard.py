@@ -46,6 +46,7 @@ from pyspark.sql import functions as F
 
 from hourvault.llm import stored
 from hourvault.llm.flat import U64, Words, byte_set, flat_bytes, mix, small_batches
+from hourvault.llm.worker import lean
 
 SPACE = byte_set((9, 13), (32, 32))
 #: Parity bits of a set, in words: so many that pairs which differ in a few n-grams too many are told apart.
@@ -56,7 +57,9 @@ CLASS_RATIO = 1.25
 #: Rows of a key that one task sends to the key's own partition.
 KEY_ROWS = 64
 #: Keys that a task sorts at once.
-SORT_ROWS = 2_000_000
+SORT_ROWS = 1_000_000
+#: Text cut at a time.
+BATCH_BYTES = 1 << 20
 #: Fragments of the order in which overlaps are counted, and those of them that are counted first.
 FRAGMENTS, FIRST_FRAGMENTS = 8, 2
 _LABELS = "node long, label long"
@@ -190,7 +193,7 @@ def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: s
 
     def of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = Sets(batch.column("text"), similarity.n, similarity.seed)
             f1, f2 = sets.sums(0x1F1F), sets.sums(0x2F2F2F)
             skip = np.zeros(len(f1), bool)
@@ -211,7 +214,7 @@ def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: s
             )
 
     schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>"
-    return rows.mapInArrow(of_batch, schema)
+    return rows.mapInArrow(lean(of_batch), schema)
 
 
 # -------------------------------------------------------------------- buckets
@@ -266,8 +269,8 @@ def shared_keys(summary: DataFrame) -> DataFrame:
             for first in range(0, len(keys), SORT_ROWS):
                 yield _key_rows(keys[first : first + SORT_ROWS], nodes[first : first + SORT_ROWS])
 
-    blobs = summary.select("f1", "keys").mapInArrow(deal, "range int, spread boolean, raw binary")
-    return blobs.repartition(stored.parts(spark), "range").mapInArrow(gather, "k long, node long")
+    blobs = summary.select("f1", "keys").mapInArrow(lean(deal), "range int, spread boolean, raw binary")
+    return blobs.repartition(stored.parts(spark), "range").mapInArrow(lean(gather), "k long, node long")
 
 
 def _key_rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
@@ -333,7 +336,7 @@ def overlaps(
     rows = rows.join(docs, rows["row"].eqNullSafe(docs["d"]), "left_semi")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = Sets(batch.column("text"), similarity.n, similarity.seed)
             piece = sets.row() * FRAGMENTS + ((sets.hash >> U64(32)) * U64(FRAGMENTS) >> U64(32)).astype(np.int64)
             nodes, counted = sets.sums(0x1F1F).view(np.int64), piece % FRAGMENTS < first
@@ -351,7 +354,7 @@ def overlaps(
             )
 
     fragments = stored.written(
-        rows.mapInArrow(cut, f"node long, fragment int, part long, grams array<{'short' if short else 'long'}>")
+        rows.mapInArrow(lean(cut), f"node long, fragment int, part long, grams array<{'short' if short else 'long'}>")
         .join(wanted.select("node"), "node", "left_semi")
         .groupBy("node", "fragment")
         .agg(F.first("part").alias("part"), F.first("grams").alias("grams")),

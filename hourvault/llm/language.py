@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from hourvault.llm.flat import LOWER, byte_set, flat_bytes, small_batches
 from hourvault.llm.sample import held_out, may_learn, text_hash
+from hourvault.llm.worker import lean
 
 UNKNOWN = "und"
 WINDOW = 256
@@ -169,7 +170,7 @@ def _sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray,
             )
 
     # Rows of one id and text give the same windows. The limit only holds if the draw brings twice what it should.
-    found = drawn.mapInArrow(pick, "window binary, lang string").distinct().orderBy(F.xxhash64("window"), "window", "lang")
+    found = drawn.mapInArrow(lean(pick), "window binary, lang string").distinct().orderBy(F.xxhash64("window"), "window", "lang")
     found = found.limit(2 * texts * len(counts) * WINDOWS_A_TEXT).toPandas().sort_values(["lang", "window"])
     raw = b"".join(bytes(w) for w in found["window"])
     return np.frombuffer(raw, np.uint8).reshape(-1, WINDOW), found["lang"].tolist()
@@ -223,7 +224,7 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(lean(predict), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
 
 
 def with_language(df: DataFrame, model: Model | None, text: str = "text", least: float = 0.3) -> DataFrame:
@@ -240,4 +241,4 @@ def with_language(df: DataFrame, model: Model | None, text: str = "text", least:
                 letters = np.array([n != UNKNOWN for n in names], bool) & (score >= least)
             yield batch.filter(pa.array(letters))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from hourvault.llm import stored
 from hourvault.llm.flat import U64, Words, byte_set, flat_bytes, mix, small_batches, span_hashes
 from hourvault.llm.sample import drawn_ids, held_out, may_learn, one_text_each
+from hourvault.llm.worker import lean
 
 THRESHOLD = 0.3
 SAMPLE = 4000
@@ -149,7 +150,7 @@ def _count_features(sample: DataFrame) -> DataFrame:
             t = np.bincount(place, toxic[doc], minlength=len(found)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(t), pa.array(n - t)], ["hash", "toxic", "other"])
 
-    return sample.mapInArrow(count, "hash long, toxic long, other long").groupBy("hash").agg(
+    return sample.mapInArrow(lean(count), "hash long, toxic long, other long").groupBy("hash").agg(
         F.sum("toxic").alias("toxic"), F.sum("other").alias("other")
     )
 
@@ -202,7 +203,7 @@ def fit(
             lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(feature.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), lists], ["toxic", "features"])
 
-    sampled = rows.mapInArrow(present, "toxic double, features array<int>").toPandas()
+    sampled = rows.mapInArrow(lean(present), "toxic double, features array<int>").toPandas()
 
     def sparse(rows):
         sizes = [len(f) for f in rows]
@@ -229,7 +230,7 @@ def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "
                 ["doc_id", "held_out", "score", "predicted"],
             )
 
-    return rows.mapInArrow(predict, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(predict), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(df: DataFrame, model: Model | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -241,4 +242,4 @@ def without_toxic(df: DataFrame, model: Model | None, text: str = "text", thresh
             found = shared.value.scores(batch.column(text)) if shared.value else np.zeros(batch.num_rows)
             yield batch.filter(pa.array(found < threshold))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)
