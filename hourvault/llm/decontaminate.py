@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hourvault.llm.flat import LOWER, U64, Words, byte_set, flat_bytes, mix, ragged, small_batches
-from hourvault.llm.worker import kept
+from hourvault.llm.worker import kept, lean
 from hourvault.session import scratch_path
 from hourvault.sources.storage import open_storage
 
@@ -43,6 +43,8 @@ WINDOW = 10
 BLOCK_WORDS = 2
 #: Bytes of item texts that one block of patterns is built from.
 BLOCK_BYTES = 16 << 20
+#: Text scanned at a time.
+BATCH_BYTES = 1 << 20
 #: Window ends that one lane goes through.
 LANE = 256
 WORD_BYTES = byte_set((48, 57), (97, 122), (128, 255))
@@ -228,7 +230,7 @@ def find_leaks(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             n_words, n_hit, items = _scan(batch.column("text"), files)
             listed = [sorted(x) for x in items]
             yield pa.RecordBatch.from_arrays(
@@ -242,7 +244,7 @@ def find_leaks(
             )
 
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean"
-    return rows.mapInArrow(scan, schema)
+    return rows.mapInArrow(lean(scan), schema)
 
 
 def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -250,11 +252,11 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> Da
     files = write_patterns(benchmark, "item_id", "text", WINDOW, BLOCK_BYTES)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, BATCH_BYTES):
             _, n_hit, _ = _scan(batch.column(text), files)
             yield batch.filter(pa.array(n_hit == 0))
 
-    return df.mapInArrow(keep, df.schema)
+    return df.mapInArrow(lean(keep), df.schema)
 
 
 def lower_words(text: str) -> list[bytes]:

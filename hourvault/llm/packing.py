@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 from hourvault.llm import stored
 from hourvault.llm.flat import flat_bytes, small_batches
 from hourvault.llm.tokens import default_tokenizer, encoder
+from hourvault.llm.worker import lean
 
 SEQUENCE_TOKENS = 1024
 END_ID = 2
+#: Text encoded at a time.
+BATCH_BYTES = 1 << 20
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, number long"
 
 
@@ -48,7 +51,7 @@ def cut_documents(
         ids_of = encoder(tokenizer)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", BATCH_BYTES):
             found, bounds = ids_of.encode(*flat_bytes(batch.column("text")))
             rows: list[list] = [[] for _ in range(6)]
             pieces = []
@@ -78,7 +81,7 @@ def cut_documents(
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, _PIECES + (", ids array<int>" if ids else "")
+        lean(cut), _PIECES + (", ids array<int>" if ids else "")
     )
 
 
