@@ -64,7 +64,7 @@ def test_scalars_become_json_text(spark):
 @pytest.mark.parametrize(
     "text",
     [
-        "{invalid json}", '["not","an","object"]', "null", "1", '"text"', '{"event_id":"a"}{"event_id":"b"}',
+        "{no colon here}", '["not","an","object"]', "null", "1", '"text"', '{"event_id":"a"}{"event_id":"b"}',
         '{"event_id":"a"} {"event_id":"b"}', '{"a":1},{"b":2}', '{"a":1}],[{"b":2}', '{"a":1},"x":{"b":1}',
         '{"a":NaN}', "{'a':1}", "{a:1}", '{"a":1} // note', '{"a":1}}', '{"a":1}]', '{"a":[1,{"b":[', '{"a":01}',
         '{"a":"\t"}', '{"a":1}],[{"a":2},', '{"event_id":"a",}',

@@ -118,15 +118,15 @@ def test_unique_results_keep_the_newest(spark):
 
 
 def test_prefix_search(spark):
-    found = spark.createDataFrame([(x,) for x in ("event-003", "event-001", "event-002", "other-001", "ev%x")], "event_id string")
-    assert ids(lookup.find_ids(found, "event-")) == ["event-001", "event-002", "event-003"]
-    assert ids(lookup.find_ids(found, "event-", 2)) == ["event-001", "event-002"]
-    assert ids(lookup.find_ids(found, "ev%")) == ["ev%x"]
-    assert ids(lookup.find_ids(found, "EVENT-")) == []
-    assert len(ids(lookup.find_ids(found, "EVENT-", case_insensitive=True))) == 3
+    found = spark.createDataFrame([(x,) for x in ("login:c9", "login:a1", "login:b4", "logout:a1", "lo%gin")], "event_id string")
+    assert ids(lookup.find_ids(found, "login:")) == ["login:a1", "login:b4", "login:c9"]
+    assert ids(lookup.find_ids(found, "login:", 2)) == ["login:a1", "login:b4"]
+    assert ids(lookup.find_ids(found, "lo%")) == ["lo%gin"]
+    assert ids(lookup.find_ids(found, "LOGIN:")) == []
+    assert len(ids(lookup.find_ids(found, "LOGIN:", case_insensitive=True))) == 3
     assert len(ids(lookup.find_ids(found, ""))) == 5
     with pytest.raises(ValueError):
-        lookup.find_ids(found, "e", 0)
+        lookup.find_ids(found, "l", 0)
 
 
 def brute_saved(events, searches, limit):
