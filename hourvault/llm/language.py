@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourvault.llm import stored
 from hourvault.llm.flat import LOWER, byte_set, flat_bytes, small_batches
 from hourvault.llm.sample import held_out, may_learn, text_hash
 from hourvault.llm.worker import lean
@@ -140,6 +141,7 @@ def cut_windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(df: DataFrame, key: str, text: str, lang: str) -> tuple[np.ndarray, list[str]]:
     """Windows of the drawn texts, at places chosen by the text's hash, and their languages."""
+    stored.small_transfers(df.sparkSession)
     own = F.col(lang).cast("string")
     rows = df.where(may_learn(key) & own.isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(text).cast("string").alias("text"), own.alias("lang")
@@ -212,6 +214,7 @@ def _predict(column: pa.Array, model: Model | None) -> tuple[list[str], np.ndarr
 
 def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, lang_pred, score."""
+    stored.small_transfers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # a few hundred kilobytes
     rows = df.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -48,6 +48,12 @@ def clean(spark: SparkSession) -> int:
     return n
 
 
+def small_transfers(spark: SparkSession, rows: int = 1000, size: str = "4m") -> None:
+    """Rows and bytes that travel to a Python worker at once: both ends hold a batch several times."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -161,6 +161,7 @@ def fit(
 ) -> Model | None:
     """The classifier learned from the learning folds; None without toxic examples."""
     spark = df.sparkSession
+    stored.small_transfers(spark)
     known = labels.where(may_learn(label_key) & F.col(toxic).isNotNull()).groupBy(F.col(label_key).alias("id")).agg(F.max(toxic).alias("toxic"))
     if prior is None:
         prior = known.agg(F.avg("toxic")).head()[0]
@@ -218,6 +219,7 @@ def fit(
 
 def score(df: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
+    stored.small_transfers(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most FEATURES features and a filter of a megabyte
     rows = df.select(F.col(key).alias("doc_id"), held_out(key).alias("held_out"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
