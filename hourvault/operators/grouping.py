@@ -7,8 +7,10 @@ range-partitioned by (hour, name) into blocks of bounded length, and
 
 1. each block is summarised as a function: total size of the open group on
    entry -> that size and the number of new groups on exit;
-2. the block functions of an hour are applied one after the other, reading a
-   stream of summaries, not files;
+2. where an hour has more than `FAN` blocks, the functions of `FAN` neighbours are
+   composed into one, level by level, until `FAN` are left; these are applied one
+   after the other, and their entry states handed down the levels again. So no
+   task sees more than `FAN` summaries of an hour at a time;
 3. each block, now knowing its entry state, numbers its own files.
 
 The result equals the sequential rule exactly.
@@ -26,6 +28,8 @@ from pyspark.sql import functions as F
 from hourvault.session import pin
 
 BLOCK_ROWS = 200_000
+#: Summaries of one hour that a task composes or walks through.
+FAN = 32
 
 
 def _next_starts(totals: np.ndarray, target: int) -> np.ndarray:
@@ -78,6 +82,32 @@ def apply_summary(carry: int | None, summary: dict) -> tuple[int, int]:
     return int(summary["carries"][step]), int(summary["groups"][step])
 
 
+def compose(first: dict, second: dict) -> dict:
+    """The summary of two neighbouring stretches of files as one.
+
+    Sizes that open a group in the first go on through the second from what that
+    leaves. Sizes that open none enter the second larger by the first's total, so
+    its steps count from thresholds lower by as much. Steps end at threshold 0,
+    as those of a block do: there are at most as many as files in one target.
+    """
+    after = np.asarray(first["carries"], dtype=np.int64)
+    thresholds = np.asarray(second["thresholds"], dtype=np.int64)
+    step = np.searchsorted(-thresholds, -after, side="left")
+    opens = step < len(thresholds)
+    step = np.minimum(step, len(thresholds) - 1)
+    carries = np.where(opens, np.asarray(second["carries"], dtype=np.int64)[step], after + second["total"])
+    groups = np.asarray(first["groups"], dtype=np.int64) + np.where(opens, np.asarray(second["groups"], dtype=np.int64)[step], 0)
+    out = {"total": first["total"] + second["total"], "thresholds": list(first["thresholds"]), "carries": carries.tolist(), "groups": groups.tolist()}
+    for threshold, carry, opened in zip((thresholds - first["total"]).tolist(), second["carries"], second["groups"], strict=True):
+        if out["thresholds"][-1] <= 0:
+            break
+        if threshold < out["thresholds"][-1]:
+            out["thresholds"].append(threshold)
+            out["carries"].append(carry)
+            out["groups"].append(opened)
+    return out
+
+
 def number_files(sizes: np.ndarray, target: int, carry: int | None, started: int) -> tuple[np.ndarray, int, int]:
     """Group numbers of consecutive files, and the state after the last one."""
     totals = np.cumsum(sizes, dtype=np.int64)
@@ -176,24 +206,72 @@ def _numbered(target: int, size: str):
     return run
 
 
+def _summary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Summaries one at a time, as a single one may be long."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One summary per (key, parent) of rows sorted by (key, parent, block)."""
+    current: tuple[str, int] | None = None
+    whole: dict = {}
+    for row in _summary_rows(batches):
+        if (row["key"], row["parent"]) == current:
+            whole = compose(whole, row)
+            continue
+        if current:
+            yield pa.RecordBatch.from_pylist([{**whole, "key": current[0], "block_no": current[1]}], schema=_SUMMARY_ARROW)
+        current, whole = (row["key"], row["parent"]), row
+    if current:
+        yield pa.RecordBatch.from_pylist([{**whole, "key": current[0], "block_no": current[1]}], schema=_SUMMARY_ARROW)
+
+
+_STATE = "key string, block_no int, carry bigint, started bigint"
+
+
 def _entry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Walk the summaries of each hour in block order."""
+    """Walk the summaries of each (key, parent) in block order, from the state in which the parent is entered."""
     schema = pa.schema(
         [("key", pa.string()), ("block_no", pa.int32()), ("carry", pa.int64()), ("started", pa.int64())]
     )
-    key, carry, started = None, None, 0
-    for batch in batches:
-        rows = []
-        for summary in batch.to_pylist():
-            if summary["key"] != key:
-                key, carry, started = summary["key"], None, 0
-            rows.append(
-                {"key": key, "block_no": summary["block_no"], "carry": carry, "started": started}
-            )
-            carry, opened = apply_summary(carry, summary)
-            started += opened
-        if rows:
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+    current, carry, started = None, None, 0
+    for row in _summary_rows(batches):
+        if (row["key"], row["parent"]) != current:
+            current, carry, started = (row["key"], row["parent"]), row["carry"], row["started"]
+        state = {"key": row["key"], "block_no": row["block_no"], "carry": carry, "started": started}
+        yield pa.RecordBatch.from_pylist([state], schema=schema)
+        carry, opened = apply_summary(carry, row)
+        started += opened
+
+
+def _by_parent(summaries: DataFrame, fan: int) -> DataFrame:
+    return summaries.withColumn("parent", F.expr(f"cast(block_no div {fan} as int)"))
+
+
+def _walk(summaries: DataFrame) -> DataFrame:
+    return (
+        summaries.repartition("key", "parent")
+        .sortWithinPartitions("key", "parent", "block_no")
+        .mapInArrow(_entry_states, _STATE)
+    )
+
+
+def block_states(summaries: DataFrame, blocks: int, fan: int = FAN) -> DataFrame:
+    """Size of the open group and number of groups begun when each block of a key is entered."""
+    levels = [summaries]
+    while blocks > fan:
+        levels[-1] = pin(levels[-1])
+        placed = _by_parent(levels[-1], fan).repartition("key", "parent").sortWithinPartitions("key", "parent", "block_no")
+        levels.append(placed.mapInArrow(_composed, _SUMMARY))
+        blocks = -(-blocks // fan)
+    top = levels.pop().withColumns({"parent": F.lit(0), "carry": F.lit(None).cast("bigint"), "started": F.lit(0).cast("bigint")})
+    states = _walk(top)
+    while levels:
+        entered = states.withColumnRenamed("block_no", "parent")
+        states = _walk(_by_parent(levels.pop(), fan).join(entered, ["key", "parent"]))
+    return states
 
 
 def assign_groups(
@@ -204,6 +282,7 @@ def assign_groups(
     size: str = "size",
     block_rows: int = BLOCK_ROWS,
     count: int | None = None,
+    fan: int = FAN,
 ) -> DataFrame:
     """Add `group_no` (from 0 within each `key`) by the greedy rule.
 
@@ -214,6 +293,8 @@ def assign_groups(
         raise ValueError("target_size must be at least 1")
     if block_rows < 1:
         raise ValueError("block_rows must be at least 1")
+    if fan < 2:
+        raise ValueError("fan must be at least 2")
     if count is None:
         count = files.count()
     blocks = max(1, -(-count // block_rows))
@@ -225,11 +306,8 @@ def assign_groups(
     summaries = ordered.select(
         F.col(key).cast("string").alias("key"), "block_no", F.col(size).cast("bigint").alias("size")
     ).mapInArrow(_summaries(target_size), _SUMMARY)
-    states = (
-        summaries.repartition("key")
-        .sortWithinPartitions("key", "block_no")
-        .mapInArrow(_entry_states, "key string, block_no int, carry bigint, started bigint")
-        .select(F.col("key").alias("_key"), F.col("block_no").alias("_block"), "carry", "started")
+    states = block_states(summaries, blocks, fan).select(
+        F.col("key").alias("_key"), F.col("block_no").alias("_block"), "carry", "started"
     )
     names = files.columns
     text_key = F.col(key).cast("string")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hourvault.operators.grouping import (
     apply_summary,
     assign_groups,
+    compose,
     group_totals,
     number_files,
     summarise_block,
@@ -46,6 +47,37 @@ def test_blocks_compose_to_the_sequential_rule(sizes, target, length):
     assert numbers == greedy(sizes, target)
 
 
+@settings(max_examples=500, deadline=None)
+@given(
+    st.lists(st.one_of(st.just(0), st.integers(0, 20), st.integers(0, 90)), min_size=3, max_size=60),
+    st.integers(1, 80),
+    st.lists(st.integers(1, 59), min_size=1, max_size=5),
+)
+def test_composed_summaries_are_that_of_the_whole(sizes, target, cuts):
+    """For every size on entry, and for the start of an hour."""
+    edges = sorted({0, len(sizes), *(c for c in cuts if c < len(sizes))})
+    parts = [summarise_block(np.array(sizes[a:b]), target) for a, b in zip(edges, edges[1:])]
+    folded = parts[0]
+    for part in parts[1:]:
+        folded = compose(folded, part)
+    whole = summarise_block(np.array(sizes), target)
+    for carry in [None, *range(target + 95)]:
+        assert apply_summary(carry, folded) == apply_summary(carry, whole)
+    assert len(folded["thresholds"]) <= len(whole["thresholds"])
+
+
+@pytest.mark.parametrize("fan", [2, 3, 32])
+def test_block_functions_meet_over_a_tree(spark, fan):
+    """120 blocks of one hour."""
+    rng = random.Random(9)
+    sizes = [rng.choice([0, rng.randint(1, 40), rng.randint(1, 500)]) for _ in range(600)]
+    rows = [("hot", f"f{i:04d}", s) for i, s in enumerate(sizes)] + [("cold", "a", 3), ("cold", "b", 400)]
+    files = spark.createDataFrame(rows, "blob_hour string, blob_path string, size long").repartition(3)
+    got = {(r.blob_hour, r.blob_path): r.group_no for r in assign_groups(files, 300, block_rows=5, fan=fan).collect()}
+    want = {("hot", f"f{i:04d}"): n for i, n in enumerate(greedy(sizes, 300))}
+    assert got == want | {("cold", "a"): 0, ("cold", "b"): 1}
+
+
 def test_exact_fit_and_oversize(spark):
     sizes = [60, 50, 10, 200, 1, 100, 27]
     files = spark.createDataFrame(
@@ -96,3 +128,5 @@ def test_arguments(spark):
         assign_groups(files, 0)
     with pytest.raises(ValueError):
         assign_groups(files, 10, block_rows=0)
+    with pytest.raises(ValueError):
+        assign_groups(files, 10, fan=1)
