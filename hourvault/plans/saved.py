@@ -74,29 +74,37 @@ def _reachable(by_hour: DataFrame, stats: DataFrame, limit: int) -> DataFrame:
     )
 
 
+def _in_ranges(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows in ranges of (hour, filters, order), with the number of the range in `_part`.
+
+    Ranges are cut from samples of the whole order, down to its last tie-breaker, so
+    they are about equally long, however many rows one hour or one instant has.
+    """
+    return pin(rows.repartitionByRange(*_PAIR, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def _numbered(events: DataFrame, ends: DataFrame, order: list[Column]) -> DataFrame:
     """Events of each (hour, filters) numbered from the newest, and before each search end the number of later events.
 
     `ends` has the pair and `timestamp`; the result has `_no` and `_is_end`. Rows
-    are ordered minute by minute, and the rows of later minutes are added from
-    sums, so a crowded hour is not one task.
+    are numbered range by range, and the rows of earlier ranges are added from
+    sums, so neither a crowded hour nor a crowded instant is one task.
     """
     marks = ends.withColumn("_is_end", F.lit(True))
     rows = events.withColumn("_is_end", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    rows = rows.withColumn("_minute", F.date_trunc("MINUTE", "timestamp"))
-    is_event = F.when(F.col("_is_end"), 0).otherwise(1)
-    minutes = rows.groupBy(*_PAIR, "_minute").agg(F.sum(is_event).alias("_rows"))
-    later = Window.partitionBy(*_PAIR).orderBy(F.desc("_minute")).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = minutes.select(*_PAIR, "_minute", F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_later"))
     # An event at the very end of a search is not in it: it counts as later.
-    within = Window.partitionBy(*_PAIR, "_minute").orderBy(F.desc("timestamp"), "_is_end", *order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    full = [F.desc("timestamp"), F.asc("_is_end"), *order]
+    rows = _in_ranges(rows, full)
+    is_event = F.when(F.col("_is_end"), 0).otherwise(1)
+    parts = rows.groupBy(*_PAIR, "_part").agg(F.sum(is_event).alias("_rows"))
+    later = Window.partitionBy(*_PAIR).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(*_PAIR, "_part", F.coalesce(F.sum("_rows").over(later), F.lit(0)).alias("_later"))
+    within = Window.partitionBy(*_PAIR, "_part").orderBy(*full).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.withColumn("_n", F.sum(is_event).over(within))
-        .join(offsets, [*_PAIR, "_minute"])
+        .join(offsets, [*_PAIR, "_part"])
         .withColumn("_no", F.col("_n") + F.col("_later"))
-        .drop("_n", "_later", "_minute")
+        .drop("_n", "_later", "_part")
     )
 
 

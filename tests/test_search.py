@@ -4,10 +4,12 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from hourvault.functions.hours import hour_bounds
 from hourvault.operators import lookup
 from hourvault.operators.search import MAX_LIMIT, check_limit, search, with_locator
+from hourvault.plans import saved
 from hourvault.plans.saved import run_saved_searches
 from hourvault.schema import EVENT_TABLE_SCHEMA
 
@@ -178,6 +180,33 @@ def test_saved_searches_match_brute_force(spark, limit):
     assert got == want and want
 
 
+def test_a_crowded_instant_is_spread(spark):
+    """Half of the events at one instant of one user: numbers are right, ranges are about equally long."""
+    rng = random.Random(4)
+    events = []
+    for number in range(4000):
+        at = START if number % 2 else START + timedelta(seconds=rng.randint(-3000, 3000))
+        events.append((number, "hot" if number % 3 else "u", at))
+    frame = spark.createDataFrame(events, "event_id int, user_id string, timestamp timestamp").select(
+        "event_id", "timestamp", F.lit("h").alias("e_hour"), F.lit(2).alias("e_mask"), F.array("user_id").alias("e_values")
+    )
+    ends = frame.where("event_id in (1, 2)").select("e_hour", "e_mask", "e_values", "timestamp").distinct()
+    order = [F.asc("event_id")]
+    got = {(r.e_values[0], r.event_id): r._no for r in saved._numbered(frame, ends, order).where("not _is_end").collect()}
+    want = {}
+    for user in ("hot", "u"):
+        own = sorted((e for e in events if e[1] == user), key=lambda e: (-e[2].timestamp(), e[0]))
+        want |= {(user, e[0]): n for n, e in enumerate(own, start=1)}
+    assert got == want
+    # Adaptive execution would merge ranges as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r["count"] for r in saved._in_ranges(frame, [F.desc("timestamp"), *order]).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sizes) == 4 and max(sizes) < 2 * len(events) / len(sizes)
+
+
 def test_saved_searches_without_any_search(spark):
     frame = spark.createDataFrame([], "search_id int, from_utc timestamp, to_utc timestamp")
     assert run_saved_searches(rows(spark, {}), frame).count() == 0
