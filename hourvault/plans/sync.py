@@ -21,7 +21,7 @@ from hourvault.operators.grouping import assign_groups
 from hourvault.operators.ingest import MalformedLineError, to_events
 from hourvault.operators.search import instant_literal
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, LISTING_SCHEMA, MANIFEST_SCHEMA
-from hourvault.session import pin
+from hourvault.session import open_writers, pin
 from hourvault.sources import archive
 from hourvault.sources.cache import HourBounds, hour_dirs, manifest_current, read_manifest
 from hourvault.sources.storage import join_path, remove
@@ -31,6 +31,8 @@ ROW_GROUP_BYTES = 128 * 1024 * 1024
 # Work of one read-parse-write task.
 TASK_BYTES = 64 * 1024 * 1024
 TASK_FILES = 2_000
+# Output files a writing task keeps open: their buffers and Bloom filters (4 MB each) are its memory.
+OPEN_FILES = 16
 # Source bytes one run takes on before the next one begins.
 UNIT_BYTES = 1 << 40
 # Tasks move their files into place themselves instead of leaving all renames to
@@ -84,13 +86,11 @@ def _write_events(
 
 def write_events(events: DataFrame, root: str, run_id: str, row_group_bytes: int) -> None:
     """Write rows of the event table, refused lines included, below the directory of a run."""
-    (
-        events.select(*[name for name in EVENT_TABLE_SCHEMA.names if name != "run_id"])
-        .write.mode("append")
-        .options(compression="zstd", **{"parquet.block.size": str(row_group_bytes)}, **_PARALLEL_COMMIT, **_ID_FILTERS)
-        .partitionBy("blob_hour", "group_no")
-        .parquet(run_dir(root, run_id))
-    )
+    rows = events.select(*[name for name in EVENT_TABLE_SCHEMA.names if name != "run_id"])
+    options = {"parquet.block.size": str(row_group_bytes), **_PARALLEL_COMMIT, **_ID_FILTERS}
+    # The rows of a group come together as they are read: no sort of whole rows, raw text included.
+    with open_writers(events.sparkSession, OPEN_FILES):
+        rows.write.mode("append").options(compression="zstd", **options).partitionBy("blob_hour", "group_no").parquet(run_dir(root, run_id))
 
 
 def run_dir(root: str, run_id: str) -> str:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +65,24 @@ def shared_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+@contextmanager
+def open_writers(spark: SparkSession, most: int) -> Iterator[None]:
+    """Let each task keep up to `most` output files open, instead of sorting its rows by their file first.
+
+    A task that meets more files than that sorts the rest of its rows.
+    """
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -236,6 +236,22 @@ def test_one_file_per_group_and_zstd(spark, container, root):
     assert len(files) == 1 and files[0].file_path.endswith(".zstd.parquet")
 
 
+@pytest.mark.parametrize("hours", [3, 40])
+def test_rows_are_not_sorted_before_the_write(spark, container, root, hours):
+    """40 hours in a task are more than it keeps files open for."""
+    for hour in range(hours):
+        put(container, f"2026/09/{10 + hour // 24:02d}/{hour % 24:02d}", "a.ndjson", "\n".join(line(f"e{hour}-{n}") for n in range(3)))
+    run(spark, container, root, (datetime(2026, 9, 10), datetime(2026, 9, 13)))
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    write = next(p for p in reversed(plans) if "WriteFiles" in p and "group_no" in p and "event_id" in p)
+    before_parse = write.split("MapInArrow")[0]
+    assert "WriteFiles" in before_parse and "Sort" not in before_parse, write
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+    found = cache.read_events(spark, root).groupBy("blob_hour", "group_no").agg(F.count("*").alias("n"), F.count_distinct("parquet_path").alias("files"))
+    assert sorted((r.n, r.files) for r in found.collect()) == [(3, 1)] * hours
+
+
 def test_search_store_lookup(spark, container, root):
     put(container, H8, "a.ndjson", lines("event-1", "event-2"))
     put(container, H9, "b.ndjson", line("event-3", "2026-09-10T09:10:00+00:00") + "\n" + line("other", "2026-09-10T09:20:00Z"))
