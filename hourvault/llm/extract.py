@@ -9,10 +9,17 @@ text costs little. The region is then widened to whole blocks: up to the next
 tag on either side that costs more than those of running text, and then to the
 whole article, or the innermost container, around it.
 
-Elements that are never content (scripts, styles, navigation, forms, and those
-whose class, id or role names them as menu, advert, notice, comments, ...) count
+Elements that are never content (scripts, styles, navigation, and those whose
+class, id or role names them as menu, advert, notice, comments, ...) count
 neither as words nor as tags, inside the region as well.
 
+Where the name alone does not tell, it has a cost: the element counts only if its
+words outside of links and form fields are worth more. That is NAMED_COST words
+for a section of an article whose id could be that of a chapter (discussion,
+related work); for a form or widget, which may hold the whole page, it
+is half of the page's words, and NAMED_COST at least. An element that counts
+brings its cost into the scan, where it opens.
+
 Character references are decoded; white space within a block becomes one space;
 blocks are joined in page order by one space. Nothing else is dropped.
 
@@ -41,9 +48,13 @@ from hourvault.llm.flat import small_batches
 from hourvault.llm.sample import drawn_ids
 
 SAMPLE = 2000
+#: Tags, opening and closing ones apart, whose costs are learned at most.
+MOST_TAGS = 100_000
 TAG_SCALE = 10.0
 #: Cost of tags of running text, of other tags that no labelled page has, and the most of a learned cost.
 TEXT_COST, OTHER_COST, MOST_COST = 0.1, 1.0, 200.0
+#: Words that an element with a name of two meanings must be worth.
+NAMED_COST = 30.0
 
 # Names of HTML: fixed values.
 _INLINE = frozenset(
@@ -70,8 +81,15 @@ _PREFIXES = frozenset(
 _PLACES = frozenset("site main primary secondary top bottom global mobile post page".split())
 #: First and last parts of classes that only tell of a state.
 _STATE, _STATES = frozenset("has no with without".split()), frozenset("open closed none off on enabled disabled".split())
+#: Elements and names that may hold a whole page, and ids that a chapter of an article may have.
+_HOLDERS = frozenset("form widget".split())
+_CHAPTERS = frozenset("discussion related recommended recommendations social notice notices".split())
+#: Elements whose words say nothing for the element around them.
+_UNCOUNTED = frozenset("a button select option label legend textarea".split())
 #: Elements and names that an article inside does not end.
 _ASIDES = frozenset("aside comment comments commentlist disqus reply replies respond discussion related recommended recommendations".split())
+#: Kinds of tokens that are no tags.
+_MARKS = frozenset(["text", "|", "+"])
 _HEAD = frozenset("base link meta".split())
 _ENDS_P = frozenset(
     "address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre "
@@ -107,11 +125,15 @@ def _named(value: str) -> str:
 
 
 def _skips(name: str, rest: str, in_article: bool) -> str:
-    """The element, attribute or class name for which an element that opens so never holds content; empty if it may."""
+    """The element, attribute or class name for which an element that opens so never holds content; empty if it may.
+
+    Of names with two meanings, chapters end in "?", so that `_worth` can tell.
+    """
     if name in _SKIPPED or (name == "header" and not in_article):
         return name
     if not rest or name in ("html", "body", "article", "main"):
         return ""
+    doubtful = ""
     for kind, *values in _ATTRIBUTE.findall(rest):
         value, kind = "".join(values).lower(), kind.lower()
         if kind == "hidden" or (kind == "aria-hidden" and value == "true"):
@@ -121,8 +143,31 @@ def _skips(name: str, rest: str, in_article: bool) -> str:
         if kind == "role" and value in _SKIPPED_ROLES:
             return kind
         if kind in ("class", "id") and (found := _named(value)):
-            return found
-    return ""
+            if found not in _HOLDERS and not (found in _CHAPTERS and kind == "id" and name == "section" and in_article):
+                return found
+            doubtful = found if found in _HOLDERS else found + "?"
+    return doubtful
+
+
+def _plain_words(page: str, found: list[re.Match], ends: dict[int, tuple[int, bool, bool]]) -> list[int]:
+    """Words before each tag that are neither in links nor in form fields."""
+    out, total, at, until = [], 0, 0, -1
+    for n, f in enumerate(found):
+        if n > until and f.start() > at:
+            total += len(page[at : f.start()].split())
+        out.append(total)
+        at = f.end()
+        if n >= until:
+            until = ends[n][0] if f["name"] and not f["close"] and n in ends and ends[n][1] and f["name"].lower() in _UNCOUNTED else -1
+    out.append(total + (len(page[at:].split()) if len(found) > until else 0))
+    return out
+
+
+def _worth(why: str, words: int, whole: int) -> bool:
+    """Do the words of an element outweigh the name for which it would be skipped?"""
+    if why.endswith("?"):
+        return words > NAMED_COST
+    return why in _HOLDERS and words > max(NAMED_COST, whole / 2)
 
 
 def _ends(tags: list[str]) -> list[tuple[int, bool, bool]]:
@@ -165,12 +210,16 @@ def _ends(tags: list[str]) -> list[tuple[int, bool, bool]]:
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
-    """("text", words) and ("<name" or "</name", "") in order, without what is never content; ("|", "") stands for that."""
+    """("text", words) and ("<name" or "</name", "") in order, without what is never content; ("|", "") stands for that.
+
+    ("+", "") stands before an element that counts in spite of its name.
+    """
     found = list(_TOKEN.finditer(page))
     tags = [(n, f) for n, f in enumerate(found) if f["raw"] is None and f["name"] and not (not f["close"] and f["rest"].endswith("/"))]
     names = [("</" if f["close"] else "<") + f["name"].lower() for _, f in tags]
     at_tag = {n: k for k, (n, _) in enumerate(tags)}
     ends = {tags[k][0]: (tags[e][0] if e < len(tags) else len(found), own, last) for k, (e, own, last) in enumerate(_ends(names))}
+    plain: list[int] = []
     out: list[tuple[str, str]] = []
     at, in_article, in_head = 0, 0, False
     until, own, article_ends, block_ends, level = -1, False, False, False, 0
@@ -209,7 +258,14 @@ def tokens(page: str) -> list[tuple[str, str]]:
                 out.append(("|", ""))
                 in_head = True
                 continue
-            if why := _skips(name, f["rest"], in_article > 0):
+            why = _skips(name, f["rest"], in_article > 0)
+            if why and (why in _HOLDERS or why.endswith("?")) and n in at_tag and ends[n][1]:
+                plain = plain or _plain_words(page, found, ends)
+                if _worth(why, plain[ends[n][0]] - plain[n], plain[-1]):
+                    out.append(("+", ""))
+                    why = ""
+            why = why.rstrip("?")
+            if why:
                 out.append(("|", ""))
                 if name not in _VOID and n in at_tag:
                     until, own, last = ends[n]
@@ -224,36 +280,37 @@ def tokens(page: str) -> list[tuple[str, str]]:
 
 
 def _fixed_cost(tag: str) -> float:
+    if tag == "+":
+        return NAMED_COST
     return TEXT_COST if tag.lstrip("</") in _TEXT or tag == "|" else OTHER_COST
 
 
-def best_region(sequence: list[tuple[str, str]], costs: dict[str, float]) -> tuple[int, int]:
-    """First and last + 1 of the stretch with the highest sum, widened to whole blocks and to the element around it.
-
-    That is each article or main element with words of the stretch; without one,
-    the innermost container that opens before the stretch and closes after it.
-    """
+def best_stretch(values: list[float]) -> tuple[int, int]:
+    """First and last + 1 of the contiguous stretch with the highest sum; (0, 0) if none is above 0."""
     best, low, high, total, begin = 0.0, 0, 0, 0.0, 0
-    price = []
-    for i, (kind, words) in enumerate(sequence):
-        if kind == "text":
-            price.append(0.0)
-            value = float(len(words.split()))
-        else:
-            cost = costs.get(kind)
-            price.append(_fixed_cost(kind) if cost is None else cost)
-            value = -price[-1]
+    for i, value in enumerate(values):
         total += value
         if total > best:
             best, low, high = total, begin, i + 1
         if total <= 0:
             total, begin = 0.0, i + 1
+    return low, high
+
+
+def best_region(sequence: list[tuple[str, str]], costs: dict[str, float]) -> tuple[int, int]:
+    """First and last + 1 of the stretch with the highest sum, widened to whole blocks and to the element around it.
+
+    That is each article or main element with words of the stretch; without one,
+    the innermost container that opens before the stretch and closes after it.
+    """
+    price = [0.0 if kind == "text" else costs[kind] if kind in costs else _fixed_cost(kind) for kind, _ in sequence]
+    low, high = best_stretch([len(words.split()) if kind == "text" else -cost for (kind, words), cost in zip(sequence, price, strict=True)])
     if high:
         while low > 0 and price[low - 1] <= 2 * TEXT_COST:
             low -= 1
         while high < len(sequence) and price[high] <= 2 * TEXT_COST:
             high += 1
-        at = [i for i, (kind, _) in enumerate(sequence) if kind not in ("text", "|")]
+        at = [i for i, (kind, _) in enumerate(sequence) if kind not in _MARKS]
         spans = [(at[k], at[e] + 1 if e < len(at) else len(sequence), own) for k, (e, own, _) in enumerate(_ends([sequence[i][0] for i in at]))]
         inside = lambda a, b: any(kind == "text" and words.strip() for kind, words in sequence[max(a, low) : min(b, high)])
         around = [(a, b) for a, b, _ in spans if sequence[a][0] in ("<article", "<main") and inside(a, b)]
@@ -289,11 +346,14 @@ def count_tags(page: str) -> Counter:
         return Counter()
     closes = [i for i, (kind, _) in enumerate(sequence) if kind == "</article"]
     low, high = opens[0], closes[-1] if closes else len(sequence)
-    return Counter((kind, low < i < high) for i, (kind, _) in enumerate(sequence) if kind not in ("text", "|"))
+    return Counter((kind, low < i < high) for i, (kind, _) in enumerate(sequence) if kind not in _MARKS)
 
 
-def fit(df: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE) -> dict[str, float]:
-    """Tag costs learned from the labelled pages among a hash-drawn sample of ids."""
+def fit(df: DataFrame, key: str = "page_id", page: str = "html", sample: int = SAMPLE, most_tags: int = MOST_TAGS) -> dict[str, float]:
+    """Tag costs learned from the labelled pages among a hash-drawn sample of ids.
+
+    `most_tags` bounds the model: HTML has some 140 names, of others the most used are learned.
+    """
     spark = df.sparkSession
     ids = drawn_ids(df.where(F.col(key).isNotNull()).select(F.col(key).alias("id")), "id", sample, 7).distinct()
     few = spark.createDataFrame(ids.toPandas(), ids.schema)  # at most 2 * sample ids
@@ -311,9 +371,8 @@ def fit(df: DataFrame, key: str = "page_id", page: str = "html", sample: int = S
     counts = rows.mapInArrow(count, "tag string, inside boolean, n long").groupBy("tag").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("i"), F.sum(F.when(F.col("inside"), 0).otherwise(F.col("n"))).alias("o")
     )
-    frequent = counts.orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(1000).collect()
     costs = {}
-    for row in frequent:
+    for row in counts.orderBy(F.desc(F.col("i") + F.col("o")), "tag").limit(most_tags).collect():
         learned = TAG_SCALE * math.log((row["o"] + 1) / (row["i"] + 1))
         costs[row["tag"]] = min(MOST_COST, max(_fixed_cost(row["tag"]), learned))
     return costs

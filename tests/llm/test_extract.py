@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import itertools
+import random
+
 import pytest
 
 from hourvault.llm import extract
@@ -71,6 +74,45 @@ def test_short_first_and_last_blocks(page, costs):
     assert extract.main_text(page, COSTS | costs) == "News " + "w " * 40 + "End"
 
 
+LONG = "<h1>Heading</h1><p>" + "first words of it " * 30 + "</p><p>" + "more words " * 40 + "</p>"
+LONG_TEXT = " ".join(("Heading " + "first words of it " * 30 + "more words " * 40).split())
+CHAPTER = "<h2>Chapter</h2><p>" + "a chapter's words " * 25 + "</p>"
+CHAPTER_TEXT = " ".join(("Chapter " + "a chapter's words " * 25).split())
+LINKS = "<h2>See also</h2><ul>" + "<li><a href='/x'>a page that is named at some length</a></li>" * 12 + "</ul>"
+
+
+@pytest.mark.parametrize("costs", [{}, COSTS])
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        (f"<article>{LONG}<section id='discussion'>{CHAPTER}</section></article>", f"{LONG_TEXT} {CHAPTER_TEXT}"),
+        (f"<article>{LONG}<section id='related'>{CHAPTER}</section><p>End</p></article>", f"{LONG_TEXT} {CHAPTER_TEXT} End"),
+        (f"<form id='aspnetForm' method='post'><input type='hidden'><article>{LONG}</article></form>", LONG_TEXT),
+        (f"<form id='aspnetForm'><nav>{LINKS}</nav><div id='x'>{LONG}</div></form>", LONG_TEXT),
+        (f"<div class='widget'>{LONG}</div>", LONG_TEXT),
+        (f"<div class='widget'><div class='widget'>{LONG}</div></div>", LONG_TEXT),
+        # The same names without words of their own, or with a second name that is clear.
+        (f"<article>{LONG}<section id='related'>{LINKS}</section></article>", LONG_TEXT),
+        (f"<article>{LONG}<section id='discussion' class='comments'>{CHAPTER}</section></article>", LONG_TEXT),
+        (f"<article>{LONG}<div class='discussion'>{CHAPTER}</div></article>", LONG_TEXT),
+        (f"<article>{LONG}<form><p>{'leave your address ' * 20}</p><input></form><p>End</p></article>", f"{LONG_TEXT} End"),
+        (f"<article>{LONG}<div class='widget'>{'a weather report ' * 20}</div><p>End</p></article>", f"{LONG_TEXT} End"),
+        (f"<article>{LONG}</article><section id='discussion'>{CHAPTER}</section>", LONG_TEXT),
+    ],
+)
+def test_names_of_two_meanings(body, text, costs):
+    assert extract.main_text(f"<html><head><title>t</title></head><body>{body}</body></html>", costs) == text
+    assert extract.main_text(SHELL.format(body), costs) == text
+
+
+def test_best_stretch_is_the_best_of_all():
+    rng = random.Random(3)
+    for _ in range(400):
+        values = [rng.choice([-1, 1]) * rng.randint(0, 9) for _ in range(rng.randint(0, 14))]
+        low, high = extract.best_stretch(values)
+        assert sum(values[low:high]) == max(sum(values[a:b]) for a, b in itertools.product(range(len(values) + 1), repeat=2))
+
+
 def test_best_stretch_is_contiguous():
     words = lambda n: ("text", "w " * n)
     wall = ("<x", "")
