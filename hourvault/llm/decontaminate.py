@@ -12,11 +12,14 @@ a pattern; patterns of one length m form a matcher with blocks of two words:
   byte by byte.
 
 Texts are scanned in lanes that move on together, so numpy does each step for
-thousands of windows. The patterns are built from blocks of items of bounded
-size and written as files to the shared folder; a task scans its batch with one
-block after another, so neither the driver nor a task holds more than one block.
+thousands of windows. Tasks build the patterns from blocks of items of bounded
+size and write them as files to the shared folder, each attempt under names of
+its own; the driver gets the names. A task scans with one block after another,
+so nobody holds more than one. With several blocks, each is loaded once for
+every CHUNK_BYTES of text.
 
-Documents are read once and not shuffled.
+Documents are read once and not shuffled; items are dealt evenly over the tasks
+that build blocks.
 
 Defined cases: a null or wordless text has no words and no hits; a wordless
 item has no window. Rows of one item_id are one item; an item without an id
@@ -27,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +49,8 @@ BLOCK_WORDS = 2
 BLOCK_BYTES = 16 << 20
 #: Text scanned at a time.
 BATCH_BYTES = 1 << 20
+#: Text that is scanned with one block before the next is loaded, if there are several.
+CHUNK_BYTES = 8 << 20
 #: Window ends that one lane goes through.
 LANE = 256
 WORD_BYTES = byte_set((48, 57), (97, 122), (128, 255))
@@ -77,10 +83,10 @@ class Matcher:
         # Shift table: the least way from a block's place in any pattern to the pattern's end.
         size = 1 << max(12, int(n * m * 4).bit_length())
         self.mask = U64(size - 1)
-        self.shift = np.full(size, m - self.block + 1, np.uint8)
+        self.shift = np.full(size, m - self.block + 1, np.min_scalar_type(m))
         for end in range(self.block, m + 1):
             block = _join([words.hash[begins + end - self.block + k] for k in range(self.block)])
-            np.minimum.at(self.shift, (block & self.mask).astype(np.int64), np.uint8(m - end))
+            np.minimum.at(self.shift, (block & self.mask).astype(np.int64), self.shift.dtype.type(m - end))
             if end == m:
                 order = np.argsort(block, kind="stable")
                 self.bucket_hash, self.bucket = block[order], order
@@ -156,6 +162,21 @@ class Patterns:
             first = np.concatenate([[0], np.cumsum(np.bincount(matcher.pattern_of, minlength=len(matcher.hash)))])
             self.matchers.append((matcher, first, items))
 
+    def dump(self) -> bytes:
+        """As plain arrays, which any worker can load, whether or not it can import this module."""
+        return pickle.dumps((self.ids, [(vars(matcher), first, items) for matcher, first, items in self.matchers]), protocol=5)
+
+    @classmethod
+    def load(cls, data: bytes) -> Patterns:
+        out = cls.__new__(cls)
+        out.ids, stored = pickle.loads(data)
+        out.matchers = []
+        for fields, first, items in stored:
+            matcher = Matcher.__new__(Matcher)
+            vars(matcher).update(fields)
+            out.matchers.append((matcher, first, items))
+        return out
+
     def scan(self, words: Words, marks: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """Add hits to `marks` (+1 at a hit's first word, -1 after its last); pairs (text, item) found."""
         pairs = []
@@ -171,53 +192,85 @@ class Patterns:
 
 
 def write_patterns(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int) -> list[str]:
-    """Files of pattern blocks in the shared folder; items pass through the driver one block at a time."""
+    """Files of pattern blocks in the shared folder, built and written by tasks."""
     spark = benchmark.sparkSession
+    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).head()["bytes"]
     folder = scratch_path(spark, "patterns")
     filesystem, base = open_storage(folder)
     filesystem.create_dir(base, recursive=True)
-    files, ids, texts, held = [], [], [], 0
 
-    def flush() -> None:
-        nonlocal ids, texts, held
+    def write(ids: list[str | None], texts: list[str]) -> pa.RecordBatch:
+        name = f"{folder}/{uuid.uuid4().hex}"
+        store, path = open_storage(name)
+        with store.open_output_stream(path) as out:
+            out.write(Patterns(ids, texts, window).dump())
+        return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, texts, size = [], [], 0
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            ids += batch.column("item").to_pylist()
+            texts += batch.column("text").to_pylist()
+            size += batch.column("text").nbytes
+            if size >= block_bytes:
+                yield write(ids, texts)
+                ids, texts, size = [], [], 0
         if ids:
-            name = f"{folder}/{len(files)}"
-            with filesystem.open_output_stream(open_storage(name)[1]) as out:
-                out.write(pickle.dumps(Patterns(ids, texts, window), protocol=5))
-            files.append(name)
-            ids, texts, held = [], [], 0
-
-    rows = benchmark.select(F.col(item).cast("string").alias("item"), F.col(text).cast("string").alias("text"))
-    for row in rows.toLocalIterator():
-        ids.append(row["item"])
-        texts.append(row["text"])
-        held += len(row["text"] or "")
-        if held >= block_bytes:
-            flush()
-    flush()
-    return files
+            yield write(ids, texts)
+
+    # At most two names for each block_bytes of items.
+    found = rows.repartition(max(1, -(-held // block_bytes))).mapInArrow(lean(build), "file string").collect()
+    return sorted(row["file"] for row in found)
 
 
 def _load(file: str) -> Patterns:
     filesystem, path = open_storage(file)
     with filesystem.open_input_stream(path) as source:
-        return pickle.loads(source.read())
-
-
-def _scan(column: pa.Array, files: list[str]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
-    """Words, hit words and ids of items found, of each text of a batch."""
-    words = Words(*flat_bytes(column), WORD_BYTES)
-    marks = np.zeros(len(words.start) + 1, np.int64)
-    items: list[set[str]] = [set() for _ in range(len(column))]
-    for file in files:
-        # A single block stays in the worker; of several, one is held at a time.
-        patterns = kept(("patterns", file), lambda: _load(file)) if len(files) == 1 else _load(file)
-        for rows, found in patterns.scan(words, marks):
+        return Patterns.load(source.read())
+
+
+class _Scan:
+    """Words, hit words and items of the texts of a batch, block of patterns by block."""
+
+    def __init__(self, batch: pa.RecordBatch, text: str):
+        self.batch = batch
+        self.words = Words(*flat_bytes(batch.column(text)), WORD_BYTES)
+        self.marks = np.zeros(len(self.words.start) + 1, np.int64)
+        self.items: list[set[str]] = [set() for _ in range(batch.num_rows)]
+
+    def add(self, patterns: Patterns) -> None:
+        for rows, found in patterns.scan(self.words, self.marks):
             for row, i in zip(rows.tolist(), found.tolist(), strict=True):
                 if patterns.ids[i] is not None:
-                    items[row].add(patterns.ids[i])
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
-    return np.diff(words.first), hit[words.first[1:]] - hit[words.first[:-1]], items
+                    self.items[row].add(patterns.ids[i])
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.concatenate([[0], np.cumsum(np.cumsum(self.marks[:-1]) > 0)])
+        return np.diff(self.words.first), hit[self.words.first[1:]] - hit[self.words.first[:-1]]
+
+
+def _scans(batches: Iterator[pa.RecordBatch], text: str, files: list[str]) -> Iterator[_Scan]:
+    """Every batch, cut small, scanned with all blocks."""
+    most = CHUNK_BYTES if len(files) > 1 else BATCH_BYTES
+    waiting: list[_Scan] = []
+    size = 0
+
+    def finish() -> Iterator[_Scan]:
+        for file in files:
+            # A single block stays in the worker; of several, one is held at a time.
+            patterns = kept(("patterns", file), lambda: _load(file)) if len(files) == 1 else _load(file)
+            for scan in waiting:
+                scan.add(patterns)
+        yield from waiting
+
+    for batch in small_batches(batches, text, BATCH_BYTES):
+        waiting.append(_Scan(batch, text))
+        size += len(waiting[-1].words.data)
+        if size >= most or len(files) <= 1:
+            yield from finish()
+            waiting, size = [], 0
+    yield from finish()
 
 
 def find_leaks(
@@ -230,12 +283,12 @@ def find_leaks(
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text", BATCH_BYTES):
-            n_words, n_hit, items = _scan(batch.column("text"), files)
-            listed = [sorted(x) for x in items]
+        for found in _scans(batches, "text", files):
+            n_words, n_hit = found.counts()
+            listed = [sorted(x) for x in found.items]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
+                    found.batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in listed], pa.int64()), pa.array(listed, pa.list_(pa.string())),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in listed]),
                     pa.array(n_hit > 0),
@@ -252,9 +305,8 @@ def without_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> Da
     files = write_patterns(benchmark, "item_id", "text", WINDOW, BLOCK_BYTES)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, text, BATCH_BYTES):
-            _, n_hit, _ = _scan(batch.column(text), files)
-            yield batch.filter(pa.array(n_hit == 0))
+        for found in _scans(batches, text, files):
+            yield found.batch.filter(pa.array(found.counts()[1] == 0))
 
     return df.mapInArrow(lean(keep), df.schema)
 

@@ -81,6 +81,28 @@ def test_empty_tables(spark, docs, items):
     assert sorted(map(tuple, got.collect()), key=str) == expected(docs, items)
 
 
+def test_blocks_are_built_in_tasks_and_loaded_once_a_chunk(spark, monkeypatch):
+    """Several blocks; the driver only names them, and a task of three batches loads each once."""
+    docs, items = corpus(6)
+    df, benchmark = frames(spark, docs, items)
+    monkeypatch.setattr(type(benchmark), "toLocalIterator", None)
+    files = decontaminate.write_patterns(benchmark.repartition(1), "item_id", "text", 10, 300)
+    assert len(files) > 2 and len(set(files)) == len(files)
+    loads, load = [], decontaminate._load
+    monkeypatch.setattr(decontaminate, "_load", lambda file: loads.append(file) or load(file))
+    table = df.coalesce(1).toArrow().select(["text"]).combine_chunks().to_batches()[0]
+    parts = [table.slice(at, 50) for at in range(0, table.num_rows, 50)]
+    hits = [n for found in decontaminate._scans(iter(parts), "text", files) for n in found.counts()[1].tolist()]
+    assert sorted(loads) == files
+    assert sorted(hits) == sorted(r[2] for r in expected(docs, items))
+
+
+def test_windows_of_any_length(spark):
+    docs, items = [(1, " ".join(f"w{i}" for i in range(900))), (2, "w1 w2")], [(1, " ".join(f"w{i}" for i in range(300, 720)))]
+    got = decontaminate.find_leaks(*frames(spark, docs, items), window=400).drop("items")
+    assert sorted(map(tuple, got.collect()), key=str) == expected(docs, items, 400)
+
+
 def test_clean_rows_stay_as_they_are(spark):
     docs, items = corpus(4)
     df, benchmark = frames(spark, docs, items)
