@@ -31,8 +31,10 @@ ROW_GROUP_BYTES = 128 * 1024 * 1024
 # Work of one read-parse-write task.
 TASK_BYTES = 64 * 1024 * 1024
 TASK_FILES = 2_000
-# Output files a writing task keeps open: their buffers and Bloom filters (4 MB each) are its memory.
-OPEN_FILES = 16
+# Output files a writing task keeps open. Each takes up to 8 MB for buffers and Bloom filters from the
+# first row on (16 of them in each of 8 tasks end a heap of 1 GB). Groups of TARGET_BYTES are one or
+# two a task; a task with many small groups sorts what is left after its first ones.
+OPEN_FILES = 4
 # Source bytes one run takes on before the next one begins.
 UNIT_BYTES = 1 << 40
 # Tasks move their files into place themselves instead of leaving all renames to
