@@ -3,7 +3,8 @@
 The rule is sequential: going through an hour's files by name, start a new
 group when adding the next file would pass the target. A crowded hour may hold
 a third of all files, so no task may fold over a whole hour. Instead files are
-range-partitioned by (hour, name) into blocks of bounded length, and
+range-partitioned by (hour, name) and cut into blocks of bounded length, many short
+ones to a partition, and
 
 1. each block is summarised as a function: total size of the open group on
    entry -> that size and the number of new groups on exit;
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from hourvault.session import pin
 
 BLOCK_ROWS = 200_000
+#: Files a partition holds at least, so that short blocks are not a task each.
+PART_ROWS = 20_000
+#: Rows and steps of summaries that leave a task at once.
+BATCH_STEPS = 10_000
 #: Summaries of one hour that a task composes or walks through.
 FAN = 32
 
@@ -129,13 +134,13 @@ def number_files(sizes: np.ndarray, target: int, carry: int | None, started: int
 
 
 _SUMMARY = (
-    "key string, block_no int, total bigint, "
+    "key string, block_no bigint, total bigint, "
     "thresholds array<bigint>, carries array<bigint>, groups array<bigint>"
 )
 _SUMMARY_ARROW = pa.schema(
     [
         ("key", pa.string()),
-        ("block_no", pa.int32()),
+        ("block_no", pa.int64()),
         ("total", pa.int64()),
         ("thresholds", pa.list_(pa.int64())),
         ("carries", pa.list_(pa.int64())),
@@ -144,42 +149,57 @@ _SUMMARY_ARROW = pa.schema(
 )
 
 
-def _runs(batch: pa.RecordBatch, key: str) -> Iterator[tuple[str, int, int]]:
-    """Stretches (key, start, end) of equal keys in a sorted batch."""
-    keys = batch.column(key).dictionary_encode()
-    codes = keys.indices.to_numpy()
-    edges = np.flatnonzero(np.diff(codes)) + 1
-    for start, end in zip([0, *edges.tolist()], [*edges.tolist(), len(codes)]):
-        yield keys.dictionary[int(codes[start])].as_py(), start, end
+def _runs(batch: pa.RecordBatch, *names: str) -> Iterator[tuple[tuple, int, int]]:
+    """Stretches (values, start, end) of equal values in a sorted batch."""
+    columns = [batch.column(name).dictionary_encode() for name in names]
+    changes = np.zeros(batch.num_rows - 1, dtype=bool)
+    for column in columns:
+        changes |= np.diff(column.indices.to_numpy()) != 0
+    edges = (np.flatnonzero(changes) + 1).tolist()
+    for start, end in zip([0, *edges], [*edges, batch.num_rows]):
+        yield tuple(column[start].as_py() for column in columns), start, end
+
+
+def _in_batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Short rows many at a time; a long summary goes alone."""
+    ready: list[dict] = []
+    steps = 0
+    for row in rows:
+        ready.append(row)
+        steps += 1 + len(row.get("thresholds", ()))
+        if steps >= BATCH_STEPS:
+            yield pa.RecordBatch.from_pylist(ready, schema=schema)
+            ready, steps = [], 0
+    if ready:
+        yield pa.RecordBatch.from_pylist(ready, schema=schema)
 
 
 def _summaries(target: int):
-    """One summary per stretch of a key in a partition, that is per (key, block)."""
+    """One summary per stretch of (key, block) in a partition; a partition holds whole blocks."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         current: tuple[str, int] | None = None
         parts: list[np.ndarray] = []
 
-        def close() -> pa.RecordBatch:
-            row = summarise_block(np.concatenate(parts), target)
-            return pa.RecordBatch.from_pylist(
-                [{"key": current[0], "block_no": current[1], **row}], schema=_SUMMARY_ARROW
-            )
+        def close() -> dict:
+            return {"key": current[0], "block_no": current[1], **summarise_block(np.concatenate(parts), target)}
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             sizes = batch.column("size").to_numpy()
-            block = batch.column("block_no")[0].as_py()
-            for key, start, end in _runs(batch, "key"):
-                if (key, block) != current:
+            for found, start, end in _runs(batch, "key", "block_no"):
+                if found != current:
                     if parts:
                         yield close()
-                    current, parts = (key, block), []
+                    current, parts = found, []
                 parts.append(sizes[start:end])
         if parts:
             yield close()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _in_batches(rows(batches), _SUMMARY_ARROW)
+
     return run
 
 
@@ -193,7 +213,7 @@ def _numbered(target: int, size: str):
                 continue
             sizes = batch.column(size).cast(pa.int64()).to_numpy()
             numbers = []
-            for stretch, start, end in _runs(batch, "_stretch"):
+            for (stretch,), start, end in _runs(batch, "_stretch"):
                 if stretch != current:
                     current = stretch
                     carry = batch.column("carry")[start].as_py()
@@ -215,39 +235,46 @@ def _summary_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 def _composed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One summary per (key, parent) of rows sorted by (key, parent, block)."""
-    current: tuple[str, int] | None = None
-    whole: dict = {}
-    for row in _summary_rows(batches):
-        if (row["key"], row["parent"]) == current:
-            whole = compose(whole, row)
-            continue
+
+    def rows() -> Iterator[dict]:
+        current: tuple[str, int] | None = None
+        whole: dict = {}
+        for row in _summary_rows(batches):
+            if (row["key"], row["parent"]) == current:
+                whole = compose(whole, row)
+                continue
+            if current:
+                yield {**whole, "key": current[0], "block_no": current[1]}
+            current, whole = (row["key"], row["parent"]), row
         if current:
-            yield pa.RecordBatch.from_pylist([{**whole, "key": current[0], "block_no": current[1]}], schema=_SUMMARY_ARROW)
-        current, whole = (row["key"], row["parent"]), row
-    if current:
-        yield pa.RecordBatch.from_pylist([{**whole, "key": current[0], "block_no": current[1]}], schema=_SUMMARY_ARROW)
+            yield {**whole, "key": current[0], "block_no": current[1]}
+
+    return _in_batches(rows(), _SUMMARY_ARROW)
 
 
-_STATE = "key string, block_no int, carry bigint, started bigint"
+_STATE = "key string, block_no bigint, carry bigint, started bigint"
 
 
 def _entry_states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Walk the summaries of each (key, parent) in block order, from the state in which the parent is entered."""
     schema = pa.schema(
-        [("key", pa.string()), ("block_no", pa.int32()), ("carry", pa.int64()), ("started", pa.int64())]
+        [("key", pa.string()), ("block_no", pa.int64()), ("carry", pa.int64()), ("started", pa.int64())]
     )
-    current, carry, started = None, None, 0
-    for row in _summary_rows(batches):
-        if (row["key"], row["parent"]) != current:
-            current, carry, started = (row["key"], row["parent"]), row["carry"], row["started"]
-        state = {"key": row["key"], "block_no": row["block_no"], "carry": carry, "started": started}
-        yield pa.RecordBatch.from_pylist([state], schema=schema)
-        carry, opened = apply_summary(carry, row)
-        started += opened
+
+    def rows() -> Iterator[dict]:
+        current, carry, started = None, None, 0
+        for row in _summary_rows(batches):
+            if (row["key"], row["parent"]) != current:
+                current, carry, started = (row["key"], row["parent"]), row["carry"], row["started"]
+            yield {"key": row["key"], "block_no": row["block_no"], "carry": carry, "started": started}
+            carry, opened = apply_summary(carry, row)
+            started += opened
+
+    return _in_batches(rows(), schema)
 
 
 def _by_parent(summaries: DataFrame, fan: int) -> DataFrame:
-    return summaries.withColumn("parent", F.expr(f"cast(block_no div {fan} as int)"))
+    return summaries.withColumn("parent", F.expr(f"block_no div {fan}"))
 
 
 def _walk(summaries: DataFrame) -> DataFrame:
@@ -274,6 +301,26 @@ def block_states(summaries: DataFrame, blocks: int, fan: int = FAN) -> DataFrame
     return states
 
 
+def _in_blocks(files: DataFrame, key: str, order: str, block_rows: int, count: int) -> tuple[DataFrame, int]:
+    """Files in the order of the rule with the number of their block, and how many numbers there are.
+
+    Blocks are counted within partitions, so their numbers go up in the order of the
+    files; partitions of fewer blocks than the longest leave numbers out.
+    """
+    parts = max(1, -(-count // max(block_rows, PART_ROWS)))
+    # The numbers of rows count from 2^33 times the partition.
+    placed = pin(
+        files.repartitionByRange(parts, key, order).sortWithinPartitions(key, order).withColumn("_at", F.monotonically_increasing_id())
+    )
+    part, row = F.expr("_at div (1L << 33)"), F.expr("_at % (1L << 33)")
+    a_part = 1
+    if count > block_rows:
+        last = placed.agg(F.max(part).alias("part"), F.max(row).alias("row")).head()
+        parts, a_part = last["part"] + 1, last["row"] // block_rows + 1
+    block_no = part * F.lit(a_part).cast("bigint") + F.expr(f"_at % (1L << 33) div {block_rows}")
+    return placed.withColumn("block_no", block_no).drop("_at"), parts * a_part
+
+
 def assign_groups(
     files: DataFrame,
     target_size: int,
@@ -297,12 +344,7 @@ def assign_groups(
         raise ValueError("fan must be at least 2")
     if count is None:
         count = files.count()
-    blocks = max(1, -(-count // block_rows))
-    ordered = pin(
-        files.repartitionByRange(blocks, key, order)
-        .sortWithinPartitions(key, order)
-        .withColumn("block_no", F.spark_partition_id())
-    )
+    ordered, blocks = _in_blocks(files, key, order, block_rows, count)
     summaries = ordered.select(
         F.col(key).cast("string").alias("key"), "block_no", F.col(size).cast("bigint").alias("size")
     ).mapInArrow(_summaries(target_size), _SUMMARY)

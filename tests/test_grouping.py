@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from hourvault.operators import grouping
 from hourvault.operators.grouping import (
     apply_summary,
     assign_groups,
@@ -117,6 +118,20 @@ def test_block_length_bounds_partitions(spark):
     assert rows.agg(F.max("group_no"), F.count("*")).head()[:] == (99, 1000)
 
 
+def test_short_blocks_share_tasks(spark, monkeypatch):
+    """The number of tasks does not follow from the length of a block; many short blocks are in one partition."""
+    pinned = []
+    monkeypatch.setattr(grouping, "pin", lambda df, pin=grouping.pin: pinned.append(pin(df)) or pinned[-1])
+    monkeypatch.setattr(grouping, "PART_ROWS", 500, raising=False)
+    rng = random.Random(3)
+    sizes = [rng.choice([0, rng.randint(1, 90)]) for _ in range(3000)]
+    rows = [("hot", f"f{i:05d}", s) for i, s in enumerate(sizes)]
+    files = spark.createDataFrame(rows, "blob_hour string, blob_path string, size long").repartition(3)
+    got = {r.blob_path: r.group_no for r in assign_groups(files, 300, block_rows=7).collect()}
+    assert got == {f"f{i:05d}": n for i, n in enumerate(greedy(sizes, 300))}
+    assert max(df.rdd.getNumPartitions() for df in pinned) <= 6
+
+
 def test_empty_listing(spark):
     files = spark.createDataFrame([], "blob_hour string, blob_path string, size long")
     assert assign_groups(files, 10).count() == 0
