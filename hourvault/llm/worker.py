@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import ctypes
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from typing import Any
 
-import pyarrow as pa
+from hourvault.lean import give_back, lean
+
+__all__ = ["give_back", "kept", "lean"]
 
 _HOME = "hourvault_worker_state"
 
@@ -25,21 +26,3 @@ def kept(key: tuple, make: Callable[[], Any]) -> Any:
         store.clear()
         store[key] = make()
     return store[key]
-
-
-def give_back() -> None:
-    """Hand freed memory back to the system, where the C library can; workers live on between tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
-
-
-def lean(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
-    """The same function of batches, which gives its memory back when it has ended."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from task(batches)
-        give_back()
-
-    return run

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hourvault.lean import lean
 from hourvault.session import pin
 
 BLOCK_ROWS = 200_000
@@ -281,7 +282,7 @@ def _walk(summaries: DataFrame) -> DataFrame:
     return (
         summaries.repartition("key", "parent")
         .sortWithinPartitions("key", "parent", "block_no")
-        .mapInArrow(_entry_states, _STATE)
+        .mapInArrow(lean(_entry_states), _STATE)
     )
 
 
@@ -291,7 +292,7 @@ def block_states(summaries: DataFrame, blocks: int, fan: int = FAN) -> DataFrame
     while blocks > fan:
         levels[-1] = pin(levels[-1])
         placed = _by_parent(levels[-1], fan).repartition("key", "parent").sortWithinPartitions("key", "parent", "block_no")
-        levels.append(placed.mapInArrow(_composed, _SUMMARY))
+        levels.append(placed.mapInArrow(lean(_composed), _SUMMARY))
         blocks = -(-blocks // fan)
     top = levels.pop().withColumns({"parent": F.lit(0), "carry": F.lit(None).cast("bigint"), "started": F.lit(0).cast("bigint")})
     states = _walk(top)
@@ -347,7 +348,7 @@ def assign_groups(
     ordered, blocks = _in_blocks(files, key, order, block_rows, count)
     summaries = ordered.select(
         F.col(key).cast("string").alias("key"), "block_no", F.col(size).cast("bigint").alias("size")
-    ).mapInArrow(_summaries(target_size), _SUMMARY)
+    ).mapInArrow(lean(_summaries(target_size)), _SUMMARY)
     states = block_states(summaries, blocks, fan).select(
         F.col("key").alias("_key"), F.col("block_no").alias("_block"), "carry", "started"
     )
@@ -360,7 +361,7 @@ def assign_groups(
         .sortWithinPartitions(key, "block_no", order)
     )
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields)
-    return located.mapInArrow(_numbered(target_size, size), f"{out}, group_no bigint")
+    return located.mapInArrow(lean(_numbered(target_size, size)), f"{out}, group_no bigint")
 
 
 def group_totals(assigned: DataFrame, key: str = "blob_hour", size: str = "size") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,21 +66,34 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def open_writers(spark: SparkSession, most: int) -> Iterator[None]:
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the jobs that run meanwhile."""
+    before = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def open_writers(spark: SparkSession, most: int) -> AbstractContextManager[None]:
     """Let each task keep up to `most` output files open, instead of sorting its rows by their file first.
 
     A task that meets more files than that sorts the rest of its rows.
     """
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(most))
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+    return _settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": str(most)})
+
+
+def small_batches(spark: SparkSession, rows: int, size: str) -> AbstractContextManager[None]:
+    """Let no more than so many rows, or about so many bytes, travel to a Python worker at once."""
+    return _settings(
+        spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": size}
+    )
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -19,12 +19,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourvault.functions.hours import partition_to_hour
+from hourvault.lean import lean
 from hourvault.sources.storage import join_path, open_storage, qualified
 
 SUFFIX = ".ndjson"
 SPLIT_BYTES = 64 * 1024 * 1024
 CHUNK_BYTES = 8 * 1024 * 1024
 PARALLEL_READS = 16
+#: Bytes of small files that leave a reading task at once; it holds them several times.
+GATHER_BYTES = 1024 * 1024
+#: Names of files that a reading task holds as Python objects.
+NAMES = 500
 
 
 def hour_prefix(partition: Column, folder: str = "") -> Column:
@@ -100,9 +105,9 @@ def list_archive(hours: DataFrame, container: str, folder: str = "") -> DataFram
         F.lit(0).cast("bigint").alias("size"),
         F.lit(True).alias("is_dir"),
     )
-    direct = roots.mapInArrow(_list_under(container, recursive=False), _FOUND)
+    direct = roots.mapInArrow(lean(_list_under(container, recursive=False)), _FOUND)
     nested = direct.repartition(tasks, "blob_path").mapInArrow(
-        _list_under(container, recursive=True), _FOUND
+        lean(_list_under(container, recursive=True)), _FOUND
     )
     return nested.where(~F.col("is_dir")).select(
         "blob_path",
@@ -168,7 +173,7 @@ def byte_ranges(files: DataFrame, container: str, split_bytes: int = SPLIT_BYTES
         cut.select("blob_path", "start", "end")
         .repartition(tasks, "blob_path", "start")
         .mapInArrow(
-            _count_breaks(container, counted_schema, CHUNK_BYTES),
+            lean(_count_breaks(container, counted_schema, CHUNK_BYTES)),
             "blob_path string, start bigint, end bigint, after_break boolean, breaks bigint",
         )
     )
@@ -258,13 +263,13 @@ def read_ranges(
                 return {**row, "content": source.read()}
 
         with ThreadPoolExecutor(PARALLEL_READS) as pool:
-            for batch in batches:
+            for names in (batch.slice(at, NAMES) for batch in batches for at in range(0, batch.num_rows, NAMES)):
                 small: list[dict] = []
                 pending = 0
-                for row in batch.to_pylist():
+                for row in names.to_pylist():
                     span = row["end"] - row["start"]
                     if row["start"] == 0 and row["end"] == row["size"] and span <= chunk_bytes:
-                        if pending + span > chunk_bytes:
+                        if small and pending + span > GATHER_BYTES:
                             yield to_batch(list(pool.map(whole, small)))
                             small, pending = [], 0
                         small.append(row)
@@ -278,7 +283,7 @@ def read_ranges(
                 if small:
                     yield to_batch(list(pool.map(whole, small)))
 
-    return ranges.mapInArrow(read, f"{out_spark}, first_line bigint, content binary")
+    return ranges.mapInArrow(lean(read), f"{out_spark}, first_line bigint, content binary")
 
 
 def with_names(paths: DataFrame) -> DataFrame:
@@ -305,7 +310,7 @@ def list_stored(events_root: str, dirs: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("size"),
         F.lit(True).alias("is_dir"),
     ).repartition(tasks, "blob_path")
-    found = roots.mapInArrow(_list_under(events_root, recursive=True, suffix=".parquet"), _FOUND)
+    found = roots.mapInArrow(lean(_list_under(events_root, recursive=True, suffix=".parquet")), _FOUND)
     path, pattern = F.col("blob_path"), r"run_id=([^/]+)/blob_hour=([^/]+)/group_no=(\d+)/"
     return found.where(~F.col("is_dir")).select(
         F.regexp_extract(path, pattern, 2).alias("blob_hour"),

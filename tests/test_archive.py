@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from conftest import put
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from hourvault.functions.hours import hours_frame
 from hourvault.operators.ingest import to_events
 from hourvault.sources import archive
+from workload import write_files
 
 HOUR = "2026/09/10/08"
 SPAN = (datetime(2026, 9, 10, 8), datetime(2026, 9, 10, 10))
@@ -120,3 +122,44 @@ def test_line_chunks_directly():
         if text.endswith(b"\n"):
             want.pop()
         assert got == list(enumerate(want, start=1)), (text, split, length)
+
+
+def test_reading_task_gathers_little_at_once(spark, container, monkeypatch):
+    """Small files leave a task about a megabyte at a time, and each of them whole."""
+    content = {f"{i:02d}.ndjson": f"{i}{'x' * 100_000}\n".encode() for i in range(40)}
+    paths = [put(container, "2026/09/10/08", name, text) for name, text in content.items()]
+    sizes = [len(text) for text in content.values()]
+    rows = [{"blob_path": p, "start": 0, "end": n, "size": n, "first_line": 1} for p, n in zip(paths, sizes, strict=True)]
+    frame = spark.createDataFrame(rows)
+    tasks = []
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, task, schema: tasks.append(task))
+    archive.read_ranges(frame, container, ["blob_path"])
+    batches = list(tasks[0](iter([pa.RecordBatch.from_pylist(rows)])))
+    found = {row["blob_path"].rpartition("/")[2]: row["content"] for batch in batches for row in batch.to_pylist()}
+    assert found == content
+    assert max(batch.nbytes for batch in batches) < 1_200_000
+
+
+def test_files_are_written_from_small_batches(spark, container, tmp_path, monkeypatch):
+    """A writing task meets at most some hundred files at once, as they travel with their content."""
+    seen = str(tmp_path / "rows")
+    files = spark.range(1200).coalesce(1).select(F.format_string("a/%d.ndjson", "id").alias("blob_path"), F.format_string("é%d\n", "id").alias("content"))
+    real = type(files).mapInArrow
+
+    def spied(self, task, schema):
+        def run(batches):
+            def noted():
+                for batch in batches:
+                    with open(seen, "a") as out:
+                        out.write(f"{batch.num_rows}\n")
+                    yield batch
+
+            return task(noted())
+
+        return real(self, run, schema)
+
+    monkeypatch.setattr(type(files), "mapInArrow", spied)
+    assert write_files(files, container) == 1200
+    rows = [int(n) for n in open(seen)]
+    assert sum(rows) == 1200 and max(rows) <= 500
+    assert open(f"{container}/a/1199.ndjson").read() == "é1199\n"

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hourvault.functions.hours import hour_of, partition_of
-from hourvault.session import scratch_path
+from hourvault.lean import lean
+from hourvault.session import scratch_path, small_batches
 from hourvault.sources.archive import hour_prefix
 from hourvault.sources.storage import join_path, open_storage
 
@@ -148,21 +149,26 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files_of(encoded(spark, sf_dir))
 
 
+# Files and their bytes that travel to a writing Python worker at once.
+BATCH_FILES, BATCH_BYTES = 500, "4m"
+
+
 def write_files(files: DataFrame, container: str) -> int:
     """Write `content` to `blob_path` under the container; number of files."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_storage(container)
         for batch in batches:
-            for row in batch.to_pylist():
-                path = join_path(root, row["blob_path"])
+            for name, content in zip(batch.column("blob_path").to_pylist(), batch.column("content"), strict=True):
+                path = join_path(root, name)
                 filesystem.create_dir(path.rsplit("/", 1)[0], recursive=True)
                 with filesystem.open_output_stream(path) as sink:
-                    sink.write(row["content"].encode())
+                    sink.write(content.as_buffer())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    written = files.select("blob_path", "content").mapInArrow(write, "n bigint")
-    return written.agg(F.sum("n")).head()[0] or 0
+    written = files.select("blob_path", "content").mapInArrow(lean(write), "n bigint")
+    with small_batches(files.sparkSession, BATCH_FILES, BATCH_BYTES):
+        return written.agg(F.sum("n")).head()[0] or 0
 
 
 def remove_files(files: DataFrame, container: str) -> int:
