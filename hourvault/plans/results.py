@@ -133,7 +133,7 @@ def _newest(seen: Snapshot, from_utc: datetime, to_utc: datetime, limit: int, op
     if reach is None:
         return None
     floor, hours = reach
-    found = pin(search(good_rows(seen.read(hours)), from_utc, to_utc, limit=limit, **options))
+    found = pin(search(read_events(seen.spark, seen.root, None, hours, seen), from_utc, to_utc, limit=limit, **options))
     certain = found.where(F.col("timestamp") >= instant_literal(floor, T.TimestampType())).count() == limit
     return found if certain else None
 

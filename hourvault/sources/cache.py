@@ -228,10 +228,10 @@ def read_stored(
 
 
 def read_events(
-    spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None
+    spark: SparkSession, root: str, bounds: HourBounds | None = None, only: Collection[str] | None = None, seen: Snapshot | None = None
 ) -> DataFrame:
-    """Visible events of the hours in `bounds` and `only` (all hours when None)."""
-    return good_rows(read_stored(spark, root, bounds, only))
+    """Visible events of the hours in `bounds` and `only` (all hours when None); of `seen`, if given, whose manifest is read already."""
+    return good_rows((seen or Snapshot(spark, root, bounds)).read(only))
 
 
 def good_rows(stored: DataFrame) -> DataFrame:
