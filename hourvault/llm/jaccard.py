@@ -11,6 +11,10 @@ the others. Which pairs are counted is decided by fragments too:
   those that are not empty. So each document gives a key for each fragment's
   content, and similar documents share one (documents with so few non-empty
   fragments that this fails also give keys for the empty ones).
+- Fragments are a quarter more than that needs. A document with f non-empty ones
+  shares at least f - d keys of a size class with any similar one; so of its f - d most
+  frequent keys all but one are not compared (`rare_keys`), and what many documents
+  have in common brings them together only if they have little else.
 - A pair is dropped if its sizes cannot reach the threshold, or if the parities
   of its sets in 2,048 hash classes differ in more places than its n-grams may.
   Neither drops a pair that is similar.
@@ -26,7 +30,8 @@ Equal sets are one class from the start: their members are never paired. Keys
 that one task sees often are written aside from the partition of the key, so
 that no task gathers a hot key. A 64-bit class hash that two sets share stops
 the run (a second hash is compared); another `seed` then tells them apart.
-Equal n-gram hashes of different n-grams (2^-64 for two) count as equal.
+Equal n-gram hashes of different n-grams (2^-64 for two) count as equal, and so do
+equal hashes of two fragments of one document (2^-56).
 
 Defined cases: a text with fewer than n words, but not none, has one n-gram, of
 all its words; a null or wordless text has none and is linked with nothing. Rows
@@ -41,7 +46,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourvault.llm import stored
@@ -54,6 +59,10 @@ SKETCH_WORDS = 32
 SKETCH_ROWS = 1024
 #: Ratio of the largest to the smallest size in a class.
 CLASS_RATIO = 1.25
+#: One fragment more than must agree for each so many n-grams that may differ.
+SPARE_FRAGMENTS = 4
+#: The last bits of a key are its size class.
+KIND_BITS = 8
 #: Rows of a key that one task sends to the key's own partition.
 KEY_ROWS = 64
 #: Keys that a task sorts at once.
@@ -139,11 +148,21 @@ class Sets:
 
 def fragment_keys(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, key) for the content of each fragment of each set, in its own size class and in lower ones it may pair in."""
+    return keys_and_spares(sets, similarity, skip)[:2]
+
+
+def keys_and_spares(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """`fragment_keys`, and (row, spare): how many of its most frequent keys of a size class a set need not compare.
+
+    A spare has its size class in its last bits, as a key has. Similar sets differ in at most
+    as many fragments as n-grams, so one with more non-empty fragments shares the rest of them.
+    """
     low, high, widest, differ = similarity.classes()
     size = sets.size
     own = np.searchsorted(low, size, side="right") - 1
     scattered = mix(sets.hash ^ U64(0xA5A5))
-    rows, keys = [], []
+    rows, keys, spare_rows, spares = [], [], [], []
+    named = lambda hashes, kind: (hashes & ~U64((1 << KIND_BITS) - 1)) | kind.astype(U64)
     for down in range(len(low)):
         kind = np.maximum(own - down, 0)
         reach = (size > 0) & (own >= down) & (size <= widest[kind])
@@ -154,7 +173,7 @@ def fragment_keys(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple
             continue
         picked = np.flatnonzero(use)
         limit = differ[kind[picked]]
-        pieces = limit + 1 + np.maximum(1, limit // 40)
+        pieces = limit + 1 + np.maximum(1, limit // SPARE_FRAGMENTS)
         inside = use[sets.row()]
         row = np.repeat(np.arange(len(picked)), size[picked])
         base = np.cumsum(pieces) - pieces
@@ -166,26 +185,30 @@ def fragment_keys(sets: Sets, similarity: Similarity, skip: np.ndarray) -> tuple
         row = row[change]
         name = mix((kind[picked][row].astype(U64) << U64(40)) + (place - base[row]).astype(U64))
         rows.append(picked[row])
-        keys.append(mix(sums ^ name))
+        keys.append(named(mix(sums ^ name), kind[picked][row]))
         full = np.bincount(row, minlength=len(picked))
+        many = np.flatnonzero(full - limit > 1)
+        spare_rows.append(picked[many])
+        spares.append(named(((full - limit - 1)[many] << KIND_BITS).astype(U64), kind[picked][many]))
         few = np.flatnonzero(full <= limit)
         for r in few.tolist():
             begin = base[r]
             empty = np.setdiff1d(np.arange(pieces[r]), place[row == r] - begin)
             rows.append(np.full(len(empty), picked[r]))
-            keys.append(mix(mix((U64(int(kind[picked[r]])) << U64(40)) + empty.astype(U64)) ^ U64(0xE3B0C4)))
+            hashes = mix(mix((U64(int(kind[picked[r]])) << U64(40)) + empty.astype(U64)) ^ U64(0xE3B0C4))
+            keys.append(named(hashes, np.full(len(empty), kind[picked[r]])))
     if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
-    return np.concatenate(rows), np.concatenate(keys)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, U64)
+    return tuple(np.concatenate(x) for x in (rows, keys, spare_rows, spares))
 
 
 _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: str | None = None) -> DataFrame:
-    """Per row: doc_id, row (its number, or again its key), n_shingles, class hashes f1 and f2, parity sketch, fragment keys.
+    """Per row: doc_id, row (its number, or again its key), n_shingles, class hashes f1 and f2, parity sketch, fragment keys, spares.
 
-    Of equal sets in one task, only the first gives keys.
+    Of equal sets in one task, only the first gives keys and spares.
     """
     rows = df.select(
         F.col(key).cast("long").alias("doc_id"), F.col(row or key).cast("long").alias("row"), F.col(text).cast("string").alias("text")
@@ -200,23 +223,28 @@ def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: s
             for i, f in enumerate(f1.tolist()):
                 skip[i] = f in seen
                 seen.add(f)
-            row, keys = fragment_keys(sets, similarity, skip)
-            order = np.argsort(row, kind="stable")
-            first = np.searchsorted(row[order], np.arange(len(f1) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(keys[order].view(np.int64)))
+            row, keys, spare_row, spares = keys_and_spares(sets, similarity, skip)
             sketch = sets.sketches()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("row"), pa.array(sets.size, pa.int64()), pa.array(f1.view(np.int64)),
-                    pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)), lists,
+                    pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)),
+                    _lists(row, keys, len(f1)), _lists(spare_row, spares, len(f1)),
                 ],
-                ["doc_id", "row", "n_shingles", "f1", "f2", *_SKETCH, "keys"],
+                ["doc_id", "row", "n_shingles", "f1", "f2", *_SKETCH, "keys", "spares"],
             )
 
-    schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>"
+    schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>, spares array<long>"
     return rows.mapInArrow(lean(of_batch), schema)
 
 
+def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
+    """The values of each of n rows."""
+    order = np.argsort(row, kind="stable")
+    first = np.searchsorted(row[order], np.arange(n + 1))
+    return pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values[order].view(np.int64)))
+
+
 # -------------------------------------------------------------------- buckets
 
 
@@ -273,6 +301,24 @@ def shared_keys(summary: DataFrame) -> DataFrame:
     return blobs.repartition(stored.parts(spark), "range").mapInArrow(lean(gather), "k long, node long")
 
 
+def rare_keys(buckets: DataFrame, summary: DataFrame) -> DataFrame:
+    """The rows of the buckets but the most frequent keys of each class, as many as it can spare in each size class.
+
+    Similar classes share more keys than either spares, and all order keys alike: the rarest key that they share stays in both.
+    """
+    kind, spare = F.lit((1 << KIND_BITS) - 1), F.shiftright("spare", KIND_BITS)
+    spares = (
+        summary.select(F.col("f1").alias("node"), F.explode("spares").alias("spare"))
+        .groupBy("node", F.col("spare").bitwiseAND(kind).alias("kind"))
+        .agg(F.max(spare).alias("spare"))
+    )
+    held = buckets.groupBy("k").agg(F.count("*").alias("held"))
+    counted = buckets.join(held, "k").withColumn("kind", F.col("k").bitwiseAND(kind)).join(spares, ["node", "kind"], "left")
+    frequent = Window.partitionBy("node", "kind").orderBy(F.desc("held"), F.desc("k"))
+    ranked = counted.withColumn("place", F.row_number().over(frequent))
+    return ranked.where((F.col("place") > F.coalesce("spare", F.lit(0))) & (F.col("held") > 1)).select("k", "node")
+
+
 def _key_rows(keys: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(nodes.view(np.int64))], ["k", "node"])
 
@@ -441,10 +487,11 @@ def _classified(df: DataFrame, key: str, text: str, similarity: Similarity, row:
     )
     if classes.where("two").limit(1).count():
         raise ValueError("two sets have one class hash: use another seed")
-    buckets = stored.written(shared_keys(summary), "buckets")
+    shared = stored.written(shared_keys(summary), "buckets")
+    buckets = stored.written(rare_keys(shared, summary), "rare")
     # Round 1: each key's classes meet its centre, the class that shares the most keys. What
     # copies have been made from shares all of its keys, each copy only those it left as they were.
-    shares = buckets.groupBy("node").agg(F.count("*").alias("shares"))
+    shares = shared.groupBy("node").agg(F.count("*").alias("shares"))
     ranked = buckets.join(shares, "node")
     centres = ranked.groupBy("k").agg(F.max_by("node", "shares").alias("centre"), F.count("*").alias("n")).where("n > 1")
     stars = (

@@ -133,6 +133,59 @@ def test_similar_sets_share_a_fragment_key():
         assert x == y or set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())
 
 
+@pytest.mark.parametrize("similarity", [jaccard.Similarity(), jaccard.Similarity(5, 80, 100)])
+def test_similar_sets_share_a_key_that_neither_spares(similarity):
+    """Whatever the order of keys, as long as it is one order: common keys may go from both sides."""
+    random = np.random.default_rng(8)
+    spared = 0
+    for _ in range(300):
+        a = [f"w{i}" for i in random.integers(0, 500, int(random.integers(1, 700)))]
+        b = a[int(random.integers(0, len(a) // 9 + 1)) :]
+        for _ in range(int(random.integers(0, 1 + len(b) // 30))):
+            b[int(random.integers(0, len(b)))] = "edit"
+        x, y = shingles(" ".join(a), similarity.n), shingles(" ".join(b), similarity.n)
+        if x == y or similarity.denominator * len(x & y) < similarity.numerator * len(x | y):
+            continue
+        sets = jaccard.Sets(pa.array([" ".join(a), " ".join(b)]), similarity.n)
+        row, keys, spare_row, spares = jaccard.keys_and_spares(sets, similarity, np.zeros(2, bool))
+        kept = []
+        for i in range(2):
+            spare = {int(s) & 255: int(s) >> 8 for s in spares[spare_row == i]}
+            spared += sum(spare.values())
+            other = set(keys[row == 1 - i].tolist())
+            mine = {}
+            for k in sorted(set(keys[row == i].tolist()), key=lambda k: (k not in other, k)):  # worst: common keys count as frequent
+                mine.setdefault(k & 255, []).append(k)
+            kept.append({k for kind, ks in mine.items() for k in ks[spare.get(kind, 0) :]})
+        assert kept[0] & kept[1]
+    assert spared > 1000
+
+
+def test_long_texts_with_little_in_common_do_not_meet(spark, monkeypatch):
+    """Parity sketches cannot tell sets of 5,000 n-grams apart; common passages and empty fragments must not pair them."""
+    random = np.random.default_rng(9)
+    words = lambda n: [f"w{i}" for i in random.integers(0, 10**6, n)]
+    passages = [words(12) for _ in range(30)]
+    texts = []
+    for _ in range(24):
+        text = words(4700)
+        for i in random.choice(30, 12, replace=False):
+            text += passages[i]
+        texts.append(text)
+    copy = list(texts[5])
+    for i in range(0, 600, 10):
+        copy[i] = "edit"
+    rows = [(i, " ".join(t)) for i, t in enumerate([*texts, copy])]
+    met = []
+    candidates, written = jaccard._candidates, jaccard.stored.written
+    monkeypatch.setattr(jaccard, "_candidates", lambda pairs, *a: met.append(candidates(pairs, *a)) or met[-1])
+    monkeypatch.setattr(jaccard.stored, "written", lambda df, name: (name == "crossing" and met.append(df)) or written(df, name))
+    similarity = jaccard.Similarity(5, 80, 100)
+    got = result(spark, rows, similarity=similarity)
+    assert [r[2] for r in got] == [*range(24), 5]
+    assert sum(pairs.count() for pairs in met) <= 5
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text, "a"), (2, text, "b"), (2, text, "b"), (7, "some other text of its own", "c"), (None, text, "d"), (8, None, "e")]
