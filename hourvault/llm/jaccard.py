@@ -206,9 +206,9 @@ _SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: str | None = None) -> DataFrame:
-    """Per row: doc_id, row (its number, or again its key), n_shingles, class hashes f1 and f2, parity sketch, fragment keys, spares.
+    """Per row: doc_id, row (its number, or again its key), n_shingles, class hashes f1 and f2, parity sketch, spares.
 
-    Of equal sets in one task, only the first gives keys and spares.
+    Of equal sets in one task, only the first gives spares.
     """
     rows = df.select(
         F.col(key).cast("long").alias("doc_id"), F.col(row or key).cast("long").alias("row"), F.col(text).cast("string").alias("text")
@@ -219,25 +219,30 @@ def summarise(df: DataFrame, key: str, text: str, similarity: Similarity, row: s
         for batch in small_batches(batches, "text", BATCH_BYTES):
             sets = Sets(batch.column("text"), similarity.n, similarity.seed)
             f1, f2 = sets.sums(0x1F1F), sets.sums(0x2F2F2F)
-            skip = np.zeros(len(f1), bool)
-            for i, f in enumerate(f1.tolist()):
-                skip[i] = f in seen
-                seen.add(f)
-            row, keys, spare_row, spares = keys_and_spares(sets, similarity, skip)
+            _, _, spare_row, spares = keys_and_spares(sets, similarity, _repeated(f1, seen))
             sketch = sets.sketches()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), batch.column("row"), pa.array(sets.size, pa.int64()), pa.array(f1.view(np.int64)),
                     pa.array(f2.view(np.int64)), *(pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(SKETCH_WORDS)),
-                    _lists(row, keys, len(f1)), _lists(spare_row, spares, len(f1)),
+                    _lists(spare_row, spares, len(f1)),
                 ],
-                ["doc_id", "row", "n_shingles", "f1", "f2", *_SKETCH, "keys", "spares"],
+                ["doc_id", "row", "n_shingles", "f1", "f2", *_SKETCH, "spares"],
             )
 
-    schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "keys array<long>, spares array<long>"
+    schema = "doc_id long, row long, n_shingles long, f1 long, f2 long, " + "".join(f"{s} long, " for s in _SKETCH) + "spares array<long>"
     return rows.mapInArrow(lean(of_batch), schema)
 
 
+def _repeated(f1: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which sets the task has seen before; it has seen these from now on."""
+    skip = np.zeros(len(f1), bool)
+    for i, f in enumerate(f1.tolist()):
+        skip[i] = f in seen
+        seen.add(f)
+    return skip
+
+
 def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
     """The values of each of n rows."""
     order = np.argsort(row, kind="stable")
@@ -248,23 +253,27 @@ def _lists(row: np.ndarray, values: np.ndarray, n: int) -> pa.ListArray:
 # -------------------------------------------------------------------- buckets
 
 
-def shared_keys(summary: DataFrame) -> DataFrame:
+def shared_keys(df: DataFrame, text: str, similarity: Similarity) -> DataFrame:
     """(k, node): the classes of each key that at least two have.
 
-    Tasks deal sorted keys to ranges of the key; a range's rows travel as one
+    Keys are made where they are dealt, from the texts once more: stored with the
+    sets, they would take as much room as the texts while their copies travel.
+    Of equal sets in one task, only the first gives keys. Tasks deal sorted keys to ranges of the key; a range's rows travel as one
     value. Beyond KEY_ROWS rows of a key, a task hands its rows on as they are,
     dealt anywhere: the key is shared, so they need not meet the others.
     """
-    spark = summary.sparkSession
+    spark = df.sparkSession
     ranges = 4 * stored.parts(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         held, n = [], 0
-        for batch in batches:
-            lists = batch.column("keys")
-            nodes = np.repeat(batch.column("f1").to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False))
-            held.append((lists.flatten().to_numpy(zero_copy_only=False).view(U64), nodes))
-            n += len(nodes)
+        for batch in small_batches(batches, "text", BATCH_BYTES):
+            sets = Sets(batch.column("text"), similarity.n, similarity.seed)
+            f1 = sets.sums(0x1F1F)
+            row, keys = fragment_keys(sets, similarity, _repeated(f1, seen))
+            held.append((keys, f1[row]))
+            n += len(keys)
             if n >= SORT_ROWS:
                 yield from _dealt(held, ranges)
                 held, n = [], 0
@@ -297,7 +306,7 @@ def shared_keys(summary: DataFrame) -> DataFrame:
             for first in range(0, len(keys), SORT_ROWS):
                 yield _key_rows(keys[first : first + SORT_ROWS], nodes[first : first + SORT_ROWS])
 
-    blobs = summary.select("f1", "keys").mapInArrow(lean(deal), "range int, spread boolean, raw binary")
+    blobs = df.select(F.col(text).cast("string").alias("text")).mapInArrow(lean(deal), "range int, spread boolean, raw binary")
     return blobs.repartition(stored.parts(spark), "range").mapInArrow(lean(gather), "k long, node long")
 
 
@@ -487,7 +496,7 @@ def _classified(df: DataFrame, key: str, text: str, similarity: Similarity, row:
     )
     if classes.where("two").limit(1).count():
         raise ValueError("two sets have one class hash: use another seed")
-    shared = stored.written(shared_keys(summary), "buckets")
+    shared = stored.written(shared_keys(df, text, similarity), "buckets")
     buckets = stored.written(rare_keys(shared, summary), "rare")
     # Round 1: each key's classes meet its centre, the class that shares the most keys. What
     # copies have been made from shares all of its keys, each copy only those it left as they were.

@@ -186,6 +186,22 @@ def test_long_texts_with_little_in_common_do_not_meet(spark, monkeypatch):
     assert sum(pairs.count() for pairs in met) <= 5
 
 
+def test_stored_sets_are_small_beside_their_texts(spark, monkeypatch):
+    random = np.random.default_rng(10)
+    texts = [" ".join(f"w{i}" for i in random.integers(0, 10**6, 3000)) for _ in range(20)]
+    stored_values = []
+    written = jaccard.stored.written
+
+    def counted(df, name):
+        if name == "sets":
+            stored_values.extend(sum(len(v) if isinstance(v, list) else 1 for v in r) for r in df.collect())
+        return written(df, name)
+
+    monkeypatch.setattr(jaccard.stored, "written", counted)
+    assert len(result(spark, list(enumerate(texts)))) == 20
+    assert len(stored_values) == 20 and max(stored_values) < 60
+
+
 def test_one_of_each_group_stays(spark):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(5, text, "a"), (2, text, "b"), (2, text, "b"), (7, "some other text of its own", "c"), (None, text, "d"), (8, None, "e")]
