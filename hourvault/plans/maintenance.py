@@ -12,6 +12,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourvault.lean import lean
 from hourvault.operators import cached
 from hourvault.operators.grouping import assign_groups
 from hourvault.plans.sync import ROW_GROUP_BYTES, TARGET_BYTES, data_files, files_read, publish, run_dir, stored_groups, write_events
@@ -151,8 +152,23 @@ def compact_hours(
 _LISTED = "run_id string, blob_hour string, directory string, files bigint, bytes bigint, newest timestamp"
 
 
+def _hours_of_runs(events_root: str):
+    """The directories right below those of runs: hours, and what a writer that has not ended leaves beside them."""
+    schema = pa.schema([("run_id", pa.string()), ("part", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = open_storage(events_root)
+        for batch in batches:
+            for run_id in batch.column("run_id").to_pylist():
+                infos = filesystem.get_file_info(pafs.FileSelector(join_path(root, f"run_id={run_id}"), allow_not_found=True))
+                parts = [info.base_name for info in infos if info.type == pafs.FileType.Directory]
+                yield pa.RecordBatch.from_arrays([pa.array([run_id] * len(parts), pa.string()), pa.array(parts, pa.string())], schema=schema)
+
+    return run
+
+
 def _list_directories(events_root: str):
-    """Directories of runs by hour, with their files, bytes and the time of their newest file."""
+    """Directories (`run_id`, `part`) that hold files, with their files, bytes and the time of their newest file."""
     schema = pa.schema(
         [
             ("run_id", pa.string()), ("blob_hour", pa.string()), ("directory", pa.string()), ("files", pa.int64()),
@@ -163,19 +179,15 @@ def _list_directories(events_root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_storage(events_root)
         for batch in batches:
-            for run_id in batch.column("run_id").to_pylist():
-                held: dict[str, list] = {}
-                base = join_path(root, f"run_id={run_id}")
-                for info in filesystem.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)):
-                    part, _, rest = info.path[len(base) :].strip("/").partition("/")
-                    # Beside the hours, a writer that has not ended leaves its temporary folder.
-                    if info.type == pafs.FileType.File and rest:
-                        totals = held.setdefault(part, [0, 0, info.mtime])
-                        totals[:] = totals[0] + 1, totals[1] + info.size, max(totals[2], info.mtime)
-                rows = [
-                    (run_id, part.removeprefix("blob_hour="), f"run_id={run_id}/{part}", *totals) for part, totals in held.items()
-                ]
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+            rows = []
+            for run_id, part in zip(batch.column("run_id").to_pylist(), batch.column("part").to_pylist(), strict=True):
+                directory = f"run_id={run_id}/{part}"
+                infos = filesystem.get_file_info(pafs.FileSelector(join_path(root, directory), recursive=True, allow_not_found=True))
+                held = [info for info in infos if info.type == pafs.FileType.File]
+                if held:
+                    totals = len(held), sum(info.size for info in held), max(info.mtime for info in held)
+                    rows.append((run_id, part.removeprefix("blob_hour="), directory, *totals))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
     return run
 
@@ -187,14 +199,15 @@ def left_over(spark: SparkSession, root: str, older: timedelta = OLD, now: datet
     `older` (a running sync still writes). `replaced`: of a finished run, but no
     current manifest row points there any more, and nothing has changed in the
     hour for `older`, so that readers that began before have ended. Directories
-    are listed in tasks, a run each, and meet the manifest in anti-joins.
+    are listed in tasks, an hour of a run at a time, and meet the manifest in anti-joins.
     """
     before = F.lit((now or datetime.now(timezone.utc)) - older)
     # Listed before the commits: a run that commits in between counts as finished.
     runs = [name.partition("=")[2] for name in child_names(spark, join_path(root, "events", "run_id=*"))]
-    tasks = max(1, min(len(runs), 4 * spark.sparkContext.defaultParallelism))
-    names = spark.createDataFrame([(r,) for r in runs], "run_id string").repartition(tasks, "run_id")
-    listed = pin(names.mapInArrow(_list_directories(qualified(spark, join_path(root, "events"))), _LISTED))
+    events_root, tasks = qualified(spark, join_path(root, "events")), 4 * spark.sparkContext.defaultParallelism
+    names = spark.createDataFrame([(r,) for r in runs], "run_id string").repartition(max(1, min(len(runs), tasks)), "run_id")
+    parts = names.mapInArrow(lean(_hours_of_runs(events_root)), "run_id string, part string").repartition(tasks, "run_id", "part")
+    listed = pin(parts.mapInArrow(lean(_list_directories(events_root)), _LISTED))
     finished = read_commits(spark, root).select("run_id")
     entries = read_manifest(spark, root)
     needed = hour_dirs(manifest_current(entries))
@@ -229,7 +242,7 @@ def reclaim(spark: SparkSession, root: str, older: timedelta = OLD, now: datetim
             yield batch.select(["directory"])
 
     tasks = 4 * spark.sparkContext.defaultParallelism
-    found.select("directory").repartition(tasks, "directory").mapInArrow(delete, "directory string").count()
+    found.select("directory").repartition(tasks, "directory").mapInArrow(lean(delete), "directory string").count()
     # The rest is counted in runs: their folders, once empty, and manifests that were never seen.
     for row in found.select("run_id", "reason").distinct().collect():
         if not child_names(spark, join_path(run_dir(root, row["run_id"]), "*=*")):

@@ -9,7 +9,7 @@ from conftest import line, put
 from pyspark.sql import functions as F
 from test_sync import H8, H9, SPAN, lines, run, stored
 
-from hourvault.plans import results
+from hourvault.plans import maintenance, results
 from hourvault.plans.maintenance import compact_hours, left_over, merge_runs, reclaim
 from hourvault.plans.status import cache_status
 from hourvault.plans.sync import data_files, reconcile_deleted, sync, sync_listing
@@ -143,6 +143,40 @@ def test_a_run_that_never_committed_goes_when_it_is_old(spark, container, root):
     assert reclaim(spark, root, now=after()).count() == 0
 
 
+def test_no_task_lists_a_whole_run(spark, root, tmp_path, monkeypatch):
+    """What is left over is listed an hour of a run at a time, with the files and bytes of that hour."""
+    seen, real = str(tmp_path / "listed"), maintenance.open_storage
+    events = Path(root.removeprefix("file:")) / "events"
+    wanted = {}
+    for run_id in ("r1", "r2"):
+        for hour in range(8):
+            base = events / f"run_id={run_id}" / f"blob_hour=2026-09-10-{hour:02d}" / "group_no=0"
+            base.mkdir(parents=True)
+            for number in range(20 + hour):
+                (base / f"part-{number}.parquet").write_bytes(b"x" * number)
+            wanted[(run_id, f"2026-09-10-{hour:02d}")] = (20 + hour, sum(range(20 + hour)))
+        (events / f"run_id={run_id}" / "_SUCCESS").write_bytes(b"")
+        (events / f"run_id={run_id}" / "blob_hour=2026-09-10-23").mkdir()
+
+    def noting(uri):
+        filesystem, path = real(uri)
+
+        class Noting:
+            def get_file_info(self, selector):
+                found = filesystem.get_file_info(selector)
+                with open(seen, "a") as out:
+                    out.write(f"{len(found)}\n")
+                return found
+
+        return Noting(), path
+
+    monkeypatch.setattr(maintenance, "open_storage", noting)
+    found = left_over(spark, root, now=after()).collect()
+    assert {(r["run_id"], r["blob_hour"]): (r["files"], r["bytes"]) for r in found} == wanted
+    assert len(found) == len(wanted) and {r["reason"] for r in found} == {"uncommitted"}
+    assert max(int(n) for n in open(seen)) <= 28  # the longest hour: its group and 27 files
+
+
 def test_replaced_copies_go_but_directories_with_current_ones_stay(spark, container, root):
     put(container, H8, "a.ndjson", lines("a"))
     put(container, H8, "b.ndjson", lines("b"))
