@@ -23,7 +23,7 @@ from hourvault.operators.search import instant_literal
 from hourvault.schema import COMMIT_SCHEMA, EVENT_TABLE_SCHEMA, LISTING_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import open_writers, pin
 from hourvault.sources import archive
-from hourvault.sources.cache import HourBounds, hour_dirs, manifest_current, read_manifest
+from hourvault.sources.cache import HourBounds, empty_frame, hour_dirs, manifest_current, read_manifest
 from hourvault.sources.storage import join_path, remove
 
 TARGET_BYTES = 128 * 1024 * 1024
@@ -308,7 +308,7 @@ def sync(
     """
     bounds = hour_bounds(from_utc, to_utc, lateness_hours)
     if bounds is None:
-        return cached.sync_counts(spark.createDataFrame([], LISTING_SCHEMA).withColumn("is_missing", F.lit(True)))
+        return cached.sync_counts(empty_frame(spark, LISTING_SCHEMA).withColumn("is_missing", F.lit(True)))
     hours = hours_frame(spark, from_utc, to_utc + timedelta(hours=lateness_hours))
     listing = archive.list_archive(hours, container, folder)
     return sync_listing(spark, container, root, listing, bounds, **options)

@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from itertools import islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,10 +58,10 @@ def _list_under(container: str, recursive: bool, suffix: str = SUFFIX):
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filesystem, root = open_storage(container)
         for batch in batches:
-            for row in batch.to_pylist():
-                if not row["is_dir"]:
-                    yield pa.RecordBatch.from_pylist([row], schema=schema)
-                    continue
+            files = batch.filter(pc.invert(batch.column("is_dir")))
+            if files.num_rows:
+                yield files.select(schema.names).cast(schema)
+            for row in batch.filter(batch.column("is_dir")).to_pylist():
                 selector = pafs.FileSelector(
                     join_path(root, row["blob_path"]), allow_not_found=True, recursive=recursive
                 )

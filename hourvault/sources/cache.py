@@ -33,7 +33,8 @@ class LostDataError(RuntimeError):
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    """No rows, without the Python workers (one a core, besides those of other tasks) that local rows pass through."""
+    return spark.range(0).select(*[F.lit(None).cast(field.dataType).alias(field.name) for field in schema.fields])
 
 
 def merge_names(spark: SparkSession, root: str) -> list[str]:

@@ -163,3 +163,16 @@ def test_files_are_written_from_small_batches(spark, container, tmp_path, monkey
     rows = [int(n) for n in open(seen)]
     assert sum(rows) == 1200 and max(rows) <= 500
     assert open(f"{container}/a/1199.ndjson").read() == "é1199\n"
+
+
+def test_files_pass_a_listing_task_in_batches(container):
+    """Rows that are files already leave as they came, not one at a time as Python objects; folders are listed."""
+    paths = [put(container, HOUR, f"part/{i}.ndjson", "x\n") for i in range(3)]
+    folder = paths[0].rpartition("/")[0]
+    rows = [{"blob_path": f"{i:04d}.ndjson", "blob_partition": HOUR, "size": i, "is_dir": False} for i in range(1000)]
+    rows.insert(500, {"blob_path": folder, "blob_partition": HOUR, "size": 0, "is_dir": True})
+    found = list(archive._list_under(container, recursive=True)(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(found) <= 2
+    got = [row for batch in found for row in batch.to_pylist()]
+    want = [r for r in rows if not r["is_dir"]] + [{"blob_path": p, "blob_partition": HOUR, "size": 2, "is_dir": False} for p in paths]
+    assert sorted(got, key=lambda r: r["blob_path"]) == sorted(want, key=lambda r: r["blob_path"])

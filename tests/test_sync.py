@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from conftest import line, put
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hourvault.functions.hours import hours_frame
 from hourvault.operators import lookup
@@ -15,8 +16,8 @@ from hourvault.operators.ingest import MalformedLineError
 from hourvault.plans import results
 from hourvault.plans.maintenance import merge_runs
 from hourvault.plans.status import cache_status
-from hourvault.plans.sync import data_files, materialize, reset, sync, sync_listing
-from hourvault.schema import EVENT_SCHEMA, EVENT_TABLE_SCHEMA
+from hourvault.plans.sync import current_files, data_files, materialize, reset, sync, sync_listing
+from hourvault.schema import EVENT_SCHEMA, EVENT_TABLE_SCHEMA, MANIFEST_SCHEMA
 from hourvault.session import pin, scratch_path
 from hourvault.sources import archive, cache
 from hourvault.sources.cache import LostDataError
@@ -481,3 +482,13 @@ def test_merged_runs_are_read_as_before(spark, container, root):
     assert cache.read_manifest(spark, root, ("2026-09-10-09", "2026-09-10-09")).count() == 3
     reset(spark, root)
     assert view() == ([], 0, [])
+
+
+def test_a_first_sync_passes_no_rows_through_python_but_those_of_files(spark, container, root, capsys):
+    """A cache without a manifest is an empty frame of the same columns, made without Python workers."""
+    manifest = cache.read_manifest(spark, root)
+    assert manifest.schema == T.StructType([T.StructField(f.name, f.dataType) for f in MANIFEST_SCHEMA.fields])
+    assert manifest.collect() == [] and cache.read_commits(spark, root).collect() == []
+    capsys.readouterr()
+    current_files(spark, root).explain()
+    assert "ExistingRDD" not in capsys.readouterr().out
