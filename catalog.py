@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1003,7 +1004,8 @@ def _extended_archive(spark, sf_dir, extra: list[tuple[str, str]]) -> str:
     container = scratch_path(spark, "archive")
     w.write_files(w.chunks(spark, sf_dir).select("blob_path", "content"), container)
     if extra:
-        w.write_files(spark.createDataFrame(extra, "blob_path string, content string"), container)
+        paths, contents = zip(*extra, strict=True)
+        w.write_files(spark.createDataFrame(pa.table({"blob_path": paths, "content": contents})), container)
     return container
 
 

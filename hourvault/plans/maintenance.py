@@ -205,7 +205,7 @@ def left_over(spark: SparkSession, root: str, older: timedelta = OLD, now: datet
     # Listed before the commits: a run that commits in between counts as finished.
     runs = [name.partition("=")[2] for name in child_names(spark, join_path(root, "events", "run_id=*"))]
     events_root, tasks = qualified(spark, join_path(root, "events")), 4 * spark.sparkContext.defaultParallelism
-    names = spark.createDataFrame([(r,) for r in runs], "run_id string").repartition(max(1, min(len(runs), tasks)), "run_id")
+    names = spark.createDataFrame(pa.table({"run_id": pa.array(runs, pa.string())})).repartition(max(1, min(len(runs), tasks)), "run_id")
     parts = names.mapInArrow(lean(_hours_of_runs(events_root)), "run_id string, part string").repartition(tasks, "run_id", "part")
     listed = pin(parts.mapInArrow(lean(_list_directories(events_root)), _LISTED))
     finished = read_commits(spark, root).select("run_id")
