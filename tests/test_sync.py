@@ -9,6 +9,7 @@ from conftest import line, put
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import catalog
 from hourvault.functions.hours import hours_frame
 from hourvault.operators import lookup
 from hourvault.operators.cached import sync_totals
@@ -492,3 +493,15 @@ def test_a_first_sync_passes_no_rows_through_python_but_those_of_files(spark, co
     capsys.readouterr()
     current_files(spark, root).explain()
     assert "ExistingRDD" not in capsys.readouterr().out
+
+
+def test_files_added_to_an_archive_are_no_python_rows(spark, monkeypatch, capsys):
+    """The few files beside those of the table reach the writing tasks without Python workers of another kind."""
+    frames = []
+    monkeypatch.setattr(catalog.w, "write_files", lambda files, container: frames.append(files))
+    extra = [("a/é.ndjson", '{"event_id":"é"}\n'), ("a/empty.ndjson", "")]
+    catalog._extended_archive(spark, "/root/testdata/sf0.001", extra)
+    assert [tuple(r) for r in frames[1].select("blob_path", "content").collect()] == extra
+    capsys.readouterr()
+    frames[1].explain()
+    assert "ExistingRDD" not in capsys.readouterr().out
