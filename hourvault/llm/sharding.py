@@ -5,7 +5,8 @@ bucket over the byte limit splits, on the next bit, until each fits; the
 directory, indexed by hash-prefix bits, names the bucket of each prefix. Bytes
 are summed once by a prefix somewhat longer than needed, and a row's bucket is
 the shortest prefix whose bytes fit. Prefixes that even so are over the limit
-go on with more bits, on their own rows only.
+go on with more bits, on their own rows only. Prefixes, buckets and rows meet
+by shuffles alone, so the driver gathers none of them.
 
 Rows that share a whole hash cannot be split by it (one key, or one row over
 the limit): such a bucket is cut into overflow pages, filled row by row up to
@@ -47,35 +48,50 @@ def assign_shards(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """
     total = rows.agg(F.sum("n_bytes")).head()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE_BITS if total > limit else 0
-    left, done = rows, None
+    left, done, first, more = rows, None, 0, SPARE_BITS
     while True:
         depth = min(depth, HASH_BITS)
         fine = left.groupBy(_prefix(depth).alias("p")).agg(F.sum("n_bytes").alias("n_bytes"), F.count("*").alias("n"))
         fine = stored.written(fine, "prefixes")
-        # Each prefix counts towards all shorter ones; a row's bucket is the shortest that fits.
-        shorter = fine.select("p", "n_bytes", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("depth"))
-        shorter = shorter.withColumn("q", F.expr(f"shiftright(p, {depth} - depth)"))
-        sums = shorter.groupBy("depth", "q").agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows"))
-        fits = sums.where(F.col("shard_bytes") <= limit)
-        bucket = (
-            shorter.select("p", "depth", "q")
-            .join(fits, ["depth", "q"])
-            .groupBy("p")
-            .agg(F.min(F.struct("depth", "q", "shard_bytes", "shard_rows")).alias("b"))
-        )
-        directory = stored.written(fine.select("p").join(bucket, "p", "left"), "directory")
-        placed = left.withColumn("p", _prefix(depth)).join(directory, "p").drop("p")
-        found = placed.where("b is not null").select(*left.columns, "b.*")
+        directory = stored.written(_directory(fine, first, depth, limit), "directory")
+        placed = left.withColumn("p", _prefix(depth))
+        found = placed.join(_sorted(directory), "p").drop("p")
         done = found if done is None else done.unionByName(found)
-        if not directory.where("b is null").limit(1).count():
+        oversized = fine.where(F.col("n_bytes") > limit).select("p")
+        if not oversized.limit(1).count():
             break
-        left = stored.written(placed.where("b is null").select(*left.columns), "oversized")
+        left = stored.written(placed.join(_sorted(oversized), "p", "left_semi").select(*left.columns), "oversized")
         if depth == HASH_BITS:
             return _named(done).unionByName(_named(_pages(left, limit), F.concat(F.lit("+"), F.col("page"))))
-        depth += SPARE_BITS
+        first, depth, more = depth + 1, depth + more, 2 * more
     return _named(done)
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Left to itself, Spark goes by the size of the files below it, and a few
+    MB of them hold millions of prefixes, which the driver would have to gather.
+    """
+    return df.hint("merge")
+
+
+def _directory(fine: DataFrame, first: int, depth: int, limit: int) -> DataFrame:
+    """By prefix of `depth` bits that fits: its bucket, the shortest of its prefixes of `first` bits or more that fits."""
+    shorter = fine.select("p", "n_bytes", "n", F.explode(F.sequence(F.lit(first), F.lit(depth))).alias("depth"))
+    # Each prefix counts towards all shorter ones.
+    sums = shorter.groupBy("depth", F.expr(f"shiftright(p, {depth} - depth)").alias("q"))
+    sums = stored.written(sums.agg(F.sum("n_bytes").alias("shard_bytes"), F.sum("n").alias("shard_rows")), "sums")
+    # Bytes never grow with the bits, so the shortest that fits is the one whose parent does not: a bucket.
+    halves = F.explode(F.array(F.col("q") * 2, F.col("q") * 2 + 1)).alias("q")
+    split = sums.where(F.col("shard_bytes") > limit).select((F.col("depth") + 1).alias("depth"), halves)
+    fits = sums.where(F.col("shard_bytes") <= limit)
+    below = fits.join(_sorted(split), ["depth", "q"], "left_semi")
+    buckets = stored.written(fits.where(F.col("depth") == first).unionByName(below), "buckets")
+    depths = [r.depth for r in buckets.select("depth").distinct().collect()]  # 61 at most
+    ways = fine.select("p", F.explode(F.array(*map(F.lit, depths)).cast("array<int>")).alias("depth"))
+    ways = ways.withColumn("q", F.expr(f"shiftright(p, {depth} - depth)"))
+    return ways.join(_sorted(buckets), ["depth", "q"]).select("p", "depth", "q", "shard_bytes", "shard_rows")
+
+
 def _pages(left: DataFrame, limit: int) -> DataFrame:
     """Rows of one hash in pages: a running sum within each of many slices of the hash, each of which opens its own pages."""
     # A slice is what one input task holds, so a hash that a third of all rows share is not one window.
@@ -90,7 +106,8 @@ def _pages(left: DataFrame, limit: int) -> DataFrame:
     ).otherwise(F.floor(before / step).cast("string"))
     paged = stored.written(sliced.withColumn("page", F.concat_ws(".", F.col("slice").cast("string"), page)), "pages")
     sums = paged.groupBy("h", "page").agg(F.sum("n_bytes").alias("shard_bytes"), F.count("*").alias("shard_rows"))
-    return paged.join(sums, ["h", "page"]).withColumn("depth", F.lit(HASH_BITS)).withColumn("q", F.col("h")).drop("slice")
+    paged = paged.join(_sorted(sums), ["h", "page"])
+    return paged.withColumn("depth", F.lit(HASH_BITS)).withColumn("q", F.col("h")).drop("slice")
 
 
 def _named(rows: DataFrame, more: Column | None = None) -> DataFrame:

@@ -56,3 +56,15 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
 
 def test_empty_table(spark):
     assert sharding.shard_documents(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_nothing_is_broadcast(spark, monkeypatch, capsys):
+    """Few MB of files may hold millions of prefixes; by their size alone, all would pass through the driver."""
+    write = sharding.stored.written
+    monkeypatch.setattr(sharding.stored, "written", lambda df, name: df.explain() or write(df, name))
+    rows = [(i, "x" * (i * 7 % 90)) for i in range(200)] + [(1, "y" * 90)] * 5
+    found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), limit=200)
+    assert len(found.collect()) == len(rows)
+    found.explain()
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "Broadcast" not in plans
